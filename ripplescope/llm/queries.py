@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .licenses import op6_license_scan
+from .pieces import op8_pieces
 from .secrets import op7_secret_scan
+from .toxicity import op4_toxicity
 from .urls import op3_url_filter
+from .vectors import op10_near_vectors
 
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
+    "op8_pieces": op8_pieces,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLE: dict[str, str] = {}

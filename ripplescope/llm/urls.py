@@ -109,14 +109,12 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules: list[
         domain, _, start = text.partition("/")
         fits = ((F.col("host") == domain) | F.endswith("host", F.lit(f".{domain}"))) & F.startswith("path", F.lit(f"/{start}"))
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, what).otherwise(verdict)
-    table = F.from_json(F.lit("[" + ",".join(repr(w) for w in weights[:BUCKETS]) + "]"), "array<double>")
-    model = pages.sparkSession.range(1).select(table.alias("_weights"))  # one row of a fixed size: BUCKETS doubles
-    out = out.join(F.broadcast(model))
+    table = F.from_json(F.lit("[" + ",".join(map(repr, weights[:BUCKETS])) + "]"), "array<double>")  # a constant, folded before the run
     grams = gram_buckets(F.col("host"), F.col("path"))
-    total = F.aggregate(grams, F.lit(0.0), lambda s, i: s + F.get("_weights", i))
+    total = F.aggregate(grams, F.lit(0.0), lambda s, i: s + F.get(table, i))
     z = F.lit(weights[BUCKETS]) + total / F.sqrt(F.greatest(F.size(grams), F.lit(1)))
     out = out.withColumn("url_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("url_score") >= threshold, "block").otherwise("allow"))).drop("_weights")
+    return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("url_score") >= threshold, "block").otherwise("allow")))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
