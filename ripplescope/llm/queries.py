@@ -5,11 +5,13 @@ from __future__ import annotations
 from .licenses import op6_license_scan
 from .pieces import op8_pieces
 from .secrets import op7_secret_scan
+from .shingles import op2_jaccard_join
 from .toxicity import op4_toxicity
 from .urls import op3_url_filter
 from .vectors import op10_near_vectors
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op6_license_scan": op6_license_scan,
