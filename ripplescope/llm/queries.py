@@ -6,6 +6,7 @@ from .licenses import op6_license_scan
 from .pieces import op8_pieces
 from .secrets import op7_secret_scan
 from .shingles import op2_jaccard_join
+from .suffixes import op9_suffix_dedup
 from .toxicity import op4_toxicity
 from .urls import op3_url_filter
 from .vectors import op10_near_vectors
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
     "op8_pieces": op8_pieces,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_vectors": op10_near_vectors,
 }
 
