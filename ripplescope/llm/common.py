@@ -42,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the bytes of ``df``; no job runs."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def block_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import op6_license_scan
+from .lm import op1_lm_scores
 from .pieces import op8_pieces
 from .secrets import op7_secret_scan
 from .shingles import op2_jaccard_join
@@ -12,6 +13,7 @@ from .urls import op3_url_filter
 from .vectors import op10_near_vectors
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
