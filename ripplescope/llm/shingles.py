@@ -108,8 +108,13 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     return np.minimum(whole, 60000 + np.log2(np.maximum(whole, 1)).astype(np.int64)).astype(np.uint16)
 
 
+def _need(n):
+    """Linked sets share at least so many indexed tokens, by the size of the smaller one."""
+    return max(1, min(8, n // 4), n // 32)
+
+
 def _index(levels, words: int, percent: int):
-    """The rarest tokens of each set, as many as any linked set must share one of."""
+    """The rarest tokens of each set, as many as any linked set must share ``_need`` of."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def _index(levels, words: int, percent: int):
                     if len(told) < 1_000_000:
                         told.add(own)
                     level = level_of[_slot(s)]
-                    first = s[np.argsort(level, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]]
+                    first = s[np.argsort(level, kind="stable")[: len(s) - -(-percent * len(s) // 100) + _need(len(s))]]
                     token.append(first)
                     for out, value in ((sid, own), (size, len(s)), (central, np.log2(level + 1.0).mean())):
                         out.append((value, len(first)))
@@ -264,18 +269,29 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     levels = spark.sparkContext.broadcast(_levels(profile.where("block is not null").select("block", "counts")))
     rows = profile.where("block is null").select("doc_id", "k", "sid", "n")
     index = stored(docs.select("text").mapInArrow(_index(levels, words, percent), "tok long, sid long, n int, central float"), "shingle-index")
-    shared = index.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max(F.struct("central", "sid")).alias("lead")).where("lo <> hi").select("tok", "lead")
-    live = stored(index.join(shared, "tok").groupBy("tok", "sid").agg(F.first("n").alias("n"), F.first("lead").alias("lead")), "shingle-live")
-    sets = live.groupBy("sid").agg(F.first("n").alias("n"), F.max("lead").alias("lead")).select("sid", "n", F.col("lead.sid").alias("lead"))
+    twice = index.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
+    some = stored(index.select("tok", "sid").join(twice, "tok").distinct(), "shingle-twice")
+    shared = some.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("tok")
+    live = some.join(shared, "tok")
+    # At least as many indexed tokens as this are shared with a linked set, which can be smaller by 100 - percent in 100.
+    need = lambda n: F.expr(f"greatest(1, least(8, ({percent} * {n} div 100) div 4), ({percent} * {n} div 100) div 32)")
+    enough = live.groupBy("sid").agg(F.count("*").alias("m"))
+    info = index.groupBy("sid").agg(F.first("n").alias("n"), F.first("central").alias("central"))
+    info = info.join(enough, "sid").where(F.col("m") >= need("n")).select("sid", "n", "central")
+    live = stored(live.join(info, "sid"), "shingle-live")
+    lead = live.groupBy("tok").agg(F.max(F.struct("central", "sid")).alias("lead"))
+    votes = live.join(lead, "tok").groupBy("sid", "n", "lead").agg(F.count("*").alias("m"))
+    sets = votes.groupBy("sid", "n").agg(F.max(F.struct("m", "lead")).alias("best"))
+    sets = sets.select("sid", "n", F.when(F.col("best.m") >= need("n"), F.col("best.lead.sid")).otherwise(F.col("sid")).alias("lead"))
     weight = sets.groupBy("lead").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("blocks"))
     groups = stored(sets.join(weight, "lead").select("sid", "n", F.xxhash64("lead", F.pmod(F.xxhash64("sid"), F.col("blocks"))).alias("g")), "shingle-groups")
     matrix = live.select("tok", "sid").join(groups.select("sid", "g"), "sid").select("tok", "g").distinct()
     crossing = matrix.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
     matrix = stored(matrix.join(crossing, "tok"), "shingle-matrix")
     span = groups.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("m"))
-    met = matrix.alias("x").join(matrix.alias("y"), F.expr("x.tok = y.tok and x.g < y.g")).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
+    met = matrix.alias("x").join(matrix.alias("y"), F.expr("x.tok = y.tok and x.g < y.g")).groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).agg(F.count("*").alias("m"))
     sized = lambda x, c: span.select(F.col("g").alias(c), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}"))
-    met = met.join(sized("a", "ga"), "ga").join(sized("b", "gb"), "gb").where(F.expr(f"100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a")).select("ga", "gb")
+    met = met.join(sized("a", "ga"), "ga").join(sized("b", "gb"), "gb").where(F.expr(f"100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a")).withColumn("least", F.least("least_a", "least_b")).where(F.col("m") >= need("least")).select("ga", "gb")
 
     wanted = stored(met, "shingle-pairs")
     needed = wanted.select(F.col("ga").alias("g")).union(wanted.select("gb")).union(span.where("m > 1").select("g")).distinct()
