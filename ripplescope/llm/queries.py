@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .leaks import op5_benchmark_leaks
 from .licenses import op6_license_scan
 from .lm import op1_lm_scores
 from .pieces import op8_pieces
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
     "op8_pieces": op8_pieces,

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_key, stored
 
 # Fixed values: (kind, pattern, group of the value, least length of that group); the first three are the base.
 KINDS = [
@@ -70,14 +70,15 @@ def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "source", co
     it has eight different characters or more. Base spans stay whatever the count;
     spans of the other kinds are given where they look live.
 
-    Returns ``doc_id, n_assign, n_access, n_hex, spans, live`` with ``spans`` and
+    Returns ``doc_id, k, n_assign, n_access, n_hex, spans, live``, ``k`` a key of the
+    row's id and text, with ``spans`` and
     ``live`` arrays of ``(start, kind, end, value)``. Null and empty texts give
     empty arrays; null owners count as one owner; repeated rows give repeated
     results; an empty table gives none; columns other than those named are not
     carried. Only candidates are shuffled, never texts.
     """
-    keyed = docs.select("doc_id", F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), "text")
-    found = stored(candidates(keyed, ["doc_id", "_owner", "_repo"]).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), "text")
+    found = stored(candidates(keyed, ["doc_id", "k", "_owner", "_repo"]).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
     each = found.where(F.size("spans") > 0).select("_row", "_owner", "_repo", F.explode("spans").alias("s"))
     each = each.select("_row", "_owner", "_repo", "s", F.sha2(F.col("s.value"), 256).alias("vhash"))
     counts = ownership(each.select("vhash", F.col("_owner").alias("owner"), F.col("_repo").alias("repo")))
@@ -90,7 +91,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "source", co
     out = some.unionByName(none).withColumn("live", live)
     kept = F.filter("spans", lambda s: (s["kind"] < BASE) | F.array_contains("live", s))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return out.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), kept.alias("spans"), "live")
+    return out.select("doc_id", "k", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), kept.alias("spans"), "live")
 
 
 def span_text(spans: Column) -> Column:
