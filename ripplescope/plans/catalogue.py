@@ -1,6 +1,601 @@
-"""Queries over the driver's tables, and their SQL."""
+"""The operators over the driver's tables, which play roles, and the same in SQL.
+
+Roles: part = source file, customer = test class (through its orders), nation =
+project, l_quantity = line hits, l_returnflag = outcome (R failed, N skipped, A
+passed), events = change events and measurements, documents = source texts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, paths
+from ..operators import graph, learning, results, selection
+from ..sources import projects, records
+from ..streaming import batching
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _class_files(t: Tables) -> DataFrame:
+    """(class_fqn, file): the parts that a customer ordered."""
+    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("C."), F.col("o_custkey")).alias("class_fqn"), F.concat(F.lit("src/p"), F.col("l_partkey")).alias("file"))
+
+
+def _class_map(t: Tables) -> DataFrame:
+    rows = _class_files(t).groupBy("class_fqn").agg(F.collect_set("file").alias("files"))
+    owner = t.customer.select(F.concat(F.lit("C."), F.col("c_custkey")).alias("class_fqn"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("project"))
+    return rows.join(owner, "class_fqn", "left")
+
+
+def _changed(t: Tables) -> DataFrame:
+    """Files of one brand, with a build output among them."""
+    return t.part.where("p_brand = 'Brand#4'").select(F.explode(F.array(F.concat(F.lit("src/p"), F.col("p_partkey")), F.concat(F.lit("src/obj/p"), F.col("p_partkey")))).alias("file"))
+
+
+_CLASS_FILES = "select 'C.' || o_custkey as class_fqn, 'src/p' || l_partkey as file from orders join lineitem on o_orderkey = l_orderkey"
+
+
+@query(f"with cf as ({_CLASS_FILES}) select distinct class_fqn from cf join part on file = 'src/p' || p_partkey where p_brand = 'Brand#4' order by 1")
+def affected_classes(t: Tables) -> DataFrame:
+    """Classes that a changed file belongs to."""
+    return selection.hit_classes(selection.usable(_changed(t)), selection.index(_class_map(t))).orderBy("class_fqn")
+
+
+@query("select 'src/p' || p_partkey as file from part where p_brand = 'Brand#4' and not exists (select 1 from orders join lineitem on o_orderkey = l_orderkey where l_partkey = p_partkey and o_orderstatus = 'P' and l_returnflag = 'R' and l_linestatus = 'O')")
+def unknown_files(t: Tables) -> DataFrame:
+    """Changed files that no class covers."""
+    some = t.orders.where("o_orderstatus = 'P'").join(t.lineitem.where("l_returnflag = 'R' and l_linestatus = 'O'"), F.col("o_orderkey") == F.col("l_orderkey"))
+    by_file = some.select(F.concat(F.lit("src/p"), F.col("l_partkey")).alias("file_key"), F.lit("x").alias("class_fqn"))
+    return selection.unknown_files(selection.usable(_changed(t)), by_file).select("file")
+
+
+@query("""with e as (select a.n_nationkey as src, b.n_nationkey as dst from nation a join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey > a.n_nationkey),
+    recursive_walk as (with recursive w(node) as (select distinct s_nationkey from supplier where s_acctbal < 0 union select e.src from w join e on e.dst = w.node) select node from w)
+    select node from recursive_walk""")
+def fallback_projects(t: Tables) -> DataFrame:
+    """Projects that depend on the owners of what is not mapped."""
+    a, b = t.nation.select(F.col("n_nationkey").alias("src"), "n_regionkey"), t.nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey")
+    edges = a.join(b, "n_regionkey").where("dst > src").select("src", "dst")
+    return graph.dependents_to(edges, t.supplier.where("s_acctbal < 0").select(F.col("s_nationkey").alias("node")).distinct(), t.nation.select(F.col("n_nationkey").alias("node")))
+
+
+@query("select 'C.' || c_custkey as class_fqn from customer where c_nationkey not in (select s_nationkey from supplier where s_acctbal < 0)")
+def dedup_fallback(t: Tables) -> DataFrame:
+    """Classes of projects that run whole are not listed again."""
+    owned = t.customer.select(F.concat(F.lit("C."), F.col("c_custkey")).alias("class_fqn"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("project"))
+    full = t.supplier.where("s_acctbal < 0").select(F.concat(F.lit("N"), F.col("s_nationkey")).alias("project")).distinct()
+    return selection.without_full_projects(owned.select("class_fqn"), owned, full)
+
+
+def _part_edges(t: Tables) -> DataFrame:
+    """Halves and thirds, and a cycle of neighbours."""
+    k = F.col("p_partkey")
+    nodes = t.part.select(k.alias("src"))
+    made = nodes.select("src", F.explode(F.array(F.floor(F.col("src") / 2), F.floor(F.col("src") / 3), F.col("src") + F.when(F.col("src") % 2 == 0, 1).otherwise(-1))).alias("dst"))
+    return made.join(nodes.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", F.col("dst").cast("long").alias("dst"))
+
+
+_EDGES = "select distinct src, dst from (select p_partkey as src, unnest([p_partkey // 2, p_partkey // 3, p_partkey + case when p_partkey % 2 = 0 then 1 else -1 end]) as dst from part) where dst in (select p_partkey from part)"
+
+
+@query(f"with recursive e as ({_EDGES}), hub as (select dst as node from e group by dst having count(*) >= 6), w(root, node) as (select p_partkey, p_partkey from part union select w.root, e.dst from w join e on e.src = w.node where w.node not in (select node from hub)) select root, count(*) as reached, max(node) as highest from w group by root")
+def forward_closure_capped(t: Tables) -> DataFrame:
+    """G1, A10: what each node reaches; hubs are reached but not passed."""
+    edges = _part_edges(t)
+    hubs = edges.distinct().groupBy("dst").agg(F.count("*").alias("n")).where("n >= 6").select(F.col("dst").alias("node"))
+    walk = graph.closure(edges, t.part.select(F.col("p_partkey").alias("root")), hubs)
+    return walk.groupBy("root").agg(F.count("*").alias("reached"), F.max("node").alias("highest"))
+
+
+@query("""with e as (select distinct o_custkey as src, l_suppkey + 1000000 as dst from orders join lineitem on o_orderkey = l_orderkey), n as (select (select count(*) from customer) + (select count(*) from supplier) as n)
+    select dst as node, count(*) as degree from e where dst not in (select s_suppkey + 1000000 from supplier where s_acctbal > 9000) group by dst having count(*) >= (select greatest(10, floor(n * 30 / 100)) from n)""")
+def hub_cap(t: Tables) -> DataFrame:
+    """What too many refer to; tests are never capped."""
+    edges = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    nodes = t.customer.select(F.col("c_custkey").alias("node"), F.lit(False).alias("is_test")).union(t.supplier.select(F.col("s_suppkey") + 1000000, F.col("s_acctbal") > 9000))
+    return graph.hubs(edges, nodes)
+
+
+@query("with recursive l(node, level) as (select p_partkey, 0 from part where p_partkey = 0 union select p.p_partkey, l.level + 1 from l join part p on p.p_partkey // 2 = l.node and p.p_partkey > 0) select node, max(level) as level from l group by node")
+def dependency_levels(t: Tables) -> DataFrame:
+    """An order in which what a node depends on comes first."""
+    edges = t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    return graph.levels(edges, t.part.select(F.col("p_partkey").alias("node")))
+
+
+@query("""with recursive e as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey > 0), w(root, node) as (select p_partkey, p_partkey from part union select w.root, e.src from w join e on e.dst = w.node),
+    j as (select root, node, p_size > 3 as has from w join part on p_partkey = node where root <> node) select root as owner, node as dependent from j where root in (select root from j group by root having bool_and(has))""")
+def guard_exempt(t: Tables) -> DataFrame:
+    """Owners all of whose dependents have a baseline."""
+    edges = t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    return graph.guard_exempt(edges, t.part.select(F.col("p_partkey").alias("owner")), t.part.where("p_size > 3").select(F.col("p_partkey").alias("node")))
+
+
+@query("""with recursive e as (select a.n_nationkey as src, b.n_nationkey as dst from nation a join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey > a.n_nationkey), w(root, node) as (select n_nationkey, n_nationkey from nation union select w.root, e.dst from w join e on e.src = w.node)
+    select root as node, sha1(string_agg(node || '=' || n_name, '+' order by node || '=' || n_name)) as stamp from w join nation on n_nationkey = node group by root""")
+def transitive_stamps(t: Tables) -> DataFrame:
+    """A stamp that changes with any dependency's."""
+    a, b = t.nation.select(F.col("n_nationkey").alias("src"), "n_regionkey"), t.nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey")
+    edges = a.join(b, "n_regionkey").where("dst > src").select("src", "dst")
+    return graph.transitive_stamps(edges, t.nation.select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("stamp")))
+
+
+@query("""with n as (select c_custkey as node, c_mktsegment as fqn, list_distinct([c_mktsegment, 'none']) as refs from customer), e as (select distinct x.src, n.node as dst from (select node as src, unnest(refs) as fqn from n) x join n on n.fqn = x.fqn) select src, count(*) as refs, max(dst) as highest from e group by src""")
+def resolved_edges(t: Tables) -> DataFrame:
+    """Names refer to every node that has them."""
+    nodes = t.customer.select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("fqn"), F.array("c_mktsegment", F.lit("none")).alias("ref_names"))
+    return graph.resolved_edges(nodes).groupBy("src").agg(F.count("*").alias("refs"), F.max("dst").alias("highest"))
+
+
+@query("""select p_type as asm, p_brand as fqn, arg_min('N' || p_size, p_partkey) as project, bool_or(p_size > 45) as is_test, string_agg(distinct 'f' || p_size, ',' order by 'f' || p_size) as files from part group by p_type, p_brand""")
+def merged_nodes(t: Tables) -> DataFrame:
+    """One node for each assembly and name."""
+    rows = t.part.select(F.col("p_type").alias("asm"), F.col("p_brand").alias("fqn"), F.concat(F.lit("N"), F.col("p_size")).alias("project"), F.col("p_partkey").alias("seq"), (F.col("p_size") > 45).alias("is_test"), F.array(F.concat(F.lit("f"), F.col("p_size"))).alias("files"), F.array().cast("array<string>").alias("ref_names"))
+    return graph.merged_nodes(rows).select("asm", "fqn", "project", "is_test", F.array_join("files", ",").alias("files"))
+
+
+@query("select p_brand as fqn, string_agg(distinct p_name, '|' order by p_name) as files from part group by p_brand")
+def type_index(t: Tables) -> DataFrame:
+    """Files of each type over all assemblies."""
+    nodes = t.part.select(F.col("p_brand").alias("fqn"), F.array("p_name").alias("files"))
+    return graph.type_index(nodes).select("fqn", F.array_join("files", "|").alias("files"))
+
+
+@query("""select o_custkey as node, string_agg(distinct p_name, '|' order by p_name) as abstract_files from orders join lineitem on o_orderkey = l_orderkey join part on p_partkey = l_partkey where p_type in ('ECONOMY', 'PROMO') group by o_custkey""")
+def abstraction_files(t: Tables) -> DataFrame:
+    """Files of the abstractions that a node refers to itself."""
+    edges = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"))
+    nodes = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_type") == "ECONOMY").alias("is_interface"), (F.col("p_type") == "PROMO").alias("is_abstract"), F.array("p_name").alias("files"))
+    return graph.abstraction_files(edges, nodes).select("node", F.array_join("abstract_files", "|").alias("abstract_files"))
+
+
+@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) as word from documents), c as (select distinct item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) as word from benchmark)
+    select item_id, count(distinct doc_id) as mentioning, count(*) as mentions from w join c using (word) where length(word) >= 12 group by item_id""")
+def name_mentions(t: Tables) -> DataFrame:
+    """Texts that hold a name as a whole word, as an equi-join of words."""
+    each = t.documents.select("doc_id", F.explode(names.words(F.col("text"))).alias("word")).where("length(word) >= 12")
+    wanted = t.benchmark.select("item_id", F.explode(names.words(F.col("text"))).alias("word")).where("length(word) >= 12")
+    return each.join(wanted, "word").groupBy("item_id").agg(F.count_distinct("doc_id").alias("mentioning"), F.count("*").alias("mentions"))
+
+
+@query("""with f as (select page_id, regexp_extract(url, '://([^?#]*)', 1) as file from pages), d as (select distinct regexp_extract(file, '^([^/]*)', 1) as dir from f union select distinct regexp_extract(file, '^([^/]*/[^/]*)/', 1) from f where file like '%/%/%')
+    select page_id, file, arg_max(dir, length(dir)) as project from f left join d on dir <> '' and starts_with(lower(file), lower(dir) || '/') group by page_id, file""")
+def nearest_ancestor(t: Tables) -> DataFrame:
+    """The nearest folder above that is a project's, by an equi-join on the folders above."""
+    files = t.pages.select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("file"))
+    dirs = files.select(F.regexp_extract("file", "^([^/]*)", 1).alias("dir")).union(files.where("file like '%/%/%'").select(F.regexp_extract("file", "^([^/]*/[^/]*)/", 1))).where("dir <> ''").distinct()
+    return selection.owners(files, dirs.select("dir", F.col("dir").alias("project")))
+
+
+def _outcomes(t: Tables) -> DataFrame:
+    method = F.concat(F.lit("C."), F.col("l_suppkey"), F.lit(".M"), F.col("l_linenumber"), F.lit("(q: "), F.col("l_quantity").cast("int"), F.lit(")"))
+    return t.lineitem.select(
+        F.concat(F.lit("C."), F.col("l_suppkey")).alias("class_fqn"), method.alias("method"), (F.col("l_returnflag") == "A").alias("passed"), (F.col("l_returnflag") == "N").alias("skipped"),
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("m"), F.col("l_partkey"))).alias("message"), F.col("l_quantity").alias("duration_ms"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
+    )
+
+
+@query("""with m as (select l_suppkey, l_linenumber, max(case when l_returnflag = 'R' then 1 else 0 end) as f, min(case when l_returnflag = 'N' then 1 else 0 end) as s from lineitem where l_linestatus = 'O' group by all)
+    select 'C.' || l_suppkey as class_fqn, case max(case when f = 1 then 2 when s = 1 then 0 else 1 end) when 2 then 'failed' when 1 then 'passed' else 'skipped' end as verdict from m group by l_suppkey""")
+def class_verdicts(t: Tables) -> DataFrame:
+    """A1, F1: failed before passed before skipped, cases of a method together."""
+    return results.class_verdicts(_outcomes(_only(t, "l_linestatus = 'O'")))
+
+
+class _Only:
+    def __init__(self, t: Tables, condition: str):
+        self.lineitem = t.lineitem.where(condition)
+
+
+def _only(t: Tables, condition: str) -> _Only:
+    return _Only(t, condition)
+
+
+@query("""select 'C.' || l_suppkey as class_fqn, 'C.' || l_suppkey || '.M' || l_linenumber as method, sum(l_quantity) as duration_ms, bool_and(l_returnflag = 'N') as skipped, not bool_or(l_returnflag = 'R') as passed,
+    coalesce(string_agg(case when l_returnflag = 'R' then 'm' || l_partkey end, chr(10) order by l_orderkey, l_linenumber, l_partkey), '') as message from lineitem group by l_suppkey, l_linenumber""")
+def method_report(t: Tables) -> DataFrame:
+    """A2: a method's cases in one row, with messages in order."""
+    return results.method_report(_outcomes(t))
+
+
+@query("""select class_fqn, bool_and(ok) as passed, sum(q) as duration_ms from (select 'C.' || l_suppkey as class_fqn, l_linenumber, not bool_or(l_returnflag = 'R') as ok, sum(l_quantity) as q from lineitem group by all) group by class_fqn""")
+def class_report(t: Tables) -> DataFrame:
+    """A3."""
+    return results.class_report(results.method_report(_outcomes(t)))
+
+
+@query("select file, line, sum(h)::bigint as hits from (select l_suppkey, 'f' || l_partkey as file, l_linenumber as line, max(cast(l_quantity as bigint)) as h from lineitem group by all) group by file, line")
+def line_hits_max_then_sum(t: Tables) -> DataFrame:
+    """The most within a project, added over projects."""
+    lines = t.lineitem.select(F.col("l_suppkey").alias("project"), F.concat(F.lit("f"), F.col("l_partkey")).alias("file"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("hits"))
+    return results.merged_hits(lines)
+
+
+@query("select 'f' || l_partkey as file from lineitem group by l_partkey having max(case when l_returnflag = 'R' then l_quantity else 0 end) > 0")
+def hit_files(t: Tables) -> DataFrame:
+    """Files with a line that ran."""
+    return results.hit_files(t.lineitem.select(F.concat(F.lit("f"), F.col("l_partkey")).alias("file"), F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0).alias("hits")))
+
+
+@query("""select 'O' || o_orderkey as method_fqn, case when o_orderstatus = 'P' then 'skipped' when o_orderstatus = 'O' then 'passed' else 'failed' end as state from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')
+    and o_custkey in (select c_custkey from customer where c_acctbal > 0)""")
+def replay_known(t: Tables) -> DataFrame:
+    """Known results of live methods that were not reported again."""
+    known = t.orders.select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("method_fqn"), "o_custkey", (F.col("o_orderstatus") == "O").alias("passed"), (F.col("o_orderstatus") == "P").alias("skipped"))
+    live = t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("method_fqn"))
+    reported = t.lineitem.where("l_returnflag = 'R'").select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("method_fqn"))
+    return results.replayed(results.forgotten(known, live), reported).select("method_fqn", "state")
+
+
+@query("select 'O' || o_orderkey as method_fqn, not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as passed from orders")
+def synthesised_outcomes(t: Tables) -> DataFrame:
+    """What was discovered and did not fail has passed."""
+    return results.synthesised(t.orders.select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("method_fqn")), t.lineitem.where("l_returnflag = 'R'").select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("method_fqn")))
+
+
+@query("""with b as (select user_id as file, max(event_id)::varchar as fp from events where event_type <> 'error' and value < 40 group by user_id), a as (select user_id as file, max(event_id)::varchar as fp from events where event_type <> 'click' and value < 30 group by user_id)
+    select coalesce(a.file, b.file) as file, case when b.fp is null then 'added' when a.fp is null then 'deleted' else 'edited' end as kind from b full join a on a.file = b.file where a.fp is distinct from b.fp""")
+def snapshot_diff(t: Tables) -> DataFrame:
+    """What was added, deleted or edited between two snapshots."""
+    shot = lambda c: t.events.where(c).groupBy(F.col("user_id").alias("file")).agg(F.max("event_id").cast("string").alias("fp"))
+    return selection.snapshot_diff(shot("event_type <> 'error' and value < 40"), shot("event_type <> 'click' and value < 30"))
+
+
+@query("""select c_custkey as class_fqn, c_nationkey as project from customer where case when c_nationkey in (select s_nationkey from supplier where s_acctbal > 5000) then c_custkey in (select o_custkey from orders where o_orderstatus = 'F') else c_nationkey in (select s_nationkey from supplier) end""")
+def prune_rows(t: Tables) -> DataFrame:
+    """J12."""
+    rows = t.customer.select(F.col("c_custkey").alias("class_fqn"), F.col("c_nationkey").alias("project"))
+    live = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("class_fqn"))
+    return selection.pruned(rows, live, t.supplier.select(F.col("s_nationkey").alias("project")), t.supplier.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("project")))
+
+
+@query("""with o as (select c_custkey as k, c_nationkey as p, case when c_acctbal > 0 then 'coverage' else 'static' end as s from customer where c_acctbal < 7000), n as (select c_custkey as k, c_nationkey + 100 as p, case when c_mktsegment = 'BUILDING' then 'coverage' else 'static' end as s from customer where c_acctbal > -500)
+    select coalesce(o.k, n.k) as class_fqn, case when n.k is null or (o.s = 'coverage' and n.s = 'static') then o.p else n.p end as project, case when n.k is null or (o.s = 'coverage' and n.s = 'static') then o.s else n.s end as source from o full join n on o.k = n.k""")
+def merged_map(t: Tables) -> DataFrame:
+    """Static never replaces coverage."""
+    none = F.array().cast("array<string>").alias("abstract_files")
+    old = t.customer.where("c_acctbal < 7000").select(F.col("c_custkey").alias("class_fqn"), F.col("c_nationkey").alias("project"), F.when(F.col("c_acctbal") > 0, "coverage").otherwise("static").alias("source"), none)
+    new = t.customer.where("c_acctbal > -500").select(F.col("c_custkey").alias("class_fqn"), (F.col("c_nationkey") + 100).alias("project"), F.when(F.col("c_mktsegment") == "BUILDING", "coverage").otherwise("static").alias("source"), none)
+    return selection.merged_map(old, new).select("class_fqn", "project", "source")
+
+
+def _measurements(t: Tables) -> DataFrame:
+    """A user's errors and purchases measure files; the abstractions are by event type."""
+    value = F.col("value").cast("int")
+    files = F.array(F.concat(F.lit("f"), value % 7), F.concat(F.lit("f"), F.col("event_id") % 5), F.concat(F.lit("f"), F.col("user_id") % 3))
+    return t.events.where("value is not null").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("class_fqn"), files.alias("measured"), F.array(F.concat(F.lit("f"), F.col("user_id") % 3)).alias("static_files"), F.array(F.concat(F.lit("A"), F.col("user_id") % 4), F.lit("F1")).alias("abstract_files"))
+
+
+@query("""with m as (select event_id as seq, user_id::varchar as class_fqn, user_id, ['f' || trunc(value)::int % 7, 'f' || event_id % 5, 'f' || user_id % 3] as measured from events where value is not null), b as (select *, coalesce(lag(measured) over (partition by class_fqn order by seq), ['f' || user_id % 3]) as baseline from m),
+    d as (select seq, class_fqn, user_id, unnest(list_distinct(list_filter(measured, lambda x: not list_contains(baseline, x)))) as "to" from b) select distinct seq, class_fqn, from_key, "to" from (select seq, class_fqn, unnest(['a' || user_id % 4, 'f1']) as from_key, "to" from d) where from_key <> "to" """)
+def mine_delta(t: Tables) -> DataFrame:
+    """What a measurement has over its baseline, with each abstraction."""
+    return learning.mined_pairs(learning.with_baseline(_measurements(t)))
+
+
+@query()
+def evidence_fold(t: Tables) -> DataFrame:
+    """Bindings after all measurements, an ordered fold per edge; held against a sequential model in the tests."""
+    return learning.evidence(learning.with_baseline(_measurements(t))).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query("""with b as (select l_suppkey as from_key, 'f' || l_partkey as file_key, l_returnflag = 'R' as parsed, count(*) as confirms from lineitem group by l_suppkey, l_partkey, l_returnflag), s as (select c_custkey as class_fqn, c_nationkey as from_key from customer where c_acctbal < 3000)
+    select distinct class_fqn from b join s on s.from_key = b.from_key where file_key in (select 'f' || p_partkey from part where p_brand = 'Brand#4')""")
+def learned_selection(t: Tables) -> DataFrame:
+    """Static classes that learnt edges add."""
+    return _learned(t)[0]
+
+
+@query("""with b as (select l_suppkey as from_key, 'f' || l_partkey as file_key, l_returnflag = 'R' as parsed, count(*) as confirms from lineitem group by l_suppkey, l_partkey, l_returnflag), s as (select c_custkey as class_fqn, c_nationkey as from_key from customer where c_acctbal < 3000)
+    select file_key from b left join s on s.from_key = b.from_key where file_key in (select 'f' || p_partkey from part where p_brand = 'Brand#4') group by file_key having bool_or(class_fqn is not null) and bool_or(parsed or confirms >= 2)""")
+def covered_files(t: Tables) -> DataFrame:
+    """Files that learnt edges cover, so that they need no fallback."""
+    return _learned(t)[1]
+
+
+def _learned(t: Tables):
+    bindings = t.lineitem.groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.count("*").alias("confirms")).select(F.col("l_suppkey").cast("string").alias("from_key"), F.concat(F.lit("F"), F.col("l_partkey")).alias("to"), F.when(F.col("l_returnflag") == "R", "parsed").otherwise("mined").alias("source"), "confirms")
+    rows = t.customer.select(F.col("c_custkey").alias("class_fqn"), F.when(F.col("c_acctbal") < 3000, "static").otherwise("coverage").alias("source"), F.array(F.col("c_nationkey").cast("string")).alias("abstract_files"))
+    changed = t.part.where("p_brand = 'Brand#4'").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("file_key"))
+    return selection.learned(changed, bindings, rows)
+
+
+@query("""with a as (select o_custkey as class_fqn, l_partkey as a from orders join lineitem on o_orderkey = l_orderkey where l_partkey not in (select p_partkey from part where p_size < 10)), s as (select a, count(*) as n from a group by a)
+    select class_fqn, sum(n)::bigint as score from a join s using (a) group by class_fqn order by score desc, class_fqn limit 20""")
+def learning_targets(t: Tables) -> DataFrame:
+    """The classes that would tell most."""
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("class_fqn")).agg(F.collect_list("l_partkey").alias("abstract_files"))
+    return learning.targets(rows, t.part.where("p_size < 10").select(F.col("p_partkey").alias("abstract_file")))
+
+
+@query("select count(*) as total, count(*) filter (event_type = 'error') as mined, count(*) filter (event_type = 'click') as parsed from events")
+def binding_counts(t: Tables) -> DataFrame:
+    """A7."""
+    return learning.binding_counts(t.events.select(F.when(F.col("event_type") == "error", "mined").when(F.col("event_type") == "click", "parsed").alias("source")))
+
+
+@query("select event_id from events where epoch_ms(timestamp '2024-02-10') - epoch_ms(ts) <= 2592000000")
+def decayed_bindings(t: Tables) -> DataFrame:
+    """Seen in the last 30 days."""
+    rows = t.events.select("event_id", F.expr(f"timestamp_micros({US})").alias("last_seen"))
+    return learning.decayed(rows, 1707523200000).select("event_id")
+
+
+@query("""select distinct l_suppkey as class_fqn from lineitem join supplier on s_suppkey = l_suppkey where l_returnflag <> 'N' and not (s_acctbal > 0 and s_nationkey % 2 = 0)""")
+def refresh_candidates(t: Tables) -> DataFrame:
+    """Classes that ran and have no fresh coverage."""
+    ran = t.lineitem.select(F.col("l_suppkey").alias("class_fqn"), (F.col("l_returnflag") == "N").alias("skipped"))
+    old, new = F.lit(0), F.lit(1_000_000_000_000)
+    rows = t.supplier.select(F.col("s_suppkey").alias("class_fqn"), F.lit("p").alias("project"), F.when(F.col("s_acctbal") > 0, "coverage").otherwise("static").alias("source"), F.timestamp_millis(F.when(F.col("s_nationkey") % 2 == 0, new).otherwise(old)).alias("updated_at"))
+    return learning.to_refresh(ran, rows, 1_000_000_100_000)
+
+
+@query("""select from_key, "to" from (select 'n' || c_nationkey as from_key, 'n' || c_custkey % 40 as "to" from customer group by all) where from_key in (select 'n' || n_nationkey from nation where n_regionkey < 3) and "to" in (select 'n' || n_nationkey from nation where n_regionkey < 3)""")
+def pruned_bindings(t: Tables) -> DataFrame:
+    """Both ends exist."""
+    rows = t.customer.select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("from_key"), F.concat(F.lit("n"), F.col("c_custkey") % 40).alias("to")).distinct()
+    return learning.existing(rows, t.nation.where("n_regionkey < 3").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("file")))
+
+
+@query("""select name, case when exact is not null then exact when n = 1 then short end as fqn from (select distinct c_mktsegment || '.T' || c_custkey % 300 as name from customer) left join (select distinct p_type || '.T' || p_partkey % 300 as exact from part) on exact = name
+    left join (select 'T' || p_partkey % 300 as s, min(p_type || '.T' || p_partkey % 300) as short, count(distinct p_type || '.T' || p_partkey % 300) as n from part group by 1) on s = split_part(name, '.', 2)""")
+def resolution_ladder(t: Tables) -> DataFrame:
+    """Exact, else bare, else the only one of that short name."""
+    wanted = t.customer.select(F.concat("c_mktsegment", F.lit(".T"), F.col("c_custkey") % 300).alias("name"))
+    return learning.resolved_names(wanted, t.part.select(F.concat("p_type", F.lit(".T"), F.col("p_partkey") % 300).alias("fqn")))
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.events.select(F.col("user_id").alias("key"), F.expr(US).alias("us"), F.col("event_id").alias("seq"), (F.col("event_id") % 10).alias("file"), "event_type", "value")
+
+
+@query("""with g as (select user_id as key, epoch_us(ts) as us, event_id % 10 as file, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 14400000000 then 0 else 1 end as b, event_id from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(b) over (partition by key order by us, event_id rows unbounded preceding) as batch from g)
+    select key, batch::bigint as batch, count(distinct file) as n_files, count(*) as n_events, max(us) + 14400000000 as due_us from s group by key, batch""")
+def debounce_batches(t: Tables) -> DataFrame:
+    """Bursts of events; one after exactly the gap begins a new burst."""
+    return batching.batches(_events(t), 14_400_000_000)
+
+
+@query("""with e as (select event_id, user_id, event_id % 10 as file, epoch_us(ts) as us, event_type, value, last_value(case when event_type = 'view' then epoch_us(ts) end ignore nulls) over (partition by user_id, event_id % 10 order by ts, event_id rows between unbounded preceding and 1 preceding) as saved from events)
+    select event_id as seq, case when not coalesce(value > 5, false) then 'not-source' when us - saved <= 86400000000 then 'recent-save' when value > 60 then 'dirty-editor' else 'queued' end as verdict from e where event_type <> 'view'""")
+def change_verdicts(t: Tables) -> DataFrame:
+    """Echoes of saves are dropped."""
+    rows = _events(t).withColumns({"kind": F.when(F.col("event_type") == "view", "save").otherwise("change"), "watched": F.coalesce(F.col("value") > 5, F.lit(False)), "dirty": F.coalesce(F.col("value") > 60, F.lit(False))})
+    return batching.change_verdicts(rows, 86_400_000_000).select("seq", "verdict")
+
+
+@query("""with e as (select user_id as key, epoch_us(ts) as us, event_id, event_id % 10 as file, case event_type when 'error' then 'pause' when 'signup' then 'resume' when 'purchase' then 'all' else 'change' end as kind from events),
+    m as (select *, sum(case when kind = 'pause' then 1 else 0 end) over w as flush, coalesce(last_value(case kind when 'pause' then true when 'resume' then false end ignore nulls) over w, false) as held from e window w as (partition by key order by us, event_id rows unbounded preceding)),
+    h as (select key, flush, count(distinct case when kind = 'change' then file end) as n, bool_or(kind = 'all') as everything from m where held and kind in ('change', 'all') group by key, flush), r as (select key, flush, min(us) as us from m where kind = 'resume' and flush > 0 group by key, flush)
+    select key, flush::bigint as flush, us, case when everything then 0 else n end as n_files, everything from h join r using (key, flush)""")
+def pause_resume(t: Tables) -> DataFrame:
+    """Changes of a pause come at once when it ends."""
+    kind = F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "signup", "resume").when(F.col("event_type") == "purchase", "all").otherwise("change")
+    return batching.paused(_events(t).withColumn("kind", kind))
+
+
+@query("select class_fqn from (select user_id as class_fqn, arg_max(event_type <> 'error', event_id) as ok from events where event_type <> 'signup' group by user_id) where not ok")
+def last_failures(t: Tables) -> DataFrame:
+    """Classes whose last outcome that counts failed."""
+    return results.last_failures(t.events.select(F.col("user_id").alias("class_fqn"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("passed"), (F.col("event_type") == "signup").alias("skipped")))
+
+
+@query("select s_suppkey as class_fqn, case when s_acctbal < 0 then 0 else 1 end as run_pass from supplier order by run_pass, class_fqn")
+def failure_first(t: Tables) -> DataFrame:
+    """L3."""
+    return results.failure_first(t.supplier.select(F.col("s_suppkey").alias("class_fqn")), t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("class_fqn")))
+
+
+@query("select event_type as op, median(value) as median_ms, median(case when user_id > 1 then value end) as steady_ms from events group by event_type")
+def steady_median(t: Tables) -> DataFrame:
+    """A18."""
+    return results.steady_median(t.events.select(F.col("event_type").alias("op"), F.col("user_id").alias("pass"), F.col("value").alias("ms")))
+
+
+@query("select count(*) filter (l_returnflag = 'A') as passed, count(*) filter (l_returnflag = 'R') as failed, count(*) filter (l_returnflag = 'N') as skipped, count(*) as total from lineitem")
+def run_summary(t: Tables) -> DataFrame:
+    """A14."""
+    return results.run_summary(_outcomes(t))
+
+
+@query("select event_type as capability from events group by event_type having count(distinct user_id % 7) = (select count(distinct user_id % 7) from events)")
+def shared_capabilities(t: Tables) -> DataFrame:
+    """What all hosts can do."""
+    return results.shared_capabilities(t.events.groupBy((F.col("user_id") % 7).alias("host")).agg(F.collect_set("event_type").alias("capabilities")), ["view"])
+
+
+@query("""select o_custkey as push, count(*) filter (o_orderstatus = 'O') as applied, count(*) filter (o_orderstatus = 'P') as not_loaded, count(*) filter (o_orderstatus = 'F') as rejected, count(*) filter (o_orderstatus = 'O') > 0 and count(*) filter (o_orderstatus = 'F') = 0 as patched from orders group by o_custkey""")
+def push_tally(t: Tables) -> DataFrame:
+    """A16, F17."""
+    return results.push_tally(t.orders.select(F.col("o_custkey").alias("push"), F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(9).alias("code")))
+
+
+@query("select l_orderkey as run, bool_and(l_returnflag <> 'R' or l_linestatus = 'O') as ok from lineitem group by l_orderkey")
+def runs_ok(t: Tables) -> DataFrame:
+    """A17."""
+    return results.run_ok(t.lineitem.select(F.col("l_orderkey").alias("run"), (F.col("l_returnflag") != "R").alias("ok"), (F.col("l_linestatus") == "O").alias("cancelled")))
+
+
+@query('select user_id as "group", min(value) >= max(value) as coherent from events group by user_id')
+def coherent_hosts(t: Tables) -> DataFrame:
+    """W5."""
+    return results.coherent(t.events.select(F.col("user_id").alias("group"), F.col("value").alias("generation")))
+
+
+@query("""select source as project, count(*) as n, max(n_chars) as newest_ms, substr(sha1(string_agg('d' || doc_id, chr(10) order by 'd' || doc_id)), 1, 12) as digest from documents group by source having max(n_chars) < 1000000""")
+def folder_stamps(t: Tables) -> DataFrame:
+    """Count, newest and digest of a folder's files, if older than the sync."""
+    files = t.documents.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id")).alias("file"), F.col("n_chars").alias("modified_ms"))
+    return projects.recordable(projects.folder_stamps(files), 1_000_000)
+
+
+@query("select o_custkey as project, max(o_totalprice) as newest_ms, string_agg(o_orderkey || ':' || o_orderstatus || ':' || o_totalprice::decimal(18,2), '|' order by o_orderkey || ':' || o_orderstatus || ':' || o_totalprice::decimal(18,2)) as token from orders group by o_custkey")
+def output_tokens(t: Tables) -> DataFrame:
+    """A13."""
+    files = t.orders.select(F.col("o_custkey").alias("project"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("size"), F.col("o_totalprice").cast("decimal(18,2)").alias("modified_ms"))
+    return projects.output_tokens(files).withColumn("newest_ms", F.col("newest_ms").cast("double"))
+
+
+@query("select l_suppkey as project, arg_min(l_partkey, (-epoch_ms(l_shipdate), l_partkey)) as file from lineitem where l_linenumber <= 4 group by l_suppkey")
+def newest_artifacts(t: Tables) -> DataFrame:
+    """The newest within a depth."""
+    files = t.lineitem.select(F.col("l_suppkey").alias("project"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("depth"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate)").alias("modified_ms"))
+    return projects.newest_artifacts(files)
+
+
+@query("select file, count(*) as n from (select distinct 'p' || l_partkey as file from lineitem where l_returnflag = 'R' union select 'o' || l_orderkey from lineitem where l_returnflag = 'R' union select 'p' || l_suppkey from lineitem where l_returnflag = 'A') group by file")
+def change_union(t: Tables) -> DataFrame:
+    """All changes with the origins of renames."""
+    pair = lambda flag, a, b: t.lineitem.where(F.col("l_returnflag") == flag).select(a.alias("file"), b.alias("origin"))
+    p = lambda x, c: F.concat(F.lit(x), F.col(c))
+    return selection.change_set(pair("R", p("p", "l_partkey"), p("o", "l_orderkey")), pair("A", p("p", "l_suppkey"), F.lit(None).cast("string"))).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("select o_custkey as file, o_custkey in (select c_custkey from customer where c_acctbal > 0) as tracked from (select distinct o_custkey from orders where o_orderstatus = 'P') where o_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
+def overlay_restores(t: Tables) -> DataFrame:
+    """U7."""
+    file = lambda df: df.select(F.col("o_custkey").alias("file"))
+    return selection.overlay_restores(file(t.orders.where("o_orderstatus = 'P'")).distinct(), file(t.orders.where("o_orderpriority = '1-URGENT'")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("file")))
+
+
+@query("select 'N' || coalesce(c_nationkey, 99) as project, o_custkey as class_fqn from (select distinct o_custkey from orders) left join customer on c_custkey = o_custkey and c_acctbal > 0")
+def classes_by_project(t: Tables) -> DataFrame:
+    """The map's project, else the owner's."""
+    rows = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("class_fqn"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("project"))
+    ran = t.orders.select(F.col("o_custkey").alias("class_fqn")).distinct()
+    return selection.by_project(ran, rows, ran.withColumn("project", F.lit("N99")))
+
+
+@query("""with recursive e as (select a.n_nationkey as src, b.n_nationkey as dst from nation a join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey > a.n_nationkey), w(root, node) as (select n_nationkey, n_nationkey from nation union select w.root, e.dst from w join e on e.src = w.node)
+    select c_custkey as class_fqn, 'M' || c_mktsegment as method_fqn from customer where c_nationkey in (select root from w join supplier on s_nationkey = node where s_acctbal < -500)""")
+def build_skips(t: Tables) -> DataFrame:
+    """Methods whose projects reach one that was not built."""
+    a, b = t.nation.select(F.col("n_nationkey").alias("src"), "n_regionkey"), t.nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey")
+    reach = graph.closure(a.join(b, "n_regionkey").where("dst > src"), t.nation.select(F.col("n_nationkey").alias("root")))
+    selected = t.customer.select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("class_fqn"), F.concat(F.lit("M"), F.col("c_mktsegment")).alias("method_fqn"))
+    return results.build_skips(selected, reach, t.supplier.where("s_acctbal < -500").select(F.col("s_nationkey").alias("project")))
+
+
+@query("select event_id, case when user_id < 50 then 'F' || user_id when event_type in ('view', 'click') then 'H' || event_type else 'B' end as owner from events")
+def diagnostic_owners(t: Tables) -> DataFrame:
+    """The file's project, else the hinted one, else the built one."""
+    rows = t.events.select("event_id", F.col("user_id").alias("file"), F.upper("event_type").alias("hint"), F.lit("B").alias("built"))
+    owned = t.events.where("user_id < 50").select(F.col("user_id").alias("file"), F.concat(F.lit("F"), F.col("user_id")).alias("project"))
+    hinted = t.events.where("event_type in ('view', 'click')").select(F.col("event_type").alias("name"), F.concat(F.lit("H"), F.col("event_type")).alias("project"))
+    return results.diagnostic_owners(rows, owned, hinted).select("event_id", "owner")
+
+
+@query("select o_custkey::varchar as id, o_orderpriority[1:1] || 'M' as status, 'f' || o_orderkey as file, null::varchar as origin from orders")
+def status_records(t: Tables) -> DataFrame:
+    """NUL-separated records of a working tree, made of all orders of a customer."""
+    line = F.concat(F.substr("o_orderpriority", F.lit(1), F.lit(1)), F.lit("M f"), F.col("o_orderkey"))
+    raw = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.array_join(F.collect_list(line), "\x00").alias("text"))
+    return records.status_records(raw)
+
+
+@query("select o_custkey::varchar as id, case o_orderstatus when 'P' then 'R' else o_orderstatus end as status, 'f' || o_orderkey as file, case when o_orderstatus = 'P' then 'g' || o_orderkey end as origin from orders")
+def name_status_records(t: Tables) -> DataFrame:
+    """Renames take two paths."""
+    key = F.col("o_orderkey")
+    plain = F.concat_ws("\x00", "o_orderstatus", F.concat(F.lit("f"), key))
+    moved = F.concat_ws("\x00", F.lit("R100"), F.concat(F.lit("g"), key), F.concat(F.lit("f"), key))
+    raw = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.array_join(F.collect_list(F.when(F.col("o_orderstatus") == "P", moved).otherwise(plain)), "\x00").alias("text"))
+    return records.name_status_records(raw)
+
+
+@query("select distinct o_custkey::varchar as id, 'Ns.C' || o_orderkey % 50 || '.Test' as test from orders")
+def listed_tests(t: Tables) -> DataFrame:
+    """Names of a listing."""
+    line = F.concat(F.lit("    Ns.C"), F.col("o_orderkey") % 50, F.lit(".Test"))
+    raw = t.orders.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.concat(F.lit("Build started\nThe following Tests are available:\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    return records.listed_tests(raw)
+
+
+@query("""select distinct l_orderkey::varchar as id, 'src/p' || l_partkey || '.cs' as file, l_linenumber - 1 as start_line, l_suppkey::int - 1 as start_col, case when l_returnflag = 'R' then 'error' else 'warning' end as severity, 'CS' || l_suppkey as code, 'q ' || l_partkey as message from lineitem where l_suppkey > 0""")
+def build_messages(t: Tables) -> DataFrame:
+    """Build output, 1-based places turned into 0-based ones, each message once."""
+    line = F.concat(F.lit("  src/p"), F.col("l_partkey"), F.lit(".cs("), F.col("l_linenumber"), F.lit(","), F.col("l_suppkey"), F.lit("): "), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning"), F.lit(" CS"), F.col("l_suppkey"), F.lit(": q "), F.col("l_partkey"), F.lit(" [a/P.csproj]"))
+    raw = t.lineitem.where("l_suppkey > 0").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_join(F.flatten(F.collect_list(F.array(line, line, F.lit("noise")))), "\n").alias("text"))
+    return records.build_messages(raw).select("id", "file", "start_line", "start_col", "severity", "code", "message")
+
+
+@query("""select l_orderkey::varchar as id, 'Ns.M' || l_partkey as method, 'said ' || l_quantity::int as message from lineitem where l_returnflag = 'R'""")
+def run_failures(t: Tables) -> DataFrame:
+    """Failures of a console run."""
+    part = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("failed Ns.M"), F.col("l_partkey"), F.lit(" (3ms)\n  said "), F.col("l_quantity").cast("int"))).otherwise(F.lit("passed x\n  quiet"))
+    raw = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_join(F.collect_list(part), "\n").alias("text"))
+    return records.run_output(raw)[0]
+
+
+@query("""select conv_id::varchar || ':' || turn as id, count(*) as n, count(*) filter (regexp_matches(x, '^\\s+\\S')) as indented from (select conv_id, turn, unnest(regexp_split_to_array(text, '\\r?\\n')) as x from conversations) group by all""")
+def text_lines(t: Tables) -> DataFrame:
+    """Texts by line."""
+    raw = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return records.text_lines(raw).groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("line").rlike(r"^\s+\S")).alias("indented"))
+
+
+@query("""select p_partkey, p_type || '.' || p_brand as cls, replace(p_name, ' ', '&lt;') as encoded, sha1(lower(p_name))[1:12] as cache_key, (p_size * 60000)::double as ms, p_type || '.Inner' as flat, p_name as decoded from part""")
+def scalar_names(t: Tables) -> DataFrame:
+    """Names, entities, durations and keys."""
+    method = F.concat("p_type", F.lit("."), F.regexp_replace("p_brand", "#", ""), F.lit(".Run(x: 1.5, y: (2))"))
+    encoded = F.replace("p_name", F.lit(" "), F.lit("&lt;"))
+    return t.part.select(
+        "p_partkey", F.concat(F.regexp_extract(names.class_of_run(method), r"^([^.]*\.)", 1), F.lit("")).alias("_a"), F.concat("p_type", F.lit("."), "p_brand").alias("cls"), encoded.alias("encoded"), names.cache_key(F.col("p_name")).alias("cache_key"),
+        names.duration_ms(F.concat(F.lit("00:"), F.col("p_size"), F.lit(":00.000"))).alias("ms"), names.strip_nesting(F.concat("p_type", F.lit(".Outer+Inner"))).alias("flat"), F.replace(names.decode_entities(encoded), F.lit("<"), F.lit(" ")).alias("decoded"),
+    ).drop("_a")
+
+
+@query("""with recursive h(k, s, i, v) as (select n_nationkey, n_name, 0, 0::bigint from nation union all select k, s, i + 1, ((v * 31 + ascii(substr(s, i + 1, 1)) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 from h where i < length(s)) select k as n_nationkey, v as hash from h where i = length(s)""")
+def polynomial_hashes(t: Tables) -> DataFrame:
+    """F11."""
+    return t.nation.select("n_nationkey", names.polynomial_hash(F.col("n_name")).alias("hash"))
+
+
+@query("""select page_id, regexp_matches(lower(url), '\\.html$') as page, lower(replace(url, '\\', '/')) as file_key from pages""")
+def path_predicates(t: Tables) -> DataFrame:
+    """Keys and predicates of paths."""
+    url = F.col("url")
+    return t.pages.select("page_id", F.lower(url).rlike(r"\.html$").alias("page"), paths.file_key(url).alias("file_key"))
+
+
+@query("select project, string_agg(distinct 'Ns.C' || o_orderkey % 9, ',' order by 'Ns.C' || o_orderkey % 9) as classes from (select 'N' || o_custkey % 25 as project, o_orderkey from orders) group by project")
+def discovered_classes(t: Tables) -> DataFrame:
+    """Methods as sorted classes of a project."""
+    rows = t.orders.select(F.concat(F.lit("N"), F.col("o_custkey") % 25).alias("project"), F.concat(F.lit("Ns.C"), F.col("o_orderkey") % 9, F.lit(".M"), F.col("o_orderkey"), F.lit("(1.5)")).alias("method"))
+    return results.classes_by_project(rows).select("project", F.array_join("classes", ",").alias("classes"))
+
+
+@query("select run, n from (select conv_id as run, bool_or(role <> 'user') as done, count(*) filter (role = 'user') as n from conversations group by conv_id) where done")
+def finished_runs(t: Tables) -> DataFrame:
+    """Runs whose end has come."""
+    return batching.finished_runs(t.conversations.select(F.col("conv_id").alias("run"), F.when(F.col("role") == "user", F.array("text")).alias("changes")))
+
+
+@query("select user_id as project, max(event_id)::varchar as item from (select user_id, arg_max(event_type, event_id) as last, max(event_id) as event_id from events group by user_id) where last <> 'signup' group by user_id")
+def latest_diagnostics(t: Tables) -> DataFrame:
+    """K4: each project's last set of items."""
+    rows = t.events.select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "clear").otherwise("set").alias("kind"), F.array(F.col("event_id").cast("string")).alias("items"))
+    return batching.latest_diagnostics(rows)
