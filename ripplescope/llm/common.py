@@ -45,10 +45,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(size))
 
 
-def block_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Blocks that hold about ``bytes_each`` of the input, at least one per shuffle partition."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(least, min(plan_bytes(df) // bytes_each, 1 << 20)))
+def block_count(df: DataFrame, column: str = "text", bytes_each: int = 8 << 20) -> int:
+    """Blocks that hold about ``bytes_each`` of the input, at least one per shuffle partition.
+
+    Where the optimiser knows no size, the bytes of ``column`` are added up.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    if size >= 1 << 55:
+        size = df.agg(F.sum(F.octet_length(column).cast("long"))).head()[0] or 0
+    return int(max(least, size // bytes_each))
 
 
 def row_key(*columns: str):
