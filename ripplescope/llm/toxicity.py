@@ -88,9 +88,13 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 8, passes: int =
     if not known or len(set(y[known])) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << BUCKETS_LOG2), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    ids, whose = subwords(list(vocabulary))
-    order = np.argsort(whose, kind="stable")
-    ids, grams = ids[order], np.bincount(whose, minlength=len(vocabulary))
+    words, parts = list(vocabulary), []
+    for lo in range(0, len(words), 20_000):  # a part at a time, so that the driver holds few numbers at once
+        ids, whose = subwords(words[lo : lo + 20_000])
+        order = np.argsort(whose, kind="stable")
+        parts.append((ids[order].astype(np.int32), np.bincount(whose, minlength=min(20_000, len(words) - lo))))
+    ids, grams = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del words, parts
     first = np.cumsum(grams) - grams
     emb = rng.uniform(-1, 1, (1 << BUCKETS_LOG2, DIM)) / DIM
     soft, bias = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
@@ -104,7 +108,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 8, passes: int =
     for turn in range(rounds):
         windows: list[tuple[np.ndarray, int]] = []
         if turn:
-            scalar = np.bincount(np.repeat(np.arange(len(grams)), grams), (emb @ (soft[:, 1] - soft[:, 0]))[ids], len(grams)) / grams
+            scalar = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)[ids], first) / grams
         for i in known:
             d = docs[i]
             if not turn or len(d) <= WINDOW:
