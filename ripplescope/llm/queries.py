@@ -8,6 +8,7 @@ from .lm import op1_lm_scores
 from .pieces import op8_pieces
 from .secrets import op7_secret_scan
 from .shingles import op2_jaccard_join
+from .sql import ORACLE as ORACLE
 from .suffixes import op9_suffix_dedup
 from .toxicity import op4_toxicity
 from .urls import op3_url_filter
@@ -25,5 +26,3 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_vectors": op10_near_vectors,
 }
-
-ORACLE: dict[str, str] = {}
