@@ -7,10 +7,17 @@ before those skipped over (skip). The word factor has one feature, the word itse
 whose maximum-entropy fit is its smoothed share of the class. Frequent words are
 classes of their own, other words share classes by their ending.
 
-The corpus is read in four passes: counts of words, two halves of gradient updates
+That is where each word starts from. The counts of every skip, bigram and trigram
+context and of each word after it then correct it, one after the other, by as much
+as the context's uses outweigh its distinct followers (Witten-Bell). This table grows
+with the corpus: it is dealt over parts by context and never in one place.
+
+The corpus is read in five passes: counts of words, two halves of gradient updates
 (every worker descends over its texts and the changes of each feature row are
-averaged by how often the row was used), and scores. Scoring deals texts into
-blocks; a block's distinct words meet their counts, so that no token is shuffled.
+averaged by how often the row was used), contexts, and scores. Texts are dealt into
+blocks; a block's distinct words meet their counts, and its distinct contexts, sorted
+and packed by part, are added up in the parts and told back what the whole corpus
+has, so that no token is shuffled.
 """
 
 from __future__ import annotations
@@ -25,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import block_count, plan_bytes, row_key, stored
 
 ROWS_LOG2, FEATURES = 14, 3
-TOP, ENDINGS = 11, 12
+TOP, ENDINGS = 23, 24
 CLASSES = TOP + ENDINGS + 1  # the last is the end
-RATE, FIRST, BATCH, ROUNDS, MOST_WORKERS = 1.0, 300.0, 49152, 2, 4096
+RATE, FIRST, BATCH, ROUNDS, MOST_WORKERS = 0.15, 1e-3, 8192, 2, 4096
+#: The context families in the order in which their counts correct a probability: skip, bigram, trigram.
+CHAIN = (1, 0, 2)
 _END = 0x5BD1E995C0FFEE11 >> 1
 _ONES = np.ones(CLASSES, dtype=np.float32)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -67,14 +76,91 @@ class Tokens:
         out = [top.get(name, TOP + _ending(w)) for name, w in zip(self.names.tolist(), self.words, strict=False)]
         return np.array([*out, CLASSES - 1], dtype=np.int64)
 
-    def rows(self) -> list[np.ndarray]:
-        """For each token, its row in the table of each feature."""
+    def contexts(self) -> list[np.ndarray]:
+        """For each token, a number of 64 bits for what comes before: bigram, skip, trigram."""
         w = self.names.view(np.uint64)[self.ids]
         one, two = np.ones_like(w), np.ones_like(w)
         one[1:], two[2:] = w[:-1], w[:-2]
         one[self.firsts] = two[self.firsts] = two[self.firsts[self.sizes > 1] + 1] = np.uint64(1)
+        return [one * _A, two * _B, one * _A + two * _B + np.uint64(3)]
+
+    def rows(self) -> list[np.ndarray]:
+        """For each token, its row in the table of each feature."""
         cut = np.uint64(64 - ROWS_LOG2)
-        return [(_mix(x) >> cut).astype(np.uint16) for x in (one * _A, two * _B, one * _A + two * _B + np.uint64(3))]
+        return [(_mix(x) >> cut).astype(np.uint16) for x in self.contexts()]
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    x = np.ascontiguousarray(x)
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _opened(raw: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+
+
+class Grams:
+    """The distinct contexts of some tokens, sorted by part, and the distinct words after each.
+
+    A context is told apart by 32 bits besides its part, a word after it by 32 bits.
+    """
+
+    def __init__(self, tokens: Tokens, parts_log2: int):
+        low = np.uint64(32)
+        word = tokens.names.view(np.uint64)[tokens.ids] & np.uint64(0xFFFFFFFF)
+        key = np.concatenate([_mix(_mix(x) + np.uint64(k + 1)) for k, x in enumerate(tokens.contexts())])
+        self.keys, at = np.unique(key >> np.uint64(32 - parts_log2), return_inverse=True)
+        self.at = at.astype(np.int64)
+        pairs, where = np.unique((self.at.astype(np.uint64) << low) | np.tile(word, FEATURES), return_inverse=True)
+        self.words, self.where = pairs.astype(np.uint32), where.astype(np.int64)
+        self.lengths = np.bincount((pairs >> low).astype(np.int64), minlength=len(self.keys))
+
+    def packed(self, learnt: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+        """For each part its contexts, the words after each, and their uses among the tokens learnt from."""
+        uses = np.bincount(self.where[np.tile(learnt, FEATURES)], minlength=len(self.words))
+        part, first = np.unique(self.keys >> np.uint64(32), return_index=True)
+        ends, until = np.append(first, len(self.keys)), np.append(0, np.cumsum(self.lengths))
+        for p, a, b in zip(part.tolist(), ends[:-1], ends[1:], strict=True):
+            here = slice(until[a], until[b])
+            keys = np.diff((self.keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)
+            yield p, [_squeezed(keys), _squeezed(self.lengths[a:b].astype(np.uint32)), _squeezed(self.words[here]), _squeezed(uses[here])]
+
+    def corrected(self, shares: np.ndarray, uses: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The probabilities ``shares`` after all families of contexts; ``uses`` by pair, ``total`` and ``kinds`` by context."""
+        size = len(shares)
+        for k in CHAIN:
+            at, where = self.at[k * size : (k + 1) * size], self.where[k * size : (k + 1) * size]
+            n, t = total[at], kinds[at]
+            shares = np.where(n > 0, (uses[where] + t * shares) / np.maximum(n + t, 1), shares)
+        return shares
+
+
+GRAMS = "part int, block int, keys binary, lengths binary, words binary, uses binary"
+ANSWERS = "block int, part int, uses binary, total binary, kinds binary"
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """For a part, what all blocks together have of each block's contexts and words."""
+    low, mask = np.uint64(32), np.uint64(0xFFFFFFFF)
+    column = lambda c, kind: [_opened(r, kind) for r in asked.column(c).to_pylist()]
+    keys = [np.cumsum(x.astype(np.int64)).astype(np.uint64) for x in column("keys", np.uint32)]
+    pairs = [(np.repeat(k, n) << low) | w for k, n, w in zip(keys, column("lengths", np.uint32), column("words", np.uint32), strict=True)]
+    uniq, where = np.unique(np.concatenate(pairs), return_inverse=True)
+    uses = np.zeros(len(uniq), dtype=np.int64)
+    np.add.at(uses, where, np.concatenate(column("uses", np.int64)))
+    context, first = np.unique(uniq >> low, return_index=True)
+    total, kinds = np.add.reduceat(uses, first), np.add.reduceat((uses > 0).astype(np.int64), first)
+    out, lo = [], 0
+    for k, p in zip(keys, pairs, strict=True):
+        at = np.searchsorted(context, k)
+        out.append([_squeezed(x) for x in (uses[where[lo : lo + len(p)]], total[at], kinds[at])])
+        lo += len(p)
+    made = [pa.array([r[i] for r in out], pa.binary()) for i in range(3)]
+    return pa.table([asked.column("block"), asked.column("part"), *made], names=["block", "part", "uses", "total", "kinds"])
 
 
 class Weights:
@@ -246,8 +332,18 @@ def lm_scores(docs: DataFrame, held) -> DataFrame:
     model = spark.sparkContext.broadcast(train(flagged.select("text", "held"), top, uses))
 
     blocks = block_count(docs)
+    parts_log2 = max(6, (blocks - 1).bit_length())  # as many parts as blocks, so that neither grows
     dealt = flagged.withColumn("block", F.pmod(row_key("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
+    def gather(texts: pa.Table) -> pa.Table:
+        t = Tokens(texts.column("text").to_pylist())
+        rows = list(Grams(t, parts_log2).packed(np.repeat(~texts.column("held").to_numpy(), t.sizes)))
+        made = [pa.array([r[1][i] for r in rows], pa.binary()) for i in range(4)]
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([texts.column("block")[0].as_py()] * len(rows), pa.int32()), *made], names=["part", "block", "keys", "lengths", "words", "uses"])
+
+    grams = dealt.select("block", "text", "held").groupBy("block").applyInArrow(gather, GRAMS)
+    answers = grams.groupBy("part").applyInArrow(_answered, ANSWERS)
+
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -263,25 +359,28 @@ def lm_scores(docs: DataFrame, held) -> DataFrame:
     ends = by_class.get(CLASSES - 1, (0, 0))[0]
     asked = dealt.select("block", "text").mapInArrow(wanted, "block int, name long")
     told = asked.join(counts.select("name", "n"), "name").select("block", "name", "n")
+    told = told.unionByName(answers, allowMissingColumns=True)
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        names, n = own.column("name").to_numpy(), own.column("n").to_numpy()
+        if not texts.num_rows:
+            return SCORES.empty_table()
+        known = own.filter(own.column("part").is_null())
+        names, n = known.column("name").to_numpy(), known.column("n").to_numpy()
         order = np.argsort(names)
         names, n = names[order], n[order]
-        out = []
-        for lo in range(0, texts.num_rows, 2000):
-            part = texts.slice(lo, 2000)
-            t = Tokens(part.column("text").to_pylist())
-            at = np.minimum(np.searchsorted(names, t.names), max(0, len(names) - 1))
-            c = np.where(names[at] == t.names, n[at], 0) if len(names) else np.zeros(len(t.names), dtype=np.int64)
-            c[-1] = ends
-            kind = t.classes(top)
-            base = np.log10((c + 1.0) / (tokens + kinds + 1.0))
-            within = np.log10((c + 1.0) / mass[kind])
-            total = model.value.log_shares(t.rows(), kind[t.ids]) / np.log(10) + within[t.ids]
-            add = lambda x, t=t: np.add.reduceat(x, t.firsts)
-            out.append(pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held"), "n_tokens": t.sizes, "n_known": add((c > 0).astype(np.int64)[t.ids]), "train_tokens": np.full(part.num_rows, tokens), "base_score": add(base[t.ids]), "score": add(total)}))
-        return pa.concat_tables(out) if out else SCORES.empty_table()
+        t = Tokens(texts.column("text").to_pylist())
+        at = np.minimum(np.searchsorted(names, t.names), max(0, len(names) - 1))
+        c = np.where(names[at] == t.names, n[at], 0) if len(names) else np.zeros(len(t.names), dtype=np.int64)
+        c[-1] = ends
+        kind = t.classes(top)
+        base = np.log10((c + 1.0) / (tokens + kinds + 1.0))
+        within = np.log((c + 1.0) / mass[kind])
+        grams, told = Grams(t, parts_log2), own.filter(own.column("part").is_valid()).sort_by("part")
+        uses, total, seen = (np.concatenate([_opened(r, np.int64) for r in told.column(x).to_pylist()]) for x in ("uses", "total", "kinds"))
+        shares = np.exp(model.value.log_shares(t.rows(), kind[t.ids]) + within[t.ids])
+        logs = np.log10(grams.corrected(shares, uses, total, seen))
+        add = lambda x: np.add.reduceat(x, t.firsts)
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held"), "n_tokens": t.sizes, "n_known": add((c > 0).astype(np.int64)[t.ids]), "train_tokens": np.full(texts.num_rows, tokens), "base_score": add(base[t.ids]), "score": add(logs)})
 
     pieces = dealt.groupBy("block").cogroup(told.groupBy("block"))
     return pieces.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,40 @@ def test_lm_learns(spark):
     assert rows[1] > 0.75 * rows[0]
 
 
+def test_lm_tells_rare_contexts_apart(spark):
+    """Within a class, what comes before decides; and a context costs nothing to the others, however many there are."""
+    rng = random.Random(9)
+    words = [f"w{i}x" for i in range(6000)]
+    follow = {w: rng.choice(words) for w in words}
+    texts = [" ".join(x for w in rng.sample(words, 60) for x in (w, follow[w])) for _ in range(1200)]
+    rows = lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.expr("doc_id % 6 = 0")).where("held_out").agg(F.sum("base_score"), F.sum("score")).head()
+    assert rows[1] > 0.72 * rows[0]  # 0.5 if each second word were certain
+
+
+def test_word_shares_add_up_to_one():
+    t = lm.Tokens([b"a b c a b", b"", b"c b a c"])
+    grams = lm.Grams(t, 6)
+    asked = [(p, 0, *raw) for p, raw in grams.packed(np.ones(len(t.ids), bool))]
+    held = {}
+    for p in {a[0] for a in asked}:
+        part = pa.table([pa.array([a[i] for a in asked if a[0] == p]) for i in range(6)], names=["part", "block", "keys", "lengths", "words", "uses"])
+        held[p] = lm._answered(part).to_pylist()[0]
+    uses, total, kinds = (np.concatenate([lm._opened(held[p][x], np.int64) for p in sorted(held)]) for x in ("uses", "total", "kinds"))
+    want = collections.Counter()
+    for k, x in enumerate(t.contexts()):
+        want.update(zip([k] * len(x), x.tolist(), t.ids.tolist(), strict=True))
+    got = [uses[grams.where[k * len(t.ids) + i]] for k in range(lm.FEATURES) for i in range(len(t.ids))]
+    assert got == [want[k, x, i] for k, c in enumerate(t.contexts()) for x, i in zip(c.tolist(), t.ids.tolist(), strict=True)]
+    for i in range(len(t.ids)):  # all words after the context of token i
+        n, m, share = {}, {}, np.full(len(t.names), 1 / len(t.names))
+        for k in lm.CHAIN:
+            at = k * len(t.ids) + i
+            n[k], m[k] = total[grams.at[at]], kinds[grams.at[at]]
+            share = (np.array([want[k, t.contexts()[k][i].item(), w] for w in range(len(t.names))]) + m[k] * share) / (n[k] + m[k])
+        own = grams.corrected(np.full(len(t.ids), 1 / len(t.names)), uses, total, kinds)[i]
+        assert np.isclose(share.sum(), 1) and np.isclose(own, share[t.ids[i]])
+
+
 def test_class_shares_add_up_to_one():
     t = lm.Tokens([b"a b c a b", b"", b"c"])
     w = lm.Weights()
