@@ -23,9 +23,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles of five words and a similarity of 0.8, the smallest id stays; texts without words stay."""
+    """Of each group linked by shingles of five words and a similarity of 0.8, the smallest id stays, and a null id only where the group has no other; texts without words stay."""
     rows = jaccard_join(docs, words=5, percent=80).where("n_shingles > 0")
-    one = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "k")).alias("one")).select(F.col("one.k").alias("_k"))
+    one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("one")).select(F.col("one.k").alias("_k"))
     worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     kept = docs.where(worded).withColumn("_k", row_key("doc_id", "text")).join(one, "_k").dropDuplicates(["_k"])
     return kept.select(docs.columns).unionByName(docs.where(~worded))

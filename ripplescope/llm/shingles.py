@@ -246,7 +246,7 @@ def _links(percent: int):
 
 
 def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, k, n_shingles, component_id``.
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, k, n_shingles, component_id, component``.
 
     Two texts link where 100 times the shingles they share is at least ``percent``
     times the shingles they have together; no link is missed. Equal sets are one
@@ -259,7 +259,9 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
 
     ``k`` is a key of the row's id and text. Null and empty texts, and those without
     words, have no shingles and link with nothing. Repeated rows link with each
-    other. A null id is never a component's id. An empty table gives none; other
+    other. A null id is never a component's id, so a component without ids has none, and
+    components that share their smallest id share their ``component_id``; ``component``,
+    the hash of one of its sets, tells them apart. It is null without shingles. An empty table gives none; other
     columns are not carried.
     """
     spark = docs.sparkSession
@@ -311,9 +313,9 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     joined = least.join(found, "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = joined.join(smallest, "component").select("sid", "component_id")
-    out = rows.where("n > 0").join(by_set, "sid").select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    by_set = joined.join(smallest, "component").select("sid", "component_id", "component")
+    out = rows.where("n > 0").join(by_set, "sid").select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id", "component")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,11 @@ def test_group_keeps_one(spark):
     rows = [(5, text, "en", "s", 1), (3, text, "en", "s", 1), (3, text, "en", "s", 1), (7, None, "en", "s", 0), (8, None, "en", "s", 0), (9, text + " more", "en", "s", 1), (1, "other words here", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3, 7, 8]
+
+
+def test_groups_without_an_id_or_with_the_same_one(spark):
+    one, two, three, four, five = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, one), (None, one + " more"), (None, two), (4, three), (4, four), (None, five), (6, five)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (4, "c"), (4, "d"), (6, "e")], key=str)
