@@ -2,9 +2,10 @@
 
 A text becomes a sequence of pieces of a public BPE model. The agenda merges the
 best adjacent pair first; every candidate merge is skipped with a given
-probability, by a hash keyed with the seed, the segment, its variant and its place.
-So the same seed gives the same segmentation anywhere, other variants others, and
-all of them decode to the text.
+probability, by a hash keyed with the seed, the document, the segment's place in it
+and the candidate's place in the segment. So the same seed gives the same
+segmentation anywhere, each place of a word draws its own, and all of them decode to
+the text. Segmentations without a skip are shared; the others are made one by one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
+#: So many draws a segment at most; 0 lets each place draw anew.
+VARIANTS = 0
 #: Texts are taken together up to so many bytes; longer segments use the heap.
 BLOCK, SHORT = 4 << 20, 40
 _SPACE = "▁"
@@ -79,10 +81,19 @@ class Pieces:
         return np.where((self.keys[at] == want) & (left >= 0) & (right >= 0), self.merged[at], -1)
 
 
+def _place(start: np.ndarray, mid: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """A hash of the candidate that joins at ``mid`` what begins at ``start``."""
+    place = (start.astype(np.uint64) << np.uint64(34)) ^ (mid.astype(np.uint64) << np.uint64(17)) ^ piece.astype(np.uint64)
+    return _mix(place + np.uint64(0x632BE59BD9B4E019))
+
+
+def _drawn(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
+    return (_mix(key + place) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+
+
 def _skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the candidate that joins at ``mid`` what begins at ``start`` is skipped."""
-    place = (start.astype(np.uint64) << np.uint64(34)) ^ (mid.astype(np.uint64) << np.uint64(17)) ^ piece.astype(np.uint64)
-    return (_mix(key + _mix(place + np.uint64(0x632BE59BD9B4E019))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+    return _drawn(key, _place(start, mid, piece), dropout)
 
 
 def segment_agenda(model: Pieces, symbols: list[int], key: int, dropout: float) -> list[int]:
@@ -111,21 +122,26 @@ def segment_agenda(model: Pieces, symbols: list[int], key: int, dropout: float)
     return [p for i in range(n) if alive[i] for p in model.spelled(sym[i])]
 
 
-def agenda_block(model: Pieces, symbols: np.ndarray, keys: np.ndarray, dropout: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Segments of one length together, a merge in each a round: (rows, pieces) as they end."""
+def agenda_block(model: Pieces, symbols: np.ndarray, keys: np.ndarray, dropout: float, seen: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Segments of one length together, a merge in each a round: (rows, pieces) as they end.
+
+    All candidates that come up are added to ``seen`` as (rows, hashes).
+    """
     rows, out = np.arange(len(symbols)), []
     sym, start = symbols, np.broadcast_to(np.arange(symbols.shape[1]), symbols.shape).copy()
 
-    def ranked(a: np.ndarray, b: np.ndarray, s: np.ndarray, m: np.ndarray, k: np.ndarray) -> np.ndarray:
+    def ranked(a: np.ndarray, b: np.ndarray, s: np.ndarray, m: np.ndarray, k: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Rank and piece in one number, so that the least is the next to merge."""
         piece = model.find(a, b)
         good = piece >= 0
+        if seen is not None:
+            seen.append((row[good], _place(s[good], m[good], piece[good])))
         if dropout:
             good[good] = ~_skipped(k[good], s[good], m[good], piece[good], dropout)
         return np.where(good, model.rank[piece] * np.int64(1 << 20) + piece, _NONE)
 
     wide = lambda k, n: np.broadcast_to(k[:, None], (len(k), n))
-    rank = ranked(sym[:, :-1], sym[:, 1:], start[:, :-1], start[:, 1:], wide(keys, sym.shape[1] - 1))
+    rank = ranked(sym[:, :-1], sym[:, 1:], start[:, :-1], start[:, 1:], wide(keys, sym.shape[1] - 1), wide(rows, sym.shape[1] - 1))
     while sym.shape[1] > 1 and len(rows):
         at = rank.argmin(1)
         best = rank[np.arange(len(rows)), at]
@@ -147,7 +163,7 @@ def agenda_block(model: Pieces, symbols: np.ndarray, keys: np.ndarray, dropout:
         for here in (at - 1, at):  # the pairs on both sides of what was merged
             ok = (here >= 0) & (here < n - 1)
             r, c = line[ok], here[ok]
-            rank[r, c] = ranked(sym[r, c], sym[r, c + 1], start[r, c], start[r, c + 1], keys[ok])
+            rank[r, c] = ranked(sym[r, c], sym[r, c + 1], start[r, c], start[r, c + 1], keys[ok], rows[ok])
     if len(rows):
         out.append((rows, sym))
     return out
@@ -166,35 +182,60 @@ def encode_block(model: Pieces, texts: list[bytes], doc_keys: np.ndarray, dropou
         return flat, sizes
     segments = list(table)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    if dropout:
-        variant = (_mix(np.repeat(doc_keys, sizes) ^ _mix(place.astype(np.uint64) + np.uint64(seed * 2 + 1))) % np.uint64(variants)).astype(np.int64)
-    else:
-        variant = np.zeros(len(flat), np.int64)
-    uniq, which = np.unique(flat * variants + variant, return_inverse=True)
-    owner, own_variant = uniq // variants, uniq % variants
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in segments), np.uint64, len(segments))
-    keys = _mix(hashes[owner] + _mix(own_variant.astype(np.uint64)))
+    keys = _mix(np.repeat(doc_keys, sizes) ^ _mix(place.astype(np.uint64) + np.uint64(seed * 2 + 1)))
+    if variants:
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in segments), np.uint64, len(segments))
+        keys = _mix(hashes[flat] + _mix(keys % np.uint64(variants)))
     symbols = [model.symbols(s) for s in segments]
-    lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))[owner]
-    counts, first, pool, held = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64), [], 0
-    for n in np.unique(lengths):
-        some = np.flatnonzero(lengths == n)
-        if n > SHORT:
-            ends = [(np.array([i]), np.array([segment_agenda(model, symbols[owner[i]], int(keys[i]), dropout)], dtype=np.int64)) for i in some]
-        else:
-            matrix = np.array([symbols[j] for j in owner[some]], dtype=np.int64).reshape(len(some), n)
-            ends = [(some[rows], result) for rows, result in (agenda_block(model, matrix, keys[some], dropout) if n > 1 else [(np.arange(len(some)), matrix)])]
-        for rows, result in ends:
-            plain = (result >= 0).all(1)
-            good = result[plain]
-            counts[rows[plain]], first[rows[plain]] = good.shape[1], held + np.arange(len(good)) * good.shape[1]
-            pool.append(good.ravel())
-            held += good.size
-            for r, line in zip(rows[~plain].tolist(), result[~plain].tolist(), strict=True):
-                spelled = [p for x in line for p in model.spelled(x)]
-                counts[r], first[r] = len(spelled), held
-                pool.append(np.array(spelled, dtype=np.int64))
-                held += len(spelled)
+    lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
+    counts, first, pool, held = [], [], [], 0
+
+    def solve(owner: np.ndarray, keys: np.ndarray, dropout: float, seen: list | None) -> None:
+        """Adds the pieces of the segments ``owner``; those longer than SHORT come to ``seen`` as if skipped and have none."""
+        nonlocal held
+        own_counts, own_first, size = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64), lengths[owner]
+        for n in np.unique(size):
+            some = np.flatnonzero(size == n)
+            if n > SHORT:
+                if seen is not None:
+                    continue
+                ends = [(np.array([i]), np.array([segment_agenda(model, symbols[owner[i]], int(keys[i]), dropout)], dtype=np.int64)) for i in some]
+            else:
+                matrix, met = np.array([symbols[j] for j in owner[some]], dtype=np.int64).reshape(len(some), n), None if seen is None else []
+                ends = [(some[rows], result) for rows, result in (agenda_block(model, matrix, keys[some], dropout, met) if n > 1 else [(np.arange(len(some)), matrix)])]
+                if met:
+                    seen.extend((some[rows], places) for rows, places in met)
+            for rows, result in ends:
+                plain = (result >= 0).all(1)
+                good = result[plain]
+                own_counts[rows[plain]], own_first[rows[plain]] = good.shape[1], held + np.arange(len(good)) * good.shape[1]
+                pool.append(good.ravel())
+                held += good.size
+                for r, line in zip(rows[~plain].tolist(), result[~plain].tolist(), strict=True):
+                    spelled = [p for x in line for p in model.spelled(x)]
+                    own_counts[r], own_first[r] = len(spelled), held
+                    pool.append(np.array(spelled, dtype=np.int64))
+                    held += len(spelled)
+        counts.append(own_counts)
+        first.append(own_first)
+
+    seen: list[tuple[np.ndarray, np.ndarray]] | None = [] if dropout else None
+    solve(np.arange(len(segments)), np.zeros(len(segments), np.uint64), 0.0, seen)
+    which = flat
+    if dropout:
+        hit = lengths[flat] > SHORT
+        if seen:
+            rows, places = (np.concatenate(x) for x in zip(*seen, strict=True))
+            places = places[np.argsort(rows, kind="stable")]
+            n = np.bincount(rows, minlength=len(segments))
+            ends, m = np.cumsum(n), n[flat]
+            until = np.cumsum(m)
+            at = np.arange(until[-1]) + np.repeat(ends[flat] - until, m)
+            hit |= np.bincount(np.repeat(np.arange(len(flat)), m)[_drawn(np.repeat(keys, m), places[at], dropout)], minlength=len(flat)) > 0
+        solve(flat[hit], keys[hit], dropout, None)
+        which = flat.copy()
+        which[hit] = len(segments) + np.arange(int(hit.sum()))
+    counts, first = np.concatenate(counts), np.concatenate(first)
     pool = np.concatenate(pool)
     n = counts[which]
     ends = np.cumsum(n)

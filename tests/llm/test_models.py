@@ -263,6 +263,25 @@ def test_pieces(spark):
     assert pieces.encode(docs(spark, EDGES[:0])).count() == 0
 
 
+def test_each_place_of_a_word_draws_its_own_skips():
+    model = pieces.Pieces.load()
+    words = ["of", "the", "house", "x" * 50]
+    texts = [" ".join([w] * (40 if len(w) > pieces.SHORT else 600)).encode() for w in words]
+    keys = np.arange(5, 5 + len(texts), dtype=np.uint64)
+    ids, n = pieces.encode_block(model, texts, keys, 0.1, pieces.VARIANTS, 1)
+    at = 0
+    for text, key, size in zip(texts, keys.tolist(), n.tolist(), strict=True):
+        own, got = pieces._SEGMENT.findall(b" " + text), ids[at : at + size].tolist()
+        place = pieces._mix(np.uint64(key) ^ pieces._mix(np.arange(len(own), dtype=np.uint64) + np.uint64(3)))
+        want = [pieces.segment_agenda(model, model.symbols(s), int(k), 0.1) for s, k in zip(own, place, strict=True)]
+        assert got == [p for x in want for p in x]
+        at += size
+    one = model.symbols(b" of")
+    plain = pieces.segment_agenda(model, one, 0, 0.0)
+    whole = [pieces.segment_agenda(model, one, int(k), 0.1) == plain for k in pieces._mix(np.uint64(5) ^ pieces._mix(np.arange(600, dtype=np.uint64) + np.uint64(3)))]
+    assert 0.7 < sum(whole) / 600 < 0.95 and len({tuple(pieces.segment_agenda(model, model.symbols(b" house"), k, 0.1)) for k in range(600)}) > 4
+
+
 def test_leaks(spark):
     items = [(1, "the copper lantern swung above nine quiet harbours while olga counted forty seven sleeping herons"), (2, LONG[:200]), (3, None), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
