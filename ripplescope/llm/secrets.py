@@ -66,8 +66,8 @@ def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "source", co
 
     Candidates are the matches of ``KINDS``. Values are hashed and counted by
     distinct owners and repositories over the whole corpus: a value that at least
-    ``copied_from`` owners hold is a widely copied example, any other looks live if
-    it has eight different characters or more. Base spans stay whatever the count;
+    ``copied_from`` owners hold is a widely copied example, any other looks live,
+    however short or plain. Base spans stay whatever the count;
     spans of the other kinds are given where they look live.
 
     Returns ``doc_id, k, n_assign, n_access, n_hex, spans, live``, ``k`` a key of the
@@ -82,8 +82,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "source", co
     each = found.where(F.size("spans") > 0).select("_row", "_owner", "_repo", F.explode("spans").alias("s"))
     each = each.select("_row", "_owner", "_repo", "s", F.sha2(F.col("s.value"), 256).alias("vhash"))
     counts = ownership(each.select("vhash", F.col("_owner").alias("owner"), F.col("_repo").alias("repo")))
-    varied = F.size(F.array_distinct(F.split(F.col("s.value"), ""))) >= 8
-    judged = each.join(counts, "vhash").select("_row", "s", ((F.col("owners") < copied_from) & varied).alias("live"))
+    judged = each.join(counts, "vhash").select("_row", "s", (F.col("owners") < copied_from).alias("live"))
     live = judged.where("live").groupBy("_row").agg(F.collect_list("s").alias("live"))
     some = found.where(F.size("spans") > 0).join(live, "_row", "left")
     none = found.where(F.size("spans") == 0).withColumn("live", F.lit(None).cast(SPAN))

@@ -83,6 +83,13 @@ def test_ownership_separates_examples(spark):
     assert live == {0: 0, 1: 0, 2: 0, 9: 1, 10: 1}
 
 
+def test_plain_secrets_of_one_owner_are_live(spark):
+    rows = [(1, "password = hunter2", "one"), (2, "token: aaaabbbbaaaabbbb", "two"), (3, "passwd=123456", "a"), (4, "passwd=123456", "b"), (5, "passwd=123456", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secret_scan(docs).join(docs, "doc_id").select("doc_id", redact(F.col("text"), F.col("live")).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in out.collect()} == {1: "[SECRET]", 2: "[SECRET]", 3: "passwd=123456", 4: "passwd=123456", 5: "passwd=123456"}
+
+
 def test_redaction(spark):
     text = 'é😀 token = "abcdefgh1234" end'
     docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
