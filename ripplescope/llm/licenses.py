@@ -35,11 +35,20 @@ def idf(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: counts.get(w, 0) for w in words}
 
 
-def _starts(entries: Column, template: list[str], rare: dict[str, int]) -> Column:
-    """Places where the template would start, from its rarest word."""
-    anchor = min(template, key=lambda w: (rare[w], template.index(w)))
+def _anchor(phrase: list[str], rare: dict[str, int]) -> str:
+    """The rarest word of a phrase that has to stand in full."""
+    return min(phrase, key=lambda w: (rare[w], phrase.index(w)))
+
+
+def _key_at(template: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(template)) if template[i : i + len(key)] == key)
+
+
+def _starts(entries: Column, template: list[str], key: list[str], rare: dict[str, int]) -> Column:
+    """Places where the template would start, from the rarest word of its mandatory phrase."""
+    anchor, at = _anchor(key, rare), _key_at(template, key)
     hits = F.filter(entries, lambda e: e["w"] == F.lit(anchor))
-    offsets = [i for i, w in enumerate(template) if w == anchor]
+    offsets = [at + i for i, w in enumerate(key) if w == anchor]
     shifted = lambda o: F.transform(hits, lambda e: e["i"] - F.lit(o))
     return reduce(F.array_union, map(shifted, offsets))
 
@@ -54,7 +63,7 @@ def _in_full(words: Column, starts: Column, phrase: list[str]) -> Column:
 
 def _shares(words: Column, starts: Column, template: list[str], key: list[str]) -> Column:
     """Share of the template's words that stand at their places, 0 where the key phrase doesn't."""
-    at = next(i for i in range(len(template)) if template[i : i + len(key)] == key)
+    at = _key_at(template, key)
     verified = lambda s: _matched(words, s + F.lit(at), key) == len(key)
     return F.transform(starts, lambda s: F.when(verified(s), _matched(words, s, template) / F.lit(float(len(template)))).otherwise(F.lit(0.0)))
 
@@ -64,8 +73,8 @@ def license_scan(docs: DataFrame, share: float = 0.75) -> DataFrame:
 
     Words are runs of digits, ASCII letters and other characters from U+0080 on,
     A-Z lower-cased. First the documents that hold each licence word are counted
-    over all rows; each template is then looked up by its rarest word in the
-    document's word positions, the other words are intersected by their relative
+    over all rows; each template is then looked up by the rarest word of its mandatory
+    phrase in the document's word positions, the other words are intersected by their relative
     position, and the template counts from ``share`` of its words on if its
     mandatory phrase stands at its place. Base phrases count only in full.
 
@@ -79,7 +88,7 @@ def license_scan(docs: DataFrame, share: float = 0.75) -> DataFrame:
     templates = [(label, t.split(), key.split()) for label, t, key in TEMPLATES]
     vocabulary = sorted({w for _, t in base for w in t} | {w for _, t, _ in templates for w in t})
     rare = idf(docs, vocabulary)
-    anchors = sorted({min(t, key=lambda w: (rare[w], t.index(w))) for t in [t for _, t in base] + [t for _, t, _ in templates]})
+    anchors = sorted({_anchor(p, rare) for p in [t for _, t in base] + [key for _, _, key in templates]})
 
     text = F.coalesce(F.col("text"), F.lit(""))
     maybe = F.rlike(text, F.lit("(?i)" + "|".join(map(re.escape, anchors))))
@@ -91,11 +100,11 @@ def license_scan(docs: DataFrame, share: float = 0.75) -> DataFrame:
     words, e = F.col("_w"), F.col("_e")
     exact = {}
     for k, (_, t) in enumerate(base):
-        exact[k] = _in_full(words, _starts(e, t, rare), t)
+        exact[k] = _in_full(words, _starts(e, t, t, rare), t)
     out = out.withColumns({f"_b{k}": v for k, v in exact.items()})
     best = {}
     for k, (_, t, key) in enumerate(templates):
-        best[f"_t{k}"] = F.coalesce(F.array_max(_shares(words, _starts(e, t, rare), t, key)), F.lit(0.0))
+        best[f"_t{k}"] = F.coalesce(F.array_max(_shares(words, _starts(e, t, key, rare), t, key)), F.lit(0.0))
     out = out.withColumns(best)
     starts = F.concat(*[F.col(f"_b{k}") for k in range(len(base))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(base)]))

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ripplescope.llm.licenses import license_scan
+from ripplescope.llm.licenses import TEMPLATES, license_scan
 from ripplescope.llm.queries import QUERIES
 from ripplescope.llm.secrets import BASE, KINDS, redact, secret_scan
 from ripplescope.llm.urls import RULES, url_filter
@@ -67,6 +67,13 @@ def test_licenses(spark, table):
         assert labels[6] == "gpl-3" and labels[2] == labels[3] == "" and labels[4] == "apache-2,cc-by-nc"
 
 
+def test_license_without_its_rarest_word(spark):
+    whole = next(t for label, t, _ in TEMPLATES if label == "cc-by-sa")
+    docs = spark.createDataFrame([(1, "so " + whole.replace("licensed", "released")), (2, whole.split()[0])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"] >= 0.75) for r in license_scan(docs).collect()}
+    assert got == {1: ("cc-by-sa", True), 2: ("", False)}
+
+
 def test_secrets(spark):
     for docs in (frame(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         want = sorted(((r["doc_id"], secret_base(r["text"])) for r in docs.collect()), key=str)
