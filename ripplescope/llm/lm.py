@@ -1,23 +1,21 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
 The probability of a word is that of its class, given features of what comes before,
-times that of the word within its class. The class factor is a softmax whose
-features are hashed: the word before (bigram), the two before (trigram), and the one
-before those skipped over (skip). The word factor has one feature, the word itself,
-whose maximum-entropy fit is its smoothed share of the class. Frequent words are
-classes of their own, other words share classes by their ending.
-
-That is where each word starts from. The counts of every skip, bigram and trigram
-context and of each word after it then correct it, one after the other, by as much
-as the context's uses outweigh its distinct followers (Witten-Bell). This table grows
-with the corpus: it is dealt over parts by context and never in one place.
-
-The corpus is read in five passes: counts of words, two halves of gradient updates
-(every worker descends over its texts and the changes of each feature row are
-averaged by how often the row was used), contexts, and scores. Texts are dealt into
-blocks; a block's distinct words meet their counts, and its distinct contexts, sorted
-and packed by part, are added up in the parts and told back what the whole corpus
-has, so that no token is shuffled.
+times that of the word within its class. The class factor is a softmax over hashed
+features: the word before (bigram), the two before (trigram), and the one before
+those skipped over (skip); its weights are learnt by distributed gradient updates.
+Frequent words are classes of their own, other words share classes by their ending.
+
+The word factor has a feature for every skip, bigram and trigram context of the
+corpus with every word after it. Fitted one family after the other under a Dirichlet
+prior, the weight of such a feature is ``log((c + m*p) / ((n + m) * p))`` and that of
+all words that a context lacks ``log(m / (n + m))``: ``c`` of the context's ``n`` uses
+have the word, ``p`` is the probability so far, and the products add up to one. This
+table grows with the corpus; it is dealt over parts and never in one place.
+
+The corpus is cut into words once, and kept in blocks of word numbers. Blocks ask the
+parts of the name space for the counts of their words and features (``blocks``), in
+two rounds, and no token is shuffled. Scores are computed a block at a time, sparsely.
 """
 
 from __future__ import annotations
@@ -26,20 +24,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import block_count, plan_bytes, row_key, stored
+from .blocks import ANSWERED, ASKED, answered, asked_keys, asks, bucket_count, distinct, laid, listed, numbers, opened, parts_log2, portions, squeezed, table_of, text_bytes, told
+from .common import stored
 
 ROWS_LOG2, FEATURES = 14, 3
 TOP, ENDINGS = 23, 24
 CLASSES = TOP + ENDINGS + 1  # the last is the end
-RATE, FIRST, BATCH, ROUNDS, MOST_WORKERS = 0.15, 1e-3, 8192, 2, 4096
-#: The context families in the order in which their counts correct a probability: skip, bigram, trigram.
-CHAIN = (1, 0, 2)
+RATE, FIRST, BATCH, ROUNDS = 0.15, 1e-3, 8192, 2
+#: Tokens that one worker descends over in a round, about.
+WORKER = 1 << 23
+#: Weight of what came before, in tokens, by kind of feature, in the order in which they are fitted.
+BIGRAM, SKIP, TRIGRAM = 1, 2, 3
+PRIOR = {SKIP: 300.0, BIGRAM: 60.0, TRIGRAM: 4.0}
 _END = 0x5BD1E995C0FFEE11 >> 1
+_BEGIN = 0x7F4A7C159E3779B9
 _ONES = np.ones(CLASSES, dtype=np.float32)
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -47,120 +52,179 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _ending(word: bytes) -> int:
-    """The class of a word that is none of the most frequent."""
-    return (word[-1] * 131 + (word[-2] if len(word) > 1 else 0) * 31 + min(len(word), 12) // 6) % ENDINGS
+def _endings(words: pa.Array) -> np.ndarray:
+    """The classes of words that are none of the most frequent, by their last two bytes and length."""
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size = np.diff(offsets)
+    last = data[offsets[1:] - 1].astype(np.int64)
+    second = np.where(size > 1, data[np.maximum(offsets[1:] - 2, 0)], 0).astype(np.int64)
+    return (TOP + (last * 131 + second * 31 + np.minimum(size, 12) // 6) % ENDINGS).astype(np.uint8)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, the number of each word, and the distinct words, frequent ones first."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    codes, size = coded.indices.to_numpy().astype(np.int64), split.value_lengths().to_numpy().astype(np.int64)
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:  # at blanks before the first word or after the last
+        real = codes != empty
+        size = size - np.bincount(np.repeat(np.arange(len(size)), size)[~real], minlength=len(size))
+        codes = codes[real]
+    n = np.bincount(codes, minlength=len(coded.dictionary))
+    order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+    place = np.empty(len(n), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return size, place[codes], coded.dictionary.take(pa.array(order))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts as word numbers, with the names and endings of their distinct words."""
+    import xxhash
+
+    number = numbers()
+    for t in portions(batches, "text"):
+        size, codes, words = _words(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
+        names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+        raw = [squeezed(size.astype(np.uint32)), squeezed(names), squeezed(_endings(words)), squeezed(codes.astype(np.uint32))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([next(number)], pa.int64()), pa.array([len(codes) + len(size)], pa.int64()), listed(t.column("doc_id")), listed(t.column("held")), *[pa.array([x], pa.binary()) for x in raw]],
+            names=["block", "n", "ids", "held", "sizes", "names", "endings", "codes"],
+        )
 
 
 class Tokens:
-    """The tokens of some texts: words (A-Z lower-cased, cut at ASCII white space), and an end each."""
-
-    def __init__(self, texts: list[bytes | None]):
-        import xxhash
-
-        table: dict[bytes, int] = {}
-        number = lambda w: table.setdefault(w, len(table))
-        lists = [np.fromiter(map(number, (t or b"").lower().split()), np.int64) for t in texts]
-        self.words = list(table)
-        n = len(self.words)
-        self.names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, n)
-        self.names = np.append(self.names, np.uint64(_END)).view(np.int64)
-        self.sizes = np.array([len(x) + 1 for x in lists], dtype=np.int64)
+    """The tokens of a block: the words of its texts, and an end each."""
+
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.held = np.array(row["held"], dtype=bool)
+        self.names = np.append(opened(row["names"], np.uint64), np.uint64(_END))
+        self.endings = np.append(opened(row["endings"], np.uint8), np.uint8(CLASSES - 1))
+        self.sizes = opened(row["sizes"], np.uint32).astype(np.int64) + 1
         self.firsts = np.cumsum(self.sizes) - self.sizes
-        self.ids = np.full(int(self.sizes.sum()), n, dtype=np.int64)
-        for at, x in zip(self.firsts.tolist(), lists, strict=True):
-            self.ids[at : at + len(x)] = x
-
-    def classes(self, top: dict[int, int]) -> np.ndarray:
-        """The class of each distinct word, the end's last."""
-        out = [top.get(name, TOP + _ending(w)) for name, w in zip(self.names.tolist(), self.words, strict=False)]
-        return np.array([*out, CLASSES - 1], dtype=np.int64)
-
-    def contexts(self) -> list[np.ndarray]:
+        word = np.ones(int(self.sizes.sum()), dtype=bool)
+        word[self.firsts + self.sizes - 1] = False
+        self.ids = np.full(len(word), len(self.names) - 1, dtype=np.int64)
+        self.ids[word] = opened(row["codes"], np.uint32)
+        self.learnt = np.repeat(~self.held, self.sizes)
+
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """The word before each token, and the one before that; at a text's start, the number beyond all names."""
+        one, two = np.empty_like(self.ids), np.empty_like(self.ids)
+        one[1:], two[2:] = self.ids[:-1], self.ids[:-2]
+        one[self.firsts] = two[self.firsts] = two[self.firsts[self.sizes > 1] + 1] = len(self.names)
+        return one, two
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token, a number of 64 bits for what comes before: bigram, skip, trigram."""
-        w = self.names.view(np.uint64)[self.ids]
-        one, two = np.ones_like(w), np.ones_like(w)
-        one[1:], two[2:] = w[:-1], w[:-2]
-        one[self.firsts] = two[self.firsts] = two[self.firsts[self.sizes > 1] + 1] = np.uint64(1)
-        return [one * _A, two * _B, one * _A + two * _B + np.uint64(3)]
+        names = np.append(self.names, np.uint64(_BEGIN))
+        one, two = self.before()
+        a, b = _mix(names * _A)[one], _mix(names * _B + np.uint64(1))[two]
+        return a, b, _mix(a + b * _C)
 
     def rows(self) -> list[np.ndarray]:
-        """For each token, its row in the table of each feature."""
+        """For each token, its row in the table of each feature of the class softmax."""
         cut = np.uint64(64 - ROWS_LOG2)
-        return [(_mix(x) >> cut).astype(np.uint16) for x in self.contexts()]
+        return [(x >> cut).astype(np.uint16) for x in self.contexts()]
+
+    def features(self, log2: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each kind, a number for each token's context and word, ``log2`` bits for its part and 32 within."""
+        word = _mix(self.names * _C + np.uint64(7))[self.ids]
+        for kind, context in zip((BIGRAM, SKIP, TRIGRAM), self.contexts(), strict=True):
+            yield kind, _mix(context + word) >> np.uint64(32 - log2)
+
+    def classes(self, top: np.ndarray) -> np.ndarray:
+        """The class of each name; ``top`` has the most frequent names in their order."""
+        out = self.endings.astype(np.int64)
+        if len(top):
+            order = np.argsort(top)
+            at = np.minimum(np.searchsorted(top[order], self.names), len(top) - 1)
+            some = top[order][at] == self.names
+            out[some] = order[at[some]]
+        return out
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed."""
-    x = np.ascontiguousarray(x)
-    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Tokens({c: batch.column(c)[i].as_py() for c in ("block", "held", "sizes", "names", "endings", "codes")})
 
 
-def _opened(raw: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
-    flat = np.frombuffer(pa.decompress(raw[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+SUMS, FREQUENT = -1, -2
 
 
-class Grams:
-    """The distinct contexts of some tokens, sorted by part, and the distinct words after each.
+def _asked_words(bits: int):
+    """The names of a block, with their uses in texts to learn from, how often they end one, and their endings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _rows(batches):
+            n = np.bincount(t.ids[t.learnt], minlength=len(t.names))
+            some = (t.sizes > 1) & ~t.held
+            last = np.bincount(t.ids[(t.firsts + t.sizes - 2)[some]], minlength=len(t.names))
+            order = np.argsort(t.names)
+            yield table_of(list(asks(t.block, 0, t.names[order], bits, n[order].astype(np.uint32), last[order].astype(np.uint32), t.endings[order])), ASKED)
+
+    return run
 
-    A context is told apart by 32 bits besides its part, a word after it by 32 bits.
-    """
 
-    def __init__(self, tokens: Tokens, parts_log2: int):
-        low = np.uint64(32)
-        word = tokens.names.view(np.uint64)[tokens.ids] & np.uint64(0xFFFFFFFF)
-        key = np.concatenate([_mix(_mix(x) + np.uint64(k + 1)) for k, x in enumerate(tokens.contexts())])
-        self.keys, at = np.unique(key >> np.uint64(32 - parts_log2), return_inverse=True)
-        self.at = at.astype(np.int64)
-        pairs, where = np.unique((self.at.astype(np.uint64) << low) | np.tile(word, FEATURES), return_inverse=True)
-        self.words, self.where = pairs.astype(np.uint32), where.astype(np.int64)
-        self.lengths = np.bincount((pairs >> low).astype(np.int64), minlength=len(self.keys))
-
-    def packed(self, learnt: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-        """For each part its contexts, the words after each, and their uses among the tokens learnt from."""
-        uses = np.bincount(self.where[np.tile(learnt, FEATURES)], minlength=len(self.words))
-        part, first = np.unique(self.keys >> np.uint64(32), return_index=True)
-        ends, until = np.append(first, len(self.keys)), np.append(0, np.cumsum(self.lengths))
-        for p, a, b in zip(part.tolist(), ends[:-1], ends[1:], strict=True):
-            here = slice(until[a], until[b])
-            keys = np.diff((self.keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)
-            yield p, [_squeezed(keys), _squeezed(self.lengths[a:b].astype(np.uint32)), _squeezed(self.words[here]), _squeezed(uses[here])]
-
-    def corrected(self, shares: np.ndarray, uses: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """The probabilities ``shares`` after all families of contexts; ``uses`` by pair, ``total`` and ``kinds`` by context."""
-        size = len(shares)
-        for k in CHAIN:
-            at, where = self.at[k * size : (k + 1) * size], self.where[k * size : (k + 1) * size]
-            n, t = total[at], kinds[at]
-            shares = np.where(n > 0, (uses[where] + t * shares) / np.maximum(n + t, 1), shares)
-        return shares
-
-
-GRAMS = "part int, block int, keys binary, lengths binary, words binary, uses binary"
-ANSWERS = "block int, part int, uses binary, total binary, kinds binary"
-
-
-def _answered(asked: pa.Table) -> pa.Table:
-    """For a part, what all blocks together have of each block's contexts and words."""
-    low, mask = np.uint64(32), np.uint64(0xFFFFFFFF)
-    column = lambda c, kind: [_opened(r, kind) for r in asked.column(c).to_pylist()]
-    keys = [np.cumsum(x.astype(np.int64)).astype(np.uint64) for x in column("keys", np.uint32)]
-    pairs = [(np.repeat(k, n) << low) | w for k, n, w in zip(keys, column("lengths", np.uint32), column("words", np.uint32), strict=True)]
-    uniq, where = np.unique(np.concatenate(pairs), return_inverse=True)
-    uses = np.zeros(len(uniq), dtype=np.int64)
-    np.add.at(uses, where, np.concatenate(column("uses", np.int64)))
-    context, first = np.unique(uniq >> low, return_index=True)
-    total, kinds = np.add.reduceat(uses, first), np.add.reduceat((uses > 0).astype(np.int64), first)
+def _answered_words(asked: pa.Table, bits: int) -> list[tuple]:
+    """Each block's counts over all blocks; and what the part adds to the classes, and its most frequent names."""
+    keys = asked_keys(asked)
+    uniq, where = distinct(np.concatenate(keys))
+    column = lambda c, kind: np.concatenate([opened(x.as_py(), kind) for x in asked.column(c)])
+    n, last = (np.bincount(where, column(c, np.uint32), len(uniq)).astype(np.int64) for c in ("second", "third"))
+    kind = np.zeros(len(uniq), dtype=np.int64)
+    kind[where] = column("fourth", np.uint8)
     out, lo = [], 0
-    for k, p in zip(keys, pairs, strict=True):
-        at = np.searchsorted(context, k)
-        out.append([_squeezed(x) for x in (uses[where[lo : lo + len(p)]], total[at], kinds[at])])
-        lo += len(p)
-    made = [pa.array([r[i] for r in out], pa.binary()) for i in range(3)]
-    return pa.table([asked.column("block"), asked.column("part"), *made], names=["block", "part", "uses", "total", "kinds"])
+    part = asked.column("part")[0].as_py()
+    for block, k in zip(asked.column("block").to_pylist(), keys, strict=True):
+        own = where[lo : lo + len(k)]
+        out.append((block, part, 0, squeezed(n[own]), squeezed(last[own])))
+        lo += len(k)
+    used = np.flatnonzero(n)
+    sums = np.stack([np.bincount(kind[used], n[used], CLASSES), np.bincount(kind[used], minlength=CLASSES)]).astype(np.int64)
+    out.append((None, part, SUMS, squeezed(sums.ravel()), None))
+    names = uniq + (np.uint64(part) << np.uint64(bits))
+    words = used[kind[used] != CLASSES - 1]
+    words = words[np.lexsort((names[words], -n[words]))[:TOP]]
+    out.append((None, part, FREQUENT, squeezed(names[words]), squeezed(n[words] * CLASSES + kind[words])))
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the classes and the most frequent names of all rows together."""
+    sums, names, n = np.zeros(2 * CLASSES, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        for kind, first, second in zip(*[batch.column(c).to_pylist() for c in ("kind", "first", "second")], strict=True):
+            if kind == SUMS:
+                sums += opened(first, np.int64)
+            else:
+                names, n = np.append(names, opened(first, np.uint64)), np.append(n, opened(second, np.int64))
+                best = np.lexsort((names, -(n // CLASSES)))[:TOP]
+                names, n = names[best], n[best]
+    yield table_of([(None, 0, SUMS, squeezed(sums), None), (None, 0, FREQUENT, squeezed(names), squeezed(n))], ANSWERED)
+
+
+def _asked_features(log2: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _rows(batches):
+            for kind, x in t.features(log2):
+                keys, where = distinct(x)
+                uses = np.bincount(where[t.learnt], minlength=len(keys)).astype(np.uint32)
+                yield table_of(list(asks(t.block, kind, keys, 32, uses)), ASKED)
+
+    return run
+
+
+def _answered_features(asked: pa.Table) -> list[tuple]:
+    keys = asked_keys(asked)
+    uniq, where = distinct(np.concatenate(keys))
+    uses = np.bincount(where, np.concatenate([opened(x.as_py(), np.uint32) for x in asked.column("second")]), len(uniq)).astype(np.int64)
+    part, kind = asked.column("part")[0].as_py(), asked.column("kind")[0].as_py()
+    cuts = np.cumsum([0, *map(len, keys)])
+    return [(block, part, kind, squeezed(uses[where[a:b]]), None) for block, a, b in zip(asked.column("block").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
 
 
 class Weights:
@@ -176,18 +240,17 @@ class Weights:
         for t, r in zip(self.tables[1:], rows[1:], strict=True):
             z += np.take(t, r[lo : lo + BATCH], axis=0)
         z += self.bias
-        np.minimum(z, 60, out=z)
-        np.maximum(z, -60, out=z)
+        np.clip(z, -60, 60, out=z)
         np.exp(z, out=z)
         return z, z @ _ONES
 
-    def log_shares(self, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each token's class."""
+    def shares(self, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+        """The probability of each token's class."""
         out = np.empty(len(classes))
         for lo in range(0, len(classes), BATCH):
             c = classes[lo : lo + BATCH]
             z, sums = self._powers(rows, lo)
-            out[lo : lo + BATCH] = np.log(z[np.arange(len(c)), c]) - np.log(sums)
+            out[lo : lo + BATCH] = z[np.arange(len(c)), c] / sums
         return out
 
     def descend(self, rows: list[np.ndarray], classes: np.ndarray, seen: np.ndarray, used: np.ndarray) -> None:
@@ -211,31 +274,7 @@ class Weights:
                 self.tables[k][row] -= g
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of about 8 MB of texts at a time: name, class by ending, uses in training texts."""
-    for texts, held in _portions(batches, 8 << 20):
-        t = Tokens(texts)
-        n = np.bincount(t.ids, np.repeat(~held, t.sizes), len(t.names)).astype(np.int64)
-        some = n > 0
-        kind = t.classes({})
-        yield pa.RecordBatch.from_arrays([pa.array(t.names[some]), pa.array(kind[some].astype(np.int32)), pa.array(n[some])], names=["name", "class", "n"])
-
-
-def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[bytes | None], np.ndarray]]:
-    texts, held, size = [], [], 0
-    for batch in batches:
-        for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts.append(t)
-            held.append(h)
-            size += len(t or b"")
-            if size > most:
-                yield texts, np.array(held, dtype=bool)
-                texts, held, size = [], [], 0
-    if texts:
-        yield texts, np.array(held, dtype=bool)
-
-
-def _descent(weights, top: dict[int, int]):
+def _descent(weights, top: np.ndarray, turn: int):
     """A worker's change of every feature row, with how often it was used, as blocks of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +282,9 @@ def _descent(weights, top: dict[int, int]):
         own = Weights(start.tables.copy(), start.bias.copy())
         shape = (FEATURES, 1 << ROWS_LOG2)
         seen, used = np.full(shape, FIRST, dtype=np.float32), np.zeros(shape, dtype=np.float32)
-        for texts, _ in _portions(batches, 4 << 20):
-            t = Tokens(texts)
-            own.descend(t.rows(), t.classes(top)[t.ids], seen, used)
+        for t in _rows(batches):
+            some = t.learnt & np.repeat(np.arange(len(t.sizes)) % ROUNDS == turn, t.sizes)
+            own.descend([r[some] for r in t.rows()], t.classes(top)[t.ids[some]], seen, used)
         if used.any():
             change, size = own.tables - start.tables, 1 << ROWS_LOG2 - 6
             for k in range(FEATURES):
@@ -258,8 +297,9 @@ def _descent(weights, top: dict[int, int]):
 
 
 def _packed(part: int, used: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
-    """Rows of a worker: how often each was used, and its change in 16 bits."""
-    raw = used.astype(np.float32).tobytes() + change.astype(np.float16).tobytes()
+    """The rows that a worker used: which, how often, and their change in 16 bits."""
+    some = np.flatnonzero(used)
+    raw = len(some).to_bytes(4, "little") + some.astype(np.uint16).tobytes() + used[some].astype(np.float32).tobytes() + change[some].astype(np.float16).tobytes()
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw])], names=["part", "raw"])
 
 
@@ -268,22 +308,26 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = len(raw) // (4 + 2 * CLASSES)
-            used = np.frombuffer(raw, dtype=np.float32, count=n).astype(np.float64)[:, None]
-            x = np.concatenate([used, used * np.frombuffer(raw, dtype=np.float16, offset=4 * n).reshape(n, CLASSES)], axis=1)
-            total[k] = total[k] + x if k in total else x
+            n = int.from_bytes(raw[:4], "little")
+            rows = np.frombuffer(raw, np.uint16, n, 4)
+            used = np.frombuffer(raw, np.float32, n, 4 + 2 * n).astype(np.float64)[:, None]
+            sums = total.setdefault(k, np.zeros((1 << ROWS_LOG2 - 6 if k >= 0 else 1, 1 + CLASSES)))
+            sums[rows, :1] += used
+            sums[rows, 1:] += used * np.frombuffer(raw, np.float16, n * CLASSES, 4 + 6 * n).reshape(n, CLASSES)
     for k, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()])], names=["part", "raw"])
 
 
-def train(docs: DataFrame, top: dict[int, int], uses: np.ndarray) -> Weights:
-    """Fits the class softmax to ``docs(text, held)`` (binary, boolean), all rows not held; the bias begins at the classes' shares."""
-    spark, model = docs.sparkSession, Weights(bias=np.log((uses + 1) / (uses.sum() + CLASSES)).astype(np.float32))
-    workers = int(max(8, min(MOST_WORKERS, plan_bytes(docs) // (32 << 20))))
+def train(cut: DataFrame, tokens: int, top: np.ndarray, uses: np.ndarray) -> Weights:
+    """Fits the class softmax to all texts of the blocks ``cut`` that aren't held; the bias begins at the classes' shares.
+
+    A worker takes about ``WORKER`` tokens; which blocks it gets follows from how
+    the blocks' files are read, so that averages differ slightly with the layout.
+    """
+    spark, model = cut.sparkSession, Weights(bias=np.log((uses + 1) / (uses.sum() + CLASSES)).astype(np.float32))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
-        part = docs.where(~F.col("held") & (F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)).coalesce(workers)
-        deltas = part.mapInArrow(_descent(shared, top), "part int, raw binary")
+        deltas = cut.drop("ids", "n").coalesce(-(-tokens // WORKER) or 1).mapInArrow(_descent(shared, top, turn), "part int, raw binary")
         sums = deltas.repartition(64, "part").mapInArrow(_added, "part int, raw binary").collect()  # the model's size
         model = Weights(model.tables.copy(), model.bias.copy())
         for r in sums:
@@ -298,95 +342,88 @@ def train(docs: DataFrame, top: dict[int, int], uses: np.ndarray) -> Weights:
     return model
 
 
+def corrected(t: Tokens, shares: np.ndarray, counts: dict[int, np.ndarray], n: np.ndarray, last: np.ndarray, ends: int) -> np.ndarray:
+    """The probabilities ``shares`` after the features of all contexts.
+
+    ``counts`` has by kind how often each token's context and word are learnt from
+    together; ``n`` and ``last`` how often each name stands, and ends a text.
+    """
+    one, two = t.before()
+    uses, followed = np.append(n, ends), np.append(n - last, 0)
+    pair = np.empty(len(t.ids))
+    pair[1:], pair[t.firsts] = counts[BIGRAM][:-1], ends
+    for kind, total in ((SKIP, followed[two]), (BIGRAM, uses[one]), (TRIGRAM, pair)):
+        shares = (counts[kind] * (total > 0) + PRIOR[kind] * shares) / (total + PRIOR[kind])
+    return shares
+
+
 def lm_scores(docs: DataFrame, held) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with its scores; texts where ``held`` holds are not learnt from.
 
-    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
-    ``base_score`` adds log10((c+1)/(N+V+1)) over the tokens, with counts over all
-    training tokens, ends included; ``score`` is the model's log10 probability. In
-    each class, words that training lacks share the probability of one. Words are
-    told apart by 64-bit hashes.
+    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    gain_per_token``. ``base_score`` adds log10((c+1)/(N+V+1)) over the tokens, with
+    counts over all training tokens, ends included; ``score`` is the model's log10
+    probability, and the gain what it has over the base, by token. In each class,
+    words that training lacks share the probability of one. Words are told apart by
+    64-bit hashes, contexts and words together by 32 bits in a part of about half a
+    million of them.
 
     Null and empty texts are an end alone. Repeated rows score alike. A null id is
     scored as any other, with the null text as id in ``held``. Without training
     texts all counts are 0. An empty table gives none; other columns are not carried.
     """
-    spark = docs.sparkSession
-    flagged = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    counts = flagged.select("text", "held").mapInArrow(_counts, "name long, class int, n long")
-    counts = stored(counts.groupBy("name").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "lm-counts")
-    most = counts.where(F.col("name") != _END).orderBy(F.desc("n"), "name").limit(TOP).collect()  # TOP rows
-    top = {r["name"]: i for i, r in enumerate(most)}
-    by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # a row a class
-    tokens, kinds = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
-    mass, uses = np.zeros(CLASSES), np.zeros(CLASSES)
-    for c, (n, v) in by_class.items():
-        mass[c] += n + v + 1
-        uses[c] += n
-    for r in most:
-        mass[top[r["name"]]] = r["n"] + 2
-        mass[r["class"]] -= r["n"] + 1
-        uses[top[r["name"]]] = r["n"]
-        uses[r["class"]] -= r["n"]
+    id_type = docs.schema["doc_id"].dataType
+    flagged = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
+    text = text_bytes(docs)
+    bits = 64 - parts_log2(text >> 6)
+    schema = StructType([StructField("block", LongType()), StructField("n", LongType()), StructField("ids", ArrayType(id_type)), StructField("held", ArrayType(BooleanType())), *[StructField(c, BinaryType()) for c in ("sizes", "names", "endings", "codes")]])
+    cut = laid(flagged.mapInArrow(_cut, schema), bucket_count(text), "lm-blocks")
+    columns = cut.select("block", "held", "sizes", "names", "endings", "codes")
+    size = cut.agg(F.sum("n")).head()[0] or 0
+
+    words = stored(answered(columns.mapInArrow(_asked_words(bits), ASKED), lambda asked: _answered_words(asked, bits)), "lm-words")
+    told_all = words.where("kind < 0").mapInArrow(_merged, ANSWERED).repartition(8).mapInArrow(_merged, ANSWERED).collect()  # sums by class, and TOP names
+    merged = next(_merged(iter([table_of([tuple(r) for r in told_all], ANSWERED)]))).to_pydict()
+    uses, kinds = opened(merged["first"][0], np.int64).reshape(2, CLASSES)
+    top, most = opened(merged["first"][1], np.uint64), opened(merged["second"][1], np.int64)
+    tokens, distinct_words, ends = int(uses.sum()), int(kinds.sum()), int(uses[CLASSES - 1])
+    uses, mass = uses.astype(float), uses + kinds + 1.0
+    for i, (n, c) in enumerate(zip(*divmod(most, CLASSES), strict=True)):
+        mass[i], uses[i] = n + 2, n
+        mass[c] -= n + 1
+        uses[c] -= n
     mass = np.maximum(mass, 1.0)
-    model = spark.sparkContext.broadcast(train(flagged.select("text", "held"), top, uses))
-
-    blocks = block_count(docs)
-    parts_log2 = max(6, (blocks - 1).bit_length())  # as many parts as blocks, so that neither grows
-    dealt = flagged.withColumn("block", F.pmod(row_key("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def gather(texts: pa.Table) -> pa.Table:
-        t = Tokens(texts.column("text").to_pylist())
-        rows = list(Grams(t, parts_log2).packed(np.repeat(~texts.column("held").to_numpy(), t.sizes)))
-        made = [pa.array([r[1][i] for r in rows], pa.binary()) for i in range(4)]
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([texts.column("block")[0].as_py()] * len(rows), pa.int32()), *made], names=["part", "block", "keys", "lengths", "words", "uses"])
-
-    grams = dealt.select("block", "text", "held").groupBy("block").applyInArrow(gather, GRAMS)
-    answers = grams.groupBy("part").applyInArrow(_answered, ANSWERS)
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        words: dict[int, set[bytes]] = {}
-        for batch in batches:
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(b, set()).update((t or b"").lower().split())
-        for b, some in words.items():
-            names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in some), np.uint64, len(some)).view(np.int64)
-            for lo in range(0, len(names), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names[lo : lo + 100_000]), b, dtype=np.int32)), pa.array(names[lo : lo + 100_000])], names=["block", "name"])
-
-    ends = by_class.get(CLASSES - 1, (0, 0))[0]
-    asked = dealt.select("block", "text").mapInArrow(wanted, "block int, name long")
-    told = asked.join(counts.select("name", "n"), "name").select("block", "name", "n")
-    told = told.unionByName(answers, allowMissingColumns=True)
-
-    def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return SCORES.empty_table()
-        known = own.filter(own.column("part").is_null())
-        names, n = known.column("name").to_numpy(), known.column("n").to_numpy()
-        order = np.argsort(names)
-        names, n = names[order], n[order]
-        t = Tokens(texts.column("text").to_pylist())
-        at = np.minimum(np.searchsorted(names, t.names), max(0, len(names) - 1))
-        c = np.where(names[at] == t.names, n[at], 0) if len(names) else np.zeros(len(t.names), dtype=np.int64)
-        c[-1] = ends
+    model = docs.sparkSession.sparkContext.broadcast(train(cut, size, top, uses))
+
+    log2 = parts_log2(FEATURES * size)
+    answers = answered(columns.mapInArrow(_asked_features(log2), ASKED), _answered_features)
+    answers = words.where("kind = 0").unionByName(answers)
+
+    def score(blocks: pa.Table, own: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return own_schema.empty_table()
+        row = {c: blocks.column(c)[0].as_py() for c in ("block", "held", "sizes", "names", "endings", "codes")}
+        t, ids = Tokens(row), blocks.column("ids").combine_chunks().flatten()
+        order = np.argsort(t.names)
+        n, last = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        n[order], last[order] = told(own, 0, "first", np.int64), told(own, 0, "second", np.int64)
+        counts = {}
+        for kind, x in t.features(log2):
+            counts[kind] = told(own, kind, "first", np.int64)[distinct(x)[1]]
         kind = t.classes(top)
-        base = np.log10((c + 1.0) / (tokens + kinds + 1.0))
-        within = np.log((c + 1.0) / mass[kind])
-        grams, told = Grams(t, parts_log2), own.filter(own.column("part").is_valid()).sort_by("part")
-        uses, total, seen = (np.concatenate([_opened(r, np.int64) for r in told.column(x).to_pylist()]) for x in ("uses", "total", "kinds"))
-        shares = np.exp(model.value.log_shares(t.rows(), kind[t.ids]) + within[t.ids])
-        logs = np.log10(grams.corrected(shares, uses, total, seen))
+        base = np.log10((n + 1.0) / (tokens + distinct_words + 1.0))
+        within = (n + 1.0) / mass[kind]
+        shares = model.value.shares(t.rows(), kind[t.ids]) * within[t.ids]
+        logs = np.log10(corrected(t, shares, counts, n, last, ends))
         add = lambda x: np.add.reduceat(x, t.firsts)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held"), "n_tokens": t.sizes, "n_known": add((c > 0).astype(np.int64)[t.ids]), "train_tokens": np.full(texts.num_rows, tokens), "base_score": add(base[t.ids]), "score": add(logs)})
-
-    pieces = dealt.groupBy("block").cogroup(told.groupBy("block"))
-    return pieces.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        base, logs = add(base[t.ids]), add(logs)
+        return pa.table([ids, pa.array(t.held), t.sizes, add((n > 0).astype(np.int64)[t.ids]), np.full(len(ids), tokens), base, logs, (logs - base) / t.sizes], schema=own_schema.with_metadata(None))
 
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    out = StructType([StructField("doc_id", id_type), StructField("held_out", BooleanType()), *[StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[StructField(c, DoubleType()) for c in ("base_score", "score", "gain_per_token")]])
+    own_schema = to_arrow_schema(out)
+    return cut.drop("n").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out)
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
