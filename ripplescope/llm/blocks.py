@@ -51,7 +51,7 @@ def bucket_count(size: int) -> int:
     return max(8, -(-size // BLOCK))
 
 
-def parts_log2(names: int, each: int = 1 << 19) -> int:
+def parts_log2(names: int, each: int = 1 << 20) -> int:
     """Parts, as a power of two, of about ``each`` names."""
     return max(4, (max(1, names) // each).bit_length())
 

@@ -41,6 +41,8 @@ WORKER = 1 << 23
 #: Weight of what came before, in tokens, by kind of feature, in the order in which they are fitted.
 BIGRAM, SKIP, TRIGRAM = 1, 2, 3
 PRIOR = {SKIP: 300.0, BIGRAM: 60.0, TRIGRAM: 4.0}
+#: Bits of a feature's number within its part.
+FEATURE_BITS = 30
 _END = 0x5BD1E995C0FFEE11 >> 1
 _BEGIN = 0x7F4A7C159E3779B9
 _ONES = np.ones(CLASSES, dtype=np.float32)
@@ -130,10 +132,10 @@ class Tokens:
         return [(x >> cut).astype(np.uint16) for x in self.contexts()]
 
     def features(self, log2: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each kind, a number for each token's context and word, ``log2`` bits for its part and 32 within."""
+        """For each kind, a number for each token's context and word, ``log2`` bits for its part and ``FEATURE_BITS`` within."""
         word = _mix(self.names * _C + np.uint64(7))[self.ids]
         for kind, context in zip((BIGRAM, SKIP, TRIGRAM), self.contexts(), strict=True):
-            yield kind, _mix(context + word) >> np.uint64(32 - log2)
+            yield kind, _mix(context + word) >> np.uint64(64 - FEATURE_BITS - log2)
 
     def classes(self, top: np.ndarray) -> np.ndarray:
         """The class of each name; ``top`` has the most frequent names in their order."""
@@ -213,7 +215,7 @@ def _asked_features(log2: int):
             for kind, x in t.features(log2):
                 keys, where = distinct(x)
                 uses = np.bincount(where[t.learnt], minlength=len(keys)).astype(np.uint32)
-                yield table_of(list(asks(t.block, kind, keys, 32, uses)), ASKED)
+                yield table_of(list(asks(t.block, kind, keys, FEATURE_BITS, uses)), ASKED)
 
     return run
 
@@ -365,8 +367,8 @@ def lm_scores(docs: DataFrame, held) -> DataFrame:
     counts over all training tokens, ends included; ``score`` is the model's log10
     probability, and the gain what it has over the base, by token. In each class,
     words that training lacks share the probability of one. Words are told apart by
-    64-bit hashes, contexts and words together by 32 bits in a part of about half a
-    million of them.
+    64-bit hashes, contexts and words together by ``FEATURE_BITS`` bits in a part of
+    about a million of them.
 
     Null and empty texts are an end alone. Repeated rows score alike. A null id is
     scored as any other, with the null text as id in ``held``. Without training
