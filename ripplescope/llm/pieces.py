@@ -11,6 +11,7 @@ the text. Segmentations without a skip are shared; the others are made one by on
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,8 +27,11 @@ DROPOUT = 0.1
 VARIANTS = 0
 #: Texts are taken together up to so many bytes; longer segments use the heap.
 BLOCK, SHORT = 4 << 20, 40
+#: Slots of the table of pairs.
+SLOTS_LOG2 = 20
 _SPACE = "▁"
 _SEGMENT = re.compile(rb" *[^ \n]+| +|\n")
+_ALL = (1 << 64) - 1
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -48,6 +52,27 @@ class Pieces:
     raw: list[bytes]  # by piece, what it decodes to
     byte0: int
     pairs: dict[tuple[int, int], int] = field(default_factory=dict)
+    by_char: np.ndarray | None = None  # by code point, its symbol
+    slots: np.ndarray | None = None  # of a hash table, the place of a key in ``keys`` or -1
+
+    def __post_init__(self) -> None:
+        self.by_char = -np.arange(0x110000, dtype=np.int32) - 1
+        for c, piece in self.chars.items():
+            self.by_char[ord(c)] = piece
+        self.by_char[ord(" ")] = self.chars.get(_SPACE, -33)
+        self.by_char[ord(_SPACE)] = -ord(_SPACE) - 1
+        self.slots = np.full(1 << SLOTS_LOG2, -1, dtype=np.int32)
+        left = np.arange(len(self.keys), dtype=np.int32)
+        slot = self._slot(self.keys)
+        while len(left):  # each key takes the next free slot
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            go = self.slots[slot] != left
+            left, slot = left[go], (slot[go] + 1) & ((1 << SLOTS_LOG2) - 1)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -66,19 +91,44 @@ class Pieces:
         raw = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else sp.id_to_piece(i).replace(_SPACE, " ").encode() for i in range(size)]
         return cls({p: i for p, i in ids.items() if len(p) == 1}, keys[order], np.array(list(pairs.values()), dtype=np.int64)[order], rank, raw, sp.piece_to_id("<0x00>"), pairs)
 
+    def all_symbols(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece for each character, or minus its code point less one, of all segments; and how many each has.
+
+        A literal U+2581 has no piece, so that it isn't decoded as a blank. Bytes that
+        are no UTF-8 are characters of their own.
+        """
+        whole = b"".join(segments)
+        try:
+            text = whole.decode()
+            head = np.frombuffer(whole, np.uint8) & 0xC0 != 0x80
+            ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+            sizes = np.diff(np.append(0, np.cumsum(head)[ends - 1])) if len(whole) else np.zeros(len(segments), np.int64)
+        except UnicodeDecodeError:
+            parts = [x.decode(errors="surrogateescape") for x in segments]
+            text, sizes = "".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return self.by_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64), sizes
+
     def symbols(self, segment: bytes) -> list[int]:
-        """A piece for each character, or minus its code point less one. A literal U+2581 has no piece, so that it isn't decoded as a blank."""
-        get = self.chars.get
-        return [get(_SPACE, -33) if c == " " else -ord(c) - 1 if c == _SPACE else get(c, -ord(c) - 1) for c in segment.decode()]
+        return self.all_symbols([segment])[0].tolist()
 
     def spelled(self, symbol: int) -> list[int]:
-        return [symbol] if symbol >= 0 else [self.byte0 + b for b in chr(-symbol - 1).encode()]
+        return [symbol] if symbol >= 0 else [self.byte0 + b for b in chr(-symbol - 1).encode(errors="surrogateescape")]
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged piece of each pair, or -1."""
-        want = left * len(self.rank) + right
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where((self.keys[at] == want) & (left >= 0) & (right >= 0), self.merged[at], -1)
+        want = np.where((left >= 0) & (right >= 0), left * len(self.rank) + right, -1).ravel()
+        slot = self._slot(want)
+        at = self.slots[slot]
+        out = np.where(self.keys[at] == want, self.merged[at], -1)
+        todo = np.flatnonzero((self.keys[at] != want) & (at >= 0) & (want >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOTS_LOG2) - 1)
+            at = self.slots[slot[todo]]
+            same = self.keys[at] == want[todo]
+            out[todo[same]] = self.merged[at[same]]
+            todo = todo[~same & (at >= 0)]
+        out[want < 0] = -1
+        return out.reshape(left.shape)
 
 
 def _place(start: np.ndarray, mid: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -96,6 +146,18 @@ def _skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, piece: np.ndar
     return _drawn(key, _place(start, mid, piece), dropout)
 
 
+def _mix_one(h: int) -> int:
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _ALL
+    return h ^ (h >> 31)
+
+
+def _skips(key: int, start: int, mid: int, piece: int, dropout: float) -> bool:
+    """``_skipped`` of one candidate."""
+    place = _mix_one((start << 34 & _ALL ^ mid << 17 ^ piece) + 0x632BE59BD9B4E019 & _ALL)
+    return (_mix_one(key + place & _ALL) >> 11) * 2.0**-53 < dropout
+
+
 def segment_agenda(model: Pieces, symbols: list[int], key: int, dropout: float) -> list[int]:
     """One segment by a heap of candidates; time n log n."""
     n = len(symbols)
@@ -104,8 +166,7 @@ def segment_agenda(model: Pieces, symbols: list[int], key: int, dropout: float)
 
     def offer(a: int, b: int) -> None:
         if a >= 0 and b >= 0 and (piece := model.pairs.get((sym[a], sym[b]))) is not None:
-            one = lambda v, t: np.array([v], dtype=t)
-            if not dropout or not _skipped(one(key, np.uint64), one(a, np.int64), one(b, np.int64), one(piece, np.int64), dropout)[0]:
+            if not dropout or not _skips(key, a, b, piece, dropout):
                 heapq.heappush(agenda, (int(model.rank[piece]), a, b, sym[a], sym[b]))
 
     for i in range(n - 1):
@@ -173,21 +234,21 @@ def encode_block(model: Pieces, texts: list[bytes], doc_keys: np.ndarray, dropou
     """All pieces of the texts, one after the other, and how many each text has."""
     import xxhash
 
-    table: dict[bytes, int] = {}
-    number = lambda w: table.setdefault(w, len(table))
-    lists = [np.fromiter(map(number, _SEGMENT.findall(b" " + t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    lists = [_SEGMENT.findall(b" " + t) if t else [] for t in texts]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    coded = pa.array(itertools.chain.from_iterable(lists), pa.binary(), size=int(sizes.sum())).dictionary_encode()
+    del lists
+    flat = coded.indices.to_numpy().astype(np.int64)
     if not len(flat):
         return flat, sizes
-    segments = list(table)
+    segments = coded.dictionary.to_pylist()
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keys = _mix(np.repeat(doc_keys, sizes) ^ _mix(place.astype(np.uint64) + np.uint64(seed * 2 + 1)))
     if variants:
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(s, seed) for s in segments), np.uint64, len(segments))
         keys = _mix(hashes[flat] + _mix(keys % np.uint64(variants)))
-    symbols = [model.symbols(s) for s in segments]
-    lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
+    symbols, lengths = model.all_symbols(segments)
+    begins = np.cumsum(lengths) - lengths
     counts, first, pool, held = [], [], [], 0
 
     def solve(owner: np.ndarray, keys: np.ndarray, dropout: float, seen: list | None) -> None:
@@ -199,9 +260,9 @@ def encode_block(model: Pieces, texts: list[bytes], doc_keys: np.ndarray, dropou
             if n > SHORT:
                 if seen is not None:
                     continue
-                ends = [(np.array([i]), np.array([segment_agenda(model, symbols[owner[i]], int(keys[i]), dropout)], dtype=np.int64)) for i in some]
+                ends = [(np.array([i]), np.array([segment_agenda(model, symbols[begins[owner[i]] :][:n].tolist(), int(keys[i]), dropout)], dtype=np.int64)) for i in some]
             else:
-                matrix, met = np.array([symbols[j] for j in owner[some]], dtype=np.int64).reshape(len(some), n), None if seen is None else []
+                matrix, met = symbols[begins[owner[some]][:, None] + np.arange(n)], None if seen is None else []
                 ends = [(some[rows], result) for rows, result in (agenda_block(model, matrix, keys[some], dropout, met) if n > 1 else [(np.arange(len(some)), matrix)])]
                 if met:
                     seen.extend((some[rows], places) for rows, places in met)
