@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 # Phrases whose consecutive words are a licence statement.
-BASE = [("mit", "the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 
 # Fixed values: (label, template, mandatory key phrase within the template).
 TEMPLATES = [

@@ -61,28 +61,31 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("vhash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "source", copied_from: int = 3) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, owner, repo)`` with its secrets.
+def secret_scan(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), copied_from: int = 3, copies_from: int = 6) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, owner, repo...)`` with its secrets.
 
     Candidates are the matches of ``KINDS``. Values are hashed and counted by
-    distinct owners and repositories over the whole corpus: a value that at least
-    ``copied_from`` owners hold is a widely copied example, any other looks live,
-    however short or plain. Base spans stay whatever the count;
+    distinct owners and distinct repositories over the whole corpus. A value is a
+    widely copied example that at least ``copied_from`` owners hold, or two owners in
+    at least ``copies_from`` repositories together; any other looks live, however
+    short or plain, and in however many repositories of one owner. The columns
+    ``repo`` together name a repository. Base spans stay whatever the count;
     spans of the other kinds are given where they look live.
 
     Returns ``doc_id, k, n_assign, n_access, n_hex, spans, live``, ``k`` a key of the
     row's id and text, with ``spans`` and
     ``live`` arrays of ``(start, kind, end, value)``. Null and empty texts give
-    empty arrays; null owners count as one owner; repeated rows give repeated
+    empty arrays; null owners count as one owner, nulls in a repository's columns
+    as one value; repeated rows give repeated
     results; an empty table gives none; columns other than those named are not
     carried. Only candidates are shuffled, never texts.
     """
-    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), "text")
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.col(owner).alias("_owner"), F.xxhash64(F.lit(0), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in repo]).alias("_repo"), "text")
     found = stored(candidates(keyed, ["doc_id", "k", "_owner", "_repo"]).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
     each = found.where(F.size("spans") > 0).select("_row", "_owner", "_repo", F.explode("spans").alias("s"))
     each = each.select("_row", "_owner", "_repo", "s", F.sha2(F.col("s.value"), 256).alias("vhash"))
     counts = ownership(each.select("vhash", F.col("_owner").alias("owner"), F.col("_repo").alias("repo")))
-    judged = each.join(counts, "vhash").select("_row", "s", (F.col("owners") < copied_from).alias("live"))
+    judged = each.join(counts, "vhash").select("_row", "s", ((F.col("owners") < copied_from) & ((F.col("owners") < 2) | (F.col("repos") < copies_from))).alias("live"))
     live = judged.where("live").groupBy("_row").agg(F.collect_list("s").alias("live"))
     some = found.where(F.size("spans") > 0).join(live, "_row", "left")
     none = found.where(F.size("spans") == 0).withColumn("live", F.lit(None).cast(SPAN))

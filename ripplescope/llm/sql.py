@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, TEMPLATES
-from .secrets import BASE as BASE_KINDS
-from .secrets import KINDS
+# Fixed values, spelt out here once more so that this SQL shares none with the operators: base phrases of licences,
+# templates with the phrase that has to stand, and the patterns of secrets with the group of the value and its least length.
+PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+STATEMENTS = [
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
+    ("apache-2", "licensed under the apache license version 2", "apache license version 2"),
+    ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
+    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("lgpl", "gnu lesser general public license", "lesser general public license"),
+    ("mpl-2", "mozilla public license version 2", "mozilla public license"),
+    ("bsd", "redistribution and use in source and binary forms", "source and binary forms"),
+]
+SECRETS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    ("signed", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("keyblock", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]+", 0, 80),
+]
 
 
 def _text(s: str) -> str:
@@ -39,9 +60,9 @@ from sized left join one on one.alike = sized.alike and one.n = sized.n left joi
 
 
 def license_scan() -> str:
-    """Words with their places, each template's starts from its rarest word, and its words matched there."""
-    rows = [(k, label, t.split(), None) for k, (label, t) in enumerate(BASE)]
-    rows += [(len(BASE) + k, label, t.split(), key.split()) for k, (label, t, key) in enumerate(TEMPLATES)]
+    """Words with their places, each template's starts from the rarest word of what has to stand, and its words matched there."""
+    rows = [(k, label, t.split(), None) for k, (label, t) in enumerate(PHRASES)]
+    rows += [(len(PHRASES) + k, label, t.split(), key.split()) for k, (label, t, key) in enumerate(STATEMENTS)]
     at = lambda t, key: next(i for i in range(len(t)) if t[i : i + len(key)] == key)
     values = ", ".join(f"({k}, {_text(label)}, [{', '.join(map(_text, t))}], {at(t, key) if key else 0}, {len(key or t)}, {'true' if key is None else 'false'})" for k, label, t, key in rows)
     return rf"""
@@ -51,7 +72,7 @@ worded as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B
 placed as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from worded),
 known as (select * from placed where w in (select w from slots)),
 rare as (select slots.w, count(distinct doc_id) as n from slots left join known on known.w = slots.w group by slots.w),
-anchors as (select k, arg_min(slots.w, n * 1000 + o) as w from slots join rare on rare.w = slots.w group by k),
+anchors as (select k, arg_min(slots.w, n * 1000 + o) as w from slots join templates using (k) join rare on rare.w = slots.w where o >= lo and o < lo + size group by k),
 starts as (select distinct known.doc_id, k, i - o as s from anchors join slots using (k, w) join known using (w)),
 matched as (
   select starts.doc_id, k, s, count(*) as n, count(*) filter (o >= lo and o < lo + size) as n_key
@@ -74,23 +95,23 @@ from worded left join told on told.doc_id = worded.doc_id
 def secret_scan() -> str:
     """Matches with the lengths of what lies before them, owners of each value, and the spans put together."""
     parts = []
-    for k, (name, pattern, group, least) in enumerate(KINDS):
-        rx = _text(pattern.replace(r"\s", r"\x09-\x0D\x20"))
+    for k, (name, pattern, group, least) in enumerate(SECRETS):
+        rx = _text(pattern)
         parts.append(f"""
   select doc_id, {k} as kind, {_text(name)} as name, {least} as least, unnest(string_split_regex(coalesce(text, ''), {rx})[:len(regexp_extract_all(coalesce(text, ''), {rx}))]) as gap,
     unnest(regexp_extract_all(coalesce(text, ''), {rx})) as whole, unnest(regexp_extract_all(coalesce(text, ''), {rx}, {group})) as value,
-    unnest(range(len(regexp_extract_all(coalesce(text, ''), {rx})))) as nth, source from documents""")
+    unnest(range(len(regexp_extract_all(coalesce(text, ''), {rx})))) as nth, source, lang from documents""")
     return rf"""
 with matches as ({" union all ".join(parts)}),
 placed as (
   select *, sum(length(gap) + length(whole)) over (partition by doc_id, kind order by nth) as stop from matches
-), spans as (select doc_id, kind, name, (stop - length(whole))::bigint as start, stop::bigint as stop, value, source from placed where length(value) >= least),
-owned as (select value, count(distinct source) + max((source is null)::int) as owners from spans group by value),
-judged as (select spans.*, owners < 3 and len(list_distinct(string_split(value, ''))) >= 8 as live from spans join owned using (value)),
+), spans as (select doc_id, kind, name, (stop - length(whole))::bigint as start, stop::bigint as stop, value, source, lang from placed where length(value) >= least),
+owned as (select value, count(distinct coalesce('o' || source, 'n')) as owners, count(distinct (coalesce('o' || source, 'n'), coalesce('l' || lang, 'n'))) as repos from spans group by value),
+judged as (select spans.*, owners < 3 and (owners < 2 or repos < 6) as live from spans join owned using (value)),
 told as (
   select doc_id, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, count(*) filter (live) as n_live,
-    coalesce(string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < {BASE_KINDS}), '') as base,
-    coalesce(string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < {BASE_KINDS} or live), '') as spans
+    coalesce(string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < 3), '') as base,
+    coalesce(string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) filter (kind < 3 or live), '') as spans
   from judged group by doc_id
 )
 select d.doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::bigint as n_access, coalesce(n2, 0)::bigint as n_hex,

@@ -25,11 +25,13 @@ DOCS = [
     (9, "token=0123456789abcdef0123456789abcdef0123 " * 3, "d"),
     (10, "ghp_" + "aB3dE5gH7j" * 4 + " x" * 20000, "e"),
     (None, "api_key: 'zzzzzz' passwd=abc password:abc-def", "e"),
+    (11, "see the mit license, not under the MIT-License", "e"),
+    (12, "see the mit license", None),
 ]
 
 
 def frame(spark, rows=DOCS):
-    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("spans", F.lit(1))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"spans": F.lit(1), "lang": F.lit(None).cast("string")})
 
 
 def words(text):
@@ -39,7 +41,7 @@ def words(text):
 
 def licence_base(text):
     w, found = words(text), []
-    for label, phrase in (("mit", "the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")):
+    for label, phrase in (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")):
         p = phrase.split()
         found += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
     return len(w), len(found), min((i for i, _ in found), default=None), max((i for i, _ in found), default=None), ",".join(sorted({x for _, x in found}))
@@ -64,7 +66,7 @@ def test_licenses(spark, table):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
     if table == "small":
         labels = {r["doc_id"]: r["labels"] for r in rows}
-        assert labels[6] == "gpl-3" and labels[2] == labels[3] == "" and labels[4] == "apache-2,cc-by-nc"
+        assert labels[6] == "gpl-3" and labels[11] == "mit" and labels[12] == "" and {r["doc_id"]: r["first_word"] for r in rows}[11] == 5 and labels[2] == labels[3] == "" and labels[4] == "apache-2,cc-by-nc"
 
 
 def test_license_without_its_rarest_word(spark):
@@ -86,20 +88,28 @@ def test_secrets(spark):
 def test_ownership_separates_examples(spark):
     value = "password = hunter2xyzABC"
     rows = [(i, value, f"s{i}") for i in range(3)] + [(9, "password = onlyHere123", "s1"), (10, "password = onlyHere123", "s1")]
-    live = {r["doc_id"]: len(r["live"]) for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    live = {r["doc_id"]: len(r["live"]) for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))).collect()}
     assert live == {0: 0, 1: 0, 2: 0, 9: 1, 10: 1}
 
 
+def test_copies_of_two_owners_count_by_repository(spark):
+    """Six repositories of two owners make an example; any number of one owner's don't."""
+    one, two, three = (f"password = {x}Value99" for x in ("many", "few", "own"))
+    rows = [(i, one, f"s{i % 2}", f"l{i // 2}") for i in range(6)] + [(10 + i, two, f"s{i % 2}", f"l{i // 2}") for i in range(5)] + [(20 + i, three, "s0", f"l{i}") for i in range(9)]
+    live = {r["doc_id"]: len(r["live"]) for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert [live[i] for i in range(6)] == [0] * 6 and [live[10 + i] for i in range(5)] == [1] * 5 and [live[20 + i] for i in range(9)] == [1] * 9
+
+
 def test_plain_secrets_of_one_owner_are_live(spark):
     rows = [(1, "password = hunter2", "one"), (2, "token: aaaabbbbaaaabbbb", "two"), (3, "passwd=123456", "a"), (4, "passwd=123456", "b"), (5, "passwd=123456", "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
     out = secret_scan(docs).join(docs, "doc_id").select("doc_id", redact(F.col("text"), F.col("live")).alias("t"))
     assert {r["doc_id"]: r["t"] for r in out.collect()} == {1: "[SECRET]", 2: "[SECRET]", 3: "passwd=123456", 4: "passwd=123456", 5: "passwd=123456"}
 
 
 def test_redaction(spark):
     text = 'é😀 token = "abcdefgh1234" end'
-    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(1, text, "s", None)], "doc_id long, text string, source string, lang string")
     out = secret_scan(docs).join(docs, "doc_id")
     assert out.select(redact(F.col("text"), F.col("live")).alias("t")).head()["t"] == 'é😀 [SECRET]" end'
 
