@@ -51,7 +51,6 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(unit: np.ndarray, part: np.ndarray, table: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs that no earlier table has together; of two blocks, those across."""
-    hashes = _hashes(unit)
     found = []
     two = part.max() > part.min()
     rows = np.flatnonzero(part == part.min()) if two else np.arange(len(unit))
@@ -61,11 +60,16 @@ def _pairs(unit: np.ndarray, part: np.ndarray, table: int, least: float) -> tupl
         close = np.triu(close, 1)
     a, b = np.nonzero(close)
     a, b = rows[a], cols[b]
+    if not len(a):
+        return a, b
+    some = np.unique(np.append(a, b))
+    hashes = np.zeros((len(unit), TABLES), dtype=np.int64)
+    hashes[some] = _hashes(unit[some])
     for lo in range(0, len(a), 100_000):
         x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
         new = ~(hashes[x, :table] == hashes[y, :table]).any(1)
         found.append((x[new], y[new]))
-    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (a, b)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
