@@ -5,50 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplescope.llm.common import row_key, stored
+from ripplescope.llm.common import row_key, stored, unused
 from ripplescope.llm.leaks import leaks
 from ripplescope.llm.pieces import encode
 from ripplescope.llm.secrets import redact, secret_scan
 from ripplescope.llm.shingles import jaccard_join
 from ripplescope.llm.toxicity import fit, score
 
-#: SQL can't express a trained score, so the pipeline is tested against brute force.
+#: SQL can't express a trained score, so every stage is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 stay."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("toxicity < 0.5").select(docs.columns)
+    """Documents that score below 0.5 stay.
+
+    Null and empty texts score by the model's bias; repeated rows go or stay
+    together; an empty table gives none. Other columns stay as they are.
+    """
+    model, name = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), unused(docs, "toxicity")
+    return score(docs, model, name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles of five words and a similarity of 0.8, the smallest id stays, and a null id only where the group has no other; texts without words stay."""
-    rows = jaccard_join(docs, words=5, percent=80).where("n_shingles > 0")
-    one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("one")).select(F.col("one.k").alias("_k"))
+    """Of each group linked by shingles of five words and a similarity of 0.8, the smallest id stays, and a null id only where the group has no other.
+
+    Null and empty texts, and those without words, stay, each row of them. Of rows
+    with the smallest id, that with the smallest key of id and text stays, and of
+    repeated rows any one. An empty table gives none.
+    """
+    rows, key = jaccard_join(docs, words=5, percent=80).where("n_shingles > 0"), unused(docs, "_k")
+    one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("one")).select(F.col("one.k").alias(key))
     worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    kept = docs.where(worded).withColumn("_k", row_key("doc_id", "text")).join(one, "_k").dropDuplicates(["_k"])
+    kept = docs.where(worded).withColumn(key, row_key("doc_id", "text")).join(one, key).dropDuplicates([key])
     return kept.select(docs.columns).unionByName(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    keys = stored(found.select(F.col("k").alias("_k")).distinct(), "pipeline-leaks")
-    return docs.withColumn("_k", row_key("doc_id", "text")).join(keys, "_k", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item stay.
+
+    Null and empty texts hold none; repeated rows go or stay together; without items
+    all stay, and an empty table gives none.
+    """
+    found, key = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), unused(docs, "_k")
+    keys = stored(found.select(F.col("k").alias(key)).distinct(), "pipeline-leaks")
+    return docs.withColumn(key, row_key("doc_id", "text")).join(keys, key, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials that look live are masked; all documents stay."""
-    found = secret_scan(docs).where(F.size("live") > 0).select(F.col("k").alias("_k"), F.col("live").alias("_live")).dropDuplicates(["_k"])
-    joined = docs.withColumn("_k", row_key("doc_id", "text")).join(stored(found, "pipeline-secrets"), "_k", "left")
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_live")))
-    size = F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    """Credentials that look live are masked, and ``n_chars`` counted anew where that was done; all documents stay.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, and an
+    empty table gives none.
+    """
+    key, live = unused(docs, "_k"), unused(docs, "_live")
+    found = secret_scan(docs).where(F.size("live") > 0).select(F.col("k").alias(key), F.col("live").alias(live)).dropDuplicates([key])
+    joined = docs.withColumn(key, row_key("doc_id", "text")).join(stored(found, "pipeline-secrets"), key, "left")
+    text = F.when(F.col(live).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(live)))
+    size = F.when(F.col(live).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return joined.withColumns({"text": text, "n_chars": size}).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces, in place of its text."""
+    """Each document's pieces, in place of its text.
+
+    Null and empty texts have no pieces; equal rows get equal pieces; an empty table
+    gives none, and other columns aren't carried.
+    """
     return encode(docs).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 

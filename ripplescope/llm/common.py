@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: shared storage, block counts, components."""
+"""Shared pieces of the text operators: shared storage, row keys, components."""
 
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is missing, as in tests, a folder of this machine is set.
+    Where the setting is missing and all of Spark runs in this process, as in tests,
+    a folder of this machine is set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,24 +39,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the bytes of ``df``; no job runs."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
-
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` gave and nothing reads any more."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-def block_count(df: DataFrame, column: str = "text", bytes_each: int = 8 << 20) -> int:
-    """Blocks that hold about ``bytes_each`` of the input, at least one per shuffle partition.
 
-    Where the optimiser knows no size, the bytes of ``column`` are added up.
-    """
-    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
-    if size >= 1 << 55:
-        size = df.agg(F.sum(F.octet_length(column).cast("long"))).head()[0] or 0
-    return int(max(least, size // bytes_each))
+def unused(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def row_key(*columns: str):
@@ -78,7 +81,8 @@ def components(edges: DataFrame, name: str = "cc", most: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stored(small, name)
+        before, now = now, stored(small, name)
+        discarded(before)
         tally = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tally == said:
             break

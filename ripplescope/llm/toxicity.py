@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: At most so many training documents of each class, the first by a hash of their id, and no longer than that many bytes.
+#: At most so many training documents of each class, the first by a hash of their id; of these, the fit leaves out texts of more bytes than that.
 MAX_TRAIN, MAX_TRAIN_BYTES = 2_500, 40_000
 BUCKETS_LOG2 = 17
 DIM = 8
@@ -161,21 +161,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).where(F.octet_length("text") <= MAX_TRAIN_BYTES).select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sorted((r["doc_id"], r["toxic"], r["t"]) for r in training_rows(docs, labels).select("doc_id", "toxic", F.col("text").cast("binary").alias("t")).limit(4 * MAX_TRAIN).collect())
-    return train([bytes(r[2]) for r in rows], [r[1] for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
+    """The model of at most ``2 * most`` labelled rows of ``docs(doc_id, text)``; one task of an executor trains it, and only the model comes to the driver.
+
+    Rows beyond the bound, of ids that stand several times, are the last by a hash of
+    their content. Without rows the model scores what it scores without both classes.
+    """
+    rows = training_rows(docs, labels, most).select("doc_id", "toxic", F.col("text").cast("binary").alias("t"))
+    rows = rows.orderBy(F.xxhash64("doc_id", "t"), "doc_id", "toxic").limit(2 * most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = sorted(x for batch in batches for x in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        if some:
+            model = train([x[2] for x in some], [x[1] for x in some])
+            yield pa.RecordBatch.from_arrays([pa.array([model.bucket.tobytes()]), pa.array([model.bias])], names=["bucket", "bias"])
+
+    found = rows.mapInArrow(run, "bucket binary, bias double").collect()  # one row, the model
+    return Model(np.frombuffer(bytes(found[0]["bucket"])), found[0]["bias"]) if found else train([], [])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``toxicity`` (0 to 1) to ``docs(text, ...)``; a former column of that name is replaced.
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """Adds ``name`` (0 to 1) to ``docs(text, ...)``; a former column of that name is replaced.
 
     Null and empty texts, and those without words, score by the bias alone. Texts
     are read whole, one Arrow batch at a time; nothing is shuffled.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    docs = docs.drop("toxicity")
-    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    docs = docs.drop(name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -193,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out += [worst(np.fromiter(map(cache.__getitem__, ws), float, len(ws))) for ws in lists]
             z = np.array(out, dtype=float) + m.bias
             value = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
