@@ -10,8 +10,9 @@ The word factor has a feature for every skip, bigram and trigram context of the
 corpus with every word after it. Fitted one family after the other under a Dirichlet
 prior, the weight of such a feature is ``log((c + m*p) / ((n + m) * p))`` and that of
 all words that a context lacks ``log(m / (n + m))``: ``c`` of the context's ``n`` uses
-have the word, ``p`` is the probability so far, and the products add up to one. This
-table grows with the corpus; it is dealt over parts and never in one place.
+have the word, ``p`` is the probability so far, ``m`` grows with the root of ``n``,
+and the products add up to one. This table grows with the corpus; it is dealt over
+parts and never in one place.
 
 The corpus is cut into words once, and kept in blocks of word numbers. Blocks ask the
 parts of the name space for the counts of their words and features (``blocks``), in
@@ -38,9 +39,10 @@ CLASSES = TOP + ENDINGS + 1  # the last is the end
 RATE, FIRST, BATCH, ROUNDS = 0.15, 1e-3, 8192, 2
 #: Tokens that one worker descends over in a round, about.
 WORKER = 1 << 23
-#: Weight of what came before, in tokens, by kind of feature, in the order in which they are fitted.
+#: Weight of what came before, by kind of feature: so many times the square root of a context's uses, as
+#: the words that follow a context grow more slowly than its uses.
 BIGRAM, SKIP, TRIGRAM = 1, 2, 3
-PRIOR = {SKIP: 300.0, BIGRAM: 60.0, TRIGRAM: 4.0}
+PRIOR = {SKIP: 100.0, BIGRAM: 10.0, TRIGRAM: 4.0}
 #: Bits of a feature's number within its part.
 FEATURE_BITS = 30
 _END = 0x5BD1E995C0FFEE11 >> 1
@@ -355,7 +357,8 @@ def corrected(t: Tokens, shares: np.ndarray, counts: dict[int, np.ndarray], n: n
     pair = np.empty(len(t.ids))
     pair[1:], pair[t.firsts] = counts[BIGRAM][:-1], ends
     for kind, total in ((SKIP, followed[two]), (BIGRAM, uses[one]), (TRIGRAM, pair)):
-        shares = (counts[kind] * (total > 0) + PRIOR[kind] * shares) / (total + PRIOR[kind])
+        weight = PRIOR[kind] * np.sqrt(np.maximum(total, 1))
+        shares = (counts[kind] * (total > 0) + weight * shares) / (total + weight)
     return shares
 
 

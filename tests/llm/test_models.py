@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from ripplescope.llm import lm, pieces, toxicity
+from ripplescope.llm import lm, pieces, suffixes, toxicity
 from ripplescope.llm.common import components
 from ripplescope.llm.leaks import lcs, leaks
 from ripplescope.llm.lm import lm_scores
@@ -116,6 +117,63 @@ def test_suffix_dedup(spark, length):
     assert suffix_dedup(docs(spark, rows[:0])).count() == 0
 
 
+def passages(rows):
+    words = [(t or "").encode().split() for _, t in rows]
+    holders = collections.defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - 50):
+            holders[tuple(w[k : k + 51])].add(i)
+    out = []
+    for (d, _), w in zip(rows, words, strict=True):
+        runs, end = 0, -1
+        for k in (k for k in range(len(w) - 50) if len(holders[tuple(w[k : k + 51])]) > 1):
+            runs, end = runs + (k > end), k + 51
+        out.append((d, runs))
+    return sorted(out, key=str)
+
+
+def shared_rows():
+    rng = random.Random(3)
+    base = [" ".join(f"v{rng.randrange(300)}" for _ in range(400)) for _ in range(6)]
+    rows = [*EDGES, (23, base[0] + " " + base[0])]
+    for i in range(60):
+        b, c, a = rng.choice(base), rng.choice(base), rng.randrange(900)
+        rows.append((100 + i, f"{rng.random()} {b[a : a + rng.randrange(300, 900)]} {rng.random()}\n{c[a // 2 : a // 2 + rng.randrange(380, 460)]}"))
+    return rows
+
+
+def test_shared_passages(spark):
+    rows = shared_rows()
+    out = suffix_dedup(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_passages"]) for r in out), key=str) == passages(rows)
+    assert sorted(((r["doc_id"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str) == removal(rows, 400)
+
+
+def test_long_texts_go_in_pieces(monkeypatch):
+    """The rounds in this process, with three blocks and pieces far shorter than the texts."""
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    rows = [(i, t) for i, t in shared_rows() if t]
+    blocks, asked, answers = [], [], pa.Table.from_batches([suffixes.table_of([], suffixes.ANSWERED)])
+    for i in range(3):
+        raws = [t.encode() for _, t in rows[i::3]]
+        blocks.append({"block": i, "sizes": suffixes.squeezed(np.array([len(r) for r in raws], np.uint32)), "raw": pa.compress(b"".join(raws), codec="zstd", asbytes=True)})
+    for name in ("first", "second", "third"):
+        asked = pa.Table.from_batches([suffixes.table_of([r for b in blocks for r in getattr(suffixes.Rounds(b, 400, 62, answers.filter(pa.compute.equal(answers.column("block"), b["block"]))), name)()], suffixes.ASKED)]).to_pylist()
+        said = [a for p in {(r["part"], r["kind"]) for r in asked} for a in suffixes._answered(pa.Table.from_pylist([r for r in asked if (r["part"], r["kind"]) == p]))]
+        answers = pa.concat_tables([answers, pa.Table.from_batches([suffixes.table_of(said, suffixes.ANSWERED)])])
+    removed, runs = removal(rows, 400), passages(rows)
+    for i, b in enumerate(blocks):
+        done = suffixes.Rounds(b, 400, 62, answers.filter(pa.compute.equal(answers.column("block"), i)))
+        covered = np.zeros(len(done.texts.data) + 1, dtype=np.int64)
+        for lo, hi in zip(*[x.tolist() for x in done.removed()], strict=True):
+            covered[lo] += 1
+            covered[hi + 400] -= 1
+        gone = np.add.reduceat((np.cumsum(covered) > 0).astype(int), done.texts.starts)
+        want = collections.Counter((r[0], r[1]) for r in removed)
+        assert not collections.Counter(zip([r[0] for r in rows[i::3]], gone.tolist(), strict=True)) - want
+        assert not collections.Counter(zip([r[0] for r in rows[i::3]], done.shared_passages().tolist(), strict=True)) - collections.Counter(runs)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 16))
@@ -177,35 +235,69 @@ def test_lm_tells_rare_contexts_apart(spark):
     assert rows[1] > 0.72 * rows[0]  # 0.5 if each second word were certain
 
 
-def test_word_shares_add_up_to_one():
-    t = lm.Tokens([b"a b c a b", b"", b"c b a c"])
-    grams = lm.Grams(t, 6)
-    asked = [(p, 0, *raw) for p, raw in grams.packed(np.ones(len(t.ids), bool))]
-    held = {}
-    for p in {a[0] for a in asked}:
-        part = pa.table([pa.array([a[i] for a in asked if a[0] == p]) for i in range(6)], names=["part", "block", "keys", "lengths", "words", "uses"])
-        held[p] = lm._answered(part).to_pylist()[0]
-    uses, total, kinds = (np.concatenate([lm._opened(held[p][x], np.int64) for p in sorted(held)]) for x in ("uses", "total", "kinds"))
-    want = collections.Counter()
-    for k, x in enumerate(t.contexts()):
-        want.update(zip([k] * len(x), x.tolist(), t.ids.tolist(), strict=True))
-    got = [uses[grams.where[k * len(t.ids) + i]] for k in range(lm.FEATURES) for i in range(len(t.ids))]
-    assert got == [want[k, x, i] for k, c in enumerate(t.contexts()) for x, i in zip(c.tolist(), t.ids.tolist(), strict=True)]
-    for i in range(len(t.ids)):  # all words after the context of token i
-        n, m, share = {}, {}, np.full(len(t.names), 1 / len(t.names))
-        for k in lm.CHAIN:
-            at = k * len(t.ids) + i
-            n[k], m[k] = total[grams.at[at]], kinds[grams.at[at]]
-            share = (np.array([want[k, t.contexts()[k][i].item(), w] for w in range(len(t.names))]) + m[k] * share) / (n[k] + m[k])
-        own = grams.corrected(np.full(len(t.ids), 1 / len(t.names)), uses, total, kinds)[i]
-        assert np.isclose(share.sum(), 1) and np.isclose(own, share[t.ids[i]])
-
-
-def test_class_shares_add_up_to_one():
-    t = lm.Tokens([b"a b c a b", b"", b"c"])
+def token_block(monkeypatch, texts, held):
+    monkeypatch.setattr(lm, "numbers", itertools.count)
+    (block,) = lm._cut(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(held)], names=["doc_id", "text", "held"])]))
+    return lm.Tokens(block.to_pylist()[0])
+
+
+def test_tokens(monkeypatch):
+    texts = ["  A b\tc a\x0b b ", "", None, "É\u00a0x C", " \n"]
+    t = token_block(monkeypatch, texts, [False] * 5)
+    want = [[*(x or "").encode().lower().split(), None] for x in texts]
+    assert t.sizes.tolist() == [len(w) for w in want]
+    names = {}
+    for i, w in zip(t.ids.tolist(), itertools.chain(*want), strict=True):
+        assert names.setdefault(i, w) == w
+    assert len(names) == len({x for w in want for x in w}) == len(t.names)
+
+
+def test_word_shares_add_up_to_one(monkeypatch):
+    """After any context, over all words; the counts of two blocks are told to both."""
+    texts, held = ["a b c a b", "", "c b a c", "a b d", None, "c a b a"], [False, False, False, True, False, False]
+    blocks = [token_block(monkeypatch, texts[:3], held[:3]), token_block(monkeypatch, texts[3:], held[3:])]
+    blocks[1].block = 1
+    asked = [r for t in blocks for kind, x in t.features(2) for keys, where in [lm.distinct(x)] for r in lm.asks(t.block, kind, keys, lm.FEATURE_BITS, np.bincount(where[t.learnt], minlength=len(keys)).astype(np.uint32))]
+    table = pa.Table.from_batches([lm.table_of(asked, lm.ASKED)]).to_pylist()
+    rows = [a for p, k in {(r["part"], r["kind"]) for r in table} for a in lm._answered_features(pa.Table.from_pylist([r for r in table if (r["part"], r["kind"]) == (p, k)]))]
+    own = pa.Table.from_batches([lm.table_of(rows, lm.ANSWERED)])
+    words = [[*(x or "").split(), "<end>"] for x in texts]
+    learnt = [w for w, h in zip(words, held, strict=True) if not h]
+    uses, lasts = collections.Counter(x for w in learnt for x in w), collections.Counter(w[-2] for w in learnt if len(w) > 1)
+    seen = {k: collections.Counter() for k in lm.PRIOR}
+    before = lambda w, i: ((w[i - 1] if i else "<begin>"), (w[i - 2] if i > 1 else "<begin>"))
+    for w in learnt:
+        for i, x in enumerate(w):
+            one, two = before(w, i)
+            for k, c in ((lm.BIGRAM, one), (lm.SKIP, two), (lm.TRIGRAM, (two, one))):
+                seen[k][c, x] += 1
+    vocabulary = sorted({x for w in words for x in w})
+    for t, own_words in zip(blocks, (words[:3], words[3:]), strict=True):
+        told = own.filter(pa.compute.equal(own.column("block"), t.block))
+        counts = {k: lm.told(told, k, "first", np.int64)[lm.distinct(x)[1]] for k, x in t.features(2)}
+        flat = list(itertools.chain(*own_words))
+        name = dict(zip(t.ids.tolist(), flat, strict=True))
+        n, last = (np.array([c[name[i]] for i in range(len(t.names))]) for c in (uses, lasts))
+        got = lm.corrected(t, np.full(len(flat), 1 / len(vocabulary)), counts, n, last, uses["<end>"])
+        at = 0
+        for w in own_words:
+            for i, x in enumerate(w):
+                one, two = before(w, i)
+                share = dict.fromkeys(vocabulary, 1 / len(vocabulary))
+                for k, c in ((lm.SKIP, two), (lm.BIGRAM, one), (lm.TRIGRAM, (two, one))):
+                    total = sum(v for (y, _), v in seen[k].items() if y == c) if (k, c) != (lm.SKIP, "<begin>") else 0
+                    m = lm.PRIOR[k] * math.sqrt(max(total, 1))
+                    share = {v: ((seen[k][c, v] if total else 0) + m * p) / (total + m) for v, p in share.items()}
+                assert math.isclose(sum(share.values()), 1) and math.isclose(share[x], got[at], rel_tol=1e-9), (w, i, x)
+                at += 1
+
+
+def test_class_shares_add_up_to_one(monkeypatch):
+    t = token_block(monkeypatch, ["a b c a b", "", "c"], [False] * 3)
     w = lm.Weights()
-    w.descend(t.rows(), t.classes({})[t.ids], np.full((lm.FEATURES, 1 << lm.ROWS_LOG2), lm.FIRST, np.float32), np.zeros((lm.FEATURES, 1 << lm.ROWS_LOG2), np.float32))
-    shares = sum(np.exp(w.log_shares(t.rows(), np.full(len(t.ids), c))) for c in range(lm.CLASSES))
+    none = np.zeros(0, np.uint64)
+    w.descend(t.rows(), t.classes(none)[t.ids], np.full((lm.FEATURES, 1 << lm.ROWS_LOG2), lm.FIRST, np.float32), np.zeros((lm.FEATURES, 1 << lm.ROWS_LOG2), np.float32))
+    shares = sum(w.shares(t.rows(), np.full(len(t.ids), c)) for c in range(lm.CLASSES))
     assert np.allclose(shares, 1, atol=1e-4)
 
 
@@ -247,6 +339,8 @@ def test_pieces(spark):
         assert pieces.decode(model, ids[a:b]) == t
         if "▁".encode() not in t:
             assert ids[a:b].tolist() == sp.encode(t.decode())
+    odd = b"ab \xff\xfe c\xc3 \xe2\x96 x"  # no UTF-8
+    assert pieces.decode(model, pieces.encode_block(model, [odd], keys[:1], 0.2, 0, 1)[0]) == odd
     seeds = []
     for seed in (1, 2, 1):
         ids, n = pieces.encode_block(model, texts, keys, 0.3, 4, seed)
