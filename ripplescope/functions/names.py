@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FULL_NAME = r"^[A-Za-z_][\w]*(\.[A-Za-z_][\w`+]*)+$"
-FILE_LIKE = r"(?i)\.(dll|exe|cs|csproj|txt|xml|json|trx)$"
+# The form of a test's full name, and endings of files that a listing can name.
+FULL_NAME = r"^[A-Za-z_][A-Za-z0-9_.+`<>]*\z"
+FILE_LIKE = r"(?i)\.(dll|exe|cs|csproj|trx|json|xml)\z"
 
 
 def strip_args(name: Column) -> Column:
     """Without the arguments of a parameterised case."""
-    return F.regexp_replace(name, r"(?s)\(.*\)$", "")
+    return F.regexp_replace(name, r"(?s)\(.*\)\z", "")
 
 
 def is_full_name(name: Column) -> Column:
+    """Names with generic arguments and nested types count, files don't."""
     return name.rlike(FULL_NAME) & ~name.rlike(FILE_LIKE)
 
 
 def class_of_listed(name: Column) -> Column:
-    """Class of a listed test: arguments go, then what follows the last dot; null where that is no full name."""
-    plain = F.trim(strip_args(name))
-    cut = F.regexp_extract(plain, r"^(.+)\.[^.]*$", 1)
-    return F.when((cut != "") & plain.rlike(FULL_NAME), cut)
+    """Class of a listed test: arguments go, then what follows the last dot; null where what is left is no full name."""
+    cut = F.regexp_extract(strip_args(name), r"(?s)^(.+)\.[^.]*\z", 1)
+    return F.when(cut.rlike(FULL_NAME), cut)
 
 
 def class_of_run(name: Column) -> Column:
-    """Class of a name that ran: what stands before the last dot outside of parentheses, or all of it."""
+    """Class of a name that ran: what stands before the last dot outside of parentheses, or all of it; one that closes too many opens none."""
     step = lambda a, c: F.struct(
         (a["at"] + 1).alias("at"),
-        (a["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"),
+        F.greatest(F.lit(0), a["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"),
         F.when((c == ".") & (a["depth"] == 0), a["at"]).otherwise(a["dot"]).alias("dot"),
     )
     found = F.aggregate(F.split(name, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("dot")), step, lambda a: a["dot"])
@@ -122,15 +123,26 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0)))
 
 
-_NAME = r"[\w.]+(?:<[^<>]*>)?"
+# Names as written, and the calls that register a service with its implementation.
+_NAME = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*(?:<[^<>]*>)?"
+_GAP = r"[\s\p{Z}]*"
+_TWO_NAMES = rf"\b(?:Try)?(?:AddScoped|AddSingleton|AddTransient|RegisterType){_GAP}<{_GAP}({_NAME}){_GAP},{_GAP}({_NAME}){_GAP}>"
+_ONE_NAME_NEW = rf"\b(?:AddScoped|AddSingleton|AddTransient){_GAP}<{_GAP}({_NAME}){_GAP}>{_GAP}\({_GAP}new[\s\p{{Z}}]+({_NAME}){_GAP}[({{]"
 
 
 def registrations(text: Column) -> Column:
     """Pairs (service, impl) that a source registers, each once, without pairs of one name."""
-    two = r"\.(?:Add|TryAdd)(?:Scoped|Singleton|Transient)[\s\p{Z}]*<[\s\p{Z}]*(" + _NAME + r")[\s\p{Z}]*,[\s\p{Z}]*(" + _NAME + r")[\s\p{Z}]*>"
-    one = r"\.(?:Add|TryAdd)(?:Scoped|Singleton|Transient)[\s\p{Z}]*<[\s\p{Z}]*(" + _NAME + r")[\s\p{Z}]*>[\s\p{Z}]*\([^;]*?new[\s\p{Z}]+(" + _NAME + ")"
     pairs = []
-    for rx in (two, one):
+    for rx in (_TWO_NAMES, _ONE_NAME_NEW):
         services, impls = (F.regexp_extract_all(text, F.lit(rx), F.lit(i)) for i in (1, 2))
         pairs.append(F.arrays_zip(services.alias("service"), impls.alias("impl")))
     return F.array_distinct(F.filter(F.concat(*pairs), lambda p: p["service"] != p["impl"]))
+
+
+# Attributes that mark a method as a test.
+TEST_ATTRIBUTES = ["FactAttribute", "TheoryAttribute", "TestAttribute", "TestCaseAttribute", "TestMethodAttribute", "DataTestMethodAttribute"]
+
+
+def is_test_class(fqn: Column, attributes: Column, in_test_assembly: Column) -> Column:
+    """Whether a type's methods carry a test attribute, in an assembly of tests; what a compiler made is none."""
+    return in_test_assembly & F.arrays_overlap(attributes, F.array(*map(F.lit, TEST_ATTRIBUTES))) & ~F.contains(fqn, F.lit("<"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Folders whose files are never sources, and extensions that count as ones.
+#: The folder in a repository where this engine keeps its state.
+STATE_FOLDER = ".ripplescope"
+# Folders whose files are never sources or never copied, extensions that can ask for whole projects, and those that are watched.
 BUILD_FOLDERS = ["obj", "bin"]
 UNWATCHED_FOLDERS = ["bin", "obj", ".git", "node_modules"]
-OVERLAY_FOLDERS = ["bin", "obj", ".git", ".vs", "node_modules", "packages", "TestResults"]
-FALLBACK_EXTENSIONS = ["cs", "csproj", "props", "targets", "json", "config", "razor", "cshtml", "resx", "xaml", "sln"]
+OVERLAY_FOLDERS = ["bin", "obj", "node_modules", ".git", ".vs", STATE_FOLDER, "packages"]
+FALLBACK_EXTENSIONS = ["cs", "csproj", "props", "targets", "config", "resx", "json", "xml", "razor", "cshtml"]
+WATCHED_EXTENSIONS = ["cs", "razor", "cshtml"]
 
 
 def file_key(path: Column) -> Column:
@@ -31,12 +34,16 @@ def in_repo_tree(path: Column) -> Column:
     return ~path.startswith("/") & ~path.rlike(r"^[A-Za-z]:") & ~F.arrays_overlap(inside, F.array(*map(F.lit, BUILD_FOLDERS)))
 
 
+def has_extension(path: Column, extensions: list[str]) -> Column:
+    return path.rlike(r"(?i)\.(" + "|".join(extensions) + r")\z")
+
+
 def fallback_eligible(path: Column) -> Column:
-    return path.rlike(r"(?i)\.(" + "|".join(FALLBACK_EXTENSIONS) + ")$")
+    return has_extension(path, FALLBACK_EXTENSIONS)
 
 
 def watchable(path: Column) -> Column:
-    return fallback_eligible(path) & ~_has_folder(path, UNWATCHED_FOLDERS)
+    return has_extension(path, WATCHED_EXTENSIONS) & ~_has_folder(path, UNWATCHED_FOLDERS)
 
 
 def overlay_skipped(path: Column) -> Column:

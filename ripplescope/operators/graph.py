@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import discarded, stored
 
 
-def closure(edges: DataFrame, roots: DataFrame, capped: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, capped: DataFrame | None = None) -> DataFrame:
     """``(root, node)``: all that each root of ``roots(root)`` reaches, itself included.
 
     Nodes of ``capped(node)`` are reached but not passed. Each round follows only
@@ -20,13 +22,24 @@ def closure(edges: DataFrame, roots: DataFrame, capped: DataFrame | None = None,
         edges = edges.join(capped.select(F.col("node").alias("src")), "src", "left_anti")
     edges = stored(edges, "closure-edges")
     frontier = reached = stored(roots.select("root", F.col("root").alias("node")).distinct(), "closure")
-    for _ in range(most):
+    while True:  # each round finds a new pair, and there are only so many
         step = frontier.join(edges, frontier.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         frontier = stored(step.join(reached, ["root", "node"], "left_anti"), "closure")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError("the walk has not ended")
+
+
+def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(node)``: all that any of ``sources(node)`` reaches, themselves included; a row a node, however many sources there are."""
+    edges = stored(edges.select("src", "dst").distinct(), "reached-edges")
+    frontier = found = stored(sources.select("node").distinct(), "reached")
+    while True:
+        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        frontier = stored(step.join(found, "node", "left_anti"), "reached")
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -47,13 +60,12 @@ def dependents_to(edges: DataFrame, changed: DataFrame, targets: DataFrame) -> D
 
     A null among the changed, something without an owner, reaches every target.
     """
-    known = changed.where("node is not null").select(F.col("node").alias("root"))
-    hit = closure(reversed_edges(edges), known).select("node").distinct()
+    hit = reached(reversed_edges(edges), changed.where("node is not null"))
     everything = targets.join(changed.where("node is null").limit(1).select(F.lit(1).alias("all")))
     return targets.join(hit, "node", "left_semi").select("node").union(everything.select("node")).distinct()
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, level)``: a node's level is above those of all it depends on (``src`` depends on ``dst``), within ``nodes(node)``.
 
     Nodes on a cycle and those above one have no level and are left out.
@@ -62,13 +74,14 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
     inside = edges.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi").distinct()
     inside, left = stored(inside, "levels-edges"), stored(own, "levels")
     done = None
-    for level in range(most):
+    for level in itertools.count():  # each round takes some nodes out
         waiting = inside.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         ready = stored(left.join(waiting, "node", "left_anti"), "levels")
         if ready.isEmpty():
             break
         done = ready.withColumn("level", F.lit(level)) if done is None else done.union(ready.withColumn("level", F.lit(level)))
-        left = stored(left.join(ready, "node", "left_anti"), "levels")
+        before, left = left, stored(left.join(ready, "node", "left_anti"), "levels")
+        discarded(before)
     return done if done is not None else own.limit(0).withColumn("level", F.lit(0))
 
 
@@ -111,6 +124,12 @@ def abstraction_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(targets, "dst").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("file")).alias("abstract_files"))
 
 
+def name_candidates(nodes: DataFrame) -> DataFrame:
+    """``(node, short, files)`` of ``nodes(node, fqn, is_enum, is_const_only, files)``: what compiled code can lose, so that only a text names it; with files, and short names of three characters or more that aren't generic."""
+    short = F.substring_index("fqn", ".", -1)
+    return nodes.where((F.col("is_enum") | F.col("is_const_only")) & (F.size("files") > 0) & (F.length(short) >= 3) & ~F.contains(short, F.lit("<"))).select("node", short.alias("short"), "files")
+
+
 def mention_edges(mentions: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``(src, dst)`` for nodes whose own text has a candidate's short name as a word.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
+from ..sources.shared import stored
 
 # An edge goes from 4 contradictions on if they outnumber twice the confirmations; unseen for 30 days it goes too; coverage is fresh for 7 days.
 DROP_AT, DROP_RATIO = 4, 2
@@ -35,6 +39,52 @@ def mined_pairs(measurements: DataFrame) -> DataFrame:
     return pairs.where(F.col("from_key") != paths.file_key(F.col("to"))).distinct()
 
 
+def _ranked(events: DataFrame) -> DataFrame:
+    """``events(from_key, seq)`` with ``r``: its number among those of its key, in order.
+
+    Rows are dealt by ranges of key and order, so that a key that all measurements
+    have is numbered in many tasks; what the tasks before hold of it is added.
+    """
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(events.repartitionByRange(parts, "from_key", "seq").withColumn("part", F.spark_partition_id()), "evidence-order")
+    counts = dealt.groupBy("from_key", "part").agg(F.count("*").alias("n"))
+    before = counts.select("from_key", "part", (F.sum("n").over(Window.partitionBy("from_key").orderBy("part")) - F.col("n")).alias("before"))
+    within = dealt.withColumn("r", F.row_number().over(Window.partitionBy("from_key", "part").orderBy("seq")))
+    return within.join(before, ["from_key", "part"]).select("from_key", "seq", (F.col("r") + F.col("before")).alias("r"))
+
+
+def _settle(live: bool, confirms: int, contradicts: int, misses: int) -> tuple[bool, int]:
+    """An edge after so many measurements without it."""
+    if not live:
+        return live, contradicts
+    most = max(DROP_AT, DROP_RATIO * confirms + 1)
+    return (False, most) if contradicts + misses >= most else (True, contradicts + misses)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams the rows of each edge in order; the state of one edge is held. The last row of an edge has no ``r`` but the number of all measurements."""
+    names = ["from_key", "to", "source", "confirms", "contradicts", "last_seq", "since"]
+    now, state = None, None
+    for batch in batches:
+        out = []
+        for key, to, r, mined, seq, total, seeded in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if now != (key, to):
+                now, state = (key, to), [seeded, "parsed" if seeded else "mined", 0, 0, None, 1, 0]
+            live, source, confirms, contradicts, last, since, before = state
+            live, contradicts = _settle(live, confirms, contradicts, (total if r is None else r - 1) - before)
+            if r is None:
+                if live:
+                    out.append((key, to, source, confirms, contradicts, last, since))
+                continue
+            if live:
+                confirms, last = confirms + 1, seq
+            elif mined:
+                live, source, confirms, contradicts, last, since = True, "mined", 1, 0, seq, r
+            state = [live, source, confirms, contradicts, last, since, r]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+
 def evidence(measurements: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """The bindings after all measurements, in their order.
 
@@ -42,40 +92,37 @@ def evidence(measurements: DataFrame, seeds: DataFrame | None = None) -> DataFra
     edge (from_key, to), the measurements of classes that refer to ``from_key`` are
     its events: one that mines it activates it or confirms it, else one whose files
     have ``to`` confirms a known edge, and one without contradicts it; an edge that
-    has too many contradictions goes, and can come back. The fold is sequential per
-    edge and parallel over edges. ``seeds(from_key, to)`` are parsed edges at the start.
+    has too many contradictions goes, and can come back. ``seeds(from_key, to)`` are
+    parsed edges at the start; ``evidence`` has the classes that mined an edge since it
+    was last activated, in that order.
+
+    Only measurements that have an edge's file make rows: what lies between two of
+    them is a difference of numbers. These rows are folded in a stream, sorted by
+    edge, sequentially per edge and in parallel over edges.
 
     Returns ``from_key, to, source, confirms, contradicts, last_seq, evidence``.
     """
-    referring = measurements.select("seq", "class_fqn", "measured", F.explode("abstract_files").alias("a")).select("seq", "class_fqn", "measured", paths.file_key(F.col("a")).alias("from_key")).dropDuplicates(["seq", "from_key"])
-    mined = mined_pairs(measurements).select("seq", "from_key", "to", F.lit(True).alias("mined"))
+    referring = measurements.select("seq", F.explode("abstract_files").alias("a")).select("seq", paths.file_key(F.col("a")).alias("from_key")).distinct()
+    mined = mined_pairs(measurements).select("seq", "class_fqn", "from_key", "to")
     edges = mined.select("from_key", "to", F.lit(False).alias("seeded"))
     if seeds is not None:
         edges = edges.union(seeds.select("from_key", "to", F.lit(True)))
     edges = edges.groupBy("from_key", "to").agg(F.bool_or("seeded").alias("seeded"))
-    events = referring.join(edges, "from_key").join(mined, ["seq", "from_key", "to"], "left")
-    events = events.select("from_key", "to", "seeded", F.struct("seq", F.coalesce("mined", F.lit(False)).alias("mined"), F.array_contains("measured", F.col("to")).alias("has"), "class_fqn").alias("e"))
-    lists = events.groupBy("from_key", "to", "seeded").agg(F.array_sort(F.collect_list("e")).alias("events"))
-    if seeds is not None:
-        quiet = edges.where("seeded").join(lists, ["from_key", "to"], "left_anti").withColumn("events", F.array().cast(lists.schema["events"].dataType))
-        lists = lists.unionByName(quiet.select(lists.columns))
-    state = "struct<live:boolean,source:string,confirms:bigint,contradicts:bigint,last_seq:bigint,evidence:array<string>>"
+    ranked = _ranked(referring)
+    files = measurements.select("seq", F.explode(F.array_distinct("measured")).alias("to")).join(measurements.select("seq", F.explode("abstract_files").alias("a")), "seq")
+    files = files.select("seq", paths.file_key(F.col("a")).alias("from_key"), "to", F.lit(False).alias("mined"))
+    met = files.union(mined.select("seq", "from_key", "to", F.lit(True))).groupBy("seq", "from_key", "to").agg(F.bool_or("mined").alias("mined"))
+    met = stored(met.join(edges, ["from_key", "to"]).join(ranked, ["from_key", "seq"]), "evidence-met")
+    total = ranked.groupBy("from_key").agg(F.max("r").alias("total"))
+    ends = edges.join(total, "from_key", "left").select("from_key", "to", F.lit(None).cast("long").alias("r"), F.lit(False).alias("mined"), F.lit(None).cast("long").alias("seq"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "seeded")
+    rows = met.select("from_key", "to", F.col("r").cast("long").alias("r"), "mined", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("total"), "seeded").union(ends)
+    folded = rows.repartition("from_key", "to").sortWithinPartitions("from_key", "to", F.asc_nulls_last("r")).mapInArrow(_folded, "from_key string, to string, source string, confirms long, contradicts long, last_seq long, since long")
+    folded = stored(folded, "evidence-folded")
+    told = met.where("mined").join(folded.select("from_key", "to", "since"), ["from_key", "to"]).where("r >= since")
+    told = told.join(mined, ["seq", "from_key", "to"]).groupBy("from_key", "to", "class_fqn").agg(F.min("r").alias("r"))
+    told = told.groupBy("from_key", "to").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "class_fqn"))), lambda x: x["class_fqn"]).alias("evidence"))
     none = F.array().cast("array<string>")
-
-    def made(live, source, confirms, contradicts, last, seen):
-        return F.struct(live.alias("live"), source.alias("source"), confirms.cast("long").alias("confirms"), contradicts.cast("long").alias("contradicts"), last.cast("long").alias("last_seq"), seen.alias("evidence")).cast(state)
-
-    null = F.lit(None).cast("long")
-    start = F.when(F.col("seeded"), made(F.lit(True), F.lit("parsed"), F.lit(0), F.lit(0), null, none)).otherwise(made(F.lit(False), F.lit("mined"), F.lit(0), F.lit(0), null, none))
-
-    def step(s, e):
-        again = made(F.lit(True), s["source"], s["confirms"] + 1, s["contradicts"], e["seq"], F.array_union(s["evidence"], F.array(e["class_fqn"])))
-        fresh = made(F.lit(True), F.lit("mined"), F.lit(1), F.lit(0), e["seq"], F.array(e["class_fqn"]))
-        against = made(~dropped(s["confirms"], s["contradicts"] + 1), s["source"], s["confirms"], s["contradicts"] + 1, s["last_seq"], s["evidence"])
-        return F.when(s["live"] & (e["mined"] | e["has"]), again).when(e["mined"], fresh).when(s["live"], against).otherwise(s)
-
-    out = lists.select("from_key", "to", F.aggregate("events", start, step).alias("s"))
-    return out.where("s.live").select("from_key", "to", "s.source", "s.confirms", "s.contradicts", "s.last_seq", "s.evidence")
+    return folded.join(told, ["from_key", "to"], "left").select("from_key", "to", "source", "confirms", "contradicts", "last_seq", F.coalesce("evidence", none).alias("evidence"))
 
 
 def decayed(bindings: DataFrame, now_ms: int) -> DataFrame:
@@ -95,8 +142,9 @@ def binding_counts(bindings: DataFrame) -> DataFrame:
 
 
 def targets(unmeasured: DataFrame, resolved: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``(class_fqn, score)``: the classes whose measuring would tell most; an abstraction counts with its number of entries, an entry that stands twice twice."""
-    open_ones = unmeasured.select("class_fqn", F.explode("abstract_files").alias("a")).join(resolved.select(F.col("abstract_file").alias("a")).distinct(), "a", "left_anti")
+    """``(class_fqn, score)``: the classes whose measuring would tell most; an abstraction counts with its number of entries, an entry that stands twice twice. Files are the same whatever their case."""
+    known = resolved.select(F.lower("abstract_file").alias("a")).distinct()
+    open_ones = unmeasured.select("class_fqn", F.explode("abstract_files").alias("a")).select("class_fqn", F.lower("a").alias("a")).join(known, "a", "left_anti")
     share = open_ones.groupBy("a").agg(F.count("*").alias("n"))
     scored = open_ones.join(share, "a").groupBy("class_fqn").agg(F.sum("n").alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "class_fqn").limit(budget)

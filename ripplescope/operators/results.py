@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, paths
 
 
 def method_verdicts(outcomes: DataFrame) -> DataFrame:
@@ -86,12 +86,15 @@ def failure_first(classes: DataFrame, last_failures: DataFrame) -> DataFrame:
     return joined.withColumn("run_pass", F.coalesce("run_pass", F.lit(1))).orderBy("run_pass", "class_fqn")
 
 
-def failure_location(stack: Column, root: str) -> Column:
-    """(file, line) of the first stack frame below ``root``."""
+def failure_location(stack: Column, root: str, shadow: str | None = None) -> Column:
+    """(file, line) of the first stack frame below ``root``, whatever the case and slashes; frames below ``shadow`` are as if they were below ``root``."""
     rx = r"(?m)\bin (.+?):line (\d+)"
     files, lines = (F.regexp_extract_all(stack, F.lit(rx), F.lit(i)) for i in (1, 2))
-    frames = F.arrays_zip(F.transform(files, lambda f: F.replace(f, F.lit("\\"), F.lit("/"))).alias("file"), F.transform(lines, lambda x: x.cast("int")).alias("line"))
-    return F.get(F.filter(frames, lambda f: F.startswith(F.lower(f["file"]), F.lit(root.lower().rstrip("/") + "/"))), F.lit(0))
+    flat = lambda f: F.rtrim(F.replace(f, F.lit("\\"), F.lit("/")), F.lit("/"))
+    home = root.replace("\\", "/").rstrip("/")
+    own = (lambda f: paths.remapped(flat(f), F.lit(shadow.replace("\\", "/").rstrip("/")), F.lit(home))) if shadow else flat
+    frames = F.arrays_zip(F.transform(files, own).alias("file"), F.transform(lines, lambda x: x.cast("int")).alias("line"))
+    return F.get(F.filter(frames, lambda f: (F.lower(f["file"]) == home.lower()) | F.startswith(F.lower(f["file"]), F.lit(home.lower() + "/"))), F.lit(0))
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:

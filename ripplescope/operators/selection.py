@@ -31,8 +31,8 @@ class Affected:
 
 
 def index(class_map: DataFrame) -> DataFrame:
-    """``(file_key, class_fqn)`` from ``class_map(class_fqn, files)``."""
-    return class_map.select(F.explode("files").alias("file"), "class_fqn").select(paths.file_key(F.col("file")).alias("file_key"), "class_fqn").distinct()
+    """``(file_key, class_fqn)`` from ``class_map(class_fqn, files)``; a pair can stand twice, as those who look it up keep few of them."""
+    return class_map.select(F.explode("files").alias("file"), "class_fqn").select(paths.file_key(F.col("file")).alias("file_key"), "class_fqn")
 
 
 def usable(changed: DataFrame) -> DataFrame:
@@ -105,6 +105,27 @@ def pruned(class_map: DataFrame, live_classes: DataFrame, live_projects: DataFra
     return joined.where(F.when(F.col("_d"), F.col("_c")).otherwise(F.col("_p"))).select(class_map.columns)
 
 
+def alive(static: DataFrame, discovered: DataFrame) -> DataFrame:
+    """``(project, class_fqn)`` that are known to exist, of ``static(project, class_fqn)`` and ``discovered(project, classes)``.
+
+    A project whose discovery found nothing isn't among them by that, so that a
+    listing that failed silently prunes nothing.
+    """
+    return static.select("project", "class_fqn").union(discovered.select("project", F.explode("classes"))).distinct()
+
+
+# The refs that are asked for a branch's base, the first that there is.
+BASE_REFS = ["@{upstream}", "origin/HEAD", "origin/main", "origin/master"]
+
+
+def base_ref(refs: DataFrame) -> DataFrame:
+    """``(repo, base)`` of ``refs(repo, name, target)``: the branch's upstream, else what origin's head points to, else its main or master. Repositories without any have no row."""
+    target = F.when(F.col("name").isin(BASE_REFS[:2]), F.nullif(F.trim("target", F.lit(" \t\r\n")), F.lit(""))).otherwise(F.col("name"))
+    rank = F.array_position(F.array(*map(F.lit, BASE_REFS)), F.col("name"))
+    told = refs.where(F.col("name").isin(BASE_REFS)).select("repo", target.alias("base"), rank.alias("rank")).where((F.col("base") != "") & (F.col("base") != BASE_REFS[1]))
+    return told.groupBy("repo").agg(F.min_by("base", "rank").alias("base"))
+
+
 def merged_map(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     """The map after new rows: static never replaces coverage unless forced; coverage keeps static abstractions."""
     o, n = old.select(F.struct(*old.columns).alias("o"), "class_fqn"), new.select(F.struct(*old.columns).alias("n"), "class_fqn")

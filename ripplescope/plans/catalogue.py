@@ -61,14 +61,14 @@ _CLASS_FILES = "select 'C.' || o_custkey as class_fqn, 'src/p' || l_partkey as f
 @query(f"with cf as ({_CLASS_FILES}) select distinct class_fqn from cf join part on file = 'src/p' || p_partkey where p_brand = 'Brand#4' order by 1")
 def affected_classes(t: Tables) -> DataFrame:
     """Classes that a changed file belongs to."""
-    return selection.hit_classes(selection.usable(_changed(t)), selection.index(_class_map(t))).orderBy("class_fqn")
+    return selection.hit_classes(selection.usable(_changed(t)), selection.index(_class_files(t).select("class_fqn", F.array("file").alias("files")))).orderBy("class_fqn")
 
 
-@query("select 'src/p' || p_partkey as file from part where p_brand = 'Brand#4' and not exists (select 1 from orders join lineitem on o_orderkey = l_orderkey where l_partkey = p_partkey and o_orderstatus = 'P' and l_returnflag = 'R' and l_linestatus = 'O')")
+@query("select 'src/p' || p_partkey as file from part where p_brand = 'Brand#4' and not exists (select 1 from orders join lineitem on o_orderkey = l_orderkey where l_partkey = p_partkey and o_orderkey % 97 <> l_partkey % 97)")
 def unknown_files(t: Tables) -> DataFrame:
     """Changed files that no class covers."""
-    some = t.orders.where("o_orderstatus = 'P'").join(t.lineitem.where("l_returnflag = 'R' and l_linestatus = 'O'"), F.col("o_orderkey") == F.col("l_orderkey"))
-    by_file = some.select(F.concat(F.lit("src/p"), F.col("l_partkey")).alias("file_key"), F.lit("x").alias("class_fqn"))
+    both = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    by_file = both.where("o_orderkey % 97 <> l_partkey % 97").select(F.concat(F.lit("src/p"), F.col("l_partkey")).alias("file_key"), F.lit("x").alias("class_fqn"))
     return selection.unknown_files(selection.usable(_changed(t)), by_file).select("file")
 
 
@@ -172,13 +172,18 @@ def abstraction_files(t: Tables) -> DataFrame:
     return graph.abstraction_files(edges, nodes).select("node", F.array_join("abstract_files", "|").alias("abstract_files"))
 
 
-@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) as word from documents), c as (select distinct item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) as word from benchmark)
-    select item_id, count(distinct doc_id) as mentioning, count(*) as mentions from w join c using (word) where length(word) >= 12 group by item_id""")
+@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) as word from documents), c as (select distinct item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) as word from benchmark),
+    n as (select item_id, word as short, row_number() over (partition by item_id order by length(word) desc, word) as r from c), e as (select distinct doc_id, item_id from w join n on short = word where r <= 2 and length(short) >= 3 and 1000000 + item_id <> doc_id and doc_id % 7 <> item_id % 7 and not (doc_id % 11 = 0 and item_id % 3 = 0))
+    select item_id, count(*) as mentioning from e group by item_id""")
 def name_mentions(t: Tables) -> DataFrame:
-    """Texts that hold a name as a whole word, as an equi-join of words."""
-    each = t.documents.select("doc_id", F.explode(names.words(F.col("text"))).alias("word")).where("length(word) >= 12")
-    wanted = t.benchmark.select("item_id", F.explode(names.words(F.col("text"))).alias("word")).where("length(word) >= 12")
-    return each.join(wanted, "word").groupBy("item_id").agg(F.count_distinct("doc_id").alias("mentioning"), F.count("*").alias("mentions"))
+    """Texts that hold a candidate's short name as a whole word, as an equi-join of words; files that are shared and edges that exist don't count."""
+    short = t.benchmark.select("item_id", F.explode(names.words(F.col("text"))).alias("word"))
+    best = short.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("l"), "word"))), 1, 2).alias("two"))
+    nodes = best.select((F.col("item_id") + 1000000).alias("node"), F.explode("two.word").alias("word")).select("node", F.concat(F.lit("Ns.T."), "word").alias("fqn"), F.lit(True).alias("is_enum"), F.lit(False).alias("is_const_only"), F.array(F.concat(F.lit("f"), (F.col("node") - 1000000) % 7)).alias("files"))
+    mentions = t.documents.select(F.col("doc_id").alias("node"), F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file"), F.explode(names.words(F.col("text"))).alias("word"))
+    known = t.documents.where("doc_id % 11 = 0").select(F.col("doc_id").alias("src")).join(t.benchmark.where("item_id % 3 = 0").select((F.col("item_id") + 1000000).alias("dst")))
+    found = graph.mention_edges(mentions, graph.name_candidates(nodes), known)
+    return found.groupBy((F.col("dst") - 1000000).alias("item_id")).agg(F.count("*").alias("mentioning"))
 
 
 @query("""with f as (select page_id, regexp_extract(url, '://([^?#]*)', 1) as file from pages), d as (select distinct regexp_extract(file, '^([^/]*)', 1) as dir from f union select distinct regexp_extract(file, '^([^/]*/[^/]*)/', 1) from f where file like '%/%/%')
@@ -198,20 +203,11 @@ def _outcomes(t: Tables) -> DataFrame:
     )
 
 
-@query("""with m as (select l_suppkey, l_linenumber, max(case when l_returnflag = 'R' then 1 else 0 end) as f, min(case when l_returnflag = 'N' then 1 else 0 end) as s from lineitem where l_linestatus = 'O' group by all)
+@query("""with m as (select l_suppkey, l_linenumber, max(case when l_returnflag = 'R' then 1 else 0 end) as f, min(case when l_returnflag = 'N' then 1 else 0 end) as s from lineitem group by all)
     select 'C.' || l_suppkey as class_fqn, case max(case when f = 1 then 2 when s = 1 then 0 else 1 end) when 2 then 'failed' when 1 then 'passed' else 'skipped' end as verdict from m group by l_suppkey""")
 def class_verdicts(t: Tables) -> DataFrame:
     """A1, F1: failed before passed before skipped, cases of a method together."""
-    return results.class_verdicts(_outcomes(_only(t, "l_linestatus = 'O'")))
-
-
-class _Only:
-    def __init__(self, t: Tables, condition: str):
-        self.lineitem = t.lineitem.where(condition)
-
-
-def _only(t: Tables, condition: str) -> _Only:
-    return _Only(t, condition)
+    return results.class_verdicts(_outcomes(t))
 
 
 @query("""select 'C.' || l_suppkey as class_fqn, 'C.' || l_suppkey || '.M' || l_linenumber as method, sum(l_quantity) as duration_ms, bool_and(l_returnflag = 'N') as skipped, not bool_or(l_returnflag = 'R') as passed,
@@ -296,9 +292,17 @@ def mine_delta(t: Tables) -> DataFrame:
     return learning.mined_pairs(learning.with_baseline(_measurements(t)))
 
 
-@query()
+@query("""with m as (select event_id as seq, user_id::varchar as class_fqn, user_id, ['f' || trunc(value)::int % 7, 'f' || event_id % 5, 'f' || user_id % 3] as measured from events where value is not null), b as (select *, coalesce(lag(measured) over (partition by class_fqn order by seq), ['f' || user_id % 3]) as baseline from m),
+    k as (select *, unnest(['a' || user_id % 4, 'f1']) as from_key from b), mined as (select distinct seq, from_key, f as "to" from (select seq, from_key, unnest(list_filter(measured, lambda x: not list_contains(baseline, x))) as f from k) where f <> from_key), edges as (select distinct from_key, "to" from mined),
+    ev as (select k.from_key, e."to", k.seq, {'live': false, 'c': 0::bigint, 'x': 0::bigint, 'last': k.seq::bigint, 'who': [k.class_fqn], 'mined': mined.seq is not null, 'has': list_contains(k.measured, e."to")} as s from k join edges e using (from_key) left join mined on mined.seq = k.seq and mined.from_key = k.from_key and mined."to" = e."to"),
+    l as (select from_key, "to", list(s order by seq) as s from ev group by from_key, "to"),
+    done as (select from_key, "to", list_reduce(list_concat([{'live': false, 'c': 0::bigint, 'x': 0::bigint, 'last': 0::bigint, 'who': []::varchar[], 'mined': false, 'has': false}], s), lambda a, e: case
+      when a.live and (e.mined or e.has) then {'live': true, 'c': a.c + 1, 'x': a.x, 'last': e.last, 'who': case when e.mined and not list_contains(a.who, e.who[1]) then list_concat(a.who, e.who) else a.who end, 'mined': false, 'has': false}
+      when e.mined then {'live': true, 'c': 1::bigint, 'x': 0::bigint, 'last': e.last, 'who': e.who, 'mined': false, 'has': false}
+      when a.live then {'live': not (a.x + 1 >= 4 and a.x + 1 > 2 * a.c), 'c': a.c, 'x': a.x + 1, 'last': a.last, 'who': a.who, 'mined': false, 'has': false} else a end) as z from l)
+    select from_key, "to", 'mined' as source, z.c as confirms, z.x as contradicts, z.last as last_seq, list_aggregate(z.who, 'string_agg', ',') as evidence from done where z.live""")
 def evidence_fold(t: Tables) -> DataFrame:
-    """Bindings after all measurements, an ordered fold per edge; held against a sequential model in the tests."""
+    """Bindings after all measurements, an ordered fold per edge."""
     return learning.evidence(learning.with_baseline(_measurements(t))).withColumn("evidence", F.array_join("evidence", ","))
 
 
@@ -387,12 +391,12 @@ def change_verdicts(t: Tables) -> DataFrame:
     return batching.change_verdicts(rows, 86_400_000_000).select("seq", "verdict")
 
 
-@query("""with e as (select user_id as key, epoch_us(ts) as us, event_id, event_id % 10 as file, case event_type when 'error' then 'pause' when 'signup' then 'resume' when 'purchase' then 'all' else 'change' end as kind from events),
-    m as (select *, sum(case when kind = 'pause' then 1 else 0 end) over w as flush, coalesce(last_value(case kind when 'pause' then true when 'resume' then false end ignore nulls) over w, false) as held from e window w as (partition by key order by us, event_id rows unbounded preceding)),
-    h as (select key, flush, count(distinct case when kind = 'change' then file end) as n, bool_or(kind = 'all') as everything from m where held and kind in ('change', 'all') group by key, flush), r as (select key, flush, min(us) as us from m where kind = 'resume' and flush > 0 group by key, flush)
-    select key, flush::bigint as flush, us, case when everything then 0 else n end as n_files, everything from h join r using (key, flush)""")
+@query("""with e as (select user_id as key, epoch_us(ts) as us, event_id as n, event_id % 10 as file, case event_type when 'error' then 'pause' when 'signup' then 'resume' when 'purchase' then 'all' else 'change' end as kind from events),
+    turns as (select key, us, n, kind, lag(kind, 1, 'resume') over (partition by key order by us, n) as former from e where kind in ('pause', 'resume')), real as (select key, us, n, kind, row_number() over (partition by key, kind order by us, n) as flush from turns where kind <> former),
+    spans as (select a.key, a.flush, a.us as us_a, a.n as n_a, b.us as us_b, b.n as n_b from real a join real b on a.key = b.key and a.flush = b.flush and a.kind = 'pause' and b.kind = 'resume')
+    select s.key, s.flush, us_b as us, case when bool_or(e.kind = 'all') then 0 else count(distinct e.file) end as n_files, bool_or(e.kind = 'all') as everything from spans s join e on e.key = s.key and e.kind in ('change', 'all') and (e.us, e.n) > (us_a, n_a) and (e.us, e.n) < (us_b, n_b) group by s.key, s.flush, us_b""")
 def pause_resume(t: Tables) -> DataFrame:
-    """Changes of a pause come at once when it ends."""
+    """Changes of a pause come at once when it ends; a pause while paused begins none."""
     kind = F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "signup", "resume").when(F.col("event_type") == "purchase", "all").otherwise("change")
     return batching.paused(_events(t).withColumn("kind", kind))
 
@@ -534,11 +538,11 @@ def listed_tests(t: Tables) -> DataFrame:
     return records.listed_tests(raw)
 
 
-@query("""select distinct l_orderkey::varchar as id, 'src/p' || l_partkey || '.cs' as file, l_linenumber - 1 as start_line, l_suppkey::int - 1 as start_col, case when l_returnflag = 'R' then 'error' else 'warning' end as severity, 'CS' || l_suppkey as code, 'q ' || l_partkey as message from lineitem where l_suppkey > 0""")
+@query("""select distinct l_orderkey::varchar as id, 'src/p' || l_partkey || '.cs' as file, l_linenumber - 1 as start_line, l_suppkey::int as start_col, case when l_returnflag = 'R' then 'error' else 'warning' end as severity, 'CS' || l_suppkey as code, 'q ' || l_partkey as message from lineitem""")
 def build_messages(t: Tables) -> DataFrame:
     """Build output, 1-based places turned into 0-based ones, each message once."""
-    line = F.concat(F.lit("  src/p"), F.col("l_partkey"), F.lit(".cs("), F.col("l_linenumber"), F.lit(","), F.col("l_suppkey"), F.lit("): "), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning"), F.lit(" CS"), F.col("l_suppkey"), F.lit(": q "), F.col("l_partkey"), F.lit(" [a/P.csproj]"))
-    raw = t.lineitem.where("l_suppkey > 0").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_join(F.flatten(F.collect_list(F.array(line, line, F.lit("noise")))), "\n").alias("text"))
+    line = F.concat(F.lit("  src/p"), F.col("l_partkey"), F.lit(".cs("), F.col("l_linenumber"), F.lit(","), F.col("l_suppkey") + 1, F.lit("): "), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning"), F.lit(" CS"), F.col("l_suppkey"), F.lit(": q "), F.col("l_partkey"), F.lit(" [a/P.csproj]"))
+    raw = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_join(F.flatten(F.collect_list(F.array(line, line, F.lit("noise")))), "\n").alias("text"))
     return records.build_messages(raw).select("id", "file", "start_line", "start_col", "severity", "code", "message")
 
 
@@ -550,22 +554,35 @@ def run_failures(t: Tables) -> DataFrame:
     return records.run_output(raw)[0]
 
 
-@query("""select conv_id::varchar || ':' || turn as id, count(*) as n, count(*) filter (regexp_matches(x, '^\\s+\\S')) as indented from (select conv_id, turn, unnest(regexp_split_to_array(text, '\\r?\\n')) as x from conversations) group by all""")
+@query("""with lines as (select conv_id::varchar || ':' || turn as id, turn, unnest(regexp_split_to_array(text, '\\r?\\n')) as x from conversations) select id, count(*) as n, count(*) filter (regexp_matches(x, '^\\s+\\S')) as indented from lines group by id""")
 def text_lines(t: Tables) -> DataFrame:
-    """Texts by line."""
+    """The lines of texts."""
     raw = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return records.text_lines(raw).groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("line").rlike(r"^\s+\S")).alias("indented"))
 
 
-@query("""select p_partkey, p_type || '.' || p_brand as cls, replace(p_name, ' ', '&lt;') as encoded, sha1(lower(p_name))[1:12] as cache_key, (p_size * 60000)::double as ms, p_type || '.Inner' as flat, p_name as decoded from part""")
+@query("select o_custkey::varchar as id, o_custkey % 3 = 0 and bool_or(o_orderkey % 10 = 3) as bare from orders group by o_custkey")
+def bare_names(t: Tables) -> DataFrame:
+    """Listings, some without a heading, that name something without a class."""
+    line = F.when(F.col("o_orderkey") % 10 == 3, F.lit("  Adds(x: 1.5)")).otherwise(F.concat(F.lit("  Ns.C.M"), F.col("o_orderkey"), F.lit("(1.5)")))
+    heading = F.when(F.col("o_custkey") % 3 == 0, F.lit("noise\nthe FOLLOWING tests are available:\n")).otherwise(F.lit("noise\n"))
+    raw = t.orders.groupBy("o_custkey").agg(F.array_join(F.collect_list(line), "\r\n").alias("t")).select(F.col("o_custkey").cast("string").alias("id"), F.concat(heading, "t").alias("text"))
+    return records.has_bare_names(raw)
+
+
+@query("""select p_partkey, p_type || '.B' || p_size as listed, case p_partkey % 3 when 0 then 'Ns.Fix(1.5).In' when 1 then 'a).' || p_type when 2 then 'plain(' || p_type || '.x' end as ran, p_type || '.B' || p_size || '.Run' as plain, p_type || '.C' as method, sha1(lower(p_name))[1:12] as cache_key,
+    (p_size * 60000)::double as ms, p_type || '.Inner' as flat, p_name as decoded, 'List' as short, p_type || '.Outer' as top from part""")
 def scalar_names(t: Tables) -> DataFrame:
-    """Names, entities, durations and keys."""
-    method = F.concat("p_type", F.lit("."), F.regexp_replace("p_brand", "#", ""), F.lit(".Run(x: 1.5, y: (2))"))
-    encoded = F.replace("p_name", F.lit(" "), F.lit("&lt;"))
+    """Classes of names, entities, durations and keys."""
+    kind, size = F.col("p_type"), F.col("p_size").cast("string")
+    listed = F.concat(kind, F.lit(".B"), size, F.lit(".Run(x: 1.5, y: (2))"))
+    ran = F.when(F.col("p_partkey") % 3 == 0, F.lit("Ns.Fix(1.5).In.Run(a.b)")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a)."), kind, F.lit(".M"))).otherwise(F.concat(F.lit("plain("), kind, F.lit(".x")))
+    encoded = names.encode_entities(F.concat(F.lit("<&"), "p_name", F.lit("'\">")))
     return t.part.select(
-        "p_partkey", F.concat(F.regexp_extract(names.class_of_run(method), r"^([^.]*\.)", 1), F.lit("")).alias("_a"), F.concat("p_type", F.lit("."), "p_brand").alias("cls"), encoded.alias("encoded"), names.cache_key(F.col("p_name")).alias("cache_key"),
-        names.duration_ms(F.concat(F.lit("00:"), F.col("p_size"), F.lit(":00.000"))).alias("ms"), names.strip_nesting(F.concat("p_type", F.lit(".Outer+Inner"))).alias("flat"), F.replace(names.decode_entities(encoded), F.lit("<"), F.lit(" ")).alias("decoded"),
-    ).drop("_a")
+        "p_partkey", names.class_of_listed(listed).alias("listed"), names.class_of_run(ran).alias("ran"), names.strip_args(listed).alias("plain"), names.class_of_method(F.concat(kind, F.lit(".C.Run"))).alias("method"), names.cache_key(F.col("p_name")).alias("cache_key"),
+        names.duration_ms(F.concat(F.lit("00:"), size, F.lit(":00.000"))).alias("ms"), names.strip_nesting(F.concat(kind, F.lit(".Outer+Inner"))).alias("flat"), F.regexp_replace(names.decode_entities(encoded), "[<&'\">]", "").alias("decoded"),
+        names.short_name(F.concat(kind, F.lit(".Outer+List`1"))).alias("short"), names.top_level(F.concat(kind, F.lit(".Outer+List`1"))).alias("top"),
+    )
 
 
 @query("""with recursive h(k, s, i, v) as (select n_nationkey, n_name, 0, 0::bigint from nation union all select k, s, i + 1, ((v * 31 + ascii(substr(s, i + 1, 1)) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 from h where i < length(s)) select k as n_nationkey, v as hash from h where i = length(s)""")
@@ -574,11 +591,18 @@ def polynomial_hashes(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", names.polynomial_hash(F.col("n_name")).alias("hash"))
 
 
-@query("""select page_id, regexp_matches(lower(url), '\\.html$') as page, lower(replace(url, '\\', '/')) as file_key from pages""")
+_PATHS = """select page_id, ['src', 'Bin', 'obj', 'a\\Node_Modules', '.git', 'x/.vs', 'Packages', 'binary'][page_id % 8 + 1] || '/p' || page_id || '.' || ['cs', 'CSPROJ', 'props', 'targets', 'config', 'resx', 'json', 'xml', 'razor', 'cshtml', 'sln', 'xaml', 'md'][page_id % 13 + 1] as path from pages"""
+
+
+@query(f"""with p as ({_PATHS}) select page_id, lower(replace(path, '\\', '/')) as file_key, regexp_matches(path, '(?i)\\.(cs|csproj|props|targets|config|resx|json|xml|razor|cshtml)$') as falls_back,
+    regexp_matches(path, '(?i)\\.(cs|razor|cshtml)$') and not regexp_matches(path, '(?i)(^|[/\\\\])(bin|obj|\\.git|node_modules)[/\\\\]') as watched, regexp_matches(path, '(?i)(^|[/\\\\])(bin|obj|node_modules|\\.git|\\.vs|packages)[/\\\\]') as skipped, not regexp_matches(path, '(?i)^(bin|obj)/') as inside from p""")
 def path_predicates(t: Tables) -> DataFrame:
-    """Keys and predicates of paths."""
-    url = F.col("url")
-    return t.pages.select("page_id", F.lower(url).rlike(r"\.html$").alias("page"), paths.file_key(url).alias("file_key"))
+    """Keys and predicates of paths."""
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("page_id") % n).cast("int"))
+    path = F.concat(pick(["src", "Bin", "obj", "a\\Node_Modules", ".git", "x/.vs", "Packages", "binary"], 8), F.lit("/p"), F.col("page_id"), F.lit("."), pick(["cs", "CSPROJ", "props", "targets", "config", "resx", "json", "xml", "razor", "cshtml", "sln", "xaml", "md"], 13))
+    own = t.pages.select("page_id", path.alias("path"))
+    path = F.col("path")
+    return own.select("page_id", paths.file_key(path).alias("file_key"), paths.fallback_eligible(path).alias("falls_back"), paths.watchable(path).alias("watched"), paths.overlay_skipped(path).alias("skipped"), paths.in_repo_tree(path).alias("inside"))
 
 
 @query("select project, string_agg(distinct 'Ns.C' || o_orderkey % 9, ',' order by 'Ns.C' || o_orderkey % 9) as classes from (select 'N' || o_custkey % 25 as project, o_orderkey from orders) group by project")
@@ -599,3 +623,68 @@ def latest_diagnostics(t: Tables) -> DataFrame:
     """K4: each project's last set of items."""
     rows = t.events.select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "clear").otherwise("set").alias("kind"), F.array(F.col("event_id").cast("string")).alias("items"))
     return batching.latest_diagnostics(rows)
+
+
+_KNOWN = """with recursive m as (select 'C.' || c_custkey as class_fqn, 'N' || c_nationkey as project, c_nationkey as k, c_acctbal < 3000 as static from customer),
+    mf as (select 'C.' || o_custkey as class_fqn, 'src/p' || l_partkey as file from orders join lineitem on o_orderkey = l_orderkey),
+    ch as (select 'src/p' || p_partkey as file, null::bigint as k, null::bigint as s from part where p_brand = 'Brand#4' union all select 'n' || s_nationkey || '/x' || s_suppkey || '.cs', s_nationkey, s_suppkey from supplier where s_acctbal < -800),
+    bind as (select s_nationkey as k, 'n' || s_nationkey || '/x' || s_suppkey || '.cs' as file, s_suppkey % 2 = 0 as parsed from supplier where s_acctbal < -900),
+    learnt as (select m.class_fqn, bind.file, bind.parsed from bind join ch using (file) join m on m.k = bind.k and m.static),
+    covered as (select file from learnt group by file having bool_or(parsed)),
+    own as (select distinct k from ch where k is not null and file not in (select file from covered)),
+    e as (select a.n_nationkey as src, b.n_nationkey as dst from nation a join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey > a.n_nationkey),
+    up(k) as (select k from own union select e.src from up join e on e.dst = up.k),
+    fall as (select n_nationkey as k from nation where n_nationkey in (select k from up) and n_regionkey % 2 = 0),
+    cls as (select class_fqn from mf join ch using (file) union select class_fqn from learnt)"""
+
+
+@query(f"""{_KNOWN} select 'class' as kind, class_fqn as name from cls join m using (class_fqn) where k not in (select k from fall) union all select 'project', 'N' || k from fall union all select 'file', file from ch union all select 'file', 'stray.json'""")
+def affected_selection(t: Tables) -> DataFrame:
+    """The whole selection, with learnt edges, fallback projects and changes."""
+    key = F.col("s_nationkey").cast("string")
+    file = F.concat(F.lit("n"), key, F.lit("/x"), F.col("s_suppkey"), F.lit(".cs"))
+    low = t.supplier.where("s_acctbal < -800")
+    changed = _changed(t).union(low.select(file)).union(low.select(F.concat(F.lit("n"), key, F.lit("\\bin\\x.cs")))).union(t.region.limit(1).select(F.lit("./stray.json")))
+    rows = _class_map(t).drop("project").join(t.customer.select(F.concat(F.lit("C."), F.col("c_custkey")).alias("class_fqn"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("project"), F.when(F.col("c_acctbal") < 3000, "static").otherwise("coverage").alias("source"), F.array(F.concat(F.lit("A"), F.col("c_nationkey"))).alias("abstract_files")), "class_fqn", "right").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    bindings = t.supplier.where("s_acctbal < -900").select(F.concat(F.lit("a"), key).alias("from_key"), file.alias("to"), F.when(F.col("s_suppkey") % 2 == 0, "parsed").otherwise("mined").alias("source"), F.lit(1).alias("confirms"))
+    projects_ = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("project"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("dir"), (F.col("n_regionkey") % 2 == 0).alias("is_test"))
+    a, b = t.nation.select(F.col("n_nationkey").alias("x"), "n_regionkey"), t.nation.select(F.col("n_nationkey").alias("y"), "n_regionkey")
+    refs = a.join(b, "n_regionkey").where("y > x").select(F.concat(F.lit("N"), "x").alias("src"), F.concat(F.lit("N"), "y").alias("dst"))
+    found = selection.affected(changed, rows, bindings, projects_, refs)
+    row = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    return row(found.classes, "class", "class_fqn").union(row(found.fallback_projects, "project", "project")).union(row(found.changed, "file", "file"))
+
+
+@query("""with r as (select c_custkey as repo, case when c_custkey % 2 = 0 then 'origin/u' || c_nationkey end as up, case when c_custkey % 3 = 0 then case when c_custkey % 9 = 0 then 'origin/HEAD' else 'origin/h' || c_nationkey end end as head, case when c_custkey % 5 = 0 then 'origin/main' end as main, case when c_custkey % 7 = 0 then 'origin/master' end as master from customer)
+    select repo, coalesce(up, case when head <> 'origin/HEAD' then head end, main, master) as base from r where coalesce(up, case when head <> 'origin/HEAD' then head end, main, master) is not null""")
+def base_refs(t: Tables) -> DataFrame:
+    """What a branch is compared with."""
+    k = F.col("c_custkey")
+    row = lambda n, name, target: t.customer.where(k % n == 0).select(k.alias("repo"), F.lit(name).alias("name"), target.alias("target"))
+    head = F.when(k % 9 == 0, F.lit("origin/HEAD")).otherwise(F.concat(F.lit("origin/h"), F.col("c_nationkey")))
+    refs = row(2, "@{upstream}", F.concat(F.lit("origin/u"), F.col("c_nationkey"), F.lit("\n"))).union(row(3, "origin/HEAD", head)).union(row(5, "origin/main", F.lit("c0ffee"))).union(row(7, "origin/master", F.lit("c0ffee"))).union(row(1, "origin/other", F.lit("c0ffee")))
+    return selection.base_ref(refs)
+
+
+@query("""with live as (select 'N' || c_nationkey as project, 'C' || c_custkey as class_fqn from customer where c_acctbal > 5000 union select 'N' || s_nationkey, 'C' || s_suppkey from supplier where s_nationkey % 5 <> 0),
+    old as (select 'N' || c_nationkey as project, 'C' || c_custkey as class_fqn from customer) select project, class_fqn from old where case when project in (select project from live) then class_fqn in (select class_fqn from live) else substr(project, 2)::int < 20 end""")
+def alive_rows(t: Tables) -> DataFrame:
+    """A discovery that found nothing prunes nothing."""
+    name = lambda n, c: (F.concat(F.lit("N"), F.col(n)).alias("project"), F.concat(F.lit("C"), F.col(c)))
+    project, cls = name("s_nationkey", "s_suppkey")
+    found = t.supplier.groupBy(project).agg(F.collect_set(F.when(F.col("s_nationkey") % 5 != 0, cls)).alias("classes"))
+    project, cls = name("c_nationkey", "c_custkey")
+    live = selection.alive(t.customer.where("c_acctbal > 5000").select(project, cls.alias("class_fqn")), found)
+    rows = t.customer.select(project, cls.alias("class_fqn"))
+    return selection.pruned(rows, live.select("class_fqn"), t.nation.where("n_nationkey < 20").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("project")), live.select("project"))
+
+
+@query("select l_orderkey::varchar as id, unnest(['total', 'failed', 'succeeded', 'skipped']) as counter, unnest([count(*), count(*) filter (l_returnflag = 'R'), 0, case when l_orderkey % 2 = 0 then l_orderkey % 5 else 0 end])::bigint as n from lineitem group by l_orderkey having l_orderkey % 4 > 0")
+def run_counters(t: Tables) -> DataFrame:
+    """Counters of a console run; without a total there are none, and one that is missing is 0."""
+    key = F.col("l_orderkey")
+    n = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
+    total = F.when(key % 4 > 0, F.concat(F.lit("  total: "), "n", F.lit("  \n"))).otherwise(F.lit("in total: 7\n"))
+    skipped = F.when(key % 2 == 0, F.concat(F.lit("  skipped: "), key % 5, F.lit("\nskipped: 99\n"))).otherwise(F.lit("Skipped: 4\nskipped: 3 of 4\n"))
+    raw = n.select(key.cast("string").alias("id"), F.concat(F.lit("Test run summary:\n"), total, F.lit("  failed: "), "bad", F.lit("\n"), skipped).alias("text"))
+    return records.run_output(raw)[1]

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
-# Folders that are never searched, and extensions of sources.
-SKIPPED_FOLDERS = ["bin", "obj", "node_modules", ".git", ".vs"]
-SOURCES = r"(?i)\.(cs|csproj|props|targets|razor|cshtml|resx)$"
+# Folders that are never searched, extensions that a build depends on, properties and packages of test projects.
+SKIPPED_FOLDERS = ["bin", "obj", "node_modules", ".git", ".vs", paths.STATE_FOLDER, "packages"]
+STAMPED_EXTENSIONS = ["cs", "csproj", "props", "targets", "razor", "cshtml", "resx", "config", "json", "xml", "xsl", "xsd", "txt", "sql", "tsql", "csv", "md", "html", "htm", "yml", "yaml"]
+OWN_RUNNER_PROPERTIES = ["TestingPlatformDotnetTestSupport", "UseMicrosoftTestingPlatformRunner", "EnableMSTestRunner", "EnableNUnitRunner", "EnableAspireTestingPlatform"]
+ADAPTER_PACKAGES = [r"xunit\.runner\.visualstudio", "NUnit3TestAdapter", r"MSTest\.TestAdapter", r"Microsoft\.NET\.Test\.Sdk"]
+TEST_PACKAGES = [r"Microsoft\.NET\.Test\.Sdk", 'xunit[^"]*', 'NUnit[^"]*', 'MSTest[^"]*', r'Microsoft\.Testing\.Platform[^"]*']
 
 
 def files_below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -31,12 +34,20 @@ def source_texts(spark: SparkSession, root: str, pattern: str = r"(?i)\.cs$") ->
     return named.join(files_below(spark, root, pattern).select("file"), "file", "left_semi")
 
 
+def _has_package(text: Column, names: list[str], whole: bool = True) -> Column:
+    """Whether a project file refers to a package of one of the names, or that begins so."""
+    return text.rlike(r'(?i)PackageReference\s+Include\s*=\s*"(' + "|".join(names) + (')"' if whole else ")"))
+
+
 def uses_own_runner(text: Column) -> Column:
-    """Whether a project file asks for the platform's own test runner."""
-    props = text.rlike(r"(?i)<(EnableMSTestRunner|EnableNUnitRunner|UseMicrosoftTestingPlatformRunner|TestingPlatformDotnetTestSupport)>\s*true\s*<")
-    sdk = text.rlike(r'(?i)Sdk\s*=\s*"MSTest\.Sdk')
-    adapter = text.rlike(r'(?i)Include\s*=\s*"xunit\.runner\.visualstudio"')
-    return props | sdk | (text.rlike(r'(?i)Include\s*=\s*"xunit\.v3') & ~adapter)
+    """Whether a project file asks for the platform's own test runner: by a property or its SDK, or by a package without any adapter."""
+    props = text.rlike(r"(?i)<(" + "|".join(OWN_RUNNER_PROPERTIES) + r")>\s*true\s*<")
+    sdk = text.rlike(r'(?i)Sdk\s*=\s*"MSTest\.Sdk[/"]')
+    return props | sdk | (_has_package(text, [r"xunit\.v3"], whole=False) & ~_has_package(text, ADAPTER_PACKAGES))
+
+
+def is_test_project(text: Column) -> Column:
+    return _has_package(text, TEST_PACKAGES) | uses_own_runner(text)
 
 
 def resolved(dir_: Column, ref: Column) -> Column:
@@ -51,12 +62,17 @@ def project_graph(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Projects and references of ``texts(file, text)`` of project files."""
     dir_ = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
     name = F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]+$", "")
-    is_test = F.col("text").rlike(r'(?i)(Microsoft\.NET\.Test\.Sdk|<IsTestProject>\s*true\s*<|MSTest\.Sdk)') | uses_own_runner(F.col("text"))
-    assembly = F.nullif(F.trim(F.regexp_extract("text", r"<AssemblyName>([^<]*)</AssemblyName>", 1)), F.lit(""))
-    projects = texts.select(F.col("file").alias("project"), dir_.alias("dir"), name.alias("name"), F.coalesce(assembly, name).alias("assembly_name"), is_test.alias("is_test"), uses_own_runner(F.col("text")).alias("uses_mtp"))
-    refs = texts.select(F.col("file").alias("src"), dir_.alias("d"), F.explode(F.regexp_extract_all("text", F.lit(r'<ProjectReference\s+Include\s*=\s*"([^"]+)"'), F.lit(1))).alias("ref"))
-    refs = refs.select("src", resolved(F.col("d"), F.col("ref")).alias("dst")).distinct()
-    return projects, refs.join(projects.select(F.col("project").alias("dst")), "dst", "left_semi").select("src", "dst")
+    text = F.col("text")
+    assembly = F.nullif(F.trim(F.regexp_extract("text", r"(?i)<AssemblyName>([^<$]+)</AssemblyName>", 1)), F.lit(""))
+    projects = texts.select(F.col("file").alias("project"), dir_.alias("dir"), name.alias("name"), F.coalesce(assembly, name).alias("assembly_name"), is_test_project(text).alias("is_test"), uses_own_runner(text).alias("uses_mtp"))
+    refs = texts.select(F.col("file").alias("src"), dir_.alias("d"), F.explode(F.regexp_extract_all("text", F.lit(r'(?i)ProjectReference\s+Include\s*=\s*"([^"]+)"'), F.lit(1))).alias("ref"))
+    refs = refs.select("src", F.lower(resolved(F.col("d"), F.col("ref"))).alias("k"))
+    return projects, refs.join(projects.select(F.col("project").alias("dst"), F.lower("project").alias("k")), "k").select("src", "dst").distinct()
+
+
+def content_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(file, modified_ms, size)`` of all files below ``root`` whose change makes a build stale, contents among them."""
+    return files_below(spark, root, r"(?i)\.(" + "|".join(STAMPED_EXTENSIONS) + r")\z")
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

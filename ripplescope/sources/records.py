@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 
-# Formats of build messages and of the run summary.
-MESSAGE = r"^\s*(.+?)\((\d+),(\d+)(?:,(\d+),(\d+))?\)\s*:\s*(error|warning)\s+([A-Za-z]+\d+)\s*:\s*(.*?)(?:\s*\[([^\]]+)\])?\s*$"
-BARE_MESSAGE = r"^\s*(?:(.+?)\s*:\s*)?(error|warning)\s+([A-Za-z]+\d+)\s*:\s*(.*?)(?:\s*\[([^\]]+)\])?\s*$"
-SUMMARY = r"(?i)\b(total|failed|succeeded|skipped):\s*(\d+)"
+# Formats of build messages, the heading of a listing, and the counters of a run's summary.
+MESSAGE = r"^\s*(.+?)\((\d+),(\d+)(?:,(\d+),(\d+))?\)\s*:\s*(error|warning)\s+([A-Z]+\d+)\s*:\s*(.*?)(?:\s+\[([^\]]+)\])?\s*$"
+BARE_MESSAGE = r"^\s*(\S(?:.*?\S)?)\s*:\s*(error|warning)\s+([A-Z]+\d+)\s*:\s*(.*?)(?:\s+\[([^\]]+)\])?\s*$"
+LISTING = r"(?i)following tests are available"
+COUNTERS = ["total", "failed", "succeeded", "skipped"]
 
 
 def _record_fold(chunks, renames, parts):
@@ -57,53 +58,70 @@ def text_lines(raw: DataFrame) -> DataFrame:
     return raw.select("id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
-def listed_tests(raw: DataFrame, marker: str = "The following Tests are available:") -> DataFrame:
-    """``(id, test)``: what a listing names. With the marker, every line below it that isn't blank; without, only full names."""
-    lines = text_lines(raw).withColumn("test", F.trim("line"))
-    at = lines.where(F.contains("line", F.lit(marker))).groupBy("id").agg(F.min("line_no").alias("at"))
-    joined = lines.join(at, "id", "left")
-    below = F.col("at").isNotNull() & (F.col("line_no") > F.col("at")) & F.col("line").rlike(r"^\s+\S")
-    return joined.where(below | (F.col("at").isNull() & names.is_full_name(F.col("test")))).select("id", "test").distinct()
+def _listing(raw: DataFrame, marker: str) -> DataFrame:
+    """``(id, line_no, test, at)``: lines without arguments, and the place of the first heading of their text."""
+    lines = text_lines(raw).withColumn("test", names.strip_args(F.trim(F.regexp_replace("line", r"^\s+|\s+\z", ""))))
+    at = lines.where(F.col("line").rlike(marker)).groupBy("id").agg(F.min("line_no").alias("at"))
+    return lines.join(at, "id", "left").where((F.col("test") != "") & (F.col("at").isNull() | (F.col("line_no") > F.col("at"))))
 
 
-def has_bare_names(raw: DataFrame, marker: str = "The following Tests are available:") -> DataFrame:
-    """``(id, bare)``: whether a listing with the marker names something that is no full name."""
-    listed = listed_tests(raw.where(F.contains("text", F.lit(marker))), marker)
-    found = listed.groupBy("id").agg(F.bool_or(~names.is_full_name(names.strip_args(F.col("test")))).alias("bare"))
+def listed_tests(raw: DataFrame, marker: str = LISTING) -> DataFrame:
+    """``(id, test)``: full names, without arguments, that a listing has.
+
+    Below the heading, every line that is a full name with a class; without a heading,
+    only names of two dots or more that are no files.
+    """
+    test = F.col("test")
+    plain = test.rlike(names.FULL_NAME) & names.class_of_listed(test).isNotNull()
+    strict = ~test.rlike(names.FILE_LIKE) & (F.size(F.split(test, r"\.")) >= 3)
+    return _listing(raw, marker).where(plain & (F.col("at").isNotNull() | strict)).select("id", "test").distinct()
+
+
+def has_bare_names(raw: DataFrame, marker: str = LISTING) -> DataFrame:
+    """``(id, bare)``: whether a listing with the heading names something that tells no class."""
+    found = _listing(raw, marker).where("at is not null").groupBy("id").agg(F.bool_or(names.class_of_listed(F.col("test")).isNull()).alias("bare"))
     return raw.select("id").join(found, "id", "left").fillna(False, ["bare"])
 
 
 def run_output(raw: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Failures ``(id, method, message)`` with up to ``most`` indented lines each, and counters ``(id, counter, n)``."""
+    """Failures ``(id, method, message)`` with up to ``most`` indented lines each, and counters ``(id, counter, n)``.
+
+    A counter stands alone on its line, the first such line counts, and one that is
+    missing is 0; a text without a total has none.
+    """
     from pyspark.sql import Window
 
-    rx = r"^failed (\S+) \("
+    rx = r"^failed\s+(\S+)\s+\("
     w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = text_lines(raw).withColumn("head", F.nullif(F.regexp_extract("line", rx, 1), F.lit("")))
-    breaks = F.when(F.col("line").rlike(r"^\S"), 1).otherwise(0)
-    lines = lines.withColumn("part", F.sum(breaks).over(w)).withColumn("block", F.first("line_no").over(Window.partitionBy("id", "part").orderBy("line_no")))
+    breaks = F.when(F.col("line").rlike(r"^\s+\S"), 0).otherwise(1)
+    lines = lines.withColumn("part", F.sum(breaks).over(w))
     said = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").rlike(r"^\s+\S"), F.struct("line_no", F.trim("line").alias("t"))))), lambda x: x["t"]), 1, most)
     failures = lines.groupBy("id", "part").agg(F.max("head").alias("method"), F.array_join(said, "\n").alias("message")).where("method is not null").select("id", "method", "message")
-    counts = raw.select("id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(SUMMARY), F.lit(1)).alias("c"), F.regexp_extract_all("text", F.lit(SUMMARY), F.lit(2)).alias("n"))).alias("x"))
-    return failures, counts.select("id", F.lower("x.c").alias("counter"), F.col("x.n").cast("long").alias("n"))
+    number = lambda c: F.min_by(F.regexp_extract("line", rf"^\s*{c}:\s*(\d+)\s*$", 1).try_cast("long"), F.when(F.col("line").rlike(rf"^\s*{c}:\s*\d+\s*$"), F.col("line_no"))).alias(c)
+    counts = text_lines(raw).where(F.col("line").rlike(r":\s*\d+\s*$")).groupBy("id").agg(*map(number, COUNTERS)).where("total is not null")
+    return failures, counts.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.coalesce(c, F.lit(0).cast("long")).alias("n")) for c in COUNTERS])).alias("x")).select("id", "x.counter", "x.n")
 
 
 def build_messages(raw: DataFrame) -> DataFrame:
-    """Diagnostics with 0-based places, each (file, line, column, code, message) once per text."""
-    lines = text_lines(raw)
-    g = lambda i: F.regexp_extract("line", MESSAGE, i)
-    b = lambda i: F.regexp_extract("line", BARE_MESSAGE, i)
-    full = F.col("line").rlike(MESSAGE)
-    number = lambda i: g(i).try_cast("int") - 1
-    zero = F.lit(0)
-    parsed = lines.where(full | F.col("line").rlike(BARE_MESSAGE)).select(
-        "id", "line_no", F.when(full, g(1)).otherwise(b(1)).alias("file"), F.when(full, number(2)).otherwise(zero).alias("start_line"), F.when(full, number(3)).otherwise(zero).alias("start_col"),
-        F.when(full, F.coalesce(number(4), number(2))).otherwise(zero).alias("end_line"), F.when(full, F.coalesce(number(5), number(3))).otherwise(zero).alias("end_col"),
-        F.when(full, g(6)).otherwise(b(2)).alias("severity"), F.when(full, g(7)).otherwise(b(3)).alias("code"), F.when(full, g(8)).otherwise(b(4)).alias("message"), F.nullif(F.when(full, g(9)).otherwise(b(5)), F.lit("")).alias("project"),
+    """Diagnostics with 0-based places, each (file, line, column, code, message) once per text.
+
+    Each line is matched once, into fields between U+0001, which counts as a blank in
+    a line; only what has no place is matched again by the bare form.
+    """
+    lines = text_lines(raw).select("id", "line_no", F.translate("line", "\x01", " ").alias("line")).where(F.contains("line", F.lit("error")) | F.contains("line", F.lit("warning")))
+    fields = lambda rx, order: F.regexp_replace("line", rx, "\x01".join(f"${i}" if i else "" for i in order))
+    full = lines.withColumn("f", fields(MESSAGE, [1, 2, 3, 4, 5, 6, 7, 8, 9]))
+    both = full.withColumn("f", F.when(F.contains("f", F.lit("\x01")), F.col("f")).otherwise(fields(BARE_MESSAGE, [1, 0, 0, 0, 0, 2, 3, 4, 5]))).where(F.contains("f", F.lit("\x01")))
+    f = lambda i: F.get(F.col("f"), F.lit(i))
+    number = lambda i, other=None: F.coalesce(f(i).try_cast("int") - 1, *([] if other is None else [f(other).try_cast("int") - 1]), F.lit(0))
+    parsed = both.withColumn("f", F.split("f", "\x01")).select(
+        "id", "line_no", f(0).alias("file"), number(1).alias("start_line"), number(2).alias("start_col"), number(3, 1).alias("end_line"), number(4, 2).alias("end_col"),
+        f(5).alias("severity"), f(6).alias("code"), f(7).alias("message"), F.nullif(f(8), F.lit("")).alias("project"),
     )
     key = ["id", "file", "start_line", "start_col", "code", "message"]
     rest = [c for c in parsed.columns if c not in key and c != "line_no"]
-    return parsed.groupBy(*key).agg(*[F.min_by(c, "line_no").alias(c) for c in rest])
+    return parsed.groupBy(*key).agg(F.min_by(F.struct(*rest), "line_no").alias("r")).select(*key, "r.*")
 
 
 def host_registrations(raw: DataFrame) -> DataFrame:
@@ -120,6 +138,17 @@ def declarations(raw: DataFrame) -> DataFrame:
     return carried_namespace(lines).select(F.col("file").alias("id"), "fqn", "line")
 
 
+def method_lines(raw: DataFrame, methods: DataFrame) -> DataFrame:
+    """``(id, method, line)``: the first line of each source text ``raw(id, text)`` that declares one of ``methods(id, method)``.
+
+    A declaration begins with how it can be reached, and its name stands before a
+    parenthesis or type arguments.
+    """
+    lines = text_lines(raw).where(F.col("line").rlike(r"^\s*(public|internal|protected|private)"))
+    named = lines.select("id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"\b(\w+)\s*[(<]"), F.lit(1))).alias("method"))
+    return named.join(methods.select("id", "method").distinct(), ["id", "method"], "left_semi").groupBy("id", "method").agg(F.min("line_no").alias("line"))
+
+
 def command_line(args: list[str]) -> dict:
     """Command, files and flags; ValueError for what isn't known."""
     flags = {"--base": str, "--format": str, "--repo": str, "--ci": bool, "--staged": bool}

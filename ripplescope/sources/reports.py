@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 COVERAGE = "_filename string, lines struct<line:array<struct<_number:string,_hits:string>>>"
 RESULT = "_testId string, _testName string, _outcome string, _duration string, Output struct<ErrorInfo:struct<Message:string,StackTrace:string>>"
 DEFINITION = "_id string, TestMethod struct<_className:string,_name:string>"
@@ -35,3 +37,46 @@ def test_outcomes(spark: SparkSession, path: str) -> DataFrame:
     results = _read(spark, path, "UnitTestResult", RESULT, ".trx").select(F.col("_testId").alias("test_id"), F.col("_testName").alias("name"), F.col("_outcome").alias("outcome"), F.col("_duration").alias("duration"), F.col("Output.ErrorInfo.Message").alias("message"), F.col("Output.ErrorInfo.StackTrace").alias("stack"))
     definitions = _read(spark, path, "UnitTest", DEFINITION, ".trx").select(F.col("_id").alias("test_id"), F.col("TestMethod._className").alias("class_fqn"), F.col("TestMethod._name").alias("method")).dropDuplicates(["test_id"])
     return joined_results(results, definitions)
+
+
+def source_roots(spark: SparkSession, path: str) -> DataFrame:
+    """``(report, pos, dir)``: the source folders that coverage files name, in their order."""
+    rows = _read(spark, path, "sources", "source array<string>", ".cobertura.xml")
+    return rows.select("report", F.posexplode("source").alias("pos", "dir"))
+
+
+def resolved_files(hits: DataFrame, roots: DataFrame, existing: DataFrame, root: str) -> DataFrame:
+    """``hits(report, file, ...)`` with files relative to ``root``.
+
+    A relative file is below the first of its report's source folders where it
+    exists, by ``existing(path)`` of absolute files, else below ``root``; one that is
+    then outside of ``root`` keeps its absolute path.
+    """
+    absolute = F.col("file").rlike(r"^(/|[A-Za-z]:)")
+    there = existing.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path")).distinct()
+    tried = hits.where(~absolute).select("report", "file").distinct().join(roots, "report")
+    tried = tried.select("report", "file", "pos", F.concat(F.rtrim(F.replace("dir", F.lit("\\"), F.lit("/")), F.lit("/")), F.lit("/"), "file").alias("path")).join(there, "path", "left_semi")
+    found = tried.groupBy("report", "file").agg(F.min_by("path", "pos").alias("path"))
+    whole = F.when(absolute, F.col("file")).otherwise(F.coalesce("path", F.concat(F.lit(root.rstrip("/") + "/"), "file")))
+    return hits.join(found, ["report", "file"], "left").withColumn("file", paths.relative(whole, F.lit(root))).drop("path")
+
+
+def collector_settings(assemblies: list[str]) -> str:
+    """The settings file that lets both coverage collectors see only these assemblies."""
+    import re
+    from xml.etree import ElementTree
+
+    top = ElementTree.Element("RunSettings")
+    collectors = ElementTree.SubElement(ElementTree.SubElement(top, "DataCollectionRunSettings"), "DataCollectors")
+    inside = lambda node, *tags: inside(ElementTree.SubElement(node, tags[0]), *tags[1:]) if tags else node
+    own = inside(collectors, "DataCollector", "Configuration")
+    collectors[0].set("friendlyName", "Code Coverage")
+    inside(own, "Format").text = "cobertura"
+    modules = inside(own, "CodeCoverage", "ModulePaths", "Include")
+    for name in assemblies:
+        escaped = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", name)
+        inside(modules, "ModulePath").text = rf".*[/\\]{escaped}\.(dll|exe)$"
+    other = inside(collectors, "DataCollector", "Configuration")
+    collectors[1].set("friendlyName", "XPlat Code Coverage")
+    inside(other, "Include").text = ",".join(f"[{name}]*" for name in assemblies)
+    return ElementTree.tostring(top, encoding="unicode", xml_declaration=True)

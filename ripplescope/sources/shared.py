@@ -11,12 +11,18 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine is set where it is missing."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is missing and all of Spark runs in this process, as in tests, a folder
+    of this machine is set; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -29,7 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` gave and nothing reads any more."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Snapshots:
@@ -70,3 +84,18 @@ class Snapshots:
         out = fs.create(where, True)
         out.write(bytearray(json.dumps({"version": self.version, "table": name}), "utf-8"))
         out.close()
+
+
+# The kept tables of a repository: what was found and fingerprinted, what failed last, what was overlaid.
+STATE = {
+    "discovered": "project string, classes array<string>",
+    "digest": "file string, fp string",
+    "stamps": "project string, n long, newest_ms long, digest string",
+    "last_failures": "class_fqn string",
+    "overlay": "file string",
+}
+
+
+def state(spark: SparkSession, path: str, name: str, version: int = 1) -> Snapshots:
+    """One of the kept tables below ``path``."""
+    return Snapshots(spark, f"{path}/{name}", StructType.fromDDL(STATE[name]), version)

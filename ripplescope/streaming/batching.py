@@ -44,20 +44,36 @@ def change_verdicts(events: DataFrame, window_us: int, watched: str = "watched",
 
 
 def paused(events: DataFrame, key: str = "key") -> DataFrame:
-    """``(key, flush, us, n_files, everything)``: what resuming sets free.
+    """``(key, flush, us, n_files, everything)``: what resuming sets free, by pause.
 
-    ``events(key, us, seq, kind, file)`` of kinds change, all, pause and resume:
-    changes between a pause and its resume are held and come at once; a request for
-    everything swallows the files. Changes outside of pauses are not held.
+    ``events(key, us, seq, kind, file)`` of kinds change, all, pause and resume. The
+    state begins as on; a pause while paused and a resume while on change nothing.
+    Changes from a pause to its resume are held and come at once; a request for
+    everything swallows the files. With a column ``aborted``, the files of the run
+    that a pause aborts are held with them; an empty list was a run of everything.
     """
-    w = Window.partitionBy(key).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(F.col("kind") == "pause", F.lit(True)).when(F.col("kind") == "resume", F.lit(False)), ignorenulls=True)
-    marked = events.withColumn("flush", F.sum(F.when(F.col("kind") == "pause", 1).otherwise(0)).over(w)).withColumn("held", F.coalesce(state.over(w), F.lit(False)))
-    held = marked.where("held and kind in ('change', 'all')").groupBy(key, "flush").agg(F.count_distinct(F.when(F.col("kind") == "change", F.col("file"))).alias("n"), F.bool_or(F.col("kind") == "all").alias("everything"))
-    ends = marked.where("kind = 'resume' and flush > 0").groupBy(key, "flush").agg(F.min("us").alias("us"))
+    w = Window.partitionBy(key).orderBy("us", "seq")
+    turn = F.when(F.col("kind").isin("pause", "resume"), F.col("kind"))
+    state = lambda until: F.coalesce(F.last(turn, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, until)), F.lit("resume"))
+    marked = events.withColumn("_now", state(0)).withColumn("_was", state(-1))
+    stops = (F.col("kind") == "pause") & (F.col("_was") == "resume")
+    marked = marked.withColumn("flush", F.sum(F.when(stops, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = marked.where("_now = 'pause' and kind in ('change', 'all')").select(key, "flush", "kind", "file")
+    if "aborted" in events.columns:
+        run = marked.where(stops & F.col("aborted").isNotNull())
+        held = held.union(run.select(key, "flush", F.lit("change"), F.explode("aborted"))).union(run.where(F.size("aborted") == 0).select(key, "flush", F.lit("all"), F.lit(None).cast(events.schema["file"].dataType)))
+    held = held.groupBy(key, "flush").agg(F.count_distinct(F.when(F.col("kind") == "change", F.col("file"))).alias("n"), F.bool_or(F.col("kind") == "all").alias("everything"))
+    ends = marked.where("kind = 'resume' and _was = 'pause'").select(key, "flush", "us")
     return held.join(ends, [key, "flush"]).select(key, "flush", "us", F.when(F.col("everything"), 0).otherwise(F.col("n")).alias("n_files"), "everything")
 
 
+def remembered_saves(saves: DataFrame, now_us: int, window_us: int, most: int = 4096) -> DataFrame:
+    """``saves(file, us)``, each file's last one; beyond ``most`` files, those older than ten windows go."""
+    last = saves.groupBy("file").agg(F.max("us").alias("us"))
+    total = last.agg(F.count("*").alias("_n"))  # one row
+    return last.join(F.broadcast(total), F.expr(f"_n <= {most} or us >= {now_us - 10 * window_us}")).select("file", "us")
+
+
 def superseded(active: DataFrame, new: DataFrame) -> DataFrame:
     """Files of a run that takes over from an active one."""
     return active.select("file").union(new.select("file")).distinct()

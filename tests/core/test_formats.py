@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplescope.functions import names, paths
 from ripplescope.operators import results
-from ripplescope.sources import projects, records, reports
+from ripplescope.sources import projects, records, reports, shared
 from ripplescope.sources.shared import Snapshots
 from ripplescope.streaming import batching
 
@@ -19,10 +19,13 @@ def one(spark, value, expression):
 @pytest.mark.parametrize(
     ("f", "value", "want"),
     [
-        (names.strip_args, "A.B(1, (2))", "A.B"), (names.class_of_listed, "Ns.C.M(1.5)", "Ns.C"), (names.class_of_listed, "not a name", None), (names.class_of_run, "Ns.C.M(a.b)", "Ns.C"), (names.class_of_run, "plain", "plain"),
+        (names.strip_args, "A.B(1, (2))", "A.B"), (names.class_of_listed, "Ns.C.M(1.5)", "Ns.C"), (names.class_of_listed, "not a name", None), (names.class_of_listed, "Ns.C<T>.M(a.b)", "Ns.C<T>"), (names.class_of_listed, "C.M", "C"), (names.class_of_listed, ".M", None), (names.class_of_run, "Ns.C.M(a.b)", "Ns.C"), (names.class_of_run, "plain", "plain"), (names.class_of_run, "a).B.C.M", "a).B.C"), (names.class_of_run, "Ns.Fix(1.5).M(2)", "Ns.Fix(1.5)"),
         (names.strip_nesting, "Ns.Outer+Inner", "Ns.Inner"), (names.decode_entities, "&amp;lt; &lt;", "&lt; <"), (names.duration_ms, "00:00:01.5", 1500.0), (names.duration_ms, "x", 0.0), (names.stamp_newest_ms, "3:42:x", 42.0),
         (names.stamp_newest_ms, "bad", float("inf")), (names.polynomial_hash, "hello", 99162322), (names.polynomial_hash, "", 0), (names.escape_regex, "a.b", "a\\.b"), (names.short_name, "A.B`1", "B"), (names.bare_name, "A.B<C>", "A.B"),
-        (paths.watchable, "src/a.cs", True), (paths.watchable, "src/obj/a.cs", False), (paths.in_repo_tree, "x/bin/y.cs", False), (paths.in_repo_tree, "x/binary/y.cs", True), (paths.overlay_skipped, "a/node_modules/b", True),
+        (paths.watchable, "src/a.cs", True), (paths.watchable, "src/obj/a.cs", False), (paths.watchable, "src/a.json", False), (paths.watchable, "a\\Node_Modules\\b.cs", False), (paths.watchable, "src/a.Razor", True), (paths.fallback_eligible, "a/x.XML", True), (paths.fallback_eligible, "a/x.sln", False), (paths.fallback_eligible, "a/xxml", False), (paths.in_repo_tree, "x/bin/y.cs", False), (paths.in_repo_tree, "x/binary/y.cs", True), (paths.overlay_skipped, "a/node_modules/b", True), (paths.overlay_skipped, "a/.ripplescope/b", True), (paths.overlay_skipped, "a/TestResults/b", False),
+        (projects.is_test_project, '<PackageReference Include="xunit" Version="2"/>', True), (projects.is_test_project, '<PackageReference Include="Microsoft.Testing.Platform.MSBuild"/>', True), (projects.is_test_project, '<PackageReference Include="Moq"/>', False), (projects.is_test_project, "<EnableNUnitRunner> true </EnableNUnitRunner>", True),
+        (projects.uses_own_runner, '<PackageReference Include="xunit.v3"/><PackageReference Include="Microsoft.NET.Test.Sdk"/>', False), (projects.uses_own_runner, '<PackageReference Include="xunit.v3.core"/>', True), (projects.uses_own_runner, "<EnableAspireTestingPlatform>true</EnableAspireTestingPlatform>", True), (projects.uses_own_runner, '<Project Sdk="MSTest.Sdk/3.6">', True),
+        (lambda x: names.is_test_class(x, F.array(F.lit("FactAttribute")), F.lit(True)), "Ns.C", True), (lambda x: names.is_test_class(x, F.array(F.lit("FactAttribute")), F.lit(False)), "Ns.C", False), (lambda x: names.is_test_class(x, F.array(F.lit("TestAttribute")), F.lit(True)), "Ns.<C>d", False), (lambda x: names.is_test_class(x, F.array(F.lit("Obsolete")), F.lit(True)), "Ns.C", False),
     ],
 )
 def test_expressions(spark, f, value, want):
@@ -37,8 +40,8 @@ def test_paths(spark):
 
 
 def test_registrations(spark):
-    text = "services.AddScoped<IFoo, Foo>(); s.TryAddSingleton< IBar >(sp => new Ns.Bar(x)); s.AddTransient<Foo, Foo>(); services.AddScoped<IFoo, Foo>();"
-    assert [tuple(p) for p in one(spark, text, names.registrations)] == [("IFoo", "Foo"), ("IBar", "Ns.Bar")]
+    text = "services.AddScoped<IFoo, Foo>(); s.TryAddSingleton<IQux, Qux<int>>(); s.AddSingleton< IBar >( new Ns.Bar(x)); s.AddSingleton<INo>(sp => new No(sp)); RegisterType<IReg, Reg>(); s.AddTransient<Foo, Foo>(); services.AddScoped<IFoo, Foo>();"
+    assert [tuple(p) for p in one(spark, text, names.registrations)] == [("IFoo", "Foo"), ("IQux", "Qux<int>"), ("IReg", "Reg"), ("IBar", "Ns.Bar")]
 
 
 def test_record_formats(spark):
@@ -46,24 +49,28 @@ def test_record_formats(spark):
     assert [tuple(r) for r in records.status_records(raw).collect()] == [("a", " M", "f1", None), ("a", "R ", "new", "old"), ("a", "??", "q", None)]
     raw = spark.createDataFrame([("a", "M\x00f1\x00R100\x00old\x00new\x00A\x00z\x00")], "id string, text string")
     assert [tuple(r) for r in records.name_status_records(raw).collect()] == [("a", "M", "f1", None), ("a", "R", "new", "old"), ("a", "A", "z", None)]
-    raw = spark.createDataFrame([("m", "x\nThe following Tests are available:\n    A.B.C\n    bare\nend"), ("n", "A.B.C\nnoise here\nA.dll")], "id string, text string")
-    assert sorted(tuple(r) for r in records.listed_tests(raw).collect()) == [("m", "A.B.C"), ("m", "bare"), ("n", "A.B.C")]
-    assert {r["id"]: r["bare"] for r in records.has_bare_names(raw).collect()} == {"m": True, "n": False}
+    raw = spark.createDataFrame([("m", "x\nthe Following tests are available:\n    A.B.C(1, 2)\n\tbare\nA.B\n"), ("n", "A.B.C\nA.B\nnoise here\nA.B.dll\nA.G<T>.M"), ("f", "The following Tests are available:\n  A.B")], "id string, text string")
+    assert sorted(tuple(r) for r in records.listed_tests(raw).collect()) == [("f", "A.B"), ("m", "A.B"), ("m", "A.B.C"), ("n", "A.B.C"), ("n", "A.G<T>.M")]
+    assert {r["id"]: r["bare"] for r in records.has_bare_names(raw).collect()} == {"m": True, "n": False, "f": False}
 
 
 def test_run_output_and_messages(spark):
-    raw = spark.createDataFrame([("r", "failed A.B (3ms)\n  one\n  two\npassed C\n  no\nTotal: 3\nfailed: 1")], "id string, text string")
+    raw = spark.createDataFrame([("r", "failed A.B (3ms)\n  one\n  two\npassed C\n  no\nTest run summary:\n  total: 3\n  failed: 1\nfailed: 9"), ("s", "Total: 3\nin total: 4\nfailed: 1")], "id string, text string")
     failures, counts = records.run_output(raw)
     assert [tuple(r) for r in failures.collect()] == [("r", "A.B", "one\ntwo")]
-    assert sorted(tuple(r) for r in counts.collect()) == [("r", "failed", 1), ("r", "total", 3)]
-    raw = spark.createDataFrame([("b", "a.cs(3,5): error CS1: bad [p.csproj]\na.cs(3,5): error CS1: bad [p.csproj]\nMSB : warning MSB1: odd")], "id string, text string")
+    assert sorted(tuple(r) for r in counts.collect()) == [("r", "failed", 1), ("r", "skipped", 0), ("r", "succeeded", 0), ("r", "total", 3)]
+    raw = spark.createDataFrame([("b", "a.cs(3,5): error CS1: bad [p.csproj]\na.cs(3,5): error CS1: bad [p.csproj]\nMSB : warning MSB1: odd\nC:\\x (86)\\b.cs(1,2,3,4) : warning AB12: w[x] [q]\nerror CS9: no file\na.cs(1,1): error cs1: low")], "id string, text string")
     got = sorted((r["file"], r["start_line"], r["start_col"], r["severity"], r["code"], r["message"], r["project"]) for r in records.build_messages(raw).collect())
-    assert got == [("MSB", 0, 0, "warning", "MSB1", "odd", None), ("a.cs", 2, 4, "error", "CS1", "bad", "p.csproj")]
+    assert got == [("C:\\x (86)\\b.cs", 0, 1, "warning", "AB12", "w[x]", "q"), ("MSB", 0, 0, "warning", "MSB1", "odd", None), ("a.cs", 2, 4, "error", "CS1", "bad", "p.csproj")]
+    assert {(r["end_line"], r["end_col"]) for r in records.build_messages(raw).where("code = 'AB12'").collect()} == {(2, 3)}
 
 
 def test_declarations_and_command_line(spark):
     raw = spark.createDataFrame([("f", "namespace A.B;\nclass X {}\nnamespace C {\n public class Y\n class Y\n")], "id string, text string")
     assert sorted(tuple(r) for r in records.declarations(raw).collect()) == [("f", "A.B.X", 1), ("f", "C.Y", 3)]
+    raw = spark.createDataFrame([("f", "class X {\n  public void Run() {}\n  private int Run(int x) => Other<int>(x);\n void Bare() {}")], "id string, text string")
+    wanted = spark.createDataFrame([("f", m) for m in ("Run", "Other", "Bare", "None")], "id string, method string")
+    assert sorted(tuple(r) for r in records.method_lines(raw, wanted).collect()) == [("f", "Other", 2), ("f", "Run", 1)]
     assert records.command_line(["affected", "a.cs", "--format=json", "--ci"]) == {"command": "affected", "files": ["a.cs"], "format": "json", "ci": True}
     for bad in (["what"], ["status", "x"], ["affected", "--base"], ["run", "--nope"]):
         with pytest.raises(ValueError, match=r"."):
@@ -76,16 +83,23 @@ def test_xml_reports(spark, tmp_path):
     got = sorted((r["file"], r["line"], r["hits"]) for r in reports.line_hits(spark, str(tmp_path)).collect())
     assert got == [("src/Cold.cs", 1, 0), ("src/Hit.cs", 1, 5), ("src/Hit.cs", 2, 0)]
     assert [r["file"] for r in reports.hit_files(spark, str(tmp_path)).collect()] == ["src/Hit.cs"]
+    (tmp_path / "deep/B.cobertura.xml").write_text('<coverage><sources><source>/a/</source><source>/r/src</source></sources><packages><package><classes><class filename="x.cs"><lines><line number="1" hits="1"/></lines></class><class filename="gone.cs"><lines><line number="2" hits="1"/></lines></class><class filename="/sdk/y.cs"><lines><line number="3" hits="1"/></lines></class></classes></package></packages></coverage>')
+    existing = spark.createDataFrame([("/r/src/x.cs",), ("/r/gone.cs",)], "path string")
+    found = reports.resolved_files(reports.line_hits(spark, str(tmp_path)), reports.source_roots(spark, str(tmp_path)), existing, "/r/")
+    assert {r["file"] for r in found.where("report like '%B.cobertura.xml'").collect()} == {"src/x.cs", "gone.cs", "/sdk/y.cs"}
+    assert "<ModulePath>.*[/\\\\]A\\.B\\.(dll|exe)$</ModulePath>" in reports.collector_settings(["A.B", "C"]) and "<Include>[A.B]*,[C]*</Include>" in reports.collector_settings(["A.B", "C"])
     (tmp_path / "r.trx").write_text('<TestRun><Results><UnitTestResult testId="1" testName="M" outcome="Passed" duration="00:00:01.5"/><UnitTestResult testId="2" testName="Ns.D.Bad(1)" outcome="Failed"><Output><ErrorInfo><Message>a &amp;lt; b</Message><StackTrace>at X in /repo/a.cs:line 7</StackTrace></ErrorInfo></Output></UnitTestResult></Results><TestDefinitions><UnitTest id="1"><TestMethod className="Ns.C" name="M"/></UnitTest></TestDefinitions></TestRun>')
     got = {r["method"]: r for r in reports.test_outcomes(spark, str(tmp_path)).collect()}
     assert got["Ns.C.M"]["class_fqn"] == "Ns.C" and got["Ns.C.M"]["duration_ms"] == 1500.0 and got["Ns.C.M"]["passed"]
     assert got["Ns.D.Bad(1)"]["class_fqn"] == "Ns.D" and not got["Ns.D.Bad(1)"]["passed"]
     where = one(spark, "at Y in C:\\other\\b.cs:line 3\n at X in /Repo/a.cs:line 7", lambda x: results.failure_location(x, "/repo"))
     assert (where["file"], where["line"]) == ("/Repo/a.cs", 7)
+    where = one(spark, "at Y in C:\\Shadow\\src\\b.cs:line 3\n at X in /repo/a.cs:line 7", lambda x: results.failure_location(x, "/repo", "c:/shadow/"))
+    assert (where["file"], where["line"]) == ("/repo/src/b.cs", 3)
 
 
 def test_project_files(spark, tmp_path):
-    for name, text in {"src/L.csproj": "<Project></Project>", "tests/T.csproj": '<PackageReference Include="Microsoft.NET.Test.Sdk"/><ProjectReference Include="..\\src\\L.csproj"/>', "src/bin/X.csproj": "", "nested/.git/HEAD": "", "nested/N.csproj": ""}.items():
+    for name, text in {"src/L.csproj": "<Project></Project>", "tests/T.csproj": '<PackageReference Include="Microsoft.NET.Test.Sdk"/><ProjectReference Include="..\\src\\L.csproj"/>', "src/bin/X.csproj": "", "src/data.json": "{}", "packages/P.csproj": "", ".ripplescope/S.csproj": "", "nested/.git/HEAD": "", "nested/N.csproj": ""}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     texts = projects.source_texts(spark, str(tmp_path), r"(?i)\.csproj$")
@@ -93,6 +107,7 @@ def test_project_files(spark, tmp_path):
     assert {r["project"]: (r["dir"], r["is_test"]) for r in found.collect()} == {"src/L.csproj": ("src", False), "tests/T.csproj": ("tests", True)}
     assert [tuple(r) for r in refs.collect()] == [("tests/T.csproj", "src/L.csproj")]
     assert projects.fingerprints(projects.files_below(spark, str(tmp_path), r"\.csproj$")).count() == 2
+    assert {r["file"] for r in projects.content_files(spark, str(tmp_path)).collect()} == {"src/L.csproj", "src/data.json", "tests/T.csproj"}
 
 
 def test_snapshots(spark, tmp_path):
@@ -114,6 +129,26 @@ def test_debounce_boundary(spark):
     assert got == [(1, 3, 1_800_000), (2, 1, 2_800_000)]
 
 
+def test_pauses(spark):
+    """A second pause begins none, and takes up no aborted run; a resume while on frees nothing."""
+    rows = [("k", i, i, kind, f, a) for i, (kind, f, a) in enumerate([("resume", None, None), ("change", "x", None), ("pause", None, ["A", "B"]), ("change", "A", None), ("pause", None, ["Z"]), ("change", "C", None), ("resume", None, None), ("resume", None, None), ("pause", None, []), ("resume", None, None), ("pause", None, None), ("change", "D", None)])]
+    frame = spark.createDataFrame(rows, "key string, us long, seq long, kind string, file string, aborted array<string>")
+    assert sorted(tuple(r) for r in batching.paused(frame).collect()) == [("k", 1, 6, 3, False), ("k", 2, 9, 0, True)]
+    assert sorted(tuple(r) for r in batching.paused(frame.drop("aborted")).collect()) == [("k", 1, 6, 2, False)]
+
+
+def test_remembered_saves(spark):
+    saves = spark.createDataFrame([(f"f{i}", i * 100) for i in range(6)] + [("f0", 5)], "file string, us long")
+    assert batching.remembered_saves(saves, 600, 20, most=10).count() == 6
+    assert sorted(r["file"] for r in batching.remembered_saves(saves, 600, 20, most=3).collect()) == ["f4", "f5"]
+
+
+def test_kept_tables(spark, tmp_path):
+    store = shared.state(spark, str(tmp_path), "last_failures")
+    store.save(spark.createDataFrame([("Ns.C",)], "class_fqn string"))
+    assert [r["class_fqn"] for r in shared.state(spark, str(tmp_path), "last_failures").load().collect()] == ["Ns.C"]
+
+
 def test_streaming_debounce(spark, tmp_path):
     source, name = tmp_path / "in", "debounced"
     schema = "key string, file string"
