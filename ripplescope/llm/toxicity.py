@@ -24,11 +24,12 @@ DIM = 8
 WINDOW = 8
 CACHE = 400_000
 
-_KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+#: By byte, what stands for it in words: A-Z lower-cased, blanks for all of ASCII but letters and digits.
+KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_KEEP).split()
+    return (text or b"").translate(KEEP).split()
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
