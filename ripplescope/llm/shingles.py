@@ -23,6 +23,8 @@ from .vectors import _roots
 SKETCH_LOG2, SKETCH_BLOCKS = 21, 32
 #: A group holds about so many tokens at most, all members together.
 GROUP_TOKENS = 1 << 16
+#: So many sets are compared with as many others at a time.
+SIDE = 1024
 _PRIME, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -176,7 +178,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(one: tuple, two: tuple | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions) of two groups, or within one."""
+    """Edges between positions that hold together what is linked in two groups, the second's after the first's, or within one; ``SIDE`` sets of each side at a time."""
     sizes_a, tokens_a = one
     sizes_b, tokens_b = two if two is not None else one
     row_a, row_b = np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)
@@ -203,22 +205,41 @@ def _open(one: tuple, two: tuple | None, percent: int) -> tuple[np.ndarray, np.n
     ra, ca, rb, cb = row_a[inside_a], new[col_a[inside_a]], row_b[inside_b], new[col_b[inside_b]]
     line_a, line_b = np.flatnonzero(bound_a), np.flatnonzero(bound_b)
     to_a, to_b = np.cumsum(bound_a) - 1, np.cumsum(bound_b) - 1
-    overlap, step = np.zeros((len(line_a), len(line_b)), dtype=np.float32), 4096
     order_a, order_b = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
     ra, ca, rb, cb = to_a[ra[order_a]], ca[order_a], to_b[rb[order_b]], cb[order_b]
-    for lo in range(0, int(keep.sum()), step):
+    left, right, wide = [], [], int(keep.sum())
+    for x0 in range(0, len(line_a), SIDE):
+        own_a = (ra >= x0) & (ra < x0 + SIDE)
+        for y0 in range(x0 if two is None else 0, len(line_b), SIDE):
+            own_b = (rb >= y0) & (rb < y0 + SIDE)
+            o = _overlaps(ra[own_a] - x0, ca[own_a], rb[own_b] - y0, cb[own_b], min(SIDE, len(line_a) - x0), min(SIDE, len(line_b) - y0), wide)
+            a, b = line_a[x0 : x0 + SIDE], line_b[y0 : y0 + SIDE]
+            i, j = np.nonzero(100 * o >= percent * (sizes_a[a][:, None] + sizes_b[b][None, :] - o))
+            i, j = a[i], b[j]
+            if two is None:
+                i, j = i[i < j], j[i < j]
+            if len(i):  # what holds these links together
+                n, shift = len(sizes_a) + len(sizes_b) * (two is not None), len(sizes_a) * (two is not None)
+                root = _roots(n, i, j + shift)
+                on = np.flatnonzero(root != np.arange(n))
+                left.append(on)
+                right.append(root[on])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _overlaps(ra: np.ndarray, ca: np.ndarray, rb: np.ndarray, cb: np.ndarray, na: int, nb: int, wide: int) -> np.ndarray:
+    """Shared tokens of each of ``na`` sets with each of ``nb``, from (row, column) sorted by column."""
+    overlap, step = np.zeros((na, nb), dtype=np.float32), 4096
+    for lo in range(0, wide, step):
         a0, a1, b0, b1 = *np.searchsorted(ca, (lo, lo + step)), *np.searchsorted(cb, (lo, lo + step))
         if a1 > a0 and b1 > b0:
-            wide = min(step, int(keep.sum()) - lo)
-            x, y = np.zeros((len(line_a), wide), dtype=np.float32), np.zeros((len(line_b), wide), dtype=np.float32)
+            size = min(step, wide - lo)
+            x, y = np.zeros((na, size), dtype=np.float32), np.zeros((nb, size), dtype=np.float32)
             x[ra[a0:a1], ca[a0:a1] - lo] = 1
             y[rb[b0:b1], cb[b0:b1] - lo] = 1
             overlap += x @ y.T
-    o = overlap.astype(np.int64)
-    linked = 100 * o >= percent * (sizes_a[line_a][:, None] + sizes_b[line_b][None, :] - o)
-    a, b = np.nonzero(linked)
-    a, b = line_a[a], line_b[b]
-    return (a, b) if two is not None else (a[a < b], b[a < b])
+    return overlap.astype(np.int64)
 
 
 def _links(percent: int):
@@ -228,17 +249,15 @@ def _links(percent: int):
         ints = lambda raw: np.frombuffer(raw, dtype=np.int64)
         for batch in batches:
             left, right = [], []
-            for sa, na, ta, sb, nb, tb in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for row in range(batch.num_rows):  # one by one, as a row holds two groups
+                sa, na, ta, sb, nb, tb = (c[row].as_buffer() for c in batch.columns)
                 one = (ints(na), np.frombuffer(ta, dtype=np.uint64))
                 two = (ints(nb), np.frombuffer(tb, dtype=np.uint64)) if sb is not None else None
                 a, b = _open(one, two, percent)
-                if not len(a):
-                    continue
-                sids = np.concatenate((ints(sa), ints(sb))) if two else ints(sa)
-                root = _roots(len(sids), a, b + len(one[0]) * (two is not None))
-                on = np.flatnonzero(root != np.arange(len(sids)))
-                left.append(sids[on])
-                right.append(sids[root[on]])
+                if len(a):
+                    sids = np.concatenate((ints(sa), ints(sb))) if two else ints(sa)
+                    left.append(sids[a])
+                    right.append(sids[b])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
