@@ -19,8 +19,8 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 stay.
 
-    Null and empty texts score by the model's bias; repeated rows go or stay
-    together; an empty table gives none. Other columns stay as they are.
+    Null and empty texts score 0 and stay; repeated rows go or stay together; an empty
+    table gives none. Other columns stay as they are.
     """
     model, name = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), unused(docs, "toxicity")
     return score(docs, model, name).where(F.col(name) < 0.5).select(docs.columns)
@@ -60,9 +60,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, live = unused(docs, "_k"), unused(docs, "_live")
     found = secret_scan(docs).where(F.size("live") > 0).select(F.col("k").alias(key), F.col("live").alias(live)).dropDuplicates([key])
     joined = docs.withColumn(key, row_key("doc_id", "text")).join(stored(found, "pipeline-secrets"), key, "left")
-    text = F.when(F.col(live).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(live)))
-    size = F.when(F.col(live).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return joined.withColumns({"text": text, "n_chars": size}).select(docs.columns)
+    made = unused(docs, "_text")
+    joined = joined.withColumn(made, F.when(F.col(live).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(live))))
+    size = F.when(F.col(live).isNull(), F.col("n_chars")).otherwise(F.length(made).cast("long")).alias("n_chars")
+    return joined.select(*[F.col(made).alias("text") if c == "text" else size if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

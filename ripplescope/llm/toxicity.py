@@ -22,7 +22,7 @@ MAX_TRAIN, MAX_TRAIN_BYTES = 2_500, 40_000
 BUCKETS_LOG2 = 17
 DIM = 8
 WINDOW = 8
-CACHE = 400_000
+CACHE = 200_000
 
 #: By byte, what stands for it in words: A-Z lower-cased, blanks for all of ASCII but letters and digits.
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """Adds ``name`` (0 to 1) to ``docs(text, ...)``; a former column of that name is replaced.
 
-    Null and empty texts, and those without words, score by the bias alone. Texts
-    are read whole, one Arrow batch at a time; nothing is shuffled.
+    Null and empty texts, and those without words, score 0, as nothing in them is
+    toxic; an empty table gives none; repeated rows score alike. Texts are read whole, one Arrow batch at a time; nothing is shuffled.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -197,18 +197,17 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = shared.value, {}
         for batch in batches:
-            texts, out = batch.column(at).cast(pa.binary()), []
-            for lo in range(0, len(texts), 512):
-                lists = [words_of(t) for t in texts[lo : lo + 512].to_pylist()]
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                lists = [words_of(t) for t in part.column(at).cast(pa.binary()).to_pylist()]
                 fresh = list(set().union(*lists).difference(cache))
                 if len(cache) + len(fresh) > CACHE:
                     cache.clear()
                     fresh = list(set().union(*lists))
                 cache.update(zip(fresh, m.word_scores(fresh).tolist(), strict=True))
-                out += [worst(np.fromiter(map(cache.__getitem__, ws), float, len(ws))) for ws in lists]
-            z = np.array(out, dtype=float) + m.bias
-            value = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, name])
+                z = np.array([worst(np.fromiter(map(cache.__getitem__, ws), float, len(ws))) for ws in lists], dtype=float) + m.bias
+                value = np.where([len(ws) > 0 for ws in lists], 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
