@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,28 @@ def discarded(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a Python worker that gives the memory it no longer uses back to the system at its end.
+
+    Workers stay for the stages that follow, beside the executor's own memory.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name like ``name`` that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import row_key, stored, tidy
 from .toxicity import KEEP, words_of
 
 RANK, EXTRA = 128, 16
@@ -306,7 +306,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for lo in range(0, blocks, PASS):
         rows = sorted(((r["block"], r["item_id"], bytes(r["text"])) for r in items.where(F.col("block").between(lo, lo + PASS - 1)).collect()), key=str)  # about PASS * ITEM_BLOCK items
         vocabulary = {w: i for i, w in enumerate(sorted({w for *_, t in rows for w in words_of(t)}))}
-        counts = _sum(docs.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(vocabulary)), "part int, raw binary"), (len(vocabulary) + 1,))
+        counts = _sum(docs.select("text").mapInArrow(tidy(_document_counts(spark.sparkContext.broadcast(vocabulary))), "part int, raw binary"), (len(vocabulary) + 1,))
         idf = np.log((counts[-1] + 2) / (counts[:-1] + 1)) + 0.1
         idf = np.append(idf, np.median(idf) if len(idf) else 1.0)  # other words are as rare as the items' are
         some = []
@@ -316,7 +316,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if local:
                 basis = fit_basis(items.where(F.col("block") == block).select("text"), local, np.array([*(idf[vocabulary[w]] for w in local), idf[-1]]))
                 some.append(Items.of(own, vocabulary, idf, local, basis))
-        found = keyed.mapInArrow(_matches(spark.sparkContext.broadcast((vocabulary, some))), "k long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long")
+        found = keyed.mapInArrow(tidy(_matches(spark.sparkContext.broadcast((vocabulary, some)))), "k long, doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long")
         out = found if out is None else out.union(found)
     return out
 

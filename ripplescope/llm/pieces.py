@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 #: So many draws a segment at most; 0 lets each place draw anew.
@@ -342,7 +344,7 @@ def encode(docs: DataFrame, key: str = "doc_id", model_file: str = MODEL, dropou
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 lo = hi
 
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(tidy(run), schema)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, row_key, stored
+from .common import components, row_key, stored, tidy
 from .vectors import _roots
 
 #: Counters that say roughly how common a token is: 2**21, sent as blocks.
@@ -286,10 +286,10 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", row_key("doc_id", "text").alias("k"), "text")
-    profile = stored(keyed.mapInArrow(_profile(words), "doc_id long, k long, sid long, n long, block int, counts binary"), "shingle-profile")
+    profile = stored(keyed.mapInArrow(tidy(_profile(words)), "doc_id long, k long, sid long, n long, block int, counts binary"), "shingle-profile")
     levels = spark.sparkContext.broadcast(_levels(profile.where("block is not null").select("block", "counts")))
     rows = profile.where("block is null").select("doc_id", "k", "sid", "n")
-    index = stored(docs.select("text").mapInArrow(_index(levels, words, percent), "tok long, sid long, n int, central float"), "shingle-index")
+    index = stored(docs.select("text").mapInArrow(tidy(_index(levels, words, percent)), "tok long, sid long, n int, central float"), "shingle-index")
     twice = index.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1").select("tok")
     some = stored(index.select("tok", "sid").join(twice, "tok").distinct(), "shingle-twice")
     shared = some.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("tok")
@@ -319,14 +319,14 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     holders = rows.groupBy("sid").agg(F.min("k").alias("k"))
     members = groups.join(needed, "g", "left_semi").join(holders, "sid").select("k", "g", "sid")
     texts = keyed.select("k", "text").join(members, "k").select("g", "sid", "text").dropDuplicates(["sid"])
-    packed = texts.mapInArrow(_members(words), "g long, sid long, tokens binary").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_packed, "g long, sids binary, sizes binary, tokens binary")
+    packed = texts.mapInArrow(tidy(_members(words)), "g long, sid long, tokens binary").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(tidy(_packed), "g long, sids binary, sizes binary, tokens binary")
     packed = stored(packed, "shingle-packed")
     side = lambda x: packed.select(F.col("g").alias(f"g{x}"), F.col("sids").alias(f"s{x}"), F.col("sizes").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     columns = ["sa", "na", "ta", "sb", "nb", "tb"]
     across = wanted.join(side("a"), "ga").join(side("b"), "gb").select(columns)
     nothing = F.lit(None).cast("binary")
     alone = side("a").join(span.where("m > 1").select(F.col("g").alias("ga")), "ga", "left_semi").select("sa", "na", "ta", nothing.alias("sb"), nothing.alias("nb"), nothing.alias("tb"))
-    edges = across.union(alone).mapInArrow(_links(percent), "a long, b long")
+    edges = across.union(alone).mapInArrow(tidy(_links(percent)), "a long, b long")
     found = components(edges, "shingle-components").withColumnRenamed("node", "sid")
 
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: At most so many training documents of each class, the first by a hash of their id; of these, the fit leaves out texts of more bytes than that.
 MAX_TRAIN, MAX_TRAIN_BYTES = 2_500, 40_000
 BUCKETS_LOG2 = 17
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             model = train([x[2] for x in some], [x[1] for x in some])
             yield pa.RecordBatch.from_arrays([pa.array([model.bucket.tobytes()]), pa.array([model.bias])], names=["bucket", "bias"])
 
-    found = rows.mapInArrow(run, "bucket binary, bias double").collect()  # one row, the model
+    found = rows.mapInArrow(tidy(run), "bucket binary, bias double").collect()  # one row, the model
     return Model(np.frombuffer(bytes(found[0]["bucket"])), found[0]["bias"]) if found else train([], [])
 
 
@@ -209,7 +211,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
                 value = np.where([len(ws) > 0 for ws in lists], 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
