@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from ripplescope.plans.catalogue import QUERIES
 
-HEADLINE = ["affected_classes", "unknown_files", "forward_closure_capped", "hub_cap", "class_verdicts", "method_report", "line_hits_max_then_sum", "snapshot_diff", "mine_delta", "evidence_fold", "learned_selection", "learning_targets", "debounce_batches", "pause_resume", "name_mentions", "build_messages"]
+HEADLINE = ["affected_selection", "affected_classes", "unknown_files", "forward_closure_capped", "hub_cap", "class_verdicts", "method_report", "line_hits_max_then_sum", "snapshot_diff", "mine_delta", "evidence_fold", "learned_selection", "learning_targets", "debounce_batches", "pause_resume", "name_mentions", "build_messages"]
 
 
 def main() -> None:
