@@ -138,4 +138,57 @@ from embeddings left join many on a = vec_id join least on node = vec_id
 """
 
 
-ORACLE: dict[str, str] = {"op2_jaccard_join": jaccard_join(), "op6_license_scan": license_scan(), "op7_secret_scan": secret_scan(), "op10_near_vectors": near_vectors()}
+def centroids() -> str:
+    """Every distance to every centroid in whole numbers; the rounds are spelt out."""
+    assign = """
+a{r} as (
+  select row_key, v, k, d from (
+    select row_key, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept, c{r}
+  ) qualify row_number() over (partition by row_key order by d, k) = 1
+)"""
+    move = """
+m{n} as (
+  select k, list((floor_sum - case when floor_sum % n < 0 then floor_sum % n + n else floor_sum % n end) // n order by i) as c
+  from (select k, i, sum(x)::bigint as floor_sum, count(*) as n from (select k, unnest(v) as x, unnest(range(64)) as i from a{r}) group by k, i) group by k
+),
+c{n} as (select c{r}.k, coalesce(m{n}.c, c{r}.c) as c from c{r} left join m{n} using (k))"""
+    rounds = ",".join(assign.format(r=r) + "," + move.format(r=r, n=r + 1) for r in range(3)) + "," + assign.format(r=3)
+    return f"""
+with doubles as (select vec_id, embedding::double[] as e from embeddings),
+kept as (
+  select row_number() over () as row_key, vec_id, list_transform(e, lambda x: floor(64 * x)::bigint) as v from doubles
+  where len(e) = 64 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+),
+c0 as (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) - 1 as k, v as c from kept qualify k < 16),
+{rounds}
+select vec_id, a3.k::integer as cluster, d as distance, sum(d) over (partition by a3.k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(c3.c, ',')) as centroid_sha256
+from a3 join kept using (row_key) join c3 on c3.k = a3.k
+"""
+
+
+def fill_in_middle() -> str:
+    """Lists of units, cut by numbers from the hash; what is restored has to be the text."""
+    drawn = lambda i: f"('0x' || substr(h, {8 * i + 1}, 8))::bigint"
+    return rf"""
+with base as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), cut as (
+  select doc_id, text, u, len(u) as n, {drawn(0)} % (len(u) + 1) as x, {drawn(1)} % (len(u) + 1) as y, {drawn(2)} % 100 as p, {drawn(3)} % 100 as q from base
+), formed as (
+  select *, least(x, y) as a, greatest(x, y) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or p >= 90 then 'plain' when q < 20 then 'spm' else 'psm' end as form from cut
+), parts as (
+  select *, coalesce(array_to_string(u[1:a], ''), '') as pre, coalesce(array_to_string(u[a + 1:b], ''), '') as mid, coalesce(array_to_string(u[b + 1:n], ''), '') as suf from formed
+)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else text end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_jaccard_join": jaccard_join(), "op6_license_scan": license_scan(), "op7_secret_scan": secret_scan(), "op10_near_vectors": near_vectors(),
+    "op11_centroids": centroids(), "op12_fill_in_middle": fill_in_middle(),
+}
