@@ -62,13 +62,13 @@ class Model:
     def __init__(self, sample: np.ndarray, nearest: int):
         self.sample, self.nearest = sample, nearest
         self.directions = rotations(sample[:FIT], sample.shape[1])
-        code = coded(sample, self.directions)
-        some = sample[:FIT]
-        cosine, at = self._near(some, np.arange(len(some)))
-        there = at >= 0
-        share, spread = self._expected(cosine)
-        off = (apart(code[: len(some), None], code[np.maximum(at, 0)]) - BITS * share) / np.maximum(spread, 1)
-        self.reach = float(np.quantile(off[there], CHANCE)) if there.any() else 2.0
+        self.code = coded(sample, self.directions)
+        own = np.arange(min(FIT, len(sample)))
+        cosine, at = self._near(sample[own], own)
+        other = np.roll(own, 1)
+        far = self._off((sample[own] * sample[other]).sum(1), apart(self.code[own], self.code[other]))[own != other]
+        near = self._off(cosine, apart(self.code[own, None], self.code[np.maximum(at, 0)]))[at >= 0]
+        self.reach = max((float(np.quantile(off, CHANCE)) for off in (near, far) if len(off)), default=0.0)
 
     @staticmethod
     def _expected(cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +76,11 @@ class Model:
         share = np.arccos(np.clip(cosine, -1, 1)) / np.pi
         return share, np.sqrt(BITS * share * (1 - share))
 
+    def _off(self, cosine: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """By how many deviations codes are further apart than expected."""
+        share, spread = self._expected(cosine)
+        return (distance - BITS * share) / np.maximum(spread, 1)
+
     def _near(self, unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best cosines with the sample, without ``own`` (a row of the sample, or -1), and their rows; -1 where there are no more."""
         cosine, at = np.full((len(unit), self.nearest), -1.0), np.full((len(unit), self.nearest), -1)
@@ -93,7 +98,8 @@ class Model:
         """For each query a radius that holds the codes of its nearest with ``CHANCE``.
 
         The last of the nearest in the sample is no nearer than the last of the nearest
-        in all vectors. With too few in the sample the radius is the whole code.
+        in all vectors. The radius holds these of the sample in any case, so that as
+        many are found as are asked for; with too few of them it is the whole code.
         """
         mine = np.full(len(unit), -1)
         for lo in range(0, len(unit), 256):
@@ -103,6 +109,7 @@ class Model:
         cosine, at = self._near(unit, mine)
         share, spread = self._expected(cosine[:, -1])
         found = np.ceil(BITS * share + self.reach * np.maximum(spread, 1)).astype(np.int64)
+        found = np.maximum(found, apart(coded(unit, self.directions)[:, None], self.code[np.maximum(at, 0)]).max(1))
         return np.where(at[:, -1] >= 0, np.clip(found, 0, BITS), BITS)
 
 
