@@ -15,6 +15,11 @@ def strip_args(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)\(.*\)\z", "")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", "")
+
+
 def is_full_name(name: Column) -> Column:
     """Names with generic arguments and nested types count, files don't."""
     return name.rlike(FULL_NAME) & ~name.rlike(FILE_LIKE)
@@ -79,12 +84,12 @@ def escape_regex(text: Column) -> Column:
 
 
 def escape_filter(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\()&|=!~])", r"\\$1")
+    return F.regexp_replace(text, r"([()&|=!~])", r"\\$1")
 
 
 def class_filter(classes: Column) -> Column:
-    """The text of a filter that runs the classes and what is nested in them."""
-    each = F.transform(F.array_sort(F.array_distinct(classes)), lambda c: F.concat(F.lit("FullyQualifiedName~"), escape_filter(c), F.lit(".|FullyQualifiedName~"), escape_filter(c), F.lit("+")))
+    """The text of a filter that runs the classes, in their order, and what is nested in them."""
+    each = F.transform(classes, lambda c: F.concat(F.lit("FullyQualifiedName~"), escape_filter(c), F.lit(".|FullyQualifiedName~"), escape_filter(c), F.lit("+")))
     return F.array_join(each, "|")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,33 @@ def normalised(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
+def folded(path: Column) -> Column:
+    """Without ``.`` and ``..``; what climbs above the top stays."""
+    rooted = F.startswith(path, F.lit("/"))
+    none = F.array().cast("array<string>")
+    up = lambda a: (F.size(a) > 0) & (F.element_at(a, -1) != "..")
+    step = lambda a, p: F.when((p == ".") | (p == ""), a).when((p == "..") & up(a), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when((p == "..") & rooted, a).otherwise(F.concat(a, F.array(p)))
+    parts = F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), none, step)
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
+def is_absolute(path: Column) -> Column:
+    return path.rlike(r"^(/|\\\\|[A-Za-z]:[\\/])")
+
+
+def from_root(path: Column, root: str) -> Column:
+    """Relative to ``root``; outside of it, from ``root`` upwards with ``..``. A relative path stays as it is."""
+    flat, home = folded(path), [p for p in root.replace("\\", "/").split("/") if p]
+    lead = "" if re.match("[A-Za-z]:", root) else "/"
+    found = flat
+    for depth in range(len(home) + 1):  # the deepest folder that both are in wins
+        top = lead + "/".join(home[:depth])
+        inside = F.startswith(F.lower(F.concat(flat, F.lit("/"))), F.lit(top.rstrip("/").lower() + "/"))
+        rest = F.substr(flat, F.lit(len(top.rstrip("/")) + 2))
+        found = F.when(inside, F.concat(F.lit("../" * (len(home) - depth)), rest)).otherwise(found)
+    return F.when(is_absolute(path), found).otherwise(path)
+
+
 def _has_folder(path: Column, folders: list[str]) -> Column:
     return F.arrays_overlap(F.split(F.lower(path), r"[\\/]+"), F.array(*[F.lit(f.lower()) for f in folders]))
 
@@ -34,6 +63,11 @@ def in_repo_tree(path: Column) -> Column:
     return ~path.startswith("/") & ~path.rlike(r"^[A-Za-z]:") & ~F.arrays_overlap(inside, F.array(*map(F.lit, BUILD_FOLDERS)))
 
 
+def is_build_output(path: Column) -> Column:
+    """Below a folder of build output, wherever that lies."""
+    return path.rlike(r"(?i)(^|/)(" + "|".join(BUILD_FOLDERS) + ")/")
+
+
 def has_extension(path: Column, extensions: list[str]) -> Column:
     return path.rlike(r"(?i)\.(" + "|".join(extensions) + r")\z")
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, paths
 
+# How a source declares a namespace and a class.
+NAMESPACE = r"^\s*namespace\s+([A-Za-z_][\w.]*)"
+CLASS = r"^\s*(?:\[[^\]]*\]\s*)*(?:public|internal|protected|private)?\s*(?:sealed\s+|abstract\s+|static\s+|partial\s+)*class\s+([A-Za-z_]\w*)"
+
 
 def method_verdicts(outcomes: DataFrame) -> DataFrame:
     """``(class_fqn, method, verdict)``: cases of a method together. Skipped is neither passed nor failed."""
@@ -23,11 +27,17 @@ def class_verdicts(outcomes: DataFrame) -> DataFrame:
 
 
 def method_report(outcomes: DataFrame) -> DataFrame:
-    """``(class_fqn, method, duration_ms, skipped, passed, message)`` of ``outcomes(seq, ...)``; failure messages in order."""
-    bad = ~F.col("passed") & ~F.col("skipped")
-    said = F.array_sort(F.collect_list(F.when(bad & F.col("message").isNotNull(), F.struct("seq", "message"))))
-    each = outcomes.groupBy("class_fqn", names.strip_args(F.col("method")).alias("method")).agg(F.sum("duration_ms").alias("duration_ms"), F.every("skipped").alias("skipped"), (~F.bool_or(bad)).alias("passed"), said.alias("said"))
-    return each.withColumn("message", F.array_join(F.transform("said", lambda m: m["message"]), "\n")).drop("said")
+    """``(class_fqn, method, duration_ms, skipped, passed, message)`` of ``outcomes(seq, ...)``.
+
+    The message has a line ``case: message`` for each failed case, in order, with
+    ``failed`` for one that says nothing; it is null where no case failed. A skip of
+    a whole class, named like the class, is no method.
+    """
+    bad, said = ~F.col("passed") & ~F.col("skipped"), F.concat(F.col("method"), F.lit(": "), F.coalesce("message", F.lit("failed")))
+    lines = F.array_sort(F.collect_list(F.when(bad, F.struct("seq", said.alias("line")))))
+    each = outcomes.groupBy("class_fqn", names.strip_args(F.col("method")).alias("name")).agg(F.sum(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms"), F.every("skipped").alias("skipped"), (~F.bool_or(bad)).alias("passed"), lines.alias("lines"))
+    message = F.when(F.size("lines") > 0, F.array_join(F.transform("lines", lambda m: m["line"]), "\n"))
+    return each.where(~(F.col("skipped") & (F.col("name") == F.col("class_fqn")))).select("class_fqn", F.col("name").alias("method"), "duration_ms", "skipped", "passed", message.alias("message"))
 
 
 def class_report(report: DataFrame) -> DataFrame:
@@ -57,9 +67,11 @@ def forgotten(known: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def synthesised(discovered: DataFrame, failures: DataFrame) -> DataFrame:
-    """``(method_fqn, passed)``: failures as they are, everything else that was discovered as passed."""
+    """``(class_fqn, method, passed, skipped, message)``: ``failures(method_fqn, message)`` as they are, everything else of ``discovered(method_fqn)`` as passed; a name that tells no class is no test."""
     rest = discovered.select("method_fqn").distinct().join(failures.select("method_fqn"), "method_fqn", "left_anti")
-    return failures.select("method_fqn").distinct().withColumn("passed", F.lit(False)).union(rest.withColumn("passed", F.lit(True)))
+    both = failures.select("method_fqn", F.lit(False).alias("passed"), "message").union(rest.select("method_fqn", F.lit(True), F.lit(None).cast("string")))
+    told = both.withColumn("class_fqn", names.class_of_listed(F.col("method_fqn"))).where("class_fqn is not null")
+    return told.select("class_fqn", F.substr("method_fqn", F.length("class_fqn") + 2).alias("method"), "passed", F.lit(False).alias("skipped"), "message")
 
 
 def build_skips(selected: DataFrame, reach: DataFrame, failed: DataFrame) -> DataFrame:
@@ -151,13 +163,20 @@ def classes_by_project(methods: DataFrame) -> DataFrame:
 
 
 def joined_results(results: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Outcomes of a report: results ``(test_id, name, outcome, duration, message, stack)`` with the definition's class and method, else those that the name tells."""
-    joined = results.join(definitions.select("test_id", F.col("class_fqn").alias("_c"), F.col("method").alias("_m")), "test_id", "left")
-    plain = names.strip_args(F.col("name"))
+    """Outcomes of a report: results ``(test_id, name, outcome, duration, message, stack)`` with the class that ``definitions(test_id, class_fqn)`` has, without its assembly, else that of the name.
+
+    The method is the case's whole name, arguments included; a name without a dot has
+    an empty class. Empty messages and durations count as missing. Texts are as an
+    XML reader gives them, so nothing is decoded here.
+    """
+    known = F.nullif(F.substring_index("class_fqn", ",", 1), F.lit(""))
+    joined = results.join(definitions.where("test_id <> ''").select("test_id", known.alias("_c")).where("_c is not null").dropDuplicates(["test_id"]), "test_id", "left")
+    name, outcome = F.coalesce("name", F.lit("")), F.coalesce("outcome", F.lit(""))
+    own = F.regexp_extract(names.strip_args(name), r"(?s)^(.*)\.[^.]*\z", 1)
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
     return joined.select(
-        F.coalesce("_c", names.class_of_method(plain)).alias("class_fqn"), F.coalesce(F.concat("_c", F.lit("."), "_m"), F.col("name")).alias("method"),
-        (F.col("outcome") == "Passed").alias("passed"), F.col("outcome").isin("NotExecuted", "Inconclusive", "Skipped").alias("skipped"),
-        names.decode_entities(F.col("message")).alias("message"), names.decode_entities(F.col("stack")).alias("stack_trace"), names.duration_ms(F.col("duration")).alias("duration_ms"),
+        F.coalesce("_c", own).alias("class_fqn"), name.alias("method"), (outcome == "Passed").alias("passed"), outcome.isin("NotExecuted", "Inconclusive", "Skipped").alias("skipped"),
+        filled("message").alias("message"), filled("stack").alias("stack_trace"), F.when(filled("duration").isNotNull(), names.duration_ms(F.col("duration"))).alias("duration_ms"),
     )
 
 
@@ -168,8 +187,12 @@ def best_by_version(paths: DataFrame) -> DataFrame:
 
 
 def carried_namespace(lines: DataFrame) -> DataFrame:
-    """``(file, line, fqn)`` of the classes that ``lines(file, line, text)`` declare, each with the namespace that was declared last above; the first line of a class counts."""
-    space, cls = (F.nullif(F.regexp_extract("text", rx, 1), F.lit("")) for rx in (r"^\s*namespace\s+([\w.]+)", r"\bclass\s+(\w+)"))
+    """``(file, line, fqn)`` of the classes that ``lines(file, line, text)`` declare, each with the namespace that was declared last above; the first line of a class counts.
+
+    A declaration begins its line, behind attributes and modifiers; a line that opens
+    a namespace declares no class.
+    """
+    space, cls = (F.nullif(F.regexp_extract("text", rx, 1), F.lit("")) for rx in (NAMESPACE, CLASS))
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = lines.select("file", "line", cls.alias("cls"), F.last(space, ignorenulls=True).over(w).alias("ns")).where("cls is not null")
+    named = lines.select("file", "line", F.when(space.isNull(), cls).alias("cls"), F.last(space, ignorenulls=True).over(w).alias("ns")).where("cls is not null")
     return named.groupBy("file", F.concat_ws(".", "ns", "cls").alias("fqn")).agg(F.min("line").alias("line"))

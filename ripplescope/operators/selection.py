@@ -35,9 +35,15 @@ def index(class_map: DataFrame) -> DataFrame:
     return class_map.select(F.explode("files").alias("file"), "class_fqn").select(paths.file_key(F.col("file")).alias("file_key"), "class_fqn")
 
 
-def usable(changed: DataFrame) -> DataFrame:
-    """Changed files, normalised, without build output, each once."""
-    flat = changed.select(paths.normalised(F.col("file")).alias("file")).where(paths.in_repo_tree(F.col("file")))
+def usable(changed: DataFrame, root: str | None = None) -> DataFrame:
+    """Changed files, normalised, without build output, each once.
+
+    Absolute ones are made relative to ``root``; one outside of it begins with
+    ``..``, and without a ``root`` they stay absolute: no map knows such a file, so
+    that it asks for whole projects and nothing that changed is lost.
+    """
+    flat = paths.normalised(F.col("file")) if root is None else paths.from_root(paths.normalised(F.col("file")), root)
+    flat = changed.select(flat.alias("file")).where(~paths.is_build_output(F.col("file")))
     return flat.withColumn("file_key", paths.file_key(F.col("file"))).dropDuplicates(["file_key"])
 
 
@@ -80,9 +86,9 @@ def without_full_projects(classes: DataFrame, class_map: DataFrame, projects: Da
     return own.join(full, "_p", "left_anti").select("class_fqn").distinct()
 
 
-def affected(changed: DataFrame, class_map: DataFrame, bindings: DataFrame, projects: DataFrame, refs: DataFrame) -> Affected:
+def affected(changed: DataFrame, class_map: DataFrame, bindings: DataFrame, projects: DataFrame, refs: DataFrame, root: str | None = None) -> Affected:
     """The whole selection: index hits, learnt classes, and the test projects that depend on what neither knows."""
-    files, by_file = usable(changed), index(class_map)
+    files, by_file = usable(changed, root), index(class_map)
     more, covered = learned(files, bindings, class_map)
     classes = hit_classes(files, by_file).union(more).distinct()
     left = unknown_files(files, by_file).join(covered, "file_key", "left_anti").where(paths.fallback_eligible(F.col("file")))

@@ -2,55 +2,64 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, paths
 
 # Formats of build messages, the heading of a listing, and the counters of a run's summary.
 MESSAGE = r"^\s*(.+?)\((\d+),(\d+)(?:,(\d+),(\d+))?\)\s*:\s*(error|warning)\s+([A-Z]+\d+)\s*:\s*(.*?)(?:\s+\[([^\]]+)\])?\s*$"
 BARE_MESSAGE = r"^\s*(\S(?:.*?\S)?)\s*:\s*(error|warning)\s+([A-Z]+\d+)\s*:\s*(.*?)(?:\s+\[([^\]]+)\])?\s*$"
 LISTING = r"(?i)following tests are available"
 COUNTERS = ["total", "failed", "succeeded", "skipped"]
+#: Records that a text gives at a time.
+PORTION = 1 << 16
 
 
-def _record_fold(chunks, renames, parts):
-    """Consumes chunks one by one; a rename or copy takes one more, its other path."""
-    record = "struct<status:string,file:string,origin:string>"
-    start = F.struct(F.array().cast(f"array<{record}>").alias("out"), F.lit(None).cast(record).alias("open"))
+def _status(chunks: list[str]) -> Iterator[tuple[str, str, str | None]]:
+    left = iter(chunks)
+    for chunk in left:
+        if len(chunk) >= 4:
+            moved = chunk[0] in "RC" or chunk[1] in "RC"
+            yield chunk[:2], chunk[3:], (next(left, "") or None) if moved else None
 
-    def step(a, c):
-        status, file = parts(c)
-        closed = F.struct(F.concat(a["out"], F.array(renames(a["open"], c))).alias("out"), F.lit(None).cast(record).alias("open"))
-        plain = F.struct(F.concat(a["out"], F.array(F.struct(status.alias("status"), file.alias("file"), F.lit(None).cast("string").alias("origin")))).alias("out"), F.lit(None).cast(record).alias("open"))
-        opened = F.struct(a["out"].alias("out"), F.struct(status.alias("status"), file.alias("file"), F.lit(None).cast("string").alias("origin")).alias("open"))
-        skip = file.isNull() | (file == "")
-        return F.when(a["open"].isNotNull(), closed).when(skip, a).when(status.rlike("[RC]"), opened).otherwise(plain)
 
-    return F.aggregate(chunks, start, step, lambda a: a["out"])
+def _name_status(chunks: list[str]) -> Iterator[tuple[str, str, str | None]]:
+    left = iter(chunks)
+    for status in left:
+        if status:
+            origin = next(left, None) if status[0] in "RC" else None
+            file = next(left, None)
+            if file:
+                yield status, file, origin
 
 
-def status_records(raw: DataFrame) -> DataFrame:
-    """``(id, status, file, origin)`` of ``raw(id, text)``: NUL-separated ``XY path`` records; those under 4 characters are left out."""
-    done = lambda o, c: F.struct(o["status"].alias("status"), o["file"].alias("file"), c.alias("origin"))
-    parts = lambda c: (F.substr(c, F.lit(1), F.lit(2)), F.when(F.length(c) >= 4, F.substr(c, F.lit(4))))
-    return raw.select("id", F.inline(_record_fold(F.split("text", "\x00"), done, parts)))
+def _records(raw: DataFrame, parse: Callable) -> DataFrame:
+    """Reads each text once, from chunk to chunk, and gives its records in portions: time grows with its length, and nothing is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = parse((text or "").split("\x00"))
+                while some := list(itertools.islice(found, PORTION)):
+                    status, file, origin = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([id_] * len(some), pa.string()), *[pa.array(x, pa.string()) for x in (status, file, origin)]], names=["id", "status", "file", "origin"])
 
-def name_status_records(raw: DataFrame) -> DataFrame:
-    """``(id, status, file, origin)`` of ``raw(id, text)``: a status, then a path, or two for renames and copies, all NUL-separated."""
-    chunks = F.split("text", "\x00")
-    step = "struct<out:array<struct<status:string,file:string,origin:string>>,status:string,origin:string>"
-    start = F.from_json(F.lit('{"out":[]}'), step)
-    null = F.lit(None).cast("string")
+    return raw.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, "id string, status string, file string, origin string")
 
-    def fold(a, c):
-        begun = F.struct(a["out"].alias("out"), c.alias("status"), null.alias("origin"))
-        first = F.struct(a["out"].alias("out"), a["status"].alias("status"), c.alias("origin"))
-        ended = F.struct(F.concat(a["out"], F.array(F.struct(F.substr(a["status"], F.lit(1), F.lit(1)).alias("status"), c.alias("file"), a["origin"].alias("origin")))).alias("out"), null.alias("status"), null.alias("origin"))
-        return F.when(c == "", a).when(a["status"].isNull(), begun).when(a["status"].rlike("^[RC]") & a["origin"].isNull(), first).otherwise(ended)
 
-    return raw.select("id", F.inline(F.aggregate(chunks, start, fold, lambda a: a["out"])))
+def status_records(raw: DataFrame) -> DataFrame:
+    """``(id, status, file, origin)`` of ``raw(id, text)``: NUL-separated ``XY path`` records; those under 4 characters are left out, and a rename or copy takes one more, its other path."""
+    return _records(raw, _status)
+
+
+def name_status_records(raw: DataFrame) -> DataFrame:
+    """``(id, status, file, origin)`` of ``raw(id, text)``: a status, then a path, or two for renames and copies, all NUL-separated; records without a path are left out."""
+    return _records(raw, _name_status)
 
 
 def text_lines(raw: DataFrame) -> DataFrame:
@@ -58,9 +67,15 @@ def text_lines(raw: DataFrame) -> DataFrame:
     return raw.select("id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
+def named_tests(raw: DataFrame) -> DataFrame:
+    """``(id, test)``: full names, without arguments, of a file that has one name a line and nothing else; names of one dot count too."""
+    test = names.strip_args(names.trimmed(F.col("line")))
+    return text_lines(raw).select("id", test.alias("test")).where(F.col("test").rlike(names.FULL_NAME) & names.class_of_listed(F.col("test")).isNotNull()).distinct()
+
+
 def _listing(raw: DataFrame, marker: str) -> DataFrame:
     """``(id, line_no, test, at)``: lines without arguments, and the place of the first heading of their text."""
-    lines = text_lines(raw).withColumn("test", names.strip_args(F.trim(F.regexp_replace("line", r"^\s+|\s+\z", ""))))
+    lines = text_lines(raw).withColumn("test", names.strip_args(names.trimmed(F.col("line"))))
     at = lines.where(F.col("line").rlike(marker)).groupBy("id").agg(F.min("line_no").alias("at"))
     return lines.join(at, "id", "left").where((F.col("test") != "") & (F.col("at").isNull() | (F.col("line_no") > F.col("at"))))
 
@@ -96,15 +111,15 @@ def run_output(raw: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
     lines = text_lines(raw).withColumn("head", F.nullif(F.regexp_extract("line", rx, 1), F.lit("")))
     breaks = F.when(F.col("line").rlike(r"^\s+\S"), 0).otherwise(1)
     lines = lines.withColumn("part", F.sum(breaks).over(w))
-    said = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").rlike(r"^\s+\S"), F.struct("line_no", F.trim("line").alias("t"))))), lambda x: x["t"]), 1, most)
+    said = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").rlike(r"^\s+\S"), F.struct("line_no", names.trimmed(F.col("line")).alias("t"))))), lambda x: x["t"]), 1, most)
     failures = lines.groupBy("id", "part").agg(F.max("head").alias("method"), F.array_join(said, "\n").alias("message")).where("method is not null").select("id", "method", "message")
     number = lambda c: F.min_by(F.regexp_extract("line", rf"^\s*{c}:\s*(\d+)\s*$", 1).try_cast("long"), F.when(F.col("line").rlike(rf"^\s*{c}:\s*\d+\s*$"), F.col("line_no"))).alias(c)
     counts = text_lines(raw).where(F.col("line").rlike(r":\s*\d+\s*$")).groupBy("id").agg(*map(number, COUNTERS)).where("total is not null")
     return failures, counts.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.coalesce(c, F.lit(0).cast("long")).alias("n")) for c in COUNTERS])).alias("x")).select("id", "x.counter", "x.n")
 
 
-def build_messages(raw: DataFrame) -> DataFrame:
-    """Diagnostics with 0-based places, each (file, line, column, code, message) once per text.
+def build_messages(raw: DataFrame, folder: str | None = None) -> DataFrame:
+    """Diagnostics with 0-based places, each (file, line, column, code, message) once per text. Relative files are below ``folder``, where it is given.
 
     Each line is matched once, into fields between U+0001, which counts as a blank in
     a line; only what has no place is matched again by the bare form.
@@ -119,15 +134,17 @@ def build_messages(raw: DataFrame) -> DataFrame:
         "id", "line_no", f(0).alias("file"), number(1).alias("start_line"), number(2).alias("start_col"), number(3, 1).alias("end_line"), number(4, 2).alias("end_col"),
         f(5).alias("severity"), f(6).alias("code"), f(7).alias("message"), F.nullif(f(8), F.lit("")).alias("project"),
     )
+    if folder is not None:
+        parsed = parsed.withColumn("file", F.when(paths.is_absolute(F.col("file")), F.col("file")).otherwise(paths.folded(F.concat(F.lit(folder.rstrip("/") + "/"), "file"))))
     key = ["id", "file", "start_line", "start_col", "code", "message"]
     rest = [c for c in parsed.columns if c not in key and c != "line_no"]
     return parsed.groupBy(*key).agg(F.min_by(F.struct(*rest), "line_no").alias("r")).select(*key, "r.*")
 
 
 def host_registrations(raw: DataFrame) -> DataFrame:
-    """``(id, key, values)``: first word of each line, and the words after it."""
-    parts = F.split(F.trim("line"), r"\s+")
-    return text_lines(raw).where(F.trim("line") != "").select("id", F.get(parts, F.lit(0)).alias("key"), F.slice(parts, F.lit(2), F.size(parts)).alias("values"))
+    """``(id, pipe, capabilities)``: what a host wrote, its pipe on the first line and its capabilities on the second; null where it doesn't say."""
+    line = lambda i: names.trimmed(F.coalesce(F.get(F.split("text", r"\r?\n"), F.lit(i)), F.lit("")))
+    return raw.select("id", line(0).alias("pipe"), F.when(line(1) != "", F.split(line(1), r"\s+")).alias("capabilities"))
 
 
 def declarations(raw: DataFrame) -> DataFrame:

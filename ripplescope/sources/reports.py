@@ -9,7 +9,7 @@ from ..functions import paths
 
 COVERAGE = "_filename string, lines struct<line:array<struct<_number:string,_hits:string>>>"
 RESULT = "_testId string, _testName string, _outcome string, _duration string, Output struct<ErrorInfo:struct<Message:string,StackTrace:string>>"
-DEFINITION = "_id string, TestMethod struct<_className:string,_name:string>"
+DEFINITION = "_id string, TestMethod struct<_className:string>"
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str, suffix: str) -> DataFrame:
@@ -31,11 +31,11 @@ def hit_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def test_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Outcomes of result files; what has no definition is named by its display name."""
+    """Outcomes of result files, by the rules of ``joined_results``. The XML source has decoded entities."""
     from ..operators.results import joined_results
 
     results = _read(spark, path, "UnitTestResult", RESULT, ".trx").select(F.col("_testId").alias("test_id"), F.col("_testName").alias("name"), F.col("_outcome").alias("outcome"), F.col("_duration").alias("duration"), F.col("Output.ErrorInfo.Message").alias("message"), F.col("Output.ErrorInfo.StackTrace").alias("stack"))
-    definitions = _read(spark, path, "UnitTest", DEFINITION, ".trx").select(F.col("_id").alias("test_id"), F.col("TestMethod._className").alias("class_fqn"), F.col("TestMethod._name").alias("method")).dropDuplicates(["test_id"])
+    definitions = _read(spark, path, "UnitTest", DEFINITION, ".trx").select(F.col("_id").alias("test_id"), F.col("TestMethod._className").alias("class_fqn"))
     return joined_results(results, definitions)
 
 

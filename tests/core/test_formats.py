@@ -48,7 +48,7 @@ def test_record_formats(spark):
     raw = spark.createDataFrame([("a", " M f1\x00R  new\x00old\x00?? q\x00x\x00"), ("e", "")], "id string, text string")
     assert [tuple(r) for r in records.status_records(raw).collect()] == [("a", " M", "f1", None), ("a", "R ", "new", "old"), ("a", "??", "q", None)]
     raw = spark.createDataFrame([("a", "M\x00f1\x00R100\x00old\x00new\x00A\x00z\x00")], "id string, text string")
-    assert [tuple(r) for r in records.name_status_records(raw).collect()] == [("a", "M", "f1", None), ("a", "R", "new", "old"), ("a", "A", "z", None)]
+    assert [tuple(r) for r in records.name_status_records(raw).collect()] == [("a", "M", "f1", None), ("a", "R100", "new", "old"), ("a", "A", "z", None)]
     raw = spark.createDataFrame([("m", "x\nthe Following tests are available:\n    A.B.C(1, 2)\n\tbare\nA.B\n"), ("n", "A.B.C\nA.B\nnoise here\nA.B.dll\nA.G<T>.M"), ("f", "The following Tests are available:\n  A.B")], "id string, text string")
     assert sorted(tuple(r) for r in records.listed_tests(raw).collect()) == [("f", "A.B"), ("m", "A.B"), ("m", "A.B.C"), ("n", "A.B.C"), ("n", "A.G<T>.M")]
     assert {r["id"]: r["bare"] for r in records.has_bare_names(raw).collect()} == {"m": True, "n": False, "f": False}
@@ -90,7 +90,8 @@ def test_xml_reports(spark, tmp_path):
     assert "<ModulePath>.*[/\\\\]A\\.B\\.(dll|exe)$</ModulePath>" in reports.collector_settings(["A.B", "C"]) and "<Include>[A.B]*,[C]*</Include>" in reports.collector_settings(["A.B", "C"])
     (tmp_path / "r.trx").write_text('<TestRun><Results><UnitTestResult testId="1" testName="M" outcome="Passed" duration="00:00:01.5"/><UnitTestResult testId="2" testName="Ns.D.Bad(1)" outcome="Failed"><Output><ErrorInfo><Message>a &amp;lt; b</Message><StackTrace>at X in /repo/a.cs:line 7</StackTrace></ErrorInfo></Output></UnitTestResult></Results><TestDefinitions><UnitTest id="1"><TestMethod className="Ns.C" name="M"/></UnitTest></TestDefinitions></TestRun>')
     got = {r["method"]: r for r in reports.test_outcomes(spark, str(tmp_path)).collect()}
-    assert got["Ns.C.M"]["class_fqn"] == "Ns.C" and got["Ns.C.M"]["duration_ms"] == 1500.0 and got["Ns.C.M"]["passed"]
+    assert got["M"]["class_fqn"] == "Ns.C" and got["M"]["duration_ms"] == 1500.0 and got["M"]["passed"] and got["M"]["message"] is None
+    assert got["Ns.D.Bad(1)"]["message"] == "a &lt; b" and got["Ns.D.Bad(1)"]["duration_ms"] is None
     assert got["Ns.D.Bad(1)"]["class_fqn"] == "Ns.D" and not got["Ns.D.Bad(1)"]["passed"]
     where = one(spark, "at Y in C:\\other\\b.cs:line 3\n at X in /Repo/a.cs:line 7", lambda x: results.failure_location(x, "/repo"))
     assert (where["file"], where["line"]) == ("/Repo/a.cs", 7)
@@ -172,3 +173,71 @@ def test_refresh_order_and_comparison(spark):
     a = spark.createDataFrame([("x", 100.0), ("y", 100.0), ("z", 100.0)], "op string, steady_ms double")
     b = spark.createDataFrame([("x", 102.0), ("y", 90.0), ("z", 110.0)], "op string, steady_ms double")
     assert {r["op"]: r["verdict"] for r in results.compared(a, b).collect()} == {"x": "same", "y": "faster", "z": "slower"}
+
+
+def test_definitions_and_names_of_results(spark):
+    """The class is the definition's, without its assembly, else the name's; a name without a dot tells none."""
+    shape = "test_id string, name string, outcome string, duration string, message string, stack string"
+    found = spark.createDataFrame([("1", "M(a.b)", "Passed", None, None, None), ("2", "A.B.M(x: 1.5)", "Failed", "bad", "m&lt;", ""), ("3", "plain", "NotExecuted", "", "", None), (None, "A.Q.R", None, "1:00:00", None, None), ("4", "A.M", "Inconclusive", None, None, None)], shape)
+    known = spark.createDataFrame([("1", "Ns.C, My.Tests, Version=1"), ("1", "Ns.C, My.Tests, Version=1"), ("4", ""), ("", "X")], "test_id string, class_fqn string")
+    got = sorted(tuple(r) for r in results.joined_results(found, known).collect())
+    assert got == [("", "plain", False, True, None, None, None), ("A", "A.M", False, True, None, None, None), ("A.B", "A.B.M(x: 1.5)", False, False, "m&lt;", None, 0.0), ("A.Q", "A.Q.R", False, False, None, None, 3600000.0), ("Ns.C", "M(a.b)", True, False, None, None, None)]
+
+
+def test_reports_of_methods(spark):
+    """Failed cases are named, one that says nothing has failed, and a skip of a whole class is no method."""
+    shape = "seq long, class_fqn string, method string, passed boolean, skipped boolean, message string, duration_ms double"
+    frame = spark.createDataFrame([(2, "C", "C.M(2)", False, False, None, 1.0), (1, "C", "C.M(1)", False, False, "bad", None), (3, "C", "C.M(3)", True, False, "fine", 2.0), (4, "D", "D", False, True, None, None), (5, "C", "C.N", False, True, "why", None)], shape)
+    got = sorted(tuple(r) for r in results.method_report(frame).collect())
+    assert got == [("C", "C.M", 3.0, False, False, "C.M(1): bad\nC.M(2): failed"), ("C", "C.N", 0.0, True, True, None)]
+
+
+def test_synthesised(spark):
+    discovered = spark.createDataFrame([(m,) for m in ("A.B.M", "A.B.N(1.5)", "noise", "Adds", "A.B.F")], "method_fqn string")
+    failed = spark.createDataFrame([("A.B.F", "bad"), ("chatter", "x")], "method_fqn string, message string")
+    got = sorted(tuple(r) for r in results.synthesised(discovered, failed).collect())
+    assert got == [("A.B", "F", False, False, "bad"), ("A.B", "M", True, False, None), ("A.B", "N(1.5)", True, False, None)]
+
+
+def test_hosts_and_filters(spark):
+    raw = spark.createDataFrame([("a", " pipe-1 \r\nBaseline\tAddMethod \nmore"), ("b", "pipe-2"), ("c", ""), ("d", "p\n \n")], "id string, text string")
+    assert {r["id"]: (r["pipe"], r["capabilities"]) for r in records.host_registrations(raw).collect()} == {"a": ("pipe-1", ["Baseline", "AddMethod"]), "b": ("pipe-2", None), "c": ("", None), "d": ("p", None)}
+    got = spark.createDataFrame([(["N.B(x)", "N.A\\q", "N.B(x)"],)], "c array<string>").select(names.class_filter(F.col("c")).alias("f")).head()["f"]
+    each = ["FullyQualifiedName~N.B\\(x\\).|FullyQualifiedName~N.B\\(x\\)+", "FullyQualifiedName~N.A\\q.|FullyQualifiedName~N.A\\q+"]
+    assert got == "|".join([*each, each[0]])
+
+
+def test_anchored_declarations(spark):
+    text = "// the class under test\nnamespace N.M;\n// class Not\n[Fact] [X(1)] public sealed partial class A : B\nvar x = new { @class = 1 }; class Z\nnamespace O { class P {}\n  internal class Q\nstatic class R\nfile class S"
+    raw = spark.createDataFrame([("f", text)], "id string, text string")
+    assert sorted((r["fqn"], r["line"]) for r in records.declarations(raw).collect()) == [("N.M.A", 3), ("O.Q", 6), ("O.R", 7)]
+
+
+def test_messages_lose_tabs_and_listing_files(spark):
+    raw = spark.createDataFrame([("r", "failed A.B (3ms)\n\tone\t \n \u00a0two\n")], "id string, text string")
+    assert [tuple(r) for r in records.run_output(raw)[0].collect()] == [("r", "A.B", "one\ntwo")]
+    raw = spark.createDataFrame([("f", "C.M\r\n\tA.B.C(1, 2)\nbare\nA.B.C\n.x\nhas space.y")], "id string, text string")
+    assert sorted(r["test"] for r in records.named_tests(raw).collect()) == ["A.B.C", "C.M"]
+
+
+def test_messages_below_a_folder(spark):
+    raw = spark.createDataFrame([("b", "src/../a.cs(3,5): error CS1: bad\nC:\\x\\b.cs(1,2): warning AB12: w\n/r/c.cs(1,2): warning AB12: w")], "id string, text string")
+    assert sorted(r["file"] for r in records.build_messages(raw, "/build").collect()) == ["/build/a.cs", "/r/c.cs", "C:\\x\\b.cs"]
+
+
+def test_long_records_take_linear_time(spark):
+    """One text of 10 MB; ten times the records take about ten times as long, not a hundred."""
+    def text(n):
+        return "".join(f"R100\x00from/{i:08d}\x00to/{i:08d}\x00M\x00R{i:020d}\x00" for i in range(n))
+
+    took = {}
+    for n in (20_000, 200_000):
+        raw = spark.createDataFrame([("a", text(n))], "id string, text string").cache()
+        raw.count()
+        began = time.time()
+        told = records.name_status_records(raw).agg(F.count("*").alias("n"), F.count("origin").alias("moved"), F.max("file").alias("last")).head()
+        took[n] = time.time() - began
+        assert tuple(told) == (2 * n, n, f"to/{n - 1:08d}")
+    assert len(text(200_000)) > 10_000_000 and took[200_000] < 30 * max(took[20_000], 0.5)
+    raw = spark.createDataFrame([("a", "\x00".join(["R  x", "y"] * 200_000))], "id string, text string")
+    assert records.status_records(raw).where("origin = 'y'").count() == 200_000

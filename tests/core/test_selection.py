@@ -24,10 +24,10 @@ def refs(spark):
     return spark.createDataFrame([("tests/T.csproj", "src/Lib.csproj")], "src string, dst string")
 
 
-def run(spark, files, bindings=(), strict=False):
+def run(spark, files, bindings=(), root=None):
     changed = spark.createDataFrame([(f,) for f in files], "file string")
     edges = spark.createDataFrame(list(bindings), "from_key string, to string, source string, confirms long")
-    out = selection.affected(changed, class_map(spark), edges, projects(spark), refs(spark))
+    out = selection.affected(changed, class_map(spark), edges, projects(spark), refs(spark), root)
     return [r[0] for r in rows(out.classes)], [r[0] for r in rows(out.fallback_projects)]
 
 
@@ -38,13 +38,24 @@ def test_mapped_files(spark):
 
 def test_fallback(spark):
     assert run(spark, ["src/new.cs"]) == ([], ["tests/T.csproj"])
-    assert run(spark, ["src/bin/new.cs", "src/obj/x.cs", "/abs/x.cs"]) == ([], [])
+    assert run(spark, ["src/bin/new.cs", "src/obj/x.cs", "/abs/obj/x.cs"]) == ([], [])
     assert run(spark, ["src/app.json"]) == ([], ["tests/T.csproj"])
     assert run(spark, ["stray.json"]) == ([], [])
     assert run(spark, ["stray.cs"]) == ([], ["other/U.csproj", "tests/T.csproj"])
     assert run(spark, ["src/a.cs", "src/new.cs"]) == ([], ["tests/T.csproj"])
 
 
+def test_absolute_paths(spark):
+    assert run(spark, ["/repo/src/a.cs"], root="/repo") == (["Ns.ATests"], [])
+    assert run(spark, ["/Repo/x/../src/./a.cs", "/repo/obj/x.cs"], root="/repo/") == (["Ns.ATests"], [])
+    assert run(spark, ["/repo/src/new.cs"], root="/repo") == ([], ["tests/T.csproj"])
+    everything = ([], ["other/U.csproj", "tests/T.csproj"])  # outside of the repository, or of an unknown one, nothing owns it
+    assert run(spark, ["/elsewhere/x.cs"], root="/repo") == everything
+    assert run(spark, ["/repo/src/a.cs"]) == everything
+    files = spark.createDataFrame([("/a/b/c.cs",), ("/a/b2/c.cs",), ("/a/x.cs",), ("C:\\r\\x.cs",), ("q/../r.cs",)], "file string")
+    assert sorted(r["file"] for r in selection.usable(files, "/a/b").collect()) == ["../b2/c.cs", "../x.cs", "C:/r/x.cs", "c.cs", "q/../r.cs"]
+
+
 def test_learnt_edges_only_add(spark):
     assert run(spark, ["src/impl.cs"], [("src/i.cs", "src/impl.cs", "mined", 1)]) == ([], ["tests/T.csproj"])
     assert run(spark, ["src/impl.cs"], [("src/i.cs", "src/impl.cs", "mined", 2)]) == (["Ns.ATests"], [])
