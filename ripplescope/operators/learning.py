@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..sources.shared import stored
+from ..sources.shared import Snapshots, stored
 
 # An edge goes from 4 contradictions on if they outnumber twice the confirmations; unseen for 30 days it goes too; coverage is fresh for 7 days.
 DROP_AT, DROP_RATIO = 4, 2
@@ -62,14 +62,13 @@ def _settle(live: bool, confirms: int, contradicts: int, misses: int) -> tuple[b
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams the rows of each edge in order; the state of one edge is held. The last row of an edge has no ``r`` but the number of all measurements."""
-    names = ["from_key", "to", "source", "confirms", "contradicts", "last_seq", "since"]
+    """Streams the rows of each edge in order; the state of one edge is held. Every row says with what the edge begins, and the last one of an edge has no ``r`` but the number of all measurements."""
     now, state = None, None
     for batch in batches:
         out = []
-        for key, to, r, mined, seq, total, seeded in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for key, to, r, mined, seq, total, *begin in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if now != (key, to):
-                now, state = (key, to), [seeded, "parsed" if seeded else "mined", 0, 0, None, 1, 0]
+                now, state = (key, to), [begin[0] is not None, *begin, 0, 0]
             live, source, confirms, contradicts, last, since, before = state
             live, contradicts = _settle(live, confirms, contradicts, (total if r is None else r - 1) - before)
             if r is None:
@@ -82,19 +81,23 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 live, source, confirms, contradicts, last, since = True, "mined", 1, 0, seq, r
             state = [live, source, confirms, contradicts, last, since, r]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["from_key", "to", "source", "confirms", "contradicts", "last_seq", "since"])
 
 
-def evidence(measurements: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def evidence(measurements: DataFrame, seeds: DataFrame | None = None, stored_bindings: DataFrame | None = None) -> DataFrame:
     """The bindings after all measurements, in their order.
 
     ``measurements(seq, class_fqn, measured, baseline, abstract_files)``. For each
     edge (from_key, to), the measurements of classes that refer to ``from_key`` are
     its events: one that mines it activates it or confirms it, else one whose files
     have ``to`` confirms a known edge, and one without contradicts it; an edge that
-    has too many contradictions goes, and can come back. ``seeds(from_key, to)`` are
-    parsed edges at the start; ``evidence`` has the classes that mined an edge since it
-    was last activated, in that order.
+    has too many contradictions goes, and can come back. ``evidence`` has the classes
+    that mined an edge since it was last activated, in that order.
+
+    The fold begins with ``stored_bindings``, in the form that it returns: folding
+    measurements in parts, each onto what the one before gave, equals folding them at
+    once. ``seeds(from_key, to)`` are parsed edges, once confirmed, that are added at
+    the start where no stored one has the same ends, whatever their case.
 
     Only measurements that have an edge's file make rows: what lies between two of
     them is a difference of numbers. These rows are folded in a stream, sorted by
@@ -102,27 +105,41 @@ def evidence(measurements: DataFrame, seeds: DataFrame | None = None) -> DataFra
 
     Returns ``from_key, to, source, confirms, contradicts, last_seq, evidence``.
     """
-    referring = measurements.select("seq", F.explode("abstract_files").alias("a")).select("seq", paths.file_key(F.col("a")).alias("from_key")).distinct()
-    mined = mined_pairs(measurements).select("seq", "class_fqn", "from_key", "to")
-    edges = mined.select("from_key", "to", F.lit(False).alias("seeded"))
+    spark = measurements.sparkSession
+    counters = ["source", "confirms", "contradicts", "last_seq"]
+    old = stored_bindings if stored_bindings is not None else spark.createDataFrame([], "from_key string, to string, source string, confirms long, contradicts long, last_seq long, evidence array<string>")
+    begin = old.select("from_key", "to", *counters)
     if seeds is not None:
-        edges = edges.union(seeds.select("from_key", "to", F.lit(True)))
-    edges = edges.groupBy("from_key", "to").agg(F.bool_or("seeded").alias("seeded"))
+        known = old.select("from_key", F.lower("to").alias("_k")).distinct()
+        new = seeds.select("from_key", "to", F.lower("to").alias("_k")).dropDuplicates(["from_key", "_k"]).join(known, ["from_key", "_k"], "left_anti")
+        begin = begin.unionByName(new.select("from_key", "to", F.lit("parsed").alias("source"), F.lit(1).cast("long").alias("confirms"), F.lit(0).cast("long").alias("contradicts"), F.lit(None).cast("long").alias("last_seq")))
+    mined = stored(mined_pairs(measurements).select("seq", "class_fqn", "from_key", "to"), "evidence-mined")
+    edges = stored(mined.select("from_key", "to").distinct().join(begin, ["from_key", "to"], "full"), "evidence-edges")
+    referring = measurements.select("seq", F.explode("abstract_files").alias("a")).select("seq", paths.file_key(F.col("a")).alias("from_key")).distinct()
     ranked = _ranked(referring)
-    files = measurements.select("seq", F.explode(F.array_distinct("measured")).alias("to")).join(measurements.select("seq", F.explode("abstract_files").alias("a")), "seq")
-    files = files.select("seq", paths.file_key(F.col("a")).alias("from_key"), "to", F.lit(False).alias("mined"))
-    met = files.union(mined.select("seq", "from_key", "to", F.lit(True))).groupBy("seq", "from_key", "to").agg(F.bool_or("mined").alias("mined"))
-    met = stored(met.join(edges, ["from_key", "to"]).join(ranked, ["from_key", "seq"]), "evidence-met")
+    files = measurements.select("seq", F.explode(F.array_distinct("measured")).alias("to"))
+    met = files.join(edges, "to").join(ranked, ["from_key", "seq"])
+    met = stored(met.join(mined.select("seq", "from_key", "to", F.lit(True).alias("mined")).distinct(), ["seq", "from_key", "to"], "left").withColumn("mined", F.coalesce("mined", F.lit(False))), "evidence-met")
     total = ranked.groupBy("from_key").agg(F.max("r").alias("total"))
-    ends = edges.join(total, "from_key", "left").select("from_key", "to", F.lit(None).cast("long").alias("r"), F.lit(False).alias("mined"), F.lit(None).cast("long").alias("seq"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "seeded")
-    rows = met.select("from_key", "to", F.col("r").cast("long").alias("r"), "mined", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("total"), "seeded").union(ends)
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    ends = edges.join(total, "from_key", "left").select("from_key", "to", null("long", "r"), F.lit(False).alias("mined"), null("long", "seq"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), *counters)
+    rows = met.select("from_key", "to", F.col("r").cast("long").alias("r"), "mined", F.col("seq").cast("long").alias("seq"), null("long", "total"), *counters).union(ends)
     folded = rows.repartition("from_key", "to").sortWithinPartitions("from_key", "to", F.asc_nulls_last("r")).mapInArrow(_folded, "from_key string, to string, source string, confirms long, contradicts long, last_seq long, since long")
     folded = stored(folded, "evidence-folded")
     told = met.where("mined").join(folded.select("from_key", "to", "since"), ["from_key", "to"]).where("r >= since")
     told = told.join(mined, ["seq", "from_key", "to"]).groupBy("from_key", "to", "class_fqn").agg(F.min("r").alias("r"))
-    told = told.groupBy("from_key", "to").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "class_fqn"))), lambda x: x["class_fqn"]).alias("evidence"))
+    told = told.groupBy("from_key", "to").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "class_fqn"))), lambda x: x["class_fqn"]).alias("new"))
     none = F.array().cast("array<string>")
-    return folded.join(told, ["from_key", "to"], "left").select("from_key", "to", "source", "confirms", "contradicts", "last_seq", F.coalesce("evidence", none).alias("evidence"))
+    former = F.when(F.col("since") == 0, F.coalesce("former", none)).otherwise(none)
+    out = folded.join(told, ["from_key", "to"], "left").join(old.select("from_key", "to", F.col("evidence").alias("former")), ["from_key", "to"], "left")
+    return out.select("from_key", "to", *counters, F.array_distinct(F.concat(former, F.coalesce("new", none))).alias("evidence"))
+
+
+def fold_into(store: Snapshots, measurements: DataFrame, batch: int, seeds: DataFrame | None = None, stream: str = "measurements") -> bool:
+    """Folds a batch of measurements onto the stored bindings, once for each batch number."""
+    if batch <= store.committed(stream):
+        return False
+    return store.save(evidence(measurements, seeds, store.load()), stream, batch)
 
 
 def decayed(bindings: DataFrame, now_ms: int) -> DataFrame:

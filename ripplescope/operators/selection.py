@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.shared import stored
 from .graph import dependents_to
+from .index import FileIndex
 
 
 @dataclass
@@ -86,15 +88,26 @@ def without_full_projects(classes: DataFrame, class_map: DataFrame, projects: Da
     return own.join(full, "_p", "left_anti").select("class_fqn").distinct()
 
 
-def affected(changed: DataFrame, class_map: DataFrame, bindings: DataFrame, projects: DataFrame, refs: DataFrame, root: str | None = None) -> Affected:
-    """The whole selection: index hits, learnt classes, and the test projects that depend on what neither knows."""
-    files, by_file = usable(changed, root), index(class_map)
+#: So many changed files are sent to every task that looks through the map.
+FEW = 100_000
+
+
+def affected(changed: DataFrame, class_map: DataFrame, bindings: DataFrame, projects: DataFrame, refs: DataFrame, root: str | None = None, kept: FileIndex | None = None) -> Affected:
+    """The whole selection: index hits, learnt classes, and the test projects that depend on what neither knows.
+
+    With a ``kept`` index the hits come from it, else the map is looked through once.
+    What several steps need is stored: the changed files, their hits, and what is left.
+    """
+    files = stored(usable(changed, root), "affected-files")
+    keys = files.select("file_key")
+    hits = kept.rows(keys) if kept is not None else index(class_map).join(F.broadcast(keys) if files.count() <= FEW else keys, "file_key", "left_semi")
+    hits = stored(hits.distinct(), "affected-hits")
     more, covered = learned(files, bindings, class_map)
-    classes = hit_classes(files, by_file).union(more).distinct()
-    left = unknown_files(files, by_file).join(covered, "file_key", "left_anti").where(paths.fallback_eligible(F.col("file")))
+    classes = stored(hits.select("class_fqn").union(more).distinct(), "affected-classes")
+    left = stored(unknown_files(files, hits.select("file_key").distinct()).join(covered, "file_key", "left_anti").where(paths.fallback_eligible(F.col("file"))), "affected-left")
     owned = owners(left, projects).where(F.col("project").isNotNull() | F.lower("file").endswith(".cs"))
     targets = projects.where("is_test").select(F.col("project").alias("node"))
-    fallback = dependents_to(refs, owned.select(F.col("project").alias("node")), targets).select(F.col("node").alias("project"))
+    fallback = stored(dependents_to(refs, owned.select(F.col("project").alias("node")).distinct(), targets).select(F.col("node").alias("project")), "affected-projects")
     return Affected(without_full_projects(classes, class_map, fallback), fallback, files.select("file"))
 
 

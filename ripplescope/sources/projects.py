@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .tree import TreeSource
 
 # Folders that are never searched, extensions that a build depends on, properties and packages of test projects.
 SKIPPED_FOLDERS = ["bin", "obj", "node_modules", ".git", ".vs", paths.STATE_FOLDER, "packages"]
@@ -15,23 +16,26 @@ ADAPTER_PACKAGES = [r"xunit\.runner\.visualstudio", "NUnit3TestAdapter", r"MSTes
 TEST_PACKAGES = [r"Microsoft\.NET\.Test\.Sdk", 'xunit[^"]*', 'NUnit[^"]*', 'MSTest[^"]*', r'Microsoft\.Testing\.Platform[^"]*']
 
 
-def files_below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``(file, modified_ms, size)`` of matching files below ``root``, without skipped folders and nested repositories. Contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    clean = F.regexp_replace(F.col("path"), r"^file:/+", "/")
-    rows = found.select(paths.relative(clean, F.lit(root)).alias("file"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size"))
-    nested = rows.where(F.col("file").rlike(r".+/\.git/")).select(F.regexp_extract("file", r"^(.+?)/\.git/", 1).alias("dir")).distinct()
-    folder = F.arrays_overlap(F.split(F.lower("file"), "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
-    kept = rows.where(F.col("file").rlike(pattern) & ~folder)
-    above = kept.select("file", F.explode(paths.ancestors(F.col("file"))).alias("dir")).join(nested, "dir", "left_semi").select("file")
-    return kept.join(above, "file", "left_anti")
+def _tree(spark: SparkSession, root: str, extensions: list[str], any_case: bool, nested: bool, content: bool) -> DataFrame:
+    spark.dataSource.register(TreeSource)
+    flag = {True: "true", False: "false"}
+    options = {"endings": "/".join("." + e for e in extensions), "skipped": "/".join(SKIPPED_FOLDERS), "any_case": flag[any_case], "nested": flag[nested], "content": flag[content]}
+    return spark.read.format("source_tree").options(**options).load(root)
 
 
-def source_texts(spark: SparkSession, root: str, pattern: str = r"(?i)\.cs$") -> DataFrame:
-    """``(file, text)`` of whole files."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
-    named = text.select(paths.relative(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/"), F.lit(root)).alias("file"), F.col("value").alias("text"))
-    return named.join(files_below(spark, root, pattern).select("file"), "file", "left_semi")
+def files_below(spark: SparkSession, root: str, extensions: list[str], any_case: bool = True) -> DataFrame:
+    """``(file, modified_ms, size)`` of the files with one of the extensions below ``root``. Folders that are skipped and other repositories, with a ``.git`` of their own, are not listed."""
+    return _tree(spark, root, extensions, any_case, False, False).select("file", "modified_ms", "size")
+
+
+def source_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``(file, text)`` of all source files, those of repositories within among them."""
+    return _tree(spark, root, ["cs"], True, True, True).select("file", "text")
+
+
+def project_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``(file, text)`` of all project files; the case of their extension counts."""
+    return _tree(spark, root, ["csproj"], False, False, True).select("file", "text")
 
 
 def _has_package(text: Column, names: list[str], whole: bool = True) -> Column:
@@ -52,10 +56,7 @@ def is_test_project(text: Column) -> Column:
 
 def resolved(dir_: Column, ref: Column) -> Column:
     """``dir/ref`` without ``.`` and ``..``."""
-    parts = F.split(F.concat_ws("/", F.nullif(dir_, F.lit("")), F.replace(ref, F.lit("\\"), F.lit("/"))), "/")
-    none = F.array().cast("array<string>")
-    step = lambda a, p: F.when((p == ".") | (p == ""), a).when((p == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))
-    return F.array_join(F.aggregate(parts, none, step), "/")
+    return paths.folded(F.concat_ws("/", F.nullif(dir_, F.lit("")), ref))
 
 
 def project_graph(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +73,7 @@ def project_graph(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def content_files(spark: SparkSession, root: str) -> DataFrame:
     """``(file, modified_ms, size)`` of all files below ``root`` whose change makes a build stale, contents among them."""
-    return files_below(spark, root, r"(?i)\.(" + "|".join(STAMPED_EXTENSIONS) + r")\z")
+    return files_below(spark, root, STAMPED_EXTENSIONS)
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

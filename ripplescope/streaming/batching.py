@@ -6,11 +6,13 @@ global key is a constant key column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Snapshots
+
 
 def debounced(events: DataFrame, gap_us: int, key: str = "key") -> DataFrame:
     """``events(key, us, seq, file)`` with ``batch``: an event ``gap_us`` or more after the last one begins a batch."""
@@ -115,16 +117,33 @@ def stream_debounced(events: DataFrame, gap_ms: int) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key string, files array<string>", "files array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def commit_snapshots(store, source: DataFrame, run):
-    """A ``foreachBatch`` function: ``run(changes)`` sees what changed since the stored fingerprints, which move on only if it succeeds."""
+def commit_snapshots(store: Snapshots, source: DataFrame, run: Callable[[DataFrame], None], stream: str = "snapshots"):
+    """A writer of ``source(file, fp, seq)`` whose batches are snapshots: ``run(changes)`` sees what changed since the stored fingerprints, which move on only if it succeeds.
+
+    A batch that is tried again is left alone if it was committed; if only ``run`` had
+    ended, its fingerprints are saved and ``run`` isn't called again. ``stream`` is
+    the name of the checkpoint that numbers the batches.
+    """
     from ..operators.selection import snapshot_diff
 
     def each(batch: DataFrame, number: int) -> None:
+        if number <= store.committed(stream):
+            return
         after = batch.groupBy("file").agg(F.max_by("fp", "seq").alias("fp"))
         before = store.load()
-        cold = before.isEmpty()
-        run(snapshot_diff(before, after, cold))
-        store.save(after)
+        store.once(stream, number, "run", lambda: run(snapshot_diff(before, after, before.isEmpty())))
+        store.save(after, stream, number)
+
+    return source.writeStream.foreachBatch(each)
+
+
+def commit_diagnostics(store: Snapshots, source: DataFrame, stream: str = "diagnostics"):
+    """A writer of ``source(project, seq, kind, items)``: in the stored ``(project, item)``, a batch replaces the items of each project that it has an event of by those of the last one; a clear leaves none. Once for each batch."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number > store.committed(stream):
+            rest = store.load().join(batch.select("project").distinct(), "project", "left_anti")
+            store.save(rest.unionByName(latest_diagnostics(batch)), stream, number)
 
     return source.writeStream.foreachBatch(each)
 

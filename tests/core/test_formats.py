@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplescope.functions import names, paths
-from ripplescope.operators import results
+from ripplescope.operators import results, selection
 from ripplescope.sources import projects, records, reports, shared
 from ripplescope.sources.shared import Snapshots
 from ripplescope.streaming import batching
@@ -100,14 +100,14 @@ def test_xml_reports(spark, tmp_path):
 
 
 def test_project_files(spark, tmp_path):
-    for name, text in {"src/L.csproj": "<Project></Project>", "tests/T.csproj": '<PackageReference Include="Microsoft.NET.Test.Sdk"/><ProjectReference Include="..\\src\\L.csproj"/>', "src/bin/X.csproj": "", "src/data.json": "{}", "packages/P.csproj": "", ".ripplescope/S.csproj": "", "nested/.git/HEAD": "", "nested/N.csproj": ""}.items():
+    for name, text in {"src/L.csproj": "<Project></Project>", "tests/T.csproj": '<PackageReference Include="Microsoft.NET.Test.Sdk"/><ProjectReference Include="..\\src\\L.csproj"/>', "src/bin/X.csproj": "", "src/data.json": "{}", "packages/P.csproj": "", ".ripplescope/S.csproj": "", "nested/.git/HEAD": "x", "nested/N.csproj": "<Project/>"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
-    texts = projects.source_texts(spark, str(tmp_path), r"(?i)\.csproj$")
+    texts = projects.project_texts(spark, str(tmp_path))
     found, refs = projects.project_graph(texts)
     assert {r["project"]: (r["dir"], r["is_test"]) for r in found.collect()} == {"src/L.csproj": ("src", False), "tests/T.csproj": ("tests", True)}
     assert [tuple(r) for r in refs.collect()] == [("tests/T.csproj", "src/L.csproj")]
-    assert projects.fingerprints(projects.files_below(spark, str(tmp_path), r"\.csproj$")).count() == 2
+    assert projects.fingerprints(projects.files_below(spark, str(tmp_path), ["csproj"])).count() == 2
     assert {r["file"] for r in projects.content_files(spark, str(tmp_path)).collect()} == {"src/L.csproj", "src/data.json", "tests/T.csproj"}
 
 
@@ -241,3 +241,47 @@ def test_long_records_take_linear_time(spark):
     assert len(text(200_000)) > 10_000_000 and took[200_000] < 30 * max(took[20_000], 0.5)
     raw = spark.createDataFrame([("a", "\x00".join(["R  x", "y"] * 200_000))], "id string, text string")
     assert records.status_records(raw).where("origin = 'y'").count() == 200_000
+
+
+def test_trees(spark, tmp_path):
+    """Hidden and empty files count; other repositories, by a .git file or folder, and skipped folders don't."""
+    made = {"src/a.cs": "class A {}", "src/empty.cs": "", "_gen/d.cs": "d", ".hid/e.cs": "e", "src/Obj/o.cs": "o", "nested/.git/HEAD": "x", "nested/b.cs": "b", "sub/.git": "gitdir: x", "sub/c.cs": "c", "sub/deep/c.cs": "c", ".git/x.cs": "x", "UP.CS": "é", "src/b.csx": "", "deep/1/2/3/4/f.cs": "f", "a b/q%20.cs": "q", "p.csproj": "<P/>", "P.CSPROJ": "", "src/data.JSON": "{}"}
+    for name, text in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    own = {"src/a.cs", "src/empty.cs", "_gen/d.cs", ".hid/e.cs", "UP.CS", "deep/1/2/3/4/f.cs", "a b/q%20.cs"}
+    for root in (str(tmp_path), tmp_path.as_uri() + "/", f"file:{tmp_path}"):
+        found = {r["file"]: (r["size"], r["modified_ms"]) for r in projects.files_below(spark, root, ["cs"]).collect()}
+        assert set(found) == own
+        assert found["src/empty.cs"][0] == 0 and found["UP.CS"] == (2, round((tmp_path / "UP.CS").stat().st_mtime_ns / 1e6))
+    texts = {r["file"]: r["text"] for r in projects.source_texts(spark, str(tmp_path)).collect()}
+    assert set(texts) == own | {"nested/b.cs", "sub/c.cs", "sub/deep/c.cs"} and texts["UP.CS"] == "é" and texts["src/empty.cs"] == ""
+    assert [r["file"] for r in projects.project_texts(spark, str(tmp_path)).collect()] == ["p.csproj"]
+    assert {r["file"] for r in projects.content_files(spark, str(tmp_path)).collect()} == own | {"p.csproj", "P.CSPROJ", "src/data.JSON"}
+    before = projects.fingerprints(projects.content_files(spark, str(tmp_path))).collect()
+    (tmp_path / "src/a.cs").write_text("")
+    after = projects.fingerprints(projects.content_files(spark, str(tmp_path)))
+    shape = "file string, fp string"
+    assert [tuple(r) for r in selection.snapshot_diff(spark.createDataFrame(before, shape), after).collect()] == [("src/a.cs", "edited")]  # emptied, not deleted
+    assert projects.files_below(spark, str(tmp_path / "none"), ["cs"]).count() == 0
+    assert projects.files_below(spark, str(tmp_path), ["nothing"]).count() == 0
+
+
+def test_trees_are_dealt_out(tmp_path):
+    from ripplescope.sources.tree import Tree, TreeReader
+
+    for i in range(40):
+        for name in (f"d{i}/x/{i}.cs", f"d{i}/{i}.cs", "bin/x.cs"):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text("")
+    for parts in (1, 8, 64, 500):
+        options = {"path": str(tmp_path), "endings": ".cs", "skipped": "bin", "parts": str(parts)}
+        reader = TreeReader(options)
+        dealt = reader.partitions()
+        assert len(dealt) <= parts
+        assert sorted(r[0] for p in dealt for r in reader.read(p)) == sorted([f"d{i}/x/{i}.cs" for i in range(40)] + [f"d{i}/{i}.cs" for i in range(40)])
+    listed = []
+    tree = Tree({"path": str(tmp_path), "endings": ".cs", "skipped": "bin"})
+    whole = tree.listed
+    tree.listed = lambda folder: listed.append(folder) or whole(folder)
+    assert len(list(tree.walk(tree.root))) == 80 and not any(f.endswith("bin") for f in listed)
