@@ -694,3 +694,6 @@ def run_counters(t: Tables) -> DataFrame:
     skipped = F.when(key % 2 == 0, F.concat(F.lit("  skipped: "), key % 5, F.lit("\nskipped: 99\n"))).otherwise(F.lit("Skipped: 4\nskipped: 3 of 4\n"))
     raw = n.select(key.cast("string").alias("id"), F.concat(F.lit("Test run summary:\n"), total, F.lit("  failed: "), "bad", F.lit("\n"), skipped).alias("text"))
     return records.run_output(raw)[1]
+
+
+from . import workspace  # noqa: E402, F401  adds its queries
