@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..sources.shared import discarded, stored
 
 
@@ -130,6 +131,43 @@ def name_candidates(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("is_enum") | F.col("is_const_only")) & (F.size("files") > 0) & (F.length(short) >= 3) & ~F.contains(short, F.lit("<"))).select("node", short.alias("short"), "files")
 
 
+#: Bits of a filter for each name it holds, and at most: two to the power of so many.
+NAME_BITS, MOST_BITS_LOG2 = 16, 26
+
+
+def name_filter(candidates: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter of the short names of ``candidates(short)``: one row with ``bits``, words of 64 bits, and their number.
+
+    Its size follows from how many names there are, up to 8 MB; beyond that more
+    words pass, but none that counts is lost.
+    """
+    n = max(1, candidates.select("short").distinct().count())
+    words = 1 << min(MOST_BITS_LOG2, max(12, (n * NAME_BITS - 1).bit_length())) - 6
+    at = candidates.select(F.explode(F.array(*[_position(F.col("short"), seed, words) for seed in (1, 2)])).alias("at")).distinct()
+    filled = at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    every = candidates.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(filled, "w", "left")
+    gathered = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(F.transform(gathered, lambda x: x["bits"]).alias("bits")), words
+
+
+def _position(word: Column, seed: int, words: int) -> Column:
+    return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(64 * words))
+
+
+def mentions(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(node, file, word)`` of the words of ``texts(node, file, text)`` that can be a short name of ``candidates``.
+
+    The filter drops the other words of a text while they are still an array, before
+    they become rows and are shuffled. Some words pass that are no name.
+    """
+    filter_, words = name_filter(candidates)
+    bits = stored(filter_, "name-filter").scalar()
+
+    held = texts.select("node", "file", names.words(F.col("text")).alias("words"), bits.alias("bits"))
+    test = " and ".join(f"getbit(bits[cast(pmod(xxhash64(w, {seed}), {64 * words}L) div 64 as int)], cast(pmod(xxhash64(w, {seed}), {64 * words}L) % 64 as int)) = 1" for seed in (1, 2))
+    return held.select("node", "file", F.explode(F.expr(f"filter(words, w -> {test})")).alias("word"))
+
+
 def mention_edges(mentions: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``(src, dst)`` for nodes whose own text has a candidate's short name as a word.
 

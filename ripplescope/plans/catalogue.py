@@ -182,9 +182,10 @@ def name_mentions(t: Tables) -> DataFrame:
     short = t.benchmark.select("item_id", F.explode(names.words(F.col("text"))).alias("word"))
     best = short.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("l"), "word"))), 1, 2).alias("two"))
     nodes = best.select((F.col("item_id") + 1000000).alias("node"), F.explode("two.word").alias("word")).select("node", F.concat(F.lit("Ns.T."), "word").alias("fqn"), F.lit(True).alias("is_enum"), F.lit(False).alias("is_const_only"), F.array(F.concat(F.lit("f"), (F.col("node") - 1000000) % 7)).alias("files"))
-    mentions = t.documents.select(F.col("doc_id").alias("node"), F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file"), F.explode(names.words(F.col("text"))).alias("word"))
+    texts = t.documents.select(F.col("doc_id").alias("node"), F.concat(F.lit("f"), F.col("doc_id") % 7).alias("file"), "text")
     known = t.documents.where("doc_id % 11 = 0").select(F.col("doc_id").alias("src")).join(t.benchmark.where("item_id % 3 = 0").select((F.col("item_id") + 1000000).alias("dst")))
-    found = graph.mention_edges(mentions, graph.name_candidates(nodes), known)
+    candidates = graph.name_candidates(nodes)
+    found = graph.mention_edges(graph.mentions(texts, candidates), candidates, known)
     return found.groupBy((F.col("dst") - 1000000).alias("item_id")).agg(F.count("*").alias("mentioning"))
 
 

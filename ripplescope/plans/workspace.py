@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from ..operators.index import FileIndex
 from ..sources import projects, records, reports
 from ..sources.shared import Snapshots, shared_dir, state
 from ..streaming import batching, live
+from ..streaming.queue import RefreshQueue
 from .catalogue import ORACLE, US, Tables, _class_files, _events, _measurements, query
 
 HOURS = 3_600_000_000
@@ -379,3 +381,33 @@ def selection_lines(t: Tables) -> DataFrame:
     classes = selection.hit_classes(selection.usable(file), selection.index(_class_files(t).select("class_fqn", F.array("file").alias("files"))))
     whole = t.nation.where("n_nationkey % 2 = 0 and n_regionkey < 2").select(_text("N", F.col("n_nationkey")).alias("project"))
     return selection.Affected(classes, whole, file).lines()
+
+
+@query("""with q as (select user_id as c, min(event_id) as seq from events where event_type = 'view' group by user_id), s as (select user_id as c, count(*) as score from events group by user_id), b as (select c, 0 as tier, seq as rank from q union all select c, 1, -score from s),
+    o as (select c, min((tier, rank)) as p from b group by c) select c::varchar as class_fqn, row_number() over (order by p, c::varchar) as place from o where c not in (select user_id from events where value > 250)""")
+def refresh_places(t: Tables) -> DataFrame:
+    """Queued classes first in, first out, then scored ones; places without a task that has all."""
+    c = F.col("user_id").cast("string").alias("class_fqn")
+    queue = t.events.where("event_type = 'view'").groupBy(c).agg(F.min("event_id").alias("seq"))
+    return batching.refresh_order(queue, t.events.groupBy(c).agg(F.count("*").alias("score")), t.events.where("value > 250").select(c).distinct())
+
+
+@query("""with q as (select s_suppkey as k, row_number() over (order by s_suppkey) - 1 as n, count(*) over () // 4 + 1 as e from supplier), p as (select k, e, row_number() over (order by n // e = 1, n) - 1 as n from q),
+    s as (select s_nationkey as k, count(*) as score from supplier where s_nationkey > 3 group by s_nationkey order by score desc, 'T' || s_nationkey limit 6), r as (select k, row_number() over (order by score desc, 'T' || k) - 1 as n from s)
+    select 'C' || k as class_fqn, (n // e)::bigint as turn from p union all select 'T' || k, ((select max(n // e) + 1 from p) + n // (select max(e) from p))::bigint from r""")
+def drained_queue(t: Tables) -> DataFrame:
+    """The queue measured a quarter at a time; the second batch is aborted and comes again at the end, and scored classes fill the queue when it is empty."""
+    at = _folder(t, "refresh")
+    queue, told, turn = RefreshQueue(t.spark, f"{at}/queue"), Snapshots(t.spark, f"{at}/told", t.spark.createDataFrame([], "class_fqn string, turn long").schema), itertools.chain([0, None], itertools.count(1))
+    queue.add(t.supplier.select(_text("C", F.col("s_suppkey")).alias("class_fqn"), F.col("s_suppkey").alias("seq")))
+    scored = t.supplier.where("s_nationkey > 3").groupBy(_text("T", F.col("s_nationkey")).alias("class_fqn")).agg(F.count("*").alias("score")).orderBy(F.desc("score"), "class_fqn").limit(6)
+
+    def measure(classes: DataFrame) -> bool:
+        now = next(turn)
+        if now is not None:
+            told.save(told.load().unionByName(classes.select("class_fqn", F.lit(now).cast("long").alias("turn"))))
+        return now is not None
+
+    for _ in range(2):  # the first drain ends with the abort
+        queue.drain(measure, lambda tried: scored, each=t.supplier.count() // 4 + 1)
+    return told.load()

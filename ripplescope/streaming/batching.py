@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from ..sources.shared import Snapshots
 
 
@@ -91,7 +92,7 @@ def refresh_order(queue: DataFrame, targets: DataFrame, tried: DataFrame) -> Dat
     """``(class_fqn, place)``: queued classes first in, first out, then scored targets; none twice, none that was tried."""
     both = queue.select("class_fqn", F.lit(0).alias("tier"), F.col("seq").alias("rank")).union(targets.select("class_fqn", F.lit(1), -F.col("score")))
     once = both.groupBy("class_fqn").agg(F.min(F.struct("tier", "rank")).alias("p")).join(tried.select("class_fqn"), "class_fqn", "left_anti")
-    return once.select("class_fqn", F.rank().over(Window.orderBy("p", "class_fqn")).alias("place"))
+    return numbered(once, "p", "class_fqn").select("class_fqn", (F.col("place") + 1).alias("place"))
 
 
 def stream_debounced(events: DataFrame, gap_ms: int) -> DataFrame:

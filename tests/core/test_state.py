@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ripplescope.operators import learning, selection
 from ripplescope.operators.index import FileIndex
+from ripplescope.operators.order import numbered
 from ripplescope.sources import shared
 from ripplescope.sources.shared import Pointer, Snapshots
 from ripplescope.streaming import batching
+from ripplescope.streaming.queue import RefreshQueue
 
 
 def rows(df):
@@ -168,3 +170,59 @@ def test_selection_from_the_index(spark, tmp_path):
     assert rows(plain.lines()) == rows(quick.lines()) == [("project:tests/T.csproj",)]
     changed = spark.createDataFrame([("SRC\\Shared.cs",)], "file string")
     assert rows(selection.affected(changed, class_map(spark), none, projects(spark), refs(spark), kept=kept).classes) == [("Ns.ATests",), ("Ns.BTests",)]
+
+
+def test_a_queue_that_is_aborted_and_lost(spark, tmp_path):
+    queue, ran = RefreshQueue(spark, str(tmp_path)), []
+    entries = lambda names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "class_fqn string, seq long")
+    scored = spark.createDataFrame([("T1", 1), ("T2", 9), ("B", 5)], "class_fqn string, score long")
+    order = lambda: [r["class_fqn"] for r in queue.queued().orderBy("seq").collect()]
+    queue.add(entries("ABCDE"))
+    queue.add(entries("CF"))
+    assert order() == list("ABCDEF")
+
+    def measure(*say):
+        left = list(say)
+
+        def run(classes):
+            ran.append([r["class_fqn"] for r in classes.orderBy("seq").collect()])
+            said = left.pop(0)
+            if said == "lost":
+                raise RuntimeError("lost")
+            return said
+
+        return run
+
+    assert queue.drain(measure(True, False), each=2) == 1
+    assert ran == [["A", "B"], ["C", "D"]] and order() == list("EFCD")
+    with pytest.raises(RuntimeError, match="lost"):
+        queue.drain(measure("lost"), each=3)
+    assert queue.queued().where("flying").count() == 3
+    again = RefreshQueue(spark, str(tmp_path))  # after the crash
+    ran.clear()
+    assert again.drain(measure(True, True, True), lambda tried: scored, each=2, stop=lambda: len(ran) == 3) == 3
+    assert ran == [["D", "E"], ["F", "C"], ["T2", "B"]] and order() == ["T1"]
+    ran.clear()
+    assert again.drain(measure(True), lambda tried: scored, each=2) == 1  # what was tried isn't taken again
+    assert ran == [["T1"]] and again.store.load().count() == 0
+    assert again.drain(measure(True, True), lambda tried: scored, each=9) == 1  # a new drain tries anew
+
+
+def test_numbers_in_order(spark):
+    rows_ = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "k long, v long").repartition(7)
+    assert [(r["place"], r["k"]) for r in numbered(rows_, "k").orderBy("place").collect()] == [(i, i) for i in range(1000)]
+    assert numbered(rows_.limit(0), "k").count() == 0
+
+
+def test_names_are_filtered_before_they_are_rows(spark):
+    from ripplescope.operators import graph
+
+    words = [f"word{i}" for i in range(3000)]
+    texts = spark.createDataFrame([(i, f"f{i}", " ".join(words[i * 10 : i * 10 + 200]) + " Naïve_9 a") for i in range(280)] + [(900, "g", None), (901, "g", "")], "node long, file string, text string")
+    candidates = spark.createDataFrame([(1000 + i, w, ["f0"]) for i, w in enumerate([*words[::100], "Naïve_9", "gone"])], "node long, short string, files array<string>")
+    edges = spark.createDataFrame([(3, 1000)], "src long, dst long")
+    every = texts.select("node", "file", F.explode(graph.names.words(F.col("text"))).alias("word"))
+    few = graph.mentions(texts, candidates)
+    assert few.count() < every.count() / 20
+    assert rows(graph.mention_edges(few, candidates, edges)) == rows(graph.mention_edges(every, candidates, edges)) != []
+    assert rows(graph.mentions(texts, candidates.limit(0))) == []
