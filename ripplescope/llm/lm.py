@@ -350,15 +350,19 @@ def corrected(t: Tokens, shares: np.ndarray, counts: dict[int, np.ndarray], n: n
     """The probabilities ``shares`` after the features of all contexts.
 
     ``counts`` has by kind how often each token's context and word are learnt from
-    together; ``n`` and ``last`` how often each name stands, and ends a text.
+    together; ``n`` and ``last`` how often each name stands, and ends a text. A token
+    that is learnt from is left out of its own counts: it is judged by all others.
     """
     one, two = t.before()
+    own = t.learnt.astype(np.int64)
     uses, followed = np.append(n, ends), np.append(n - last, 0)
     pair = np.empty(len(t.ids))
     pair[1:], pair[t.firsts] = counts[BIGRAM][:-1], ends
     for kind, total in ((SKIP, followed[two]), (BIGRAM, uses[one]), (TRIGRAM, pair)):
+        there = total > 0
+        total = np.where(there, total - own, 0)
         weight = PRIOR[kind] * np.sqrt(np.maximum(total, 1))
-        shares = (counts[kind] * (total > 0) + weight * shares) / (total + weight)
+        shares = ((counts[kind] - own) * there + weight * shares) / (total + weight)
     return shares
 
 
@@ -368,7 +372,9 @@ def lm_scores(docs: DataFrame, held) -> DataFrame:
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     gain_per_token``. ``base_score`` adds log10((c+1)/(N+V+1)) over the tokens, with
     counts over all training tokens, ends included; ``score`` is the model's log10
-    probability, and the gain what it has over the base, by token. In each class,
+    probability, and the gain what it has over the base, by token. A token that is
+    learnt from doesn't count for its own score, so that texts that are learnt from
+    and others can be compared. In each class,
     words that training lacks share the probability of one. Words are told apart by
     64-bit hashes, contexts and words together by ``FEATURE_BITS`` bits in a part of
     about a million of them.
@@ -417,8 +423,8 @@ def lm_scores(docs: DataFrame, held) -> DataFrame:
             counts[kind] = told(own, kind, "first", np.int64)[distinct(x)[1]]
         kind = t.classes(top)
         base = np.log10((n + 1.0) / (tokens + distinct_words + 1.0))
-        within = (n + 1.0) / mass[kind]
-        shares = model.value.shares(t.rows(), kind[t.ids]) * within[t.ids]
+        within = (n[t.ids] + 1.0 - t.learnt) / (mass[kind[t.ids]] - t.learnt)
+        shares = model.value.shares(t.rows(), kind[t.ids]) * within
         logs = np.log10(corrected(t, shares, counts, n, last, ends))
         add = lambda x: np.add.reduceat(x, t.firsts)
         base, logs = add(base[t.ids]), add(logs)

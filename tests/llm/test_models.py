@@ -253,7 +253,7 @@ def test_tokens(monkeypatch):
 
 
 def test_word_shares_add_up_to_one(monkeypatch):
-    """After any context, over all words; the counts of two blocks are told to both."""
+    """After any context, over all words; the counts of two blocks are told to both, and a token that is learnt from is left out of its own."""
     texts, held = ["a b c a b", "", "c b a c", "a b d", None, "c a b a"], [False, False, False, True, False, False]
     blocks = [token_block(monkeypatch, texts[:3], held[:3]), token_block(monkeypatch, texts[3:], held[3:])]
     blocks[1].block = 1
@@ -280,14 +280,15 @@ def test_word_shares_add_up_to_one(monkeypatch):
         n, last = (np.array([c[name[i]] for i in range(len(t.names))]) for c in (uses, lasts))
         got = lm.corrected(t, np.full(len(flat), 1 / len(vocabulary)), counts, n, last, uses["<end>"])
         at = 0
-        for w in own_words:
+        for w, is_learnt in zip(own_words, ~t.held, strict=True):
             for i, x in enumerate(w):
                 one, two = before(w, i)
                 share = dict.fromkeys(vocabulary, 1 / len(vocabulary))
                 for k, c in ((lm.SKIP, two), (lm.BIGRAM, one), (lm.TRIGRAM, (two, one))):
-                    total = sum(v for (y, _), v in seen[k].items() if y == c) if (k, c) != (lm.SKIP, "<begin>") else 0
+                    others = seen[k] - collections.Counter({(c, x): int(is_learnt)})
+                    total = sum(v for (y, _), v in others.items() if y == c) if (k, c) != (lm.SKIP, "<begin>") else 0
                     m = lm.PRIOR[k] * math.sqrt(max(total, 1))
-                    share = {v: ((seen[k][c, v] if total else 0) + m * p) / (total + m) for v, p in share.items()}
+                    share = {v: ((others[c, v] if total else 0) + m * p) / (total + m) for v, p in share.items()}
                 assert math.isclose(sum(share.values()), 1) and math.isclose(share[x], got[at], rel_tol=1e-9), (w, i, x)
                 at += 1
 
