@@ -25,6 +25,16 @@ TEMPLATES = [
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("mpl-2", "mozilla public license version 2", "mozilla public license"),
     ("bsd", "redistribution and use in source and binary forms", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "must retain the above copyright notice"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "to endorse or promote products"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies"),
+    ("apache-2", "you may not use this file except in compliance with the license", "except in compliance with the license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("agpl-3", "gnu affero general public license version 3", "affero general public license"),
+    ("epl", "eclipse public license", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty", "without any express or implied warranty"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0"),
 ]
 
 
@@ -35,9 +45,9 @@ def idf(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: counts.get(w, 0) for w in words}
 
 
-def _anchor(phrase: list[str], rare: dict[str, int]) -> str:
-    """The rarest word of a phrase that has to stand in full."""
-    return min(phrase, key=lambda w: (rare[w], phrase.index(w)))
+def _anchors(phrase: list[str], rare: dict[str, int]) -> list[str]:
+    """The two rarest words of a phrase that has to stand in full, the rarest first."""
+    return sorted(set(phrase), key=lambda w: (rare[w], phrase.index(w)))[:2]
 
 
 def _key_at(template: list[str], key: list[str]) -> int:
@@ -45,12 +55,15 @@ def _key_at(template: list[str], key: list[str]) -> int:
 
 
 def _starts(entries: Column, template: list[str], key: list[str], rare: dict[str, int]) -> Column:
-    """Places where the template would start, from the rarest word of its mandatory phrase."""
-    anchor, at = _anchor(key, rare), _key_at(template, key)
-    hits = F.filter(entries, lambda e: e["w"] == F.lit(anchor))
-    offsets = [at + i for i, w in enumerate(key) if w == anchor]
-    shifted = lambda o: F.transform(hits, lambda e: e["i"] - F.lit(o))
-    return reduce(F.array_union, map(shifted, offsets))
+    """Places where the template would start, by both of the rarest words of its mandatory phrase."""
+    at = _key_at(template, key)
+
+    def told(anchor: str) -> Column:
+        hits = F.filter(entries, lambda e: e["w"] == F.lit(anchor))
+        shifted = lambda o: F.transform(hits, lambda e: e["i"] - F.lit(o))
+        return reduce(F.array_union, [shifted(at + i) for i, w in enumerate(key) if w == anchor])
+
+    return reduce(F.array_intersect, map(told, _anchors(key, rare)))
 
 
 def _matched(words: Column, start: Column, template: list[str]) -> Column:
@@ -73,10 +86,12 @@ def license_scan(docs: DataFrame, share: float = 0.75) -> DataFrame:
 
     Words are runs of digits, ASCII letters and other characters from U+0080 on,
     A-Z lower-cased. First the documents that hold each licence word are counted
-    over all rows; each template is then looked up by the rarest word of its mandatory
-    phrase in the document's word positions, the other words are intersected by their relative
-    position, and the template counts from ``share`` of its words on if its
-    mandatory phrase stands at its place. Base phrases count only in full.
+    over all rows. A file is then looked up by those of its licence words that are the
+    rarest of a mandatory phrase, and so of the highest IDF that a file which has the
+    phrase can be looked up by; the two rarest words of the phrase have to agree on
+    where a template starts, by their relative positions, before its other words are
+    looked at. The template counts from ``share`` of its words on if its mandatory
+    phrase stands at its place. Base phrases count only in full.
 
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score``; score is the largest share of a template that was accepted. A null or
@@ -88,10 +103,11 @@ def license_scan(docs: DataFrame, share: float = 0.75) -> DataFrame:
     templates = [(label, t.split(), key.split()) for label, t, key in TEMPLATES]
     vocabulary = sorted({w for _, t in base for w in t} | {w for _, t, _ in templates for w in t})
     rare = idf(docs, vocabulary)
-    anchors = sorted({_anchor(p, rare) for p in [t for _, t in base] + [key for _, _, key in templates]})
+    phrases = [t for _, t in base] + [key for _, _, key in templates]
+    first, anchors = sorted({_anchors(p, rare)[0] for p in phrases}), sorted({w for p in phrases for w in _anchors(p, rare)})
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    maybe = F.rlike(text, F.lit("(?i)" + "|".join(map(re.escape, anchors))))
+    maybe = F.rlike(text, F.lit("(?i)" + "|".join(map(re.escape, first))))
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(maybe, F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("_w"))
     places = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1)).otherwise(F.array().cast("array<int>"))

@@ -16,6 +16,16 @@ STATEMENTS = [
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("mpl-2", "mozilla public license version 2", "mozilla public license"),
     ("bsd", "redistribution and use in source and binary forms", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "must retain the above copyright notice"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "to endorse or promote products"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies"),
+    ("apache-2", "you may not use this file except in compliance with the license", "except in compliance with the license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("agpl-3", "gnu affero general public license version 3", "affero general public license"),
+    ("epl", "eclipse public license", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty", "without any express or implied warranty"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0"),
 ]
 SECRETS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
