@@ -11,17 +11,22 @@ from ..functions import names
 from ..sources.shared import discarded, stored
 
 
-def closure(edges: DataFrame, roots: DataFrame, capped: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, capped: DataFrame | None = None, deep: bool = False) -> DataFrame:
     """``(root, node)``: all that each root of ``roots(root)`` reaches, itself included.
 
     Nodes of ``capped(node)`` are reached but not passed. Each round follows only
     what the last one found and is stored in the shared folder, so cycles end and
-    the plan stays short.
+    the plan stays short. There are as many rounds as the longest way has edges; with
+    ``deep`` as many as its logarithm, as a round doubles the ways of all nodes, which
+    pays where most nodes are roots or ways are long.
     """
     edges = edges.select("src", "dst").distinct()
     if capped is not None:
         edges = edges.join(capped.select(F.col("node").alias("src")), "src", "left_anti")
     edges = stored(edges, "closure-edges")
+    if deep:
+        pairs = _doubled(edges).select(F.col("src").alias("root"), F.col("dst").alias("node")).join(roots.select("root").distinct(), "root", "left_semi")
+        return pairs.unionByName(roots.select("root", F.col("root").alias("node")).distinct()).distinct()
     frontier = reached = stored(roots.select("root", F.col("root").alias("node")).distinct(), "closure")
     while True:  # each round finds a new pair, and there are only so many
         step = frontier.join(edges, frontier.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
@@ -31,6 +36,21 @@ def closure(edges: DataFrame, roots: DataFrame, capped: DataFrame | None = None)
         reached = reached.unionByName(frontier)
 
 
+def _doubled(edges: DataFrame) -> DataFrame:
+    """``(src, dst)`` of all that a node reaches by one edge or more.
+
+    A shortest way of up to twice as many edges begins with one that the last round
+    found and goes on with one that is known.
+    """
+    known = new = edges
+    while True:
+        step = new.join(known.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
+        new = stored(step.join(known, ["src", "dst"], "left_anti"), "doubled")
+        if new.isEmpty():
+            return known
+        known = stored(known.unionByName(new), "doubled")
+
+
 def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(node)``: all that any of ``sources(node)`` reaches, themselves included; a row a node, however many sources there are."""
     edges = stored(edges.select("src", "dst").distinct(), "reached-edges")
@@ -96,7 +116,7 @@ def guard_exempt(edges: DataFrame, owners: DataFrame, baselines: DataFrame) -> D
 
 def transitive_stamps(edges: DataFrame, stamps: DataFrame) -> DataFrame:
     """``(node, stamp)``: a digest of the stamps of all that a node reaches; changes when any of them does."""
-    reach = closure(edges, stamps.select(F.col("node").alias("root")))
+    reach = closure(edges, stamps.select(F.col("node").alias("root")), deep=True)
     each = reach.join(stamps, "node").groupBy("root").agg(F.array_sort(F.collect_list(F.concat_ws("=", F.col("node").cast("string"), "stamp"))).alias("all"))
     return each.select(F.col("root").alias("node"), F.sha1(F.array_join("all", "+")).alias("stamp"))
 

@@ -76,6 +76,19 @@ def test_closure_of_cycles_and_hubs(spark):
     assert [r[1] for r in rows(graph.closure(edges, roots, capped))] == [1, 2, 3, 4]
 
 
+def test_deep_closure(spark, monkeypatch):
+    """The same pairs in rounds by the logarithm of the depth, cycles, hubs and unknown roots included."""
+    rounds, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: rounds.append(name) or store(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(130)] + [(130, 120), (7, 7), (40, 3)], "src long, dst long")
+    roots, capped = spark.createDataFrame([(0,), (41,), (999,)], "root long"), spark.createDataFrame([(60,)], "node long")
+    told = graph.closure(chain, roots, deep=True)
+    assert rounds.count("doubled") <= 2 * 9
+    assert rows(told) == rows(spark.createDataFrame([(0, i) for i in range(131)] + [(41, i) for i in range(41, 131)] + [(999, 999)], "root long, node long"))
+    few = spark.createDataFrame([(i, i + 1) for i in range(54, 66)], "src long, dst long")
+    assert rows(graph.closure(few, spark.createDataFrame([(54,), (60,)], "root long"), capped, deep=True)) == rows(graph.closure(few, spark.createDataFrame([(54,), (60,)], "root long"), capped))
+
+
 def test_hub_cap_needs_a_world(spark):
     edges = spark.createDataFrame([(i, 100) for i in range(24)] + [(0, 101)], "src long, dst long")
     nodes = spark.createDataFrame([(i, False) for i in range(24)] + [(100, False), (101, True)], "node long, is_test boolean")
