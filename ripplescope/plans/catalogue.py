@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import names, paths
 from ..operators import graph, learning, results, selection
 from ..sources import projects, records
+from ..sources.shared import stored
 from ..streaming import batching
 
 QUERIES: dict = {}
@@ -657,7 +658,7 @@ def affected_selection(t: Tables) -> DataFrame:
     projects_ = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("project"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("dir"), (F.col("n_regionkey") % 2 == 0).alias("is_test"))
     a, b = t.nation.select(F.col("n_nationkey").alias("x"), "n_regionkey"), t.nation.select(F.col("n_nationkey").alias("y"), "n_regionkey")
     refs = a.join(b, "n_regionkey").where("y > x").select(F.concat(F.lit("N"), "x").alias("src"), F.concat(F.lit("N"), "y").alias("dst"))
-    found = selection.affected(changed, rows, bindings, projects_, refs)
+    found = selection.affected(changed, stored(rows, "class-map"), bindings, projects_, refs)  # the map is a kept table
     row = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
     return row(found.classes, "class", "class_fqn").union(row(found.fallback_projects, "project", "project")).union(row(found.changed, "file", "file"))
 

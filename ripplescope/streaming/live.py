@@ -212,8 +212,11 @@ def replayed(events: DataFrame, operator: Callable[[DataFrame], DataFrame], shap
     if lo is None:
         return spark.read.parquet(f"{base}/none")
     cuts = [lo + (hi - lo) * i // slices for i in range(slices)] + [hi + 1]
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(few)}  # a state store for each task at most
+    former = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     tick = events.limit(0).unionByName(spark.createDataFrame([("", hi + rest_us + 5_000_000, 0, TICK)], "key string, us long, seq long, kind string"), allowMissingColumns=True)
     try:
         for i in range(slices + 1):
@@ -225,8 +228,6 @@ def replayed(events: DataFrame, operator: Callable[[DataFrame], DataFrame], shap
             if watch is not None:
                 watch(query)
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in former.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(shape).parquet(f"{base}/out")
