@@ -181,7 +181,7 @@ def mentions(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     they become rows and are shuffled. Some words pass that are no name.
     """
     filter_, words = name_filter(candidates)
-    bits = stored(filter_, "name-filter").scalar()
+    bits = filter_.scalar()  # made once, before the texts are read
 
     held = texts.select("node", "file", names.words(F.col("text")).alias("words"), bits.alias("bits"))
     test = " and ".join(f"getbit(bits[cast(pmod(xxhash64(w, {seed}), {64 * words}L) div 64 as int)], cast(pmod(xxhash64(w, {seed}), {64 * words}L) % 64 as int)) = 1" for seed in (1, 2))

@@ -114,7 +114,7 @@ def evidence(measurements: DataFrame, seeds: DataFrame | None = None, stored_bin
         new = seeds.select("from_key", "to", F.lower("to").alias("_k")).dropDuplicates(["from_key", "_k"]).join(known, ["from_key", "_k"], "left_anti")
         begin = begin.unionByName(new.select("from_key", "to", F.lit("parsed").alias("source"), F.lit(1).cast("long").alias("confirms"), F.lit(0).cast("long").alias("contradicts"), F.lit(None).cast("long").alias("last_seq")))
     mined = stored(mined_pairs(measurements).select("seq", "class_fqn", "from_key", "to"), "evidence-mined")
-    edges = stored(mined.select("from_key", "to").distinct().join(begin, ["from_key", "to"], "full"), "evidence-edges")
+    edges = mined.select("from_key", "to").distinct().join(begin, ["from_key", "to"], "full")
     referring = measurements.select("seq", F.explode("abstract_files").alias("a")).select("seq", paths.file_key(F.col("a")).alias("from_key")).distinct()
     ranked = _ranked(referring)
     files = measurements.select("seq", F.explode(F.array_distinct("measured")).alias("to"))
