@@ -200,6 +200,38 @@ def test_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_candidates_lose_no_paraphrase(spark, monkeypatch):
+    """Of what the alignment accepts without any bound on the cosine, the bound loses one in fifty at most."""
+    from types import SimpleNamespace
+
+    from ripplescope.llm import leaks as module
+
+    rng = random.Random(12)
+    rows = [(r["item_id"], r["text"].encode()) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("text is not null").orderBy("item_id").limit(60).collect()]
+    words = sorted({w for _, t in rows for w in module.words_of(t)})
+    vocabulary = {w: i for i, w in enumerate(words)}
+    holds = collections.Counter(w for _, t in rows for w in set(module.words_of(t)))
+    idf = np.array([*(math.log((len(rows) + 2) / (holds[w] + 1)) + 0.1 for w in words), 2.0])
+    basis = module.fit_basis(spark.createDataFrame(rows, "item_id long, text binary").select("text"), vocabulary, idf)
+    shared = SimpleNamespace(value=(vocabulary, [module.Items.of(rows, vocabulary, idf, vocabulary, basis)]))
+    texts = []
+    for lost in (0.0, 0.3, 0.45):
+        for _, t in rows:
+            own = [w.decode() for w in module.words_of(t)]
+            around = [rng.choice(words).decode() if rng.random() < 0.3 else f"other{rng.randrange(500)}" for _ in range(80)]
+            at = rng.randrange(80)
+            texts.append(" ".join(around[:at] + [f"else{rng.randrange(500)}" if rng.random() < lost else w for w in own] + around[at:]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["k", "doc_id", "text"])
+    found = {}
+    for bound in (module.COSINE, -2.0):
+        monkeypatch.setattr(module, "COSINE", bound)
+        found[bound] = {(d, i) for out in module._matches(shared)(iter([batch])) for d, i in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)}
+    near, every = found.values()
+    assert near <= every and len(every) > 1.5 * len(rows)
+    assert len(every - near) <= len(every) / 50
+    assert {(d, rows[d][0]) for d in range(len(rows))} <= near  # verbatim
+
+
 def test_lm_scores(spark):
     held = F.expr("pmod(crc32(cast(doc_id as string)), 7) = 2")
     count = collections.Counter()
