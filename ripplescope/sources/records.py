@@ -121,13 +121,16 @@ def run_output(raw: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
 def build_messages(raw: DataFrame, folder: str | None = None) -> DataFrame:
     """Diagnostics with 0-based places, each (file, line, column, code, message) once per text. Relative files are below ``folder``, where it is given.
 
-    Each line is matched once, into fields between U+0001, which counts as a blank in
-    a line; only what has no place is matched again by the bare form.
+    The lines of a text, each once, are matched while they are still an array, so
+    that a match is made once and only messages become rows: into fields between
+    U+0001, which counts as a blank in a line; only what has no place is matched
+    again by the bare form.
     """
-    lines = text_lines(raw).select("id", "line_no", F.translate("line", "\x01", " ").alias("line")).where(F.contains("line", F.lit("error")) | F.contains("line", F.lit("warning")))
-    fields = lambda rx, order: F.regexp_replace("line", rx, "\x01".join(f"${i}" if i else "" for i in order))
-    full = lines.withColumn("f", fields(MESSAGE, [1, 2, 3, 4, 5, 6, 7, 8, 9]))
-    both = full.withColumn("f", F.when(F.contains("f", F.lit("\x01")), F.col("f")).otherwise(fields(BARE_MESSAGE, [1, 0, 0, 0, 0, 2, 3, 4, 5]))).where(F.contains("f", F.lit("\x01")))
+    fields = lambda line, rx, order: F.regexp_replace(line, rx, "\x01".join(f"${i}" if i else "" for i in order))
+    lines = F.filter(F.array_distinct(F.split(F.translate("text", "\x01", " "), r"\r?\n")), lambda line: F.contains(line, F.lit("error")) | F.contains(line, F.lit("warning")))
+    full = F.transform(lines, lambda line: fields(line, MESSAGE, [1, 2, 3, 4, 5, 6, 7, 8, 9]))
+    told = F.transform(full, lambda f: F.when(F.contains(f, F.lit("\x01")), f).otherwise(fields(f, BARE_MESSAGE, [1, 0, 0, 0, 0, 2, 3, 4, 5])))
+    both = raw.select("id", F.posexplode(told).alias("line_no", "f")).where(F.contains("f", F.lit("\x01")))
     f = lambda i: F.get(F.col("f"), F.lit(i))
     number = lambda i, other=None: F.coalesce(f(i).try_cast("int") - 1, *([] if other is None else [f(other).try_cast("int") - 1]), F.lit(0))
     parsed = both.withColumn("f", F.split("f", "\x01")).select(
