@@ -163,15 +163,17 @@ def name_filter(candidates: DataFrame) -> tuple[DataFrame, int]:
     """
     n = max(1, candidates.select("short").distinct().count())
     words = 1 << min(MOST_BITS_LOG2, max(12, (n * NAME_BITS - 1).bit_length())) - 6
-    at = candidates.select(F.explode(F.array(*[_position(F.col("short"), seed, words) for seed in (1, 2)])).alias("at")).distinct()
-    filled = at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    at = candidates.select(F.explode(_positions(F.col("short"), words)).alias("at")).distinct()
+    filled = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     every = candidates.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(filled, "w", "left")
     gathered = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return every.agg(F.transform(gathered, lambda x: x["bits"]).alias("bits")), words
 
 
-def _position(word: Column, seed: int, words: int) -> Column:
-    return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(64 * words))
+def _positions(word: Column, words: int) -> Column:
+    """The two bits of a word, both from one hash; ``words`` is a power of two."""
+    h, last = F.xxhash64(word), F.lit(64 * words - 1)
+    return F.array(h.bitwiseAND(last), F.shiftrightunsigned(h, 32).bitwiseAND(last))
 
 
 def mentions(texts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -184,8 +186,9 @@ def mentions(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     bits = filter_.scalar()  # made once, before the texts are read
 
     held = texts.select("node", "file", names.words(F.col("text")).alias("words"), bits.alias("bits"))
-    test = " and ".join(f"getbit(bits[cast(pmod(xxhash64(w, {seed}), {64 * words}L) div 64 as int)], cast(pmod(xxhash64(w, {seed}), {64 * words}L) % 64 as int)) = 1" for seed in (1, 2))
-    return held.select("node", "file", F.explode(F.expr(f"filter(words, w -> {test})")).alias("word"))
+    test = "forall(p, at -> getbit(bits[cast(shiftright(at, 6) as int)], cast(at & 63 as int)) = 1)"
+    at = f"array(xxhash64(w) & {64 * words - 1}L, shiftrightunsigned(xxhash64(w), 32) & {64 * words - 1}L)"
+    return held.select("node", "file", F.explode(F.expr(f"filter(words, w -> length(w) >= 3 and {test.replace('forall(p', 'forall(' + at)})")).alias("word"))
 
 
 def mention_edges(mentions: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:

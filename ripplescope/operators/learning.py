@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,24 +66,37 @@ def _settle(live: bool, confirms: int, contradicts: int, misses: int) -> tuple[b
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams the rows of each edge in order; the state of one edge is held. Every row says with what the edge begins, and the last one of an edge has no ``r`` but the number of all measurements."""
     now, state = None, None
+    types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
+        if not batch.num_rows:
+            continue
         out = []
-        for key, to, r, mined, seq, total, *begin in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if now != (key, to):
-                now, state = (key, to), [begin[0] is not None, *begin, 0, 0]
+        code = [pc.dictionary_encode(c).indices.to_numpy() for c in batch.columns[:2]]
+        starts = np.flatnonzero(np.append(True, (code[0][1:] != code[0][:-1]) | (code[1][1:] != code[1][:-1]))).tolist()
+        of_row, mined, seqs = (pc.fill_null(c, x).to_numpy(zero_copy_only=False).tolist() for c, x in zip(batch.columns[2:5], (0, False, 0), strict=True))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            edge = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
+            if now != edge:
+                begin = [c[a].as_py() for c in batch.columns[6:]]
+                now, state = edge, [begin[0] is not None, *begin, 0, 0]
             live, source, confirms, contradicts, last, since, before = state
-            live, contradicts = _settle(live, confirms, contradicts, (total if r is None else r - 1) - before)
-            if r is None:
+            for r, new, seq in zip(of_row[a:b], mined[a:b], seqs[a:b], strict=True):
+                if not r:  # after the last one
+                    total = batch.column(5)[b - 1].as_py()
+                    live, contradicts = _settle(live, confirms, contradicts, total - before)
+                    if live:
+                        out.append((*edge, source, confirms, contradicts, last, since))
+                    break
+                if live and (r - 1 > before or not before):
+                    live, contradicts = _settle(live, confirms, contradicts, r - 1 - before)
                 if live:
-                    out.append((key, to, source, confirms, contradicts, last, since))
-                continue
-            if live:
-                confirms, last = confirms + 1, seq
-            elif mined:
-                live, source, confirms, contradicts, last, since = True, "mined", 1, 0, seq, r
-            state = [live, source, confirms, contradicts, last, since, r]
+                    confirms, last = confirms + 1, seq
+                elif new:
+                    live, source, confirms, contradicts, last, since = True, "mined", 1, 0, seq, r
+                before = r
+            state = [live, source, confirms, contradicts, last, since, before]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["from_key", "to", "source", "confirms", "contradicts", "last_seq", "since"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["from_key", "to", "source", "confirms", "contradicts", "last_seq", "since"])
 
 
 def evidence(measurements: DataFrame, seeds: DataFrame | None = None, stored_bindings: DataFrame | None = None) -> DataFrame:
