@@ -127,6 +127,19 @@ def resolved_edges(nodes: DataFrame) -> DataFrame:
     return refs.join(nodes.select("fqn", F.col("node").alias("dst")), "fqn").select("src", "dst").distinct()
 
 
+def resolved_degrees(nodes: DataFrame) -> DataFrame:
+    """``(src, refs, highest)``: how many nodes each refers to by ``resolved_edges``, and the highest of them; what refers to none is left out.
+
+    Nodes that refer to the same names have the same edges, so these are counted
+    once for each set of names, and the pairs of nodes are never made.
+    """
+    refs = nodes.select(F.col("node").alias("src"), F.explode("ref_names").alias("fqn")).where("fqn is not null")
+    sets = refs.groupBy("src").agg(F.array_sort(F.collect_set("fqn")).alias("names"))
+    held = nodes.where("fqn is not null").select("fqn", F.col("node").alias("dst")).distinct()
+    met = sets.select("names").distinct().select("names", F.explode("names").alias("fqn")).join(held, "fqn").select("names", "dst").distinct()
+    return sets.join(met.groupBy("names").agg(F.count("*").alias("refs"), F.max("dst").alias("highest")), "names").select("src", "refs", "highest")
+
+
 def merged_nodes(rows: DataFrame) -> DataFrame:
     """Nodes of one assembly and name as one: sets are joined, flags are or-ed, the first project stays."""
     flags = [c for c in rows.columns if c.startswith("is_")]

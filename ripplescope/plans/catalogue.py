@@ -150,7 +150,7 @@ def transitive_stamps(t: Tables) -> DataFrame:
 def resolved_edges(t: Tables) -> DataFrame:
     """Names refer to every node that has them."""
     nodes = t.customer.select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("fqn"), F.array("c_mktsegment", F.lit("none")).alias("ref_names"))
-    return graph.resolved_edges(nodes).groupBy("src").agg(F.count("*").alias("refs"), F.max("dst").alias("highest"))
+    return graph.resolved_degrees(nodes)
 
 
 @query("""select p_type as asm, p_brand as fqn, arg_min('N' || p_size, p_partkey) as project, bool_or(p_size > 45) as is_test, string_agg(distinct 'f' || p_size, ',' order by 'f' || p_size) as files from part group by p_type, p_brand""")

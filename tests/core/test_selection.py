@@ -102,6 +102,16 @@ def test_levels_leave_cycles_out(spark):
     assert rows(graph.levels(edges, nodes)) == [(1, 2), (2, 1), (3, 0)]
 
 
+def test_degrees_are_those_of_the_edges(spark):
+    """Also where nodes come twice, have no name, or refer to nothing or to what nobody has; and without a pair for each two nodes, which would be 900 million here."""
+    made = [(1, "a", ["a", "none"]), (1, "b", ["b"]), (2, "a", ["b", "a", "a"]), (3, None, ["a", None]), (4, "c", ["none"]), (5, "b", None), (6, "b", ["a", "b"])]
+    nodes = spark.createDataFrame(made, "node long, fqn string, ref_names array<string>")
+    want = graph.resolved_edges(nodes).groupBy("src").agg(F.count("*").alias("refs"), F.max("dst").alias("highest"))
+    assert rows(graph.resolved_degrees(nodes)) == rows(want) == [(1, 4, 6), (2, 4, 6), (3, 2, 2), (6, 4, 6)]
+    many = spark.range(30_000).select(F.col("id").alias("node"), F.lit("a").alias("fqn"), F.array(F.lit("a")).alias("ref_names"))
+    assert rows(graph.resolved_degrees(many).groupBy("refs", "highest").count()) == [(30_000, 29_999, 30_000)]
+
+
 def test_mentions(spark):
     mentions = spark.createDataFrame([("n1", "f1", "Color"), ("n2", "f2", "Color"), ("n3", "f3", "ab")], "node string, file string, word string")
     candidates = spark.createDataFrame([("e", "Color", ["f2"]), ("n1", "Color", ["f9"]), ("s", "ab", ["f0"])], "node string, short string, files array<string>")
