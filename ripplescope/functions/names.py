@@ -136,12 +136,17 @@ _ONE_NAME_NEW = rf"\b(?:AddScoped|AddSingleton|AddTransient){_GAP}<{_GAP}({_NAME
 
 
 def registrations(text: Column) -> Column:
-    """Pairs (service, impl) that a source registers, each once, without pairs of one name."""
+    """Pairs (service, impl) that a source registers, each once, without pairs of one name.
+
+    They are told apart as strings, as Spark compares each struct with all others.
+    No name has ``<<`` in it or ends with ``<``.
+    """
     pairs = []
     for rx in (_TWO_NAMES, _ONE_NAME_NEW):
         services, impls = (F.regexp_extract_all(text, F.lit(rx), F.lit(i)) for i in (1, 2))
-        pairs.append(F.arrays_zip(services.alias("service"), impls.alias("impl")))
-    return F.array_distinct(F.filter(F.concat(*pairs), lambda p: p["service"] != p["impl"]))
+        pairs.append(F.zip_with(services, impls, lambda s, i: F.when(s != i, F.concat(s, F.lit("<<"), i))))
+    side = lambda p, i: F.get(F.split(p, "<<"), F.lit(i))
+    return F.transform(F.array_distinct(F.array_compact(F.concat(*pairs))), lambda p: F.struct(side(p, 0).alias("service"), side(p, 1).alias("impl")))
 
 
 # Attributes that mark a method as a test.

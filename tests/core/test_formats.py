@@ -1,5 +1,7 @@
 """Parsers, names, reports, snapshots, streams."""
 
+import random
+import re
 import time
 
 import pytest
@@ -285,3 +287,35 @@ def test_trees_are_dealt_out(tmp_path):
     whole = tree.listed
     tree.listed = lambda folder: listed.append(folder) or whole(folder)
     assert len(list(tree.walk(tree.root))) == 80 and not any(f.endswith("bin") for f in listed)
+
+
+def test_failures_of_long_runs_stay_in_their_row(spark):
+    """At most eight lines of each, up to the first that isn't indented; no line is shuffled."""
+    rng = random.Random(4)
+    lines = [rng.choice(["failed N.A%d (1ms)" % i, "  said %d" % i, "\t x ", "   ", "", "passed", " failed N.B (2ms)", "failed N.C"]) for i in range(3000)] + ["failed N.Last (1ms)", *[f"  l{i}" for i in range(12)]]
+    want, at = [], None
+    for line in lines:
+        if re.match(r"\s+\S", line):
+            if at is not None:
+                at.append(line.strip())
+            continue
+        at = None
+        if found := re.match(r"failed\s+(\S+)\s+\(", line):
+            at = []
+            want.append((found[1], at))
+    failures = records.run_output(spark.createDataFrame([("r", "\r\n".join(lines)), ("e", ""), ("n", None)], "id string, text string"))[0]
+    assert "Exchange" not in failures._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in failures.collect()] == [("r", m, "\n".join(said[:8])) for m, said in want]
+
+
+def test_registrations_of_a_long_text(spark):
+    """Each pair once, also with blanks, commas and dots in names; ten times the pairs don't take a hundred times as long."""
+    def took(n):
+        text = "".join(f"s.AddScoped<I{i}, M>();s.AddScoped<I{i}, M>();" for i in range(n)) + "AddSingleton<A.B<x, y>, C<z>>(); AddTransient<Q>(new R<a,b>()); AddScoped<S, S>()"
+        df, begin = spark.createDataFrame([(text,)], "text string").select(F.explode(names.registrations(F.col("text"))).alias("p")), time.perf_counter()
+        found = [tuple(r["p"]) for r in df.collect()]
+        assert found == [(f"I{i}", "M") for i in range(n)] + [("A.B<x, y>", "C<z>"), ("Q", "R<a,b>")]
+        return time.perf_counter() - begin
+
+    took(100)
+    assert took(40_000) < 30 * max(took(4000), 0.2)
