@@ -92,17 +92,20 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Nodes on a cycle and those above one have no level and are left out.
     """
     own = nodes.select("node").distinct()
-    inside = edges.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi").distinct()
-    inside, left = stored(inside, "levels-edges"), stored(own, "levels")
+    # Merge joins: what the rounds join is as large as the graph, and a broadcast goes through the driver.
+    within = lambda df, side, some: df.join(some.withColumnRenamed("node", side).hint("merge"), side, "left_semi")
+    inside, left = stored(within(within(edges.select("src", "dst"), "src", own), "dst", own).distinct(), "levels-edges"), stored(own, "levels")
     done = None
-    for level in itertools.count():  # each round takes some nodes out
-        waiting = inside.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        ready = stored(left.join(waiting, "node", "left_anti"), "levels")
+    for level in itertools.count():  # each round takes some nodes out, and the edges to them
+        waiting = stored(inside.select(F.col("src").alias("node")).distinct(), "levels")
+        ready = stored(left.join(waiting.hint("merge"), "node", "left_anti"), "levels")
         if ready.isEmpty():
             break
         done = ready.withColumn("level", F.lit(level)) if done is None else done.union(ready.withColumn("level", F.lit(level)))
-        before, left = left, stored(left.join(ready, "node", "left_anti"), "levels")
+        before, inside = inside, stored(within(inside, "dst", waiting), "levels-edges")
         discarded(before)
+        discarded(left)
+        left = waiting
     return done if done is not None else own.limit(0).withColumn("level", F.lit(0))
 
 

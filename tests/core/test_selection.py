@@ -102,6 +102,16 @@ def test_levels_leave_cycles_out(spark):
     assert rows(graph.levels(edges, nodes)) == [(1, 2), (2, 1), (3, 0)]
 
 
+def test_levels_bring_nothing_to_the_driver(spark, monkeypatch):
+    """However small a round is, none of its joins is a broadcast, which goes through the driver; levels are those of the longest ways down."""
+    plans, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, name))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (1, 2), (4, 3), (3, 99), (5, 6), (6, 5), (7, 5)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 8)], "node long")
+    assert rows(graph.levels(edges, nodes)) == [(1, 2), (2, 1), (3, 0), (4, 1), (8, 0)]
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_degrees_are_those_of_the_edges(spark):
     """Also where nodes come twice, have no name, or refer to nothing or to what nobody has; and without a pair for each two nodes, which would be 900 million here."""
     made = [(1, "a", ["a", "none"]), (1, "b", ["b"]), (2, "a", ["b", "a", "a"]), (3, None, ["a", None]), (4, "c", ["none"]), (5, "b", None), (6, "b", ["a", "b"])]
