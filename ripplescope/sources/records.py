@@ -101,18 +101,17 @@ def has_bare_names(raw: DataFrame, marker: str = LISTING) -> DataFrame:
 def run_output(raw: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
     """Failures ``(id, method, message)`` with up to ``most`` indented lines each, and counters ``(id, counter, n)``.
 
-    A counter stands alone on its line, the first such line counts, and one that is
-    missing is 0; a text without a total has none.
+    Failures are looked for while a text's lines are an array, so that no line becomes
+    a row and none is shuffled. A counter stands alone on its line, the first such line
+    counts, and one that is missing is 0; a text without a total has none.
     """
-    from pyspark.sql import Window
-
-    rx = r"^failed\s+(\S+)\s+\("
-    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = text_lines(raw).withColumn("head", F.nullif(F.regexp_extract("line", rx, 1), F.lit("")))
-    breaks = F.when(F.col("line").rlike(r"^\s+\S"), 0).otherwise(1)
-    lines = lines.withColumn("part", F.sum(breaks).over(w))
-    said = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").rlike(r"^\s+\S"), F.struct("line_no", names.trimmed(F.col("line")).alias("t"))))), lambda x: x["t"]), 1, most)
-    failures = lines.groupBy("id", "part").agg(F.max("head").alias("method"), F.array_join(said, "\n").alias("message")).where("method is not null").select("id", "method", "message")
+    each = raw.select("id", F.split("text", r"\r?\n").alias("lines"))
+    head = lambda line: F.nullif(F.regexp_extract(line, r"^failed\s+(\S+)\s+\(", 1), F.lit(""))
+    heads = F.transform("lines", lambda line, i: F.when(head(line).isNotNull(), F.struct(head(line).alias("method"), F.slice("lines", i + 2, most).alias("after"))))
+    found = each.select("id", F.explode(F.array_compact(heads)).alias("x")).select("id", "x.method", "x.after")
+    end = F.array_position(F.transform("after", lambda line: line.rlike(r"^\s+\S")), F.lit(False)).cast("int")  # 0: all are indented
+    said = F.slice("after", F.lit(1), F.when(end > 0, end - 1).otherwise(F.lit(most)))
+    failures = found.select("id", "method", F.array_join(F.transform(said, names.trimmed), "\n").alias("message"))
     number = lambda c: F.min_by(F.regexp_extract("line", rf"^\s*{c}:\s*(\d+)\s*$", 1).try_cast("long"), F.when(F.col("line").rlike(rf"^\s*{c}:\s*\d+\s*$"), F.col("line_no"))).alias(c)
     counts = text_lines(raw).where(F.col("line").rlike(r":\s*\d+\s*$")).groupBy("id").agg(*map(number, COUNTERS)).where("total is not null")
     return failures, counts.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.coalesce(c, F.lit(0).cast("long")).alias("n")) for c in COUNTERS])).alias("x")).select("id", "x.counter", "x.n")
