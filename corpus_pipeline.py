@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +80,26 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("pieces", pieces)]
 
 
+#: Rows of a batch that goes to a worker, in stages whose workers need much memory themselves; none of their rows depends on its batch.
+BATCH_ROWS = {"pieces": 1000}
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None):
+    """Batches of at most so many rows for what is run meanwhile; an executor holds each task's in both of its processes, outside of the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    former = spark.conf.get(key, None)
+    if rows is not None:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if former is None else spark.conf.set(key, former)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with batches_of(spark, BATCH_ROWS.get(name)):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
