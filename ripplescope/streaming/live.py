@@ -51,7 +51,10 @@ def live_runs(events: DataFrame, gap_us: int) -> DataFrame:
 
 
 class _Live(StatefulProcessor):
-    """A key's switch and time to run, and its pending files by the time they came."""
+    """A key's switch and time to run, and its pending files by the time they came.
+
+    A batch reads a key's state once and writes it once, as each access is a round trip to the store.
+    """
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
@@ -68,41 +71,52 @@ class _Live(StatefulProcessor):
         if new is not None:
             self.handle.registerTimer(stamp(new))
 
-    def _run(self, key: str, us: int, everything: bool) -> tuple:
-        files = sorted(k[0] for k in self.pending.keys())
-        self.pending.clear()
-        return key, us, [] if everything else files, everything
+    @staticmethod
+    def _run(key: str, us: int, everything: bool, files: dict) -> tuple:
+        told = key, us, [] if everything else sorted(files), everything
+        files.clear()
+        return told
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
         batch = batch[batch["kind"] != TICK]
-        on, due, everything = self.switch.get() if self.switch.exists() else (True, None, False)
-        began, out = due, []
+        if not len(batch):
+            return
+        known = self.switch.exists()
+        on, due, everything = self.switch.get() if known else (True, None, False)
+        held = {k[0]: v[0] for k, v in self.pending.iterator()} if known else {}
+        files, began, out = dict(held), due, []
         for us, kind, file, aborted in zip(batch["us"].astype("int64"), batch["kind"], batch["file"], batch["aborted"], strict=True):
+            us = int(us)
             if due is not None and us >= due:
-                out.append(self._run(key[0], due, False))
+                out.append(self._run(key[0], due, False, files))
                 due = None
             if kind in ("save", "change"):
-                self.pending.updateValue((file,), (int(us),))
+                files[file] = us
             if kind == "save" and on:
-                due = int(us) + self.gap_us
+                due = us + self.gap_us
             elif kind == "change" and on:
-                out.append(self._run(key[0], int(us), False))
+                out.append(self._run(key[0], us, False, files))
                 due = None
             elif kind == "pause" and on:
                 on, due = False, None
                 everything = aborted is not None and len(aborted) == 0
                 for f in aborted if aborted is not None else []:
-                    self.pending.updateValue((f,), (int(us),))
+                    files[f] = us
             elif kind == "resume" and not on:
                 on = True
-                if everything or next(iter(self.pending.keys()), None) is not None:
-                    out.append(self._run(key[0], int(us), everything))
+                if everything or files:
+                    out.append(self._run(key[0], us, everything, files))
                 everything = False
-        if len(batch):
-            self.switch.update((on, due, everything))
-            if due != began:
-                self._wait(began, due)
+        if not files.keys() >= held.keys():
+            self.pending.clear()
+            held = {}
+        for f, us in files.items():
+            if held.get(f) != us:
+                self.pending.updateValue((f,), (us,))
+        self.switch.update((on, due, everything))
+        if due != began:
+            self._wait(began, due)
         if out:
             yield pd.DataFrame(out, columns=["key", "us", "files", "everything"])
 
@@ -110,7 +124,9 @@ class _Live(StatefulProcessor):
         on, due, everything = self.switch.get()
         if due is not None and due <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
             self.switch.update((on, None, everything))
-            yield pd.DataFrame([self._run(key[0], due, False)], columns=["key", "us", "files", "everything"])
+            run = self._run(key[0], due, False, {k[0]: v[0] for k, v in self.pending.iterator()})
+            self.pending.clear()
+            yield pd.DataFrame([run], columns=["key", "us", "files", "everything"])
 
     def close(self) -> None:
         pass
@@ -145,21 +161,36 @@ class _Verdicts(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
-        n, sweep = self.size.get() if self.size.exists() else (0, None)
-        out = []
+        known = self.size.exists()
+        n, sweep = self.size.get() if known else (0, None)
+        out, seen, made = [], {}, {}  # each file is read at most once in a batch, and written once
+
+        def last_save(file: str) -> int | None:
+            if file not in seen:
+                seen[file] = self.saved.getValue((file,))[0] if known and self.saved.containsKey((file,)) else None
+            return seen[file]
+
+        def write() -> None:
+            for file, us in made.items():
+                self.saved.updateValue((file,), (us,))
+            made.clear()
+
         for us, seq, kind, file, watched, dirty in zip(batch["us"].astype("int64"), batch["seq"], batch["kind"], batch["file"], batch["watched"], batch["dirty"], strict=True):
             if kind == "save":
-                n += not self.saved.containsKey((file,))
-                self.saved.updateValue((file,), (int(us),))
+                n += last_save(file) is None
+                seen[file] = made[file] = int(us)
                 if n > self.most:
-                    n = self._evict(int(us) - 10 * self.window_us)
+                    write()
+                    n, known = self._evict(int(us) - 10 * self.window_us), True
+                    seen.clear()
                 if sweep is None:
                     sweep = int(us) + 10 * self.window_us
                     self.handle.registerTimer(-(-sweep // 1000))
             elif kind == "change":
-                last = self.saved.getValue((file,)) if watched and self.saved.containsKey((file,)) else None
-                echo = last is not None and us - last[0] <= self.window_us
+                last = last_save(file) if watched else None
+                echo = last is not None and us - last <= self.window_us
                 out.append((key[0], seq, "not-source" if not watched else "recent-save" if echo else "dirty-editor" if dirty else "queued"))
+        write()
         if sweep is not None:
             self.size.update((n, sweep))
         if out:
