@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
@@ -20,6 +20,8 @@ from ..streaming.queue import RefreshQueue
 from .catalogue import ORACLE, US, Tables, _class_files, _events, _measurements, query
 
 HOURS = 3_600_000_000
+#: Rows that a task sorts to write files.
+TASK_ROWS = 1 << 18
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -34,26 +36,36 @@ def _text(*parts) -> F.Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _written(t: Tables, name: str, files: DataFrame) -> str:
-    """Writes ``files(file, text)`` below a new shared folder, in tasks."""
+def _written(t: Tables, name: str, pieces: DataFrame) -> str:
+    """Writes ``pieces(file, text)`` below a new shared folder, in tasks; rows of a file that follow each other are its pieces, so that no file is held whole."""
     base = _folder(t, name)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..sources.tree import Tree
 
-        tree = Tree({"path": base})
+        tree, now, out = Tree({"path": base}), None, None
         for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = f"{tree.root}/{file}"
-                tree.fs.create_dir(at.rpartition("/")[0], recursive=True)
-                with tree.fs.open_output_stream(at) as out:
-                    out.write(text.encode())
+            for file, rows in itertools.groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: r[0]):
+                if file != now:
+                    if out is not None:
+                        out.close()
+                    at = f"{tree.root}/{file}"
+                    tree.fs.create_dir(at.rpartition("/")[0], recursive=True)
+                    now, out = file, tree.fs.open_output_stream(at)
+                out.write("".join(text for _, text in rows).encode())
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+        if out is not None:
+            out.close()
 
-    files.select("file", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    pieces.select("file", "text").dropna().mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return base
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key, in as many tasks as give each about as many rows whatever the table's size."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS + 1), key)
+
+
 def _live_events(t: Tables) -> DataFrame:
     """Views and purchases are saves, clicks changes, errors pauses that abort a run or none, signups resumes."""
     kind = F.when(F.col("event_type") == "click", "change").when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "signup", "resume").otherwise("save")
@@ -160,10 +172,14 @@ def report_hits(t: Tables) -> DataFrame:
     """Coverage files, one for each supplier, whatever the case of their names; the most in a report, added over reports."""
     hits = F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(_text(' hits="', F.col("l_quantity").cast("long"), '"'))
     line = F.concat(F.lit('<line number="'), F.col("l_linenumber") - 1, F.lit('"'), hits, F.lit("/>"))
-    classes = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.array_join(F.collect_list(line), "").alias("lines"))
-    element = F.concat(F.lit('<class filename="src\\p'), "l_partkey", F.lit('.cs"><lines>'), "lines", F.lit("</lines></class>"))
-    whole = F.concat(F.lit("<coverage><packages><package><classes>"), F.array_join(F.collect_list(element), "\n"), F.lit("</classes></package></packages></coverage>"))
-    files = classes.groupBy("l_suppkey").agg(whole.alias("text")).select(_text("deep/s", F.col("l_suppkey"), ".Cobertura.XML").alias("file"), "text")
+    report = Window.partitionBy("l_suppkey").orderBy("l_partkey")
+    before, after = (f("l_partkey").over(report) for f in (F.lag, F.lead))
+    head = F.when(before.isNull(), "<coverage><packages><package><classes>").otherwise("")
+    begin = F.when(before.isNull() | (before != F.col("l_partkey")), _text('<class filename="src\\p', F.col("l_partkey"), '.cs"><lines>')).otherwise("")
+    end = F.when(after.isNull() | (after != F.col("l_partkey")), "</lines></class>\n").otherwise("")
+    foot = F.when(after.isNull(), "</classes></package></packages></coverage>").otherwise("")
+    rows = _dealt(t.lineitem.select("l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag").where(line.isNotNull()).dropna(subset=["l_suppkey", "l_partkey"]), "l_suppkey")
+    files = rows.select(_text("deep/s", F.col("l_suppkey"), ".Cobertura.XML").alias("file"), F.concat(head, begin, line, end, foot).alias("text"))
     found = reports.line_hits(t.spark, _written(t, "coverage", files))
     return results.merged_hits(found.withColumnRenamed("report", "project")).withColumn("hit", F.col("hits") > 0)
 
@@ -180,8 +196,10 @@ def result_outcomes(t: Tables) -> DataFrame:
     said = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<Output><ErrorInfo><Message>said &amp;lt; "), "l_partkey", F.lit("</Message></ErrorInfo></Output>"))).otherwise(F.lit(""))
     result = F.concat(F.lit('<UnitTestResult testId="'), key, F.lit('" testName="'), name, F.lit('" outcome="'), outcome, F.lit('"'), took, F.lit(">"), said, F.lit("</UnitTestResult>"))
     definition = F.when(third == 0, F.concat(F.lit('<UnitTest id="'), key, F.lit('"><TestMethod className="Ns.K'), "l_partkey", F.lit(', My.Tests" name="x"/></UnitTest>')))
-    whole = F.concat(F.lit("<TestRun><Results>"), F.array_join(F.collect_list(result), "\n"), F.lit("</Results><TestDefinitions>"), F.array_join(F.collect_list(definition), "\n"), F.lit("</TestDefinitions></TestRun>"))
-    files = t.lineitem.groupBy("l_suppkey").agg(whole.alias("text")).select(_text("s", F.col("l_suppkey"), ".trx").alias("file"), "text")
+    piece = lambda at, text: F.struct(F.lit(at).alias("at"), text.alias("text"))
+    own = t.lineitem.select("l_suppkey", F.inline(F.array(piece(1, F.concat(result, F.lit("\n"))), piece(3, F.concat(definition, F.lit("\n"))))))
+    marks = t.lineitem.select("l_suppkey").distinct().select("l_suppkey", F.inline(F.array(*[piece(at, F.lit(x)) for at, x in ((0, "<TestRun><Results>"), (2, "</Results><TestDefinitions>"), (4, "</TestDefinitions></TestRun>"))])))
+    files = _dealt(own.where("text is not null").union(marks), "l_suppkey").sortWithinPartitions("l_suppkey", "at").select(_text("s", F.col("l_suppkey"), ".trx").alias("file"), "text")
     return reports.test_outcomes(t.spark, _written(t, "results", files)).drop("stack_trace")
 
 

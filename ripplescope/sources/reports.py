@@ -10,6 +10,8 @@ from ..functions import paths
 COVERAGE = "_filename string, lines struct<line:array<struct<_number:string,_hits:string>>>"
 RESULT = "_testId string, _testName string, _outcome string, _duration string, Output struct<ErrorInfo:struct<Message:string,StackTrace:string>>"
 DEFINITION = "_id string, TestMethod struct<_className:string>"
+#: Bytes of reports whose lines one task adds up.
+TASK_BYTES = 1 << 24
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str, suffix: str) -> DataFrame:
@@ -18,12 +20,25 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str, suffix: str) ->
     return rows.select("*", F.col("_metadata.file_path").alias("report")).where(F.lower("report").endswith(suffix))
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``, which can be a pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(fs.getContentSummary(f.getPath()).getLength() for f in fs.globStatus(where) or [])
+
+
 def line_hits(spark: SparkSession, path: str) -> DataFrame:
-    """``(report, file, line, hits)``, the most where lines overlap; lines that aren't numbers above 0 are left out, missing hits are 0."""
+    """``(report, file, line, hits)``, the most where lines overlap; lines that aren't numbers above 0 are left out, missing hits are 0.
+
+    Lines are dealt by file and line into parts by the size of the reports, as
+    their rows compress so well that parts by shuffled bytes hold millions; who adds
+    hits over reports needs no further shuffle.
+    """
     rows = _read(spark, path, "class", COVERAGE, ".cobertura.xml")
     each = rows.select("report", F.replace("_filename", F.lit("\\"), F.lit("/")).alias("file"), F.explode("lines.line").alias("x"))
     each = each.select("report", "file", F.col("x._number").try_cast("int").alias("line"), F.coalesce(F.col("x._hits").try_cast("long"), F.lit(0)).alias("hits")).where("line > 0 and file is not null")
-    return each.groupBy("report", "file", "line").agg(F.max("hits").alias("hits"))
+    parts = max(spark.sparkContext.defaultParallelism, _size(spark, path) // TASK_BYTES + 1)
+    return each.repartition(parts, "file", "line").groupBy("report", "file", "line").agg(F.max("hits").alias("hits"))
 
 
 def hit_files(spark: SparkSession, path: str) -> DataFrame:

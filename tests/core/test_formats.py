@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplescope.functions import names, paths
 from ripplescope.operators import results, selection
+from ripplescope.plans import catalogue, workspace
 from ripplescope.sources import projects, records, reports, shared
 from ripplescope.sources.shared import Snapshots
 from ripplescope.streaming import batching
@@ -79,6 +80,33 @@ def test_declarations_and_command_line(spark):
             records.command_line(bad)
 
 
+def test_parts_of_report_lines_grow_with_the_reports(spark, tmp_path, monkeypatch):
+    """One shuffle, by file and line, for the most in a report and the sum over reports."""
+    for i in range(20):
+        lines = "".join(f'<line number="{n}" hits="{i + n}"/><line number="{n}" hits="1"/>' for n in range(1, 30))
+        (tmp_path / f"r{i}.cobertura.xml").write_text(f'<coverage><packages><package><classes><class filename="a.cs"><lines>{lines}</lines></class></classes></package></packages></coverage>')
+    size = sum(p.stat().st_size for p in tmp_path.glob("*.xml"))
+    monkeypatch.setattr(reports, "TASK_BYTES", size // 40)
+    added = results.merged_hits(reports.line_hits(spark, str(tmp_path)).withColumnRenamed("report", "project"))
+    assert added._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert added.rdd.getNumPartitions() >= 40
+    assert sorted((r["line"], r["hits"]) for r in added.collect()) == [(n, sum(i + n for i in range(20))) for n in range(1, 30)]
+
+
+def test_files_are_written_in_pieces(spark):
+    """A file's rows follow each other over batches of any size; rows without a name or a text are left out."""
+    tables = catalogue.Tables(spark, "/none")
+    rows = [(f"d/f{n}", f"{n}:{i} ") for n in range(3) for i in range(25)] + [(None, "x"), ("d/none", None)]
+    former = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        base = workspace._written(tables, "pieces", spark.createDataFrame(rows, "file string, text string").coalesce(1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", former)
+    got = {r["path"].rpartition("/")[2]: bytes(r["content"]).decode() for r in spark.read.format("binaryFile").load(f"{base}/d").select("path", "content").collect()}
+    assert got == {f"f{n}": "".join(f"{n}:{i} " for i in range(25)) for n in range(3)}
+
+
 def test_xml_reports(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep/A.COBERTURA.xml").write_text('<coverage><packages><package><classes><class filename="src\\Hit.cs"><lines><line number="1" hits="3"/><line number="1" hits="5"/><line number="2"/><line number="0" hits="9"/><line number="x" hits="9"/></lines></class><class filename="src/Cold.cs"><lines><line number="1" hits="0"/></lines></class></classes></package></packages></coverage>')
