@@ -14,7 +14,7 @@ from ..functions import names, paths
 from ..operators import learning, results, selection
 from ..operators.index import FileIndex
 from ..sources import projects, records, reports
-from ..sources.shared import Snapshots, shared_dir, state
+from ..sources.shared import Snapshots, shared_dir, state, stored
 from ..streaming import batching, live
 from ..streaming.queue import RefreshQueue
 from .catalogue import ORACLE, US, Tables, _class_files, _events, _measurements, query
@@ -116,7 +116,7 @@ def change_verdicts_streamed(t: Tables) -> DataFrame:
 @query(ORACLE["evidence_fold"])
 def evidence_in_parts(t: Tables) -> DataFrame:
     """Measurements folded onto the stored bindings in three batches, one of which comes twice."""
-    rows = learning.with_baseline(_measurements(t))
+    rows = stored(learning.with_baseline(_measurements(t)), "measurements")
     most = rows.agg(F.max("seq")).head()[0] or 0
     store = state(t.spark, _folder(t, "bindings"), "bindings")
     for number, (lo, hi) in enumerate([(-1, most // 3), (most // 3, most // 2), (most // 2, most)]):
