@@ -123,15 +123,16 @@ def build_messages(raw: DataFrame, folder: str | None = None) -> DataFrame:
     The lines of a text, each once, are matched while they are still an array, so
     that a match is made once and only messages become rows: into fields between
     U+0001, which counts as a blank in a line; only what has no place is matched
-    again by the bare form.
+    again by the bare form. A place that isn't given is null before it is cast, as
+    Spark makes an error with its message and stack for each text that is no number.
     """
     fields = lambda line, rx, order: F.regexp_replace(line, rx, "\x01".join(f"${i}" if i else "" for i in order))
-    lines = F.filter(F.array_distinct(F.split(F.translate("text", "\x01", " "), r"\r?\n")), lambda line: F.contains(line, F.lit("error")) | F.contains(line, F.lit("warning")))
+    lines = F.filter(F.array_distinct(F.split(F.replace("text", F.lit("\x01"), F.lit(" ")), r"\r?\n")), lambda line: F.contains(line, F.lit("error")) | F.contains(line, F.lit("warning")))
     full = F.transform(lines, lambda line: fields(line, MESSAGE, [1, 2, 3, 4, 5, 6, 7, 8, 9]))
     told = F.transform(full, lambda f: F.when(F.contains(f, F.lit("\x01")), f).otherwise(fields(f, BARE_MESSAGE, [1, 0, 0, 0, 0, 2, 3, 4, 5])))
     both = raw.select("id", F.posexplode(told).alias("line_no", "f")).where(F.contains("f", F.lit("\x01")))
     f = lambda i: F.get(F.col("f"), F.lit(i))
-    number = lambda i, other=None: F.coalesce(f(i).try_cast("int") - 1, *([] if other is None else [f(other).try_cast("int") - 1]), F.lit(0))
+    number = lambda *tried: F.coalesce(*[F.nullif(f(i), F.lit("")).try_cast("int") - 1 for i in tried], F.lit(0))
     parsed = both.withColumn("f", F.split("f", "\x01")).select(
         "id", "line_no", f(0).alias("file"), number(1).alias("start_line"), number(2).alias("start_col"), number(3, 1).alias("end_line"), number(4, 2).alias("end_col"),
         f(5).alias("severity"), f(6).alias("code"), f(7).alias("message"), F.nullif(f(8), F.lit("")).alias("project"),

@@ -80,6 +80,15 @@ def test_declarations_and_command_line(spark):
             records.command_line(bad)
 
 
+def test_build_messages_cast_no_empty_places(spark):
+    """An empty text would make an error for each cast; places that are missing or beyond an int are as before."""
+    text = "a.cs(3,4): error CS1: x\nb.cs(3,4,5,6): warning CS2: y\x01z [p.csproj]\nMSB : error MSB1: w\nc.cs(99999999999,2): error CS3: v"
+    found = records.build_messages(spark.createDataFrame([("1", text)], "id string, text string"))
+    assert not re.search(r"try_cast\((get\()?f#\d+", found._jdf.queryExecution().analyzed().toString())
+    got = sorted((r["file"], r["start_line"], r["start_col"], r["end_line"], r["end_col"], r["code"], r["message"], r["project"]) for r in found.collect())
+    assert got == [("MSB", 0, 0, 0, 0, "MSB1", "w", None), ("a.cs", 2, 3, 2, 3, "CS1", "x", None), ("b.cs", 2, 3, 4, 5, "CS2", "y z", "p.csproj"), ("c.cs", 0, 1, 0, 1, "CS3", "v", None)]
+
+
 def test_parts_of_report_lines_grow_with_the_reports(spark, tmp_path, monkeypatch):
     """One shuffle, by file and line, for the most in a report and the sum over reports."""
     for i in range(20):
