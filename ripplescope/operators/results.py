@@ -167,17 +167,19 @@ def joined_results(results: DataFrame, definitions: DataFrame) -> DataFrame:
 
     The method is the case's whole name, arguments included; a name without a dot has
     an empty class. Empty messages and durations count as missing. Texts are as an
-    XML reader gives them, so nothing is decoded here.
+    XML reader gives them, so nothing is decoded here. All but the class is told
+    before the join, as that is shorter than what a report says.
     """
     known = F.nullif(F.substring_index("class_fqn", ",", 1), F.lit(""))
-    joined = results.join(definitions.where("test_id <> ''").select("test_id", known.alias("_c")).where("_c is not null").dropDuplicates(["test_id"]), "test_id", "left")
     name, outcome = F.coalesce("name", F.lit("")), F.coalesce("outcome", F.lit(""))
-    own = F.regexp_extract(names.strip_args(name), r"(?s)^(.*)\.[^.]*\z", 1)
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    return joined.select(
-        F.coalesce("_c", own).alias("class_fqn"), name.alias("method"), (outcome == "Passed").alias("passed"), outcome.isin("NotExecuted", "Inconclusive", "Skipped").alias("skipped"),
+    each = results.select(
+        "test_id", name.alias("method"), (outcome == "Passed").alias("passed"), outcome.isin("NotExecuted", "Inconclusive", "Skipped").alias("skipped"),
         filled("message").alias("message"), filled("stack").alias("stack_trace"), F.when(filled("duration").isNotNull(), names.duration_ms(F.col("duration"))).alias("duration_ms"),
     )
+    joined = each.join(definitions.where("test_id <> ''").select("test_id", known.alias("_c")).where("_c is not null").dropDuplicates(["test_id"]), "test_id", "left")
+    own = F.regexp_extract(names.strip_args(F.col("method")), r"(?s)^(.*)\.[^.]*\z", 1)
+    return joined.select(F.coalesce("_c", own).alias("class_fqn"), "method", "passed", "skipped", "message", "stack_trace", "duration_ms")
 
 
 def best_by_version(paths: DataFrame) -> DataFrame:

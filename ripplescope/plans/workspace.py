@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
+import contextlib
+import gzip
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from .catalogue import ORACLE, US, Tables, _class_files, _events, _measurements,
 HOURS = 3_600_000_000
 #: Rows that a task sorts to write files.
 TASK_ROWS = 1 << 18
+#: How hard files are compressed.
+GZIP = 6
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -37,27 +42,36 @@ def _text(*parts) -> F.Column:
 
 
 def _written(t: Tables, name: str, pieces: DataFrame) -> str:
-    """Writes ``pieces(file, text)`` below a new shared folder, in tasks; rows of a file that follow each other are its pieces, so that no file is held whole."""
+    """Writes ``pieces(file, text)`` below a new shared folder, in tasks; rows of a file that follow each other are its pieces, so that no file is held whole. Names that end with ``.gz`` are compressed. What was shuffled for it is deleted when it is done."""
     base = _folder(t, name)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..sources.tree import Tree
 
         tree, now, out = Tree({"path": base}), None, None
-        for batch in batches:
-            for file, rows in itertools.groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: r[0]):
-                if file != now:
-                    if out is not None:
-                        out.close()
-                    at = f"{tree.root}/{file}"
-                    tree.fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    now, out = file, tree.fs.open_output_stream(at)
-                out.write("".join(text for _, text in rows).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
-        if out is not None:
-            out.close()
-
-    pieces.select("file", "text").dropna().mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        with contextlib.ExitStack() as opened:
+            for batch in batches:
+                texts, runs, begin = batch.column(1).cast(pa.large_binary()), pc.run_end_encode(batch.column(0)), 0
+                ends, data = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :], texts.buffers()[2] or pa.py_buffer(b"")
+                for file, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    if file != now:
+                        opened.close()
+                        at = f"{tree.root}/{file}"
+                        tree.fs.create_dir(at.rpartition("/")[0], recursive=True)
+                        now, out = file, opened.enter_context(tree.fs.open_output_stream(at, compression=None))
+                        if file.endswith(".gz"):
+                            out = opened.enter_context(gzip.GzipFile(fileobj=out, mode="wb", compresslevel=GZIP))
+                    out.write(data.slice(ends[begin], ends[end] - ends[begin]))
+                    begin = end
+                yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    conf, cleanup = t.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    former = conf.get(cleanup)
+    conf.set(cleanup, "true")
+    try:
+        pieces.select("file", "text").dropna().mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    finally:
+        conf.set(cleanup, former)
     return base
 
 
@@ -196,10 +210,15 @@ def result_outcomes(t: Tables) -> DataFrame:
     said = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<Output><ErrorInfo><Message>said &amp;lt; "), "l_partkey", F.lit("</Message></ErrorInfo></Output>"))).otherwise(F.lit(""))
     result = F.concat(F.lit('<UnitTestResult testId="'), key, F.lit('" testName="'), name, F.lit('" outcome="'), outcome, F.lit('"'), took, F.lit(">"), said, F.lit("</UnitTestResult>"))
     definition = F.when(third == 0, F.concat(F.lit('<UnitTest id="'), key, F.lit('"><TestMethod className="Ns.K'), "l_partkey", F.lit(', My.Tests" name="x"/></UnitTest>')))
-    piece = lambda at, text: F.struct(F.lit(at).alias("at"), text.alias("text"))
-    own = t.lineitem.select("l_suppkey", F.inline(F.array(piece(1, F.concat(result, F.lit("\n"))), piece(3, F.concat(definition, F.lit("\n"))))))
-    marks = t.lineitem.select("l_suppkey").distinct().select("l_suppkey", F.inline(F.array(*[piece(at, F.lit(x)) for at, x in ((0, "<TestRun><Results>"), (2, "</Results><TestDefinitions>"), (4, "</TestDefinitions></TestRun>"))])))
-    files = _dealt(own.where("text is not null").union(marks), "l_suppkey").sortWithinPartitions("l_suppkey", "at").select(_text("s", F.col("l_suppkey"), ".trx").alias("file"), "text")
+    rows = _dealt(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").dropna(subset=["l_suppkey"]), "l_suppkey")
+    rows = rows.select("*", F.explode(F.when(third == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("at"))
+    report = Window.partitionBy("l_suppkey").orderBy("at")
+    before, after = (f("at").over(report) for f in (F.lag, F.lead))
+    head = F.when(before.isNull(), "<TestRun><Results>").otherwise("")
+    body = F.coalesce(F.concat(F.when(F.col("at") == 1, result).otherwise(definition), F.lit("\n")), F.lit(""))
+    middle = F.when((F.col("at") == 1) & (after.isNull() | (after == 2)), "</Results><TestDefinitions>").otherwise("")
+    foot = F.when(after.isNull(), "</TestDefinitions></TestRun>").otherwise("")
+    files = rows.select(_text("s", F.col("l_suppkey"), ".trx.gz").alias("file"), F.concat(head, body, middle, foot).alias("text"))
     return reports.test_outcomes(t.spark, _written(t, "results", files)).drop("stack_trace")
 
 

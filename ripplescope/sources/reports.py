@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +12,14 @@ from ..functions import paths
 COVERAGE = "_filename string, lines struct<line:array<struct<_number:string,_hits:string>>>"
 RESULT = "_testId string, _testName string, _outcome string, _duration string, Output struct<ErrorInfo:struct<Message:string,StackTrace:string>>"
 DEFINITION = "_id string, TestMethod struct<_className:string>"
-#: Bytes of reports whose lines one task adds up.
+#: Bytes of reports, as they lie in their files, whose results one task reads or whose lines it adds up.
 TASK_BYTES = 1 << 24
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: str, suffix: str) -> DataFrame:
-    """Rows of one tag in all files below ``path`` with the suffix, whatever its case."""
+def _read(spark: SparkSession, path: str, tag: str, schema: str, *suffixes: str) -> DataFrame:
+    """Rows of one tag in all files below ``path`` with one of the suffixes, whatever its case."""
     rows = spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").schema(schema).load(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("report")).where(F.lower("report").endswith(suffix))
+    return rows.select("*", F.col("_metadata.file_path").alias("report")).where(F.lower("report").rlike("(" + "|".join(map(re.escape, suffixes)) + r")\z"))
 
 
 def _size(spark: SparkSession, path: str) -> int:
@@ -46,11 +48,12 @@ def hit_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def test_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Outcomes of result files, by the rules of ``joined_results``. The XML source has decoded entities."""
+    """Outcomes of result files, compressed ones (``.trx.gz``) too, by the rules of ``joined_results``. The XML source has decoded entities."""
     from ..operators.results import joined_results
 
-    results = _read(spark, path, "UnitTestResult", RESULT, ".trx").select(F.col("_testId").alias("test_id"), F.col("_testName").alias("name"), F.col("_outcome").alias("outcome"), F.col("_duration").alias("duration"), F.col("Output.ErrorInfo.Message").alias("message"), F.col("Output.ErrorInfo.StackTrace").alias("stack"))
-    definitions = _read(spark, path, "UnitTest", DEFINITION, ".trx").select(F.col("_id").alias("test_id"), F.col("TestMethod._className").alias("class_fqn"))
+    parts = max(spark.sparkContext.defaultParallelism, _size(spark, path) // TASK_BYTES + 1)
+    results = _read(spark, path, "UnitTestResult", RESULT, ".trx", ".trx.gz").coalesce(parts).select(F.col("_testId").alias("test_id"), F.col("_testName").alias("name"), F.col("_outcome").alias("outcome"), F.col("_duration").alias("duration"), F.col("Output.ErrorInfo.Message").alias("message"), F.col("Output.ErrorInfo.StackTrace").alias("stack"))
+    definitions = _read(spark, path, "UnitTest", DEFINITION, ".trx", ".trx.gz").coalesce(parts).select(F.col("_id").alias("test_id"), F.col("TestMethod._className").alias("class_fqn"))
     return joined_results(results, definitions)
 
 
@@ -78,7 +81,6 @@ def resolved_files(hits: DataFrame, roots: DataFrame, existing: DataFrame, root:
 
 def collector_settings(assemblies: list[str]) -> str:
     """The settings file that lets both coverage collectors see only these assemblies."""
-    import re
     from xml.etree import ElementTree
 
     top = ElementTree.Element("RunSettings")

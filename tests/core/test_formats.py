@@ -1,5 +1,7 @@
 """Parsers, names, reports, snapshots, streams."""
 
+import gzip
+import os
 import random
 import re
 import time
@@ -116,6 +118,29 @@ def test_files_are_written_in_pieces(spark):
     assert got == {f"f{n}": "".join(f"{n}:{i} " for i in range(25)) for n in range(3)}
 
 
+def test_result_files_take_little_disk(spark, tmp_path, monkeypatch):
+    """Result files are written compressed and read so, as others are; what was shuffled to write them is gone once they stand."""
+    text = '<TestRun><Results><UnitTestResult testId="1" testName="A.B.%s" outcome="Passed"/></Results></TestRun>'
+    with gzip.open(tmp_path / "a.TRX.gz", "wt") as out:
+        out.write(text % "zipped")
+    (tmp_path / "b.trx").write_text(text % "plain")
+    (tmp_path / "c.trxx.gz").write_bytes((tmp_path / "a.TRX.gz").read_bytes())
+    assert sorted(r["method"] for r in reports.test_outcomes(spark, str(tmp_path)).collect()) == ["A.B.plain", "A.B.zipped"]
+    bases, written = [], workspace._written
+    monkeypatch.setattr(workspace, "_written", lambda *a: bases.append(written(*a)) or bases[-1])
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(os.path.getsize(f) for f in blocks.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and os.path.exists(f))
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"), shuffled()
+    found = workspace.result_outcomes(catalogue.Tables(spark, "/root/testdata/sf0.001"))
+    until = time.time() + 20
+    while time.time() < until and shuffled() - before > 20_000:  # files are deleted behind the query's back
+        time.sleep(0.2)
+    assert shuffled() - before <= 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    size = spark.read.format("binaryFile").load(bases[0]).selectExpr("sum(length)").head()[0]
+    assert 0 < size < 40 * found.count()
+
+
 def test_xml_reports(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep/A.COBERTURA.xml").write_text('<coverage><packages><package><classes><class filename="src\\Hit.cs"><lines><line number="1" hits="3"/><line number="1" hits="5"/><line number="2"/><line number="0" hits="9"/><line number="x" hits="9"/></lines></class><class filename="src/Cold.cs"><lines><line number="1" hits="0"/></lines></class></classes></package></packages></coverage>')
